@@ -76,27 +76,28 @@ def _one_claim(state: DataFrame, key: str) -> DataFrame:
 
 
 def _round(state: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
+    """One round over the written state; every aggregate reads that state, none reads another.
+
+    Only values that several rows claim are looked up. Rows that are out leave the state.
+    """
     is_open, is_in = F.col("_state") == OPEN, F.col("_state") == IN
-    columns = state.columns
-    ahead = state
-    clear = F.lit(True)
-    for n, key in enumerate(keys):
-        first = ahead.filter(is_open & F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
-        ahead = ahead.join(first.select("seq", F.lit(True).alias(f"_first{n}")), "seq", "left")
-        clear = clear & (F.col(key).isNull() | F.col(f"_first{n}").isNotNull())
+    beaten, clear = F.lit(False), F.lit(True)
+    seen = state
     if limited:
-        ahead = running_counts(ahead, ["_group"], {"_in_before": is_in, "_open_before": is_open})
-        no_limit = F.col("_room").isNull()
-        clear = clear & (no_limit | (F.col("_in_before") + F.col("_open_before") < F.col("_room")))
-        full = ~no_limit & (F.col("_in_before") >= F.col("_room"))
-    else:
-        full = F.lit(False)
-    decided = F.when(is_open & full, OUT).when(is_open & clear, IN).otherwise(F.col("_state"))
-    state = ahead.withColumn("_state", decided).select(*columns)
-    for key in keys:
-        held = state.filter((F.col("_state") == IN) & F.col(key).isNotNull())
-        held = held.select(key).distinct().withColumn("_held", F.lit(True))
-        beaten = (F.col("_state") == OPEN) & F.col("_held").isNotNull()
-        state = spread_join(state, held, [key], "seq")
-        state = state.withColumn("_state", F.when(beaten, OUT).otherwise(F.col("_state"))).select(*columns)
-    return state
+        seen = running_counts(seen, ["_group"], {"_in_before": is_in, "_open_before": is_open})
+        limit = F.col("_room").isNotNull()
+        beaten = limit & (F.col("_in_before") >= F.col("_room"))
+        clear = ~limit | (F.col("_in_before") + F.col("_open_before") < F.col("_room"))
+    for n, key in enumerate(keys):
+        claimed = state.filter(F.col(key).isNotNull()).groupBy(key)
+        claimed = claimed.agg(
+            F.count("*").alias("_rows"),
+            F.max(is_in).alias(f"_held{n}"),
+            F.min(F.when(is_open, F.col("seq"))).alias(f"_first{n}"),
+        )
+        contested = claimed.filter("_rows > 1").drop("_rows")
+        seen = spread_join(seen, contested, [key], "seq")
+        beaten = beaten | F.coalesce(F.col(f"_held{n}"), F.lit(False))
+        clear = clear & (F.col(f"_first{n}").isNull() | (F.col(f"_first{n}") == F.col("seq")))
+    decided = F.when(is_open & beaten, OUT).when(is_open & clear, IN).otherwise(F.col("_state"))
+    return seen.withColumn("_state", decided).select(*state.columns).filter(F.col("_state") != OUT)
