@@ -1,0 +1,6 @@
+"""Queries over the test tables."""
+
+from boxoffice.plans import report_queries  # noqa: F401
+from boxoffice.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
