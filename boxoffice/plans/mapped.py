@@ -7,6 +7,8 @@ All views read whole tables; ids keep the type of their source.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,10 +233,11 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
 
     need(sql)
     heads = ",\n".join(f"{name} AS ({views[name]})" for name in needed)
-    return f"WITH {heads}\n{sql}" if needed else sql
+    if not needed:
+        return sql
+    tail = sql.lstrip()
+    return f"WITH {heads},\n{tail[5:]}" if tail.startswith("WITH ") else f"WITH {heads}\n{sql}"
 
 
 def _names(text: str, view: str) -> bool:
-    import re
-
     return re.search(rf"\b{view}\b", text) is not None
