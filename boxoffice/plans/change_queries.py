@@ -97,6 +97,19 @@ query(
     VENUE_DELETE,
 )(lambda t, read: venue_deletes(t, read).rejects)
 
+query(
+    "m03_delete_tickets",
+    """SELECT l.seat_id, l.ticket_id FROM b_link l JOIN b_ticket k USING (ticket_id) JOIN b_order o ON o.order_id = k.torder_id
+    WHERE o.payment_status <> 'DIBATALKAN'""",
+)(
+    lambda t, read: changes.delete_rows(
+        t,
+        "ticket",
+        t["ticket"]
+        .join(t["order"].filter("payment_status = 'DIBATALKAN'").selectExpr("order_id AS torder_id"), "torder_id", "left_semi")
+        .select("ticket_id"),
+    ).tables["has_relationship"]
+)
 query(
     "m04_replace_event_artists",
     """WITH cand AS (SELECT s_suppkey AS seq, 'Brand#' || (1 + s_nationkey) || ' PROMO' AS event_id, [s_suppkey, s_suppkey + 1] AS ids FROM supplier),
@@ -254,9 +267,9 @@ def registrations(read) -> DataFrame:
 def text_keys(t):
     """The same tables with text ids for accounts, customers and organizers, as made-up ids are text."""
     as_text = lambda df, *cols: df.withColumns({c: F.col(c).cast("string") for c in cols})
-    role = t.spark.createDataFrame([(1, "Administrator"), (2, "organizer"), (3, "customer")], "role_id int, role_name string")
+    organizer = F.when(F.col("role_name") == "ORGANIZER", "organizer").otherwise(F.col("role_name"))
     return t.replace(
-        role=role,
+        role=t["role"].withColumn("role_name", organizer),
         user_account=as_text(t["user_account"], "user_id"),
         account_role=as_text(t["account_role"], "user_id"),
         customer=as_text(t["customer"], "customer_id", "user_id"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.sources.tables import Tables
 
-ROLES = [(1, "Administrator"), (2, "ORGANIZER"), (3, "customer")]
+ROLES = "SELECT * FROM VALUES (1, 'Administrator'), (2, 'ORGANIZER'), (3, 'customer') AS v(role_id, role_name)"
 
 EVENT_ID = "concat_ws(' ', p_brand, p_type)"
 TICKET_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, date_format(l_shipdate, 'yyyyMMdd'))"
@@ -160,7 +160,7 @@ def mapped_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     frames = {name: (lambda s=source, c=columns: view(s, c)) for name, (source, columns) in _VIEWS.items()}
     frames |= {
-        "role": lambda: spark.createDataFrame(ROLES, "role_id int, role_name string"),
+        "role": lambda: spark.sql(ROLES),
         "account_role": account_role,
         "venue": venue,
         "event": event,

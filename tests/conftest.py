@@ -16,7 +16,8 @@ def spark():
         "boxoffice-tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "1",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.driver.bindAddress": "127.0.0.1",
