@@ -34,23 +34,26 @@ def _held(cand: DataFrame, existing: DataFrame, keys: list[str], id_column: str,
     """Adds ``_taken`` and ``existing_id``: another row, old or earlier in the batch, has the same key.
 
     Per key the smallest and largest id among the old rows are enough to tell whether one of them is
-    not the candidate itself. A candidate without id is distinct from all others.
+    not the candidate itself. A candidate without id is distinct from all others. Where a key has old
+    rows, all candidates but their owner fail on those, so the earliest candidate matters only for keys
+    that are new; both facts are aggregates on the key and meet before the one join to the candidates.
     """
     old = only_keys_of(existing, cand, {k: k for k in keys})
     old = old.groupBy(*keys).agg(F.min(id_column).alias("_low"), F.max(id_column).alias("_high"))
-    own = F.col(id_column)
-    other = F.when(own.isNull() | (F.col("_low") != own), F.col("_low")).when(F.col("_high") != own, F.col("_high"))
-    known = spread_join(cand, old, keys, "seq").withColumn("_other", other).drop("_low", "_high")
+    claim = F.when(eligible, F.col("seq"))
+    asked = cand.filter(_all_set(keys)).groupBy(*keys)
+    asked = asked.agg(F.min(claim).alias("_first"), F.min_by(id_column, claim).alias("_first_id"))
+    facts = asked.join(old, keys, "left")
 
-    claims = known.filter(eligible & F.col("_other").isNull() & _all_set(keys)).groupBy(*keys)
-    first = claims.agg(F.min("seq").alias("_first"), F.min_by(id_column, "seq").alias("_first_id"))
+    own, low, high = F.col(id_column), F.col("_low"), F.col("_high")
+    other = F.when(own.isNull() | (low != own), low).when(high != own, high)
     distinct = own.isNull() | F.col("_first_id").isNull() | (F.col("_first_id") != own)
-    beaten = _yes((F.col("_first") < F.col("seq")) & distinct)
+    beaten = low.isNull() & _yes((F.col("_first") < F.col("seq")) & distinct)
     return (
-        spread_join(known, first, keys, "seq")
-        .withColumn("_taken", F.col("_other").isNotNull() | beaten)
-        .withColumn("existing_id", F.coalesce("_other", F.when(beaten, F.col("_first_id"))))
-        .drop("_other", "_first", "_first_id")
+        spread_join(cand, facts, keys, "seq")
+        .withColumn("_taken", other.isNotNull() | beaten)
+        .withColumn("existing_id", F.coalesce(other, F.when(beaten, F.col("_first_id"))))
+        .drop("_low", "_high", "_first", "_first_id")
     )
 
 
@@ -218,11 +221,13 @@ def check_event_owner(t: Tables, cand: DataFrame) -> DataFrame:
 
 
 def quota_facts(t: Tables, cand: DataFrame) -> DataFrame:
-    """Quota and sold tickets of the categories that the candidates ask for."""
+    """Quota and sold tickets of the categories that the candidates ask for.
+
+    Tickets are counted before they meet anything, so that the shuffle carries one row per category and task.
+    """
     asked = {"category_id": "tcategory_id"}
     categories = only_keys_of(t["ticket_category"], cand, asked).select("category_id", F.col("quota").alias("_quota"))
-    sold = sold_per_category(only_keys_of(t["ticket"], cand, {"tcategory_id": "tcategory_id"}))
-    facts = categories.join(sold, "category_id", "left")
+    facts = categories.join(sold_per_category(t["ticket"]), "category_id", "left")
     return facts.select(
         F.col("category_id").alias("tcategory_id"), "_quota", F.coalesce("sold", F.lit(0)).alias("_sold")
     )
@@ -257,9 +262,8 @@ def admit_under_quota(facts: DataFrame, order: DataFrame, cand: DataFrame) -> Da
 
 def promo_facts(t: Tables, cand: DataFrame) -> DataFrame:
     """Limit, window and redemptions so far of the promotions that the candidates ask for."""
-    asked = {"promotion_id": "promotion_id"}
-    promos = only_keys_of(t["promotion"], cand, asked)
-    used = only_keys_of(t["order_promotion"], cand, asked).groupBy("promotion_id").agg(F.count("*").alias("n"))
+    promos = only_keys_of(t["promotion"], cand, {"promotion_id": "promotion_id"})
+    used = t["order_promotion"].groupBy("promotion_id").agg(F.count("*").alias("n"))
     return promos.join(used, "promotion_id", "left").select(
         "promotion_id",
         F.col("usage_limit").alias("_limit"),

@@ -23,7 +23,7 @@ from boxoffice.operators.checks import (
 )
 from boxoffice.operators.orders import placed_orders
 from boxoffice.operators.settle import settle
-from boxoffice.operators.spread import only_keys_of, spread_join
+from boxoffice.operators.spread import only_keys_of, spread_join, without_keys_of
 from boxoffice.schemas import TABLES, references_to
 from boxoffice.sources.tables import Tables
 
@@ -169,7 +169,7 @@ def _cascade(t: Tables, table: str, keys: DataFrame) -> tuple[list[DataFrame], l
         deletes.append((child.name, ref.column, keys))
         if references_to(child.name):
             own = t[child.name].select(F.col(ref.column).alias("key"), F.col(child.key[0]).alias("_child"))
-            below = own.join(keys, "key").select("root", F.col("_child").alias("key"))
+            below = spread_join(own, keys, ["key"], how="inner").select("root", F.col("_child").alias("key"))
             more_blocked, more_deletes = _cascade(t, child.name, below)
             blocked += more_blocked
             deletes += more_deletes
@@ -190,8 +190,8 @@ def delete_rows(t: Tables, table: str, ids: DataFrame) -> ChangeSet:
 
     tables = {table: t[table].join(free(roots).select(F.col("root").alias(key)), key, "left_anti")}
     for child, column, keys in deletes:
-        gone = free(keys).select(F.col("key").alias(column)).distinct()
-        tables[child] = tables.get(child, t[child]).join(gone, column, "left_anti")
+        gone = free(keys).select(F.col("key").alias(column))
+        tables[child] = without_keys_of(tables.get(child, t[child]), gone, [column])
     unknown = asked.join(t[table].select(key), key, "left_anti").withColumn("reason", F.lit("unknown_key"))
     rejects = unknown
     if kept is not None:
@@ -219,10 +219,9 @@ def _with_artist_flags(t: Tables, changes: DataFrame) -> DataFrame:
 def _artist_links(t: Tables, accepted: DataFrame) -> DataFrame:
     """Old links of the touched events out, the named artists in, without a role."""
     types = _types(t, "event_artist")
-    touched = accepted.select("event_id").distinct()
     new = accepted.select("event_id", F.explode("_artists").alias("artist_id"))
     new = new.withColumn("role", F.lit(None).cast(types["role"]))
-    return t["event_artist"].join(touched, "event_id", "left_anti").unionByName(new)
+    return without_keys_of(t["event_artist"], accepted, ["event_id"]).unionByName(new)
 
 
 def replace_event_artists(t: Tables, changes: DataFrame) -> ChangeSet:
@@ -252,12 +251,12 @@ def _with_category_flags(t: Tables, changes: DataFrame) -> DataFrame:
     checked = changes.withColumn("_lines", lines).withColumn("_bad_categories", F.exists("_lines", bad))
     sold = t["ticket"].select(F.col("tcategory_id").alias("category_id")).distinct()
     in_use = t["ticket_category"].join(sold, "category_id", "left_semi").select(F.col("tevent_id").alias("event_id"))
-    return checked.join(in_use.distinct().withColumn("_sold", F.lit(True)), "event_id", "left")
+    return spread_join(checked, in_use.distinct().withColumn("_sold", F.lit(True)), ["event_id"], "seq")
 
 
 def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> DataFrame:
     """Old categories of the touched events out, the given ones in."""
-    touched = accepted.select(F.col("event_id").alias("tevent_id")).distinct()
+    touched = accepted.select(F.col("event_id").alias("tevent_id"))
     lines = accepted.select("event_id", F.posexplode("_lines").alias("place", "line"))
     types = _types(t, "ticket_category")
     new = lines.select(
@@ -267,7 +266,7 @@ def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> DataFrame:
         F.col("line.price").cast(types["price"]).alias("price"),
         F.col("event_id").alias("tevent_id"),
     )
-    kept = t["ticket_category"].join(touched, "tevent_id", "left_anti")
+    kept = without_keys_of(t["ticket_category"], touched, ["tevent_id"])
     return kept.withColumn("category_id", F.col("category_id").cast("string")).unionByName(new)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import (
@@ -16,7 +16,7 @@ from boxoffice.functions.columns import (
 )
 from boxoffice.operators.people import organizers_of
 from boxoffice.operators.ranges import positions
-from boxoffice.operators.spread import side_by_side
+from boxoffice.operators.spread import only_keys_of, side_by_side, without_keys_of
 from boxoffice.sources.tables import Tables
 
 CARD_ROWS = 1000
@@ -109,8 +109,8 @@ def _in_pages(lines: DataFrame, order: list, page_rows: int, entry, out: str) ->
     long_events = sizes.filter(F.col("_lines") > page_rows).select("event_id")
     paged = lines.withColumn("page", F.lit(0).cast("long"))
     if not long_events.isEmpty():
-        short = paged.join(long_events, "event_id", "left_anti")
-        ranked = positions(lines.join(long_events, "event_id", "left_semi"), ["event_id"], order)
+        short = without_keys_of(paged, long_events, ["event_id"])
+        ranked = positions(only_keys_of(lines, long_events, {"event_id": "event_id"}), ["event_id"], order)
         long = ranked.withColumn("page", F.floor((F.col("position") - 1) / page_rows)).drop("position")
         paged = short.unionByName(long)
     return paged.groupBy("event_id", "page").agg(F.array_sort(F.collect_list(entry)).alias(out))

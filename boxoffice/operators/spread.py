@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 BUCKET_BITS = 20
 
 
@@ -15,18 +14,23 @@ def spread_join(
     left: DataFrame,
     facts: DataFrame,
     on: Sequence[str],
-    row_id: str,
+    row_id: str | None = None,
     how: str = "left",
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
-    """Join ``left`` to ``facts`` (one row per key) with every key of ``left`` cut into ``salts`` parts.
+    """Join ``left``, in which one key may hold very many rows, to ``facts`` with one row per key.
 
-    The salt also puts a shuffle directly under both sides of the join, which is what the adaptive
-    skew-join rule needs to cut a part further; an aggregate below the join would hide it. Rows with
-    a NULL key are cut the same way. If ``facts`` turns out small, the join is a broadcast at run time.
+    The adaptive skew-join rule cuts an oversized partition of ``left`` and reads the matching partition
+    of ``facts`` once per piece, but only where a shuffle lies directly under both sides of the join.
+    Facts are mostly aggregates, whose own shuffle is below the aggregate and already on the key. The
+    salt column adds to the join key and so puts a fresh shuffle on top of both sides. Rows with a NULL
+    key are cut the same way, and small facts still become a broadcast by their true size.
+
+    ``salts`` above one cuts every key into that many parts by ``row_id`` up front, at the price of as
+    many copies of the facts. It is meant for sessions that run without adaptive execution.
     """
     salt = "_salt"
-    dealt = left.withColumn(salt, F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(row_id or on[0]), F.lit(salts)).cast("int"))
     copies = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, on=[*on, salt], how=how).drop(salt)
 
@@ -92,7 +96,12 @@ def first_of_each(df: DataFrame, keys: Sequence[str], eligible: Column, out: str
 def only_keys_of(df: DataFrame, asked: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``asked``; ``on`` maps columns of ``df`` to columns of ``asked``."""
     keys = asked.select(*[F.col(theirs).alias(ours) for ours, theirs in on.items()]).distinct()
-    return df.join(keys, list(on), "left_semi")
+    return spread_join(df, keys, list(on), how="left_semi")
+
+
+def without_keys_of(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key does not occur in ``keys``."""
+    return spread_join(df, keys.select(*on).distinct(), on, how="left_anti").select(*df.columns)
 
 
 def side_by_side(*totals: DataFrame) -> DataFrame:

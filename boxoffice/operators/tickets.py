@@ -21,7 +21,7 @@ from boxoffice.functions.columns import (
     seat_label,
     ticket_status,
 )
-from boxoffice.operators.spread import side_by_side, spread_join
+from boxoffice.operators.spread import only_keys_of, side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
 SEAT_ORDER = ["section", "row_number", "seat_number", "seat_id"]
@@ -205,8 +205,7 @@ def checkout_seats(t: Tables, n: int = 24) -> DataFrame:
     placed = events.join(seating, "venue_id")
     reserved = F.coalesce(F.col("jenis_seating") == RESERVED, F.lit(False))
 
-    in_use = placed.filter(reserved).select("venue_id").distinct()
-    seats = _free(t).join(in_use, "venue_id", "left_semi")
+    seats = only_keys_of(_free(t), placed.filter(reserved), {"venue_id": "venue_id"})
     offered = _first_n(seats, "venue_id", [F.asc(c) for c in SEAT_ORDER], n)
     lists = offered.groupBy("venue_id").agg(
         F.collect_list(F.struct("place", "seat_id", seat_label(" - ").alias("label"))).alias("seats")

@@ -17,7 +17,7 @@ from boxoffice.sources.tables import Tables
 ROLES = "SELECT * FROM VALUES (1, 'Administrator'), (2, 'ORGANIZER'), (3, 'customer') AS v(role_id, role_name)"
 
 EVENT_ID = "concat_ws(' ', p_brand, p_type)"
-TICKET_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, date_format(l_shipdate, 'yyyyMMdd'))"
+TICKET_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, unix_date(cast(l_shipdate AS date)))"
 
 # Per table: source, select list, and an optional filter; joins and unions are spelled out below.
 _VIEWS = {
@@ -172,7 +172,7 @@ def mapped_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, frames)
 
 
-_SQL_TICKET_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y%m%d'))"
+_SQL_TICKET_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))"
 _SQL_EVENT_ID = "p_brand || ' ' || p_type"
 
 SQL_VIEWS = {

@@ -69,8 +69,34 @@ def test_keys_and_references(t, spark):
 def test_spread_join_keeps_rows_with_null_and_hot_keys(spark):
     left = spark.range(1000).withColumn("k", F.when(F.col("id") < 900, F.lit(1)).when(F.col("id") < 950, F.lit(2)))
     facts = spark.createDataFrame([(1, "a"), (3, "c")], "k int, v string")
-    got = spread_join(left, facts, ["k"], "id")
-    assert got.count() == 1000 and got.filter("v = 'a'").count() == 900 and got.filter("v is null").count() == 100
+    for salts in (1, 5):
+        got = spread_join(left, facts, ["k"], "id", salts=salts)
+        assert got.count() == 1000 and got.filter("v = 'a'").count() == 900 and got.filter("v is null").count() == 100
+
+
+def test_spread_join_lets_the_session_cut_a_hot_key(spark, capsys):
+    """With facts that are an aggregate; a plain join would keep the hot key in one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000)
+        left = spark.range(0, 200_000, 1, 8).select("id", key.alias("k"), F.md5(F.col("id").cast("string")).alias("w"))
+        facts = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+        joined = spread_join(left, facts, ["k"], "id")
+        assert len(joined.collect()) == 200_000
+        joined.explain()
+        assert "skew=true" in capsys.readouterr().out
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("bits", [1, 3, 20])
