@@ -29,7 +29,7 @@ def day(as_of: datetime | date | str) -> Column:
 
 def strip(col: Column) -> Column:
     """Cuts white space of every kind at both ends; ``trim`` would cut spaces only."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(col: Column) -> Column:

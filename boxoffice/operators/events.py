@@ -100,19 +100,27 @@ def event_catalog(
     )
 
 
-def _in_pages(lines: DataFrame, order: list, page_rows: int, entry, out: str) -> DataFrame:
-    """Lists per event, cut into pages of ``page_rows`` so that no list outgrows a task.
+def _longer_than(lines: DataFrame, rows: int) -> DataFrame:
+    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_lines"))
+    return sizes.filter(F.col("_lines") > rows).select("event_id")
+
+
+def _in_pages(lines: DataFrame, order: list, page_rows: int, all_short: bool) -> DataFrame:
+    """Adds ``page``: the lines of an event, in order, in parts of ``page_rows``.
 
     Only events with more lines than a page need positions; all others are page 0 as they are.
     """
-    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_lines"))
-    long_events = sizes.filter(F.col("_lines") > page_rows).select("event_id")
     paged = lines.withColumn("page", F.lit(0).cast("long"))
-    if not long_events.isEmpty():
-        short = without_keys_of(paged, long_events, ["event_id"])
-        ranked = positions(only_keys_of(lines, long_events, {"event_id": "event_id"}), ["event_id"], order)
-        long = ranked.withColumn("page", F.floor((F.col("position") - 1) / page_rows)).drop("position")
-        paged = short.unionByName(long)
+    if all_short:
+        return paged
+    long_events = _longer_than(lines, page_rows)
+    ranked = positions(only_keys_of(lines, long_events, {"event_id": "event_id"}), ["event_id"], order)
+    long = ranked.withColumn("page", F.floor((F.col("position") - 1) / page_rows)).drop("position")
+    return without_keys_of(paged, long_events, ["event_id"]).unionByName(long)
+
+
+def _page_lists(paged: DataFrame, entry, out: str) -> DataFrame:
+    """One sorted list per event and page; no list outgrows a page."""
     return paged.groupBy("event_id", "page").agg(F.array_sort(F.collect_list(entry)).alias(out))
 
 
@@ -135,22 +143,18 @@ def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CAR
         .select("event_id", "category_id", "category_name", "price", "quota")
     )
     lowest = categories.groupBy("event_id").agg(F.min("price").alias("lowest_price"))
-    category_entry = F.struct(
-        (-F.col("price")).alias("falling"), F.col("category_name"), F.col("category_id"), "price", "quota"
-    )
-    category_pages = _in_pages(
-        categories, [F.desc("price"), F.asc("category_name"), F.asc("category_id")], page_rows, category_entry, "cats"
-    )
-
     artists = (
         t["event_artist"]
         .select("event_id", "artist_id")
         .join(wanted, "event_id", "left_semi")
         .join(t["artist"].select("artist_id", "name"), "artist_id")
     )
-    artist_pages = _in_pages(
-        artists, [F.asc("name"), F.asc("artist_id")], page_rows, F.struct("name", "artist_id"), "acts"
-    )
+    all_short = _longer_than(categories, page_rows).unionByName(_longer_than(artists, page_rows)).isEmpty()
+    by_price = [F.desc("price"), F.asc("category_name"), F.asc("category_id")]
+    category_entry = F.struct((-F.col("price")).alias("falling"), "category_name", "category_id", "price", "quota")
+    category_pages = _page_lists(_in_pages(categories, by_price, page_rows, all_short), category_entry, "cats")
+    by_name = [F.asc("name"), F.asc("artist_id")]
+    artist_pages = _page_lists(_in_pages(artists, by_name, page_rows, all_short), F.struct("name", "artist_id"), "acts")
 
     none = F.array().cast("array<string>")
     price = F.coalesce("lowest_price", F.lit(0).cast("decimal(12,2)"))

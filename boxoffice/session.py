@@ -6,7 +6,11 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Broadcasts: an estimate from compressed files may be far below the size in memory, so it must be
+# small; what a finished shuffle has measured may be larger.
 SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "2MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
