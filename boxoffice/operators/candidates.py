@@ -30,7 +30,7 @@ def _yes(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
-def _held(cand: DataFrame, existing: DataFrame, keys: list[str], id_column: str, eligible: Column) -> DataFrame:
+def held(cand: DataFrame, existing: DataFrame, keys: list[str], id_column: str, eligible: Column) -> DataFrame:
     """Adds ``_taken`` and ``existing_id``: another row, old or earlier in the batch, has the same key.
 
     Per key the smallest and largest id among the old rows are enough to tell whether one of them is
@@ -63,9 +63,9 @@ def check_usernames(users: DataFrame, cand: DataFrame) -> DataFrame:
     well_formed = F.col("username").rlike(r"^[a-zA-Z0-9]+\z")
     long_enough = F.length("password") >= PASSWORD_LENGTH
     existing = users.select(F.lower("username").alias("_name"), "user_id")
-    held = _held(named, existing, ["_name"], "user_id", _yes(well_formed & long_enough))
+    taken = held(named, existing, ["_name"], "user_id", _yes(well_formed & long_enough))
     return judged(
-        held,
+        taken,
         [
             (~well_formed, "bad_characters"),
             (F.col("_taken"), "duplicate_username"),
@@ -80,8 +80,8 @@ def check_venues(venues: DataFrame, cand: DataFrame) -> DataFrame:
     """Name and city unique but for case, the row itself aside; reports the id that is in the way."""
     keys = {"_name": F.lower("venue_name"), "_city": F.lower("city")}
     existing = venues.select(*[c.alias(k) for k, c in keys.items()], "venue_id")
-    held = _held(cand.withColumns(keys), existing, list(keys), "venue_id", F.lit(True))
-    return judged(held, [(F.col("_taken"), "duplicate_venue")]).select(
+    taken = held(cand.withColumns(keys), existing, list(keys), "venue_id", F.lit(True))
+    return judged(taken, [(F.col("_taken"), "duplicate_venue")]).select(
         *cand.columns, "existing_id", "accepted", "reason"
     )
 
@@ -96,8 +96,8 @@ def check_seats(t: Tables, cand: DataFrame) -> DataFrame:
     }
     existing = t["seat"].select(*[c.alias(k) for k, c in keys.items()], "seat_id")
     fine = valid_seat_number(F.col("seat_number"))
-    held = _held(cand.withColumns(keys), existing, list(keys), "seat_id", fine)
-    return judged(held, [(~fine, "bad_seat_number"), (F.col("_taken"), "duplicate_seat")]).select(
+    taken = held(cand.withColumns(keys), existing, list(keys), "seat_id", fine)
+    return judged(taken, [(~fine, "bad_seat_number"), (F.col("_taken"), "duplicate_seat")]).select(
         *cand.columns, "existing_id", "accepted", "reason"
     )
 
@@ -183,9 +183,9 @@ def check_seat_free(t: Tables, cand: DataFrame) -> DataFrame:
         kind = dict(t["has_relationship"].dtypes)["ticket_id"]
         asked = asked.withColumn("ticket_id", F.lit(None).cast(kind))
     existing = t["has_relationship"].select(F.col("seat_id").alias("_seat"), "ticket_id")
-    held = _held(asked, existing, ["_seat"], "ticket_id", F.lit(True))
+    checked = held(asked, existing, ["_seat"], "ticket_id", F.lit(True))
     taken = F.col("_seat").isNotNull() & F.col("_taken")
-    return judged(held, [(taken, "seat_taken")]).select(*cand.columns, "accepted", "reason")
+    return judged(checked, [(taken, "seat_taken")]).select(*cand.columns, "accepted", "reason")
 
 
 def seats_with_many_tickets(t: Tables) -> DataFrame:

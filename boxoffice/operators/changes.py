@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import VALID, blank, event_moment, stable_uuid, strip, ticket_code
-from boxoffice.operators.candidates import check_seat_free, check_usernames, quota_facts, seat_of
+from boxoffice.operators.candidates import check_seat_free, check_usernames, held, quota_facts, seat_of
 from boxoffice.operators.checks import (
     judged,
     length_violations,
@@ -126,19 +126,35 @@ def append_rows(t: Tables, table: str, rows: DataFrame, batch: str = "append") -
     return ChangeSet({table: t[table].unionByName(new)}, _refused(done, columns))
 
 
+def _unique_flags(t: Tables, table: str, df: DataFrame, keys, fields, rules):
+    """Looks up the owners of the unique values that a change would take."""
+    taken = []
+    for column in [u[0] for u in TABLES[table].unique if len(u) == 1 and u[0] in fields and len(keys) == 1]:
+        owners = t[table].select(F.col(column).alias("_value"), keys[0])
+        legal = ~reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for broken, _ in rules], F.lit(False))
+        checked = held(df.withColumn("_value", F.col(column)), owners, ["_value"], keys[0], legal)
+        df = checked.withColumn(f"_taken_{column}", F.col("_taken")).drop("_taken", "existing_id", "_value")
+        taken.append((F.col(f"_taken_{column}"), f"unique:{column}"))
+    return df, taken
+
+
 def update_rows(t: Tables, table: str, changes: DataFrame, key: Sequence[str] | None = None) -> ChangeSet:
     """Sets the other columns of ``changes`` on the rows with the same key; the last change of a key counts.
 
-    A change that breaks a declared rule, or names a parent that is not there, leaves the row as it was.
+    A change that breaks a declared rule, names a parent that is not there, or takes a unique value of
+    another row leaves the row as it was. Of two changes to the same unique value the earlier one counts.
     """
     keys = list(key or TABLES[table].key)
     latest = _latest(changes, keys)
     types = _types(t, table)
     fields = [c for c in t[table].columns if c in latest.columns and c not in keys]
-    cast = latest.select(*keys, *[F.col(c).cast(types[c]).alias(c) for c in fields])
+    turn = F.col("seq") if "seq" in latest.columns else F.concat_ws("|", *keys)
+    cast = latest.select(*keys, *[F.col(c).cast(types[c]).alias(c) for c in fields], turn.alias("seq"))
     cast, parents = _parent_flags(t, table, cast)
+    rules = [*_changed_rules(table, [*keys, *fields]), *parents]
+    cast, taken = _unique_flags(t, table, cast, keys, fields, rules)
     new = F.struct(*[F.col(c).alias(c) for c in fields])
-    ready = judged(cast, [*_changed_rules(table, [*keys, *fields]), *parents])
+    ready = judged(cast, [*rules, *taken])
     ready = ready.select(*keys, new.alias("_new"), "reason")
 
     joined = t[table].join(ready, keys, "left")

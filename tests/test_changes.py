@@ -60,6 +60,21 @@ def test_update_rows(t, spark):
     assert refused(ch.update_rows(t, "ticket_category", moved), "category_id") == {uid(CAT, 1): "reference:tevent_id"}
 
 
+def test_update_rows_keeps_unique_values(t, spark):
+    rows = [
+        (1, uid(PROMO, 1), "HEMAT50K"), (2, uid(PROMO, 2), "HEMAT50K"), (3, uid(PROMO, 3), "NEW"), (4, uid(PROMO, 4), "NEW"),
+        (5, uid(PROMO, 5), "X" * 51), (6, uid(PROMO, 6), "OTHER"),
+    ]
+    df = spark.createDataFrame(rows, "seq long, promotion_id string, promo_code string")
+    change = ch.update_rows(t, "promotion", df)
+    assert refused(change, "promotion_id") == {
+        uid(PROMO, 1): "unique:promo_code", uid(PROMO, 4): "unique:promo_code", uid(PROMO, 5): "length",
+    }
+    assert checks.check_keys(change.apply(t), "promotion").isEmpty()
+    unordered = ch.update_rows(t, "promotion", df.drop("seq"))
+    assert set(refused(unordered, "promotion_id")) == {uid(PROMO, n) for n in (1, 4, 5)}
+
+
 def ids(spark, name, values):
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
