@@ -200,7 +200,42 @@ query(
     .tables["ticket"]
     .selectExpr("ticket_id", "coalesce(upper(trim(status)), 'VALID') AS status")
 )
-query("m07_issue_tickets", None)(
+query(
+    "m07_issue_tickets",
+    """WITH RECURSIVE sold AS (SELECT tcategory_id, count(*) AS sold FROM b_ticket GROUP BY ALL),
+    old AS (SELECT DISTINCT torder_id, tcategory_id, TRUE AS old_pair FROM b_ticket),
+    links AS (SELECT DISTINCT seat_id, TRUE AS linked FROM b_link),
+    j AS (SELECT c.*, g.quota - coalesce(s.sold, 0) AS room, o.order_id IS NOT NULL AS known,
+            coalesce(d.old_pair, FALSE) AS old_pair, coalesce(l.linked, FALSE) AS linked,
+            c.seat_id IS NOT NULL AND z.seat_id IS NULL AS no_seat
+        FROM c_ticket c LEFT JOIN b_category g ON g.category_id = c.tcategory_id LEFT JOIN sold s ON s.tcategory_id = c.tcategory_id
+        LEFT JOIN b_order o ON o.order_id = c.torder_id LEFT JOIN links l ON l.seat_id = c.seat_id
+        LEFT JOIN b_seat z ON z.seat_id = c.seat_id
+        LEFT JOIN old d ON d.torder_id = c.torder_id AND d.tcategory_id = c.tcategory_id),
+    live AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, torder_id * 1000000 + tcategory_id AS pair, seat_id, tcategory_id, room
+        FROM j WHERE room > 0 AND known AND NOT old_pair AND NOT linked AND NOT no_seat),
+    step(i, seq, ok, pairs, seats, cats) AS (
+        SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), FALSE, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT i, seq, ok, CASE WHEN ok THEN list_append(pairs, pair) ELSE pairs END,
+            CASE WHEN ok AND seat_id IS NOT NULL THEN list_append(seats, seat_id) ELSE seats END,
+            CASE WHEN ok THEN list_append(cats, tcategory_id) ELSE cats END
+        FROM (SELECT l.*, s.pairs, s.seats, s.cats, NOT list_contains(s.pairs, l.pair)
+                AND (l.seat_id IS NULL OR NOT list_contains(s.seats, l.seat_id))
+                AND len(list_filter(s.cats, lambda c: c = l.tcategory_id)) < l.room AS ok
+            FROM step s JOIN live l ON l.i = s.i + 1)),
+    marked AS (SELECT j.*, x.seq IS NOT NULL AS chosen FROM j LEFT JOIN (SELECT seq FROM step WHERE ok) x ON x.seq = j.seq),
+    ranked AS (SELECT *, min(CASE WHEN chosen THEN seq END) OVER (PARTITION BY torder_id, tcategory_id) < seq AS pair_taken,
+            seat_id IS NOT NULL AND min(CASE WHEN chosen THEN seq END) OVER (PARTITION BY seat_id) < seq AS seat_taken,
+            coalesce(sum(CASE WHEN chosen THEN 1 ELSE 0 END) OVER (PARTITION BY tcategory_id ORDER BY seq
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= room AS full_up FROM marked),
+    v AS (SELECT seq, CASE WHEN old_pair OR pair_taken THEN 'duplicate_ticket' WHEN linked OR seat_taken THEN 'seat_taken'
+        WHEN full_up THEN 'quota_full' WHEN room IS NULL THEN 'unknown_category' WHEN NOT known THEN 'unknown_order'
+        WHEN no_seat THEN 'unknown_seat' ELSE 'ok' END AS reason FROM ranked)
+    SELECT seq, 'TTK-' || upper(substr(md5('ticket' || chr(1) || 'tickets' || chr(1) || seq), 1, 8)) AS ticket_code,
+        reason = 'ok' AS accepted, reason FROM v""",
+    CANDIDATES,
+)(
     lambda t, read: changes.judge_tickets(t, ticket_requests(read)).select(
         "seq", "ticket_code", "accepted", F.coalesce("reason", F.lit("ok")).alias("reason")
     )

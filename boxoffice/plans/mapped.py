@@ -236,7 +236,10 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not needed:
         return sql
     tail = sql.lstrip()
-    return f"WITH {heads},\n{tail[5:]}" if tail.startswith("WITH ") else f"WITH {heads}\n{sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if tail.startswith(start):
+            return f"{start}{heads},\n{tail.removeprefix(start)}"
+    return f"WITH {heads}\n{sql}"
 
 
 def _names(text: str, view: str) -> bool:
