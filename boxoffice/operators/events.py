@@ -149,7 +149,10 @@ def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CAR
         .join(wanted, "event_id", "left_semi")
         .join(t["artist"].select("artist_id", "name"), "artist_id")
     )
-    all_short = _longer_than(categories, page_rows).unionByName(_longer_than(artists, page_rows)).isEmpty()
+    # The tables alone tell whether any event is long; that spares the check the joins above.
+    per_event = t["ticket_category"].select(F.col("tevent_id").alias("event_id"))
+    long_events = _longer_than(per_event, page_rows).unionByName(_longer_than(t["event_artist"], page_rows))
+    all_short = long_events.isEmpty()
     by_price = [F.desc("price"), F.asc("category_name"), F.asc("category_id")]
     category_entry = F.struct((-F.col("price")).alias("falling"), "category_name", "category_id", "price", "quota")
     category_pages = _page_lists(_in_pages(categories, by_price, page_rows, all_short), category_entry, "cats")

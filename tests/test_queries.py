@@ -30,10 +30,16 @@ def bag(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+SLOW_PLANS = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
-def test_query(spark, duck, name):
+def test_query(spark, duck, name, capsys):
     df = entry.queries()[name](spark, FOLDER)
     rows = df.collect()
+    df.explain()
+    plan = capsys.readouterr().out
+    assert not [word for word in SLOW_PLANS if word in plan], "pairs or Python in the plan"
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert rows
@@ -44,6 +50,14 @@ def test_query(spark, duck, name):
     assert bag(df.columns, rows) == bag(columns, result.fetchall())
 
 
+def test_filters_and_columns_reach_the_files(spark, capsys):
+    entry.queries()["r35_order_totals"](spark, FOLDER).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plan
+    entry.queries()["r15_ticket_register_own"](spark, FOLDER).explain("formatted")
+    assert "EqualTo(c_custkey,9)" in capsys.readouterr().out
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 200 and "is_full" in df.columns
