@@ -27,6 +27,16 @@ def day(as_of: datetime | date | str) -> Column:
     return F.to_date(moment(as_of))
 
 
+def day_text(stamp: Column) -> Column:
+    """``yyyy-MM-dd`` of a time stamp without zone, whatever the zone of the session."""
+    return F.substring(stamp.cast("string"), 1, 10)
+
+
+def time_text(stamp: Column) -> Column:
+    """``HH:mm``."""
+    return F.substring(stamp.cast("string"), 12, 5)
+
+
 def strip(col: Column) -> Column:
     """Cuts white space of every kind at both ends; ``trim`` would cut spaces only."""
     return F.btrim(col, F.lit(" \t\n\x0b\f\r"))
@@ -139,7 +149,7 @@ def event_moment(day_col: Column, time_col: Column) -> Column:
     """Time stamp of a day and a time as typed into a form; NULL if they do not parse."""
     text = F.concat(strip(day_col), F.lit(" "), strip(time_col))
     shaped = text.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}\z")
-    return F.when(shaped, F.try_to_timestamp(text, F.lit("yyyy-M-d H:m"))).cast("timestamp_ntz")
+    return F.when(shaped, F.concat(text, F.lit(":00")).try_cast("timestamp_ntz"))
 
 
 def stable_uuid(*parts: Column) -> Column:

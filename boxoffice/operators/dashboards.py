@@ -17,8 +17,8 @@ def user_count(t: Tables) -> DataFrame:
 
 
 def events_this_month(t: Tables, as_of) -> DataFrame:
-    start = F.date_trunc("month", moment(as_of).cast("timestamp")).cast("timestamp_ntz")
-    end = F.add_months(F.to_date(start), 1).cast("timestamp_ntz")
+    first = F.trunc(day(as_of), "month")
+    start, end = first.cast("timestamp_ntz"), F.add_months(first, 1).cast("timestamp_ntz")
     stamp = F.col("event_datetime")
     return t["event"].filter((stamp >= start) & (stamp < end)).agg(F.count("*").alias("events_this_month"))
 

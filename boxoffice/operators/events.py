@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import (
     RESERVED,
+    day_text,
     equals,
     literal_match,
     moment,
     narrowed,
     price_text,
+    time_text,
     wildcard_match,
 )
 from boxoffice.operators.people import organizers_of
@@ -177,8 +179,8 @@ def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CAR
             "event_id",
             F.coalesce("page", F.lit(0)).alias("page"),
             F.col("event_title").alias("title"),
-            F.date_format("event_datetime", "yyyy-MM-dd").alias("date"),
-            F.date_format("event_datetime", "HH:mm").alias("time"),
+            day_text(F.col("event_datetime")).alias("date"),
+            time_text(F.col("event_datetime")).alias("time"),
             F.col("venue_name").alias("venue"),
             "venue_id",
             "organizer_id",

@@ -9,6 +9,7 @@ from boxoffice.functions.columns import (
     QUANTITY_LIMIT,
     blank,
     day,
+    day_text,
     discounted,
     initial,
     literal_match,
@@ -17,6 +18,7 @@ from boxoffice.functions.columns import (
     order_label,
     shortened,
     stable_uuid,
+    time_text,
 )
 from boxoffice.operators.spread import only_keys_of, spread_join
 from boxoffice.schemas import PAID, PENDING
@@ -75,7 +77,7 @@ def ledger_display(ledger: DataFrame) -> DataFrame:
         shortened(F.col("order_id").cast("string"), 13).alias("short_id"),
         initial(F.col("customer_username"), "G").alias("initial"),
         F.coalesce(F.nullif("customer_name", F.lit("")), F.lit("Guest")).alias("customer_name"),
-        F.date_format("order_date", "yyyy-MM-dd HH:mm").alias("ordered_at"),
+        F.concat_ws(" ", day_text(F.col("order_date")), time_text(F.col("order_date"))).alias("ordered_at"),
         "payment_status",
         "total_amount",
     )

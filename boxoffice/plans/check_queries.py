@@ -348,7 +348,7 @@ query(
                 "date_format(ts, 'H:mm') AS time",
             )
         ).withColumn(
-            "event_datetime", F.coalesce(F.date_format("event_datetime", "yyyy-MM-dd HH:mm:ss"), F.lit("none"))
+            "event_datetime", F.coalesce(F.col("event_datetime").cast("string"), F.lit("none"))
         ),
         "seq",
         "event_datetime",

@@ -21,9 +21,9 @@ def shown(df: DataFrame) -> DataFrame:
         if kind.startswith("decimal"):
             col = col.cast("double")
         elif kind.startswith("timestamp"):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.substring(col.cast("string"), 1, 19)
         elif kind == "date":
-            col = F.date_format(col, "yyyy-MM-dd")
+            col = col.cast("string")
         elif kind == "array<string>":
             col = F.array_join(col, ", ")
         columns.append(col.alias(name))
