@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import NO_SEAT, blank, event_moment, moment, strip, valid_seat_number
 from boxoffice.operators.checks import judged
-from boxoffice.operators.spread import first_of_each, only_keys_of, running_counts, spread_join
+from boxoffice.operators.spread import only_keys_of, running_counts, spread_join
 from boxoffice.operators.tickets import sold_per_category, taken_seats
 from boxoffice.sources.tables import Tables
 
@@ -125,22 +125,29 @@ def check_venue_deletes(t: Tables, ids: DataFrame, as_of) -> DataFrame:
 
 
 def check_event_artists(t: Tables, cand: DataFrame) -> DataFrame:
-    """Artist and event exist and are not linked yet."""
+    """Artist and event exist and are not linked yet.
+
+    All three are facts about the pair, so they are looked up once per pair and meet the candidates once.
+    """
+    pair = ["event_id", "artist_id"]
     artist = t["artist"].select("artist_id", F.lit(True).alias("_artist"))
     event = t["event"].select("event_id", F.lit(True).alias("_event"))
-    linked = t["event_artist"].select("event_id", "artist_id", F.lit(True).alias("_linked"))
-    known = (
-        cand.join(artist, "artist_id", "left")
+    linked = t["event_artist"].select(*pair, F.lit(True).alias("_linked"))
+    facts = (
+        cand.groupBy(*pair)
+        .agg(F.min("seq").alias("_first"))
+        .join(artist, "artist_id", "left")
         .join(event, "event_id", "left")
-        .join(linked, ["event_id", "artist_id"], "left")
+        .join(linked, pair, "left")
+        .select(F.struct(*pair).alias("_pair"), "_first", "_artist", "_event", "_linked")
     )
-    fine = F.col("_artist").isNotNull() & F.col("_event").isNotNull() & F.col("_linked").isNull()
+    found = spread_join(cand.withColumn("_pair", F.struct(*pair)), facts, ["_pair"], "seq")
     return judged(
-        first_of_each(known, ["event_id", "artist_id"], fine, "_first"),
+        found,
         [
             (F.col("_artist").isNull(), "unknown_artist"),
             (F.col("_event").isNull(), "unknown_event"),
-            (~F.col("_first"), "duplicate_link"),
+            (F.col("_linked").isNotNull() | (F.col("_first") < F.col("seq")), "duplicate_link"),
         ],
     ).select(*cand.columns, "accepted", "reason")
 
@@ -160,10 +167,10 @@ def check_duplicate_tickets(t: Tables, cand: DataFrame) -> DataFrame:
     pair = ["torder_id", "tcategory_id"]
     old = only_keys_of(t["ticket"], cand, {k: k for k in pair})
     old = old.groupBy(*pair).agg(F.min("ticket_code").alias("existing_code"))
-    known = spread_join(cand, old, pair, "seq")
-    keyed = _all_set(pair)
-    first = first_of_each(known, pair, keyed & F.col("existing_code").isNull(), "_first")
-    return judged(first, [(keyed & ~F.col("_first"), "duplicate_ticket")]).select(
+    asked = cand.filter(_all_set(pair)).groupBy(*pair).agg(F.min("seq").alias("_first"))
+    known = spread_join(cand, asked.join(old, pair, "left"), pair, "seq")
+    taken = F.col("existing_code").isNotNull() | (F.col("_first") < F.col("seq"))
+    return judged(known, [(taken, "duplicate_ticket")]).select(
         *cand.columns, "existing_code", "accepted", "reason"
     )
 

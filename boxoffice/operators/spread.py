@@ -83,16 +83,6 @@ def running_counts(
     )
 
 
-def first_of_each(df: DataFrame, keys: Sequence[str], eligible: Column, out: str, seq: str = "seq") -> DataFrame:
-    """Adds ``out``: the row is the earliest eligible one of its key.
-
-    The earliest ``seq`` per key is a pre-aggregated minimum, and it is joined back on ``seq`` itself,
-    which is unique, so that a hot key gathers nowhere.
-    """
-    firsts = df.filter(eligible).groupBy(*keys).agg(F.min(seq).alias(seq)).select(seq, F.lit(True).alias(out))
-    return df.join(firsts, seq, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-
-
 def only_keys_of(df: DataFrame, asked: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``asked``; ``on`` maps columns of ``df`` to columns of ``asked``."""
     keys = asked.select(*[F.col(theirs).alias(ours) for ours, theirs in on.items()]).distinct()

@@ -173,9 +173,11 @@ def test_venue_deletes(t, spark):
 
 def test_event_artists(t, spark):
     e, a = lambda n: uid(EVENT, n), lambda n: uid(ARTIST, n)
-    rows = [(1, e(1), a(1)), (2, e(1), a(9)), (3, e(9), a(1)), (4, e(9), a(9)), (5, e(1), a(3)), (6, e(1), a(3)), (7, e(2), a(1))]
+    rows = [(1, e(1), a(1)), (2, e(1), a(9)), (3, e(9), a(1)), (4, e(9), a(9)), (5, e(1), a(3)), (6, e(1), a(3)), (7, e(2), a(1)),
+            (8, None, a(1)), (9, e(1), None), (10, None, a(1))]
     out = reasons(c.check_event_artists(t, spark.createDataFrame(rows, "seq long, event_id string, artist_id string")))
-    assert out == {1: "duplicate_link", 2: "unknown_artist", 3: "unknown_event", 4: "unknown_artist", 5: None, 6: "duplicate_link", 7: None}
+    assert out == {1: "duplicate_link", 2: "unknown_artist", 3: "unknown_event", 4: "unknown_artist", 5: None, 6: "duplicate_link", 7: None,
+                   8: "unknown_event", 9: "unknown_artist", 10: "unknown_event"}
 
 
 def test_seat_deletes(t, spark):
