@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from boxoffice.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -33,7 +34,7 @@ def bag(columns, rows):
 SLOW_PLANS = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name, capsys):
     df = entry.queries()[name](spark, FOLDER)
     rows = df.collect()
