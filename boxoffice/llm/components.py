@@ -1,0 +1,46 @@
+"""Connected components of a link table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from boxoffice.llm.staging import drop, staged
+
+
+def with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs(u, v)`` with ``least``, the smallest of u and all its v."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least"))
+    return pairs.join(least, "u")
+
+
+def large_star(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def small_star(links: DataFrame) -> DataFrame:
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    near = with_least(down)
+    moved = near.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return moved.unionByName(near.select("u", F.col("least").alias("v"))).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links(u, v)`` of long ids -> ``(id, component_id)`` of every id in a link between two ids.
+
+    ``component_id`` is the smallest id that links reach. The links of a round are a table in the shared
+    folder; the work ends when a round changes nothing, after about log(n) rounds.
+    """
+    now = staged(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        # rows, and sums that tell two link tables apart
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v"))).first()
+        if mark == seen or mark[0] == 0:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
+                now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
+            )
+        after = staged(small_star(large_star(now)), "links")
+        drop(now)
+        now, seen = after, mark
