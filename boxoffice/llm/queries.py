@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxoffice.llm import simhash
+from boxoffice.llm import decontaminate, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,40 @@ def query(name: str, sql: str | None = None):
 @query("op10_simhash")
 def op10(spark, read):
     return simhash.near_duplicates(read("documents"))
+
+
+# the same word pattern for both engines; A-Z only are lower-cased
+SQL_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op8_decontaminate",
+    f"""
+    WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {SQL_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+    bw AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+      FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0
+    ),
+    d AS (SELECT doc_id, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    dw AS (
+      SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS k
+      FROM d, (SELECT DISTINCT l FROM bw) AS x, unnest(range(1, len(w) - l + 2)) AS u(i)
+    ),
+    h AS (SELECT DISTINCT doc_id, i, l, item_id FROM dw JOIN bw USING (l, k)),
+    p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, l FROM h), unnest(range(0, l)) AS v(j) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS names FROM h GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def op8(spark, read):
+    found = decontaminate.find_passages(read("documents"), read("benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
