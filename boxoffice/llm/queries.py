@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, decontaminate, simhash
+from boxoffice.llm import bpe, compression, decontaminate, simhash
+from boxoffice.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +73,12 @@ def op8(spark, read):
 def op6(spark, read):
     found = bpe.encoded(read("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
     return found.drop("ids")
+
+
+@query("op4_quality")
+def op4(spark, read):
+    model = compression.fitted(read("documents"), read("labels"), "quality", fold("doc_id", 4) != 2)
+    scores = compression.scored(read("documents").select("doc_id", "text"), model)
+    return scores.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= compression.KEEP).cast("int").alias("predicted")
+    )
