@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, compression, decontaminate, simhash
+from boxoffice.llm import bpe, compression, decontaminate, pii, simhash
 from boxoffice.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op4(spark, read):
     return scores.select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= compression.KEEP).cast("int").alias("predicted")
     )
+
+
+@query("op3_surrogates")
+def op3(spark, read):
+    return pii.surrogates(read("documents").select("doc_id", "text"), key="test tables")
