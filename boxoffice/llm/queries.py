@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, compression, decontaminate, pii, simhash
+from boxoffice.llm import bpe, compression, decontaminate, pii, simhash, toxicity
 from boxoffice.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,12 @@ def op4(spark, read):
 @query("op3_surrogates")
 def op3(spark, read):
     return pii.surrogates(read("documents").select("doc_id", "text"), key="test tables")
+
+
+@query("op2_toxicity")
+def op2(spark, read):
+    model = toxicity.fitted(read("documents"), read("labels"), "toxic", fold("doc_id", 5) != 0)
+    scores = toxicity.scored(read("documents"), model)
+    return scores.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
+    )

@@ -1,0 +1,81 @@
+"""Segments against all intervals; the classifier on held-out labels and odd rows."""
+
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from boxoffice.llm import toxicity
+from boxoffice.llm.queries import QUERIES
+
+
+def plain_segments(scores, low, high):
+    """The best interval, then the same to its left and right; of equals the shortest, first."""
+    best = None
+    for a in range(low, high):
+        for b in range(a, high):
+            s = sum(scores[a : b + 1])
+            if s > 0 and (best is None or (-s, b - a, a) < best[0]):
+                best = (-s, b - a, a), a, b, s
+    if best is None:
+        return []
+    _, a, b, s = best
+    return plain_segments(scores, low, a) + [(a, b, s)] + plain_segments(scores, b + 1, high)
+
+
+def test_maximal_segments():
+    rng = random.Random(3)
+    assert toxicity.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 0, 4), (2, 2, 3), (4, 10, 7)]
+    for _ in range(300):
+        # sums of different intervals differ
+        scores = [rng.choice([-1, 1]) * (rng.randrange(1, 6) + rng.random() / 100) for _ in range(rng.randrange(0, 25))]
+        got = toxicity.maximal_segments(scores)
+        want = plain_segments(scores, 0, len(scores))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(1)
+    usual = lambda n: [rng.choice(["river", "stone", "walks", "under", "quiet", "trees", "Élan"]) for _ in range(n)]
+    clean = [" ".join(usual(rng.randrange(3, 80))) for _ in range(400)]
+    toxic = []
+    for _ in range(200):
+        words = usual(rng.randrange(3, 80))
+        for _ in range(rng.randrange(1, 4)):
+            words.insert(rng.randrange(len(words)), "grobb" + rng.choice(["ul", "en", "ash"]))
+        toxic.append(" ".join(words))
+    return toxicity.Toxicity(clean, toxic, 400, 200)
+
+
+def test_odd_rows(spark, model):
+    rows = [(1, None), (2, ""), (3, " !"), (4, "Élan Élan, the GROBBulo, grobbish river"), (4, "quiet"), (4, "quiet"), (None, "stone " * 60_000), (5, "é" * 100_000), (6, "river stone " * 20_000 + "grobbul grobben")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("passages", F.lit(1))
+    got = toxicity.scored(df, model).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
+    hit = next(r for r in got if r.doc_id == 4 and r.passages)
+    assert [rows[3][1][p.begin : p.end] for p in hit.passages] == ["GROBBulo, grobbish"] and hit.score > 0.5
+    assert [r.score > 0.5 for r in got if r.doc_id == 6] == [True]
+    assert all(r.score < 0.5 and not r.passages for r in got if r.doc_id != 6 and r is not hit)
+    assert toxicity.scored(df.limit(0), model).count() == 0
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    found = toxicity.scored(docs, toxicity.fitted(docs, labels, "toxic", F.lit(True))).collect()
+    assert [r.score for r in found] == [0.25, 0.25] and [r.passages for r in found] == [[], []]
+    assert model_share(toxicity.Toxicity([], [], 0, 0)) == 0.5
+
+
+def model_share(model):
+    return model.judge(pa.array(["x"]))[0][0]
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = QUERIES["op2_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
+    right = {k: [r.predicted == k for r in rows if r.toxic == k] for k in (0, 1)}
+    assert sum(right[1]) / len(right[1]) > 0.9 and sum(right[0]) / len(right[0]) > 0.98
+    assert QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.001").count() == 200
