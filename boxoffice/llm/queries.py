@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, compression, decontaminate, pii, simhash, toxicity
+from boxoffice.llm import bpe, chat, compression, decontaminate, pii, simhash, toxicity, urls
 from boxoffice.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,49 @@ def op2(spark, read):
     return scores.select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
     )
+
+
+SITES = [
+    (urls.ALLOW, "com/"),
+    (urls.BLOCK, "example.com/en/"),
+    (urls.ALLOW, "www.example.com/en/"),
+    (urls.BLOCK, "net/es/"),
+    (urls.BLOCK, "net/fr/"),
+]
+
+
+@query(
+    "op1_url_filter",
+    f"""
+    WITH site(verdict, rule) AS (VALUES {", ".join(map(repr, SITES))}),
+    rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+    part AS (
+      SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+    )
+    SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
+    FROM part LEFT JOIN site
+      ON ends_with('.' || host, '.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+    GROUP BY page_id, host, path
+    """,
+)
+def op1(spark, read):
+    return urls.judged(read("pages"), [urls.Rule.site(verdict, name) for verdict, name in SITES])
+
+
+@query(
+    "op7_chat",
+    """
+    WITH c AS (
+      SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns
+      FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+    ),
+    k AS (SELECT min(conv_id) AS conv_id, turns, count(*) AS n_equal FROM c GROUP BY turns),
+    p AS (SELECT DISTINCT turns[1:i] AS turns FROM k, unnest(range(1, len(turns))) AS u(i))
+    SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_equal,
+      array_to_string(['<|im_start|>' || replace(x.r, '<|', '< |') || chr(10) || replace(x.t, '<|', '< |') || '<|im_end|>' || chr(10) for x in turns], '') AS text
+    FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turns = k.turns)
+    """,
+)
+def op7(spark, read):
+    return chat.formatted(read("conversations"))
