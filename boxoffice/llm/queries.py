@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, chat, compression, decontaminate, pii, simhash, toxicity, urls
+from boxoffice.llm import bpe, chat, compression, decontaminate, pii, rules, simhash, toxicity, urls
 from boxoffice.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op1(spark, read):
 )
 def op7(spark, read):
     return chat.formatted(read("conversations"))
+
+
+@query("op9_quality_rules")
+def op9(spark, read):
+    model = rules.fitted(read("documents"), read("labels"), "quality", F.lit(True))
+    return rules.judged(read("documents"), model)
