@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, chat, compression, decontaminate, pii, rules, simhash, toxicity, urls
+from boxoffice.llm import bpe, chat, compression, decontaminate, pii, rules, simhash, tokenfile, toxicity, urls
 from boxoffice.llm.labelled import fold
+from boxoffice.llm.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +149,10 @@ def op7(spark, read):
 def op9(spark, read):
     model = rules.fitted(read("documents"), read("labels"), "quality", F.lit(True))
     return rules.judged(read("documents"), model)
+
+
+@query("op5_token_files")
+def op5(spark, read):
+    path = new_path(spark, "tokens")
+    tokenfile.write(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return tokenfile.read(spark, path, ids=False).drop("ids")
