@@ -82,21 +82,34 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     return Compression(*sample(docs, labels, label, learn, rows))
 
 
+def packed_scores(docs: DataFrame, model: Compression) -> DataFrame:
+    """``(row, text, score)``; ``row`` holds the columns other than text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(F.lit(0), *others).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["row", "text", "score"])
+
+    return packed.mapInArrow(run, packed.withColumn("score", F.lit(0.0)).schema)
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+
+
 def scored(docs: DataFrame, model: Compression) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1 for the whole text of each row.
 
     A text without evidence (null, empty) gets the score of the average good text over no bytes; without
-    labels of both classes every score is the share of class 1. Rows and other columns stay as they are;
-    a column called score is replaced.
+    labels of both classes every score is the share of class 1. Rows and other columns stay as they are; a
+    column called score is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c not in ("text", "score")]
-    packed = docs.select(F.struct(F.lit(0), *others).alias("row"), F.col("text").cast("string").alias("text"))
+    return packed_scores(docs, model).select(*unpacked([c for c in docs.columns if c != "score"]), "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores([t or "" for t in text.to_pylist()]), pa.float64())], ["row", "text", "score"])
 
-    out = packed.mapInArrow(run, packed.withColumn("score", F.lit(0.0)).schema)
-    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "score"], "score")
+def good(docs: DataFrame, model: Compression, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns as they are."""
+    return packed_scores(docs, model).filter(F.col("score") >= least).select(*unpacked(docs.columns))

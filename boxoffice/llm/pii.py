@@ -13,7 +13,7 @@ empty or nearly so, joined by a hash of the text, which Spark broadcasts only if
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.staging import drop, staged
@@ -228,15 +228,9 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"replacements still meet after {MOST_ROUNDS} draws: a kind has fewer forms than entities")
 
 
-def surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced, and ``n_entities``, how many places were.
-
-    ``key`` is a secret: the same key gives the same replacements over the same tables. Null texts stay
-    null, empty ones empty; repeated rows get the same text; a null doc_id changes nothing, as rows are
-    told apart by their text. Other columns stay as they are; a column called n_entities is replaced.
-    """
-    columns = [c for c in docs.columns if c != "n_entities"]
-    base = docs.select(F.struct(F.lit(0), *[c for c in columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """``(row, text, n_entities)``; ``row`` holds the columns other than text."""
+    base = docs.select(F.struct(F.lit(0), *[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
     found = with_mentions(base).withColumn("text_hash", F.xxhash64("text"))
     unit = F.explode(F.flatten("found.units")).alias("u")
     said = staged(found.filter("size(found) > 0").select("text_hash", unit).select("text_hash", "u.kind", "u.norm").distinct(), "mentions")
@@ -258,4 +252,23 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     joined = F.array_join(F.zip_with(between, F.col("written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
     n = F.coalesce(F.expr("size(filter(found, f -> f.kind IS NOT NULL))"), F.lit(0)).cast("long")
-    return df.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], n.alias("n_entities"))
+    return df.select("row", text.alias("text"), n.alias("n_entities"))
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+
+
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced, and ``n_entities``, how many places were.
+
+    ``key`` is a secret: the same key gives the same replacements over the same tables. Null texts stay
+    null, empty ones empty; repeated rows get the same text; a null doc_id changes nothing, as rows are
+    told apart by their text. Other columns stay as they are; a column called n_entities is replaced.
+    """
+    return replaced(docs, key).select(*unpacked([c for c in docs.columns if c != "n_entities"]), "n_entities")
+
+
+def without_private(docs: DataFrame, key: str) -> DataFrame:
+    """`surrogates` without the count: all columns other than ``text`` as they are."""
+    return replaced(docs, key).select(*unpacked(docs.columns))

@@ -63,17 +63,23 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def row_keys() -> list:
+    """Columns that tell rows apart: doc_id (0 for null) and a hash of the text and of whether there is a doc_id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id_key"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("text_key")]
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, bits)`` of each document; ``bits`` is the fingerprint as a signed long."""
+    """``(doc_id, text_key, bits)`` of each document; ``bits`` is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             found = [fingerprints(text.slice(a, b - a), shingle).view(np.int64) for a, b in pieces(text)]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found))], ["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(found))], ["doc_id", "text_key", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, bits long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_keys()[1], F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, bits long")
 
 
 def differing(a: str, b: str):
@@ -124,6 +130,18 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) ->
     return pairs.unionByName(crowded).distinct()
 
 
+def grouped(docs: DataFrame, shingle: int, most_bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, bits)`` of each row, and the ``(bits, least_id, root)`` of each fingerprint.
+
+    ``root`` is the smallest fingerprint that links reach, ``least_id`` the smallest doc_id of ``bits``.
+    """
+    rows = staged(with_fingerprints(docs, shingle), "fingerprints")
+    prints = staged(rows.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "prints")
+    groups = components(links(prints.select("bits"), most_bits, crowd))
+    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component_id").alias("root")), "bits", "left")
+    return rows, own.select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
     """``docs(doc_id, text, ..)`` -> ``(doc_id, fingerprint, component_id)``, one row per row.
 
@@ -133,13 +151,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     ``most_bits`` differing bits. Repeated rows keep a row each. A null doc_id keeps its row and is never a
     component_id unless its group has no other (then null). Other columns are ignored; no rows give no rows.
     """
-    rows = staged(with_fingerprints(docs, shingle), "fingerprints")
-    prints = staged(rows.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "prints")
-    groups = components(links(prints.select("bits"), most_bits, crowd))
-    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component_id").alias("root")), "bits", "left")
-    own = own.select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
+    rows, own = grouped(docs, shingle, most_bits, crowd)
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_bits = staged(own.join(least, "root").select("bits", "component_id"), "components")
     return rows.join(of_bits, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """One row of ``docs`` for each group of `near_duplicates`: that of its component_id.
+
+    Where several rows have this doc_id, one of them stays; a group without any doc_id keeps one row. All
+    columns are as they were.
+    """
+    rows, own = grouped(docs, shingle, most_bits, crowd)
+    # the first row of each fingerprint, then of each group
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = rows.groupBy("bits").agg(F.min(order).alias("first"))
+    kept = first.join(own.select("bits", "root"), "bits").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("id_key"), "first.text_key")
+    # equal rows are one before the texts are moved
+    whole = docs.groupBy(*row_keys()).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return whole.join(kept, ["id_key", "text_key"], "left_semi").select("row.*")
