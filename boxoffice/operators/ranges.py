@@ -7,22 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxoffice.session import shared_dir
+from boxoffice.session import staged
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
     """Adds ``position`` (from 1) of each row inside its key.
 
     The rows are range-partitioned by key and order, so a hot key is cut into several ranges; ``order``
-    must end in a unique column. The range number is written down once (a checkpoint), because the
+    must end in a unique column. The range number is written down once, because the
     bounds are sampled and the two uses below must agree on them. A position is then the row's place in
     its range plus the sizes of the key's ranges before it.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(ranges, *[F.asc(k) for k in keys], *order)
-    ranged = ranged.withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = staged(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
 
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

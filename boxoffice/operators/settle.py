@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.operators.spread import running_counts, spread_join
-from boxoffice.session import shared_dir
+from boxoffice.operators.spread import running_counts, spread_join, without_keys_of
+from boxoffice.session import drop_staged, staged
 
-OPEN, IN, OUT = "open", "in", "out"
+# Rows still open that the driver finishes one by one; more are settled in rounds.
+FINISH_ROWS = 20_000
 
 
 def settle(
@@ -19,6 +20,7 @@ def settle(
     eligible: Column,
     claims: Mapping[str, Sequence[str]],
     room: tuple[str, str] | None = None,
+    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Decides candidates in order of ``seq`` as if they came one by one.
 
@@ -30,14 +32,14 @@ def settle(
     Adds ``_in``, one ``_taken_<claim>`` per claim and ``_full``: what stood in the way of each row,
     eligible or not, when its turn came.
 
-    One claim without room is the earliest row per value. Otherwise rows are decided in rounds: a row is
-    in once no undecided row before it could stand in its way, and out once an admitted one does. The
-    earliest undecided row is always decided, and rows that compete with nobody are decided in the first
-    round, so the number of rounds follows the longest chain of rows that wait for each other. Every
-    round writes its state as a checkpoint.
+    One claim without room is the earliest row per value. Otherwise rows are decided in rounds over
+    written tables. In a round a row gets in if no open row before it could stand in its way, and then
+    every open row that this beats goes out, so a table holds open rows only and rows that compete with
+    nobody are done in the first round. Once at most ``finish_rows`` are open, which is checked, the
+    driver settles these in one pass; longer chains of rows that wait for each other take further rounds.
     """
     keys = {name: f"_k_{name}" for name in claims}
-    keyed = cand
+    keyed = cand.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
     for name, columns in claims.items():
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
         keyed = keyed.withColumn(keys[name], F.when(whole, F.struct(*columns)))
@@ -45,59 +47,86 @@ def settle(
     if room:
         limits = [F.col(room[0]).alias("_group"), F.col(room[1]).cast("long").alias("_room")]
 
-    state = keyed.filter(eligible).select("seq", *keys.values(), *limits, F.lit(OPEN).alias("_state"))
     if len(claims) == 1 and not room:
-        state = _one_claim(state, *keys.values())
+        admitted = _one_claim(keyed.filter("_eligible"), *keys.values())
     else:
-        shared_dir(cand.sparkSession)
-        state = state.checkpoint()
-        while not state.filter(F.col("_state") == OPEN).isEmpty():
-            state = _round(state, list(keys.values()), bool(room)).checkpoint()
+        keyed = staged(keyed, "candidates")
+        rows = keyed.filter("_eligible").select("seq", *keys.values(), *limits, F.lit(0).cast("long").alias("_in_before"))
+        admitted = _in_rounds(rows, list(keys.values()), bool(room), finish_rows)
 
-    admitted = state.filter(F.col("_state") == IN)
     out = keyed.join(admitted.select("seq", F.lit(True).alias("_in")), "seq", "left")
     out = out.withColumn("_in", F.coalesce("_in", F.lit(False)))
+    inside = out.filter("_in")
     for name, key in keys.items():
-        holders = admitted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_holder"))
+        holders = inside.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_holder"))
         taken = F.coalesce(F.col("_holder") < F.col("seq"), F.lit(False))
         out = spread_join(out, holders, [key], "seq").withColumn(f"_taken_{name}", taken).drop("_holder")
     full = F.lit(False)
     if room:
         out = running_counts(out, [room[0]], {"_before": F.col("_in")})
         full = F.coalesce(F.col("_before") >= F.col(room[1]), F.lit(False))
-    return out.withColumn("_full", full).drop(*keys.values(), "_before")
+    return out.withColumn("_full", full).drop(*keys.values(), "_before", "_eligible")
 
 
-def _one_claim(state: DataFrame, key: str) -> DataFrame:
-    first = state.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
-    marked = state.join(first.select("seq", F.lit(True).alias("_first")), "seq", "left")
-    wins = F.col(key).isNull() | F.col("_first").isNotNull()
-    return marked.withColumn("_state", F.when(wins, IN).otherwise(OUT)).drop("_first")
+def _one_claim(rows: DataFrame, key: str) -> DataFrame:
+    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
+    return first.select("seq").unionByName(rows.filter(F.col(key).isNull()).select("seq"))
 
 
-def _round(state: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
-    """One round over the written state; every aggregate reads that state, none reads another.
+def _in_rounds(rows: DataFrame, keys: Sequence[str], limited: bool, finish_rows: int) -> DataFrame:
+    """``seq`` of the rows that get in."""
+    admitted = rows.limit(0).select("seq")
+    still = staged(rows, "open")
+    while (n := still.count()) > finish_rows:
+        marked = staged(_marked(still, keys, limited), "marked")
+        drop_staged(still)
+        admitted = admitted.unionByName(marked.filter("_new").select("seq"))
+        still = staged(_not_beaten(marked, keys, limited), "open")
+    if n:
+        admitted = admitted.unionByName(_finished(still, keys, rows.schema["seq"].dataType.simpleString()))
+    return admitted
 
-    Only values that several rows claim are looked up. Rows that are out leave the state.
-    """
-    is_open, is_in = F.col("_state") == OPEN, F.col("_state") == IN
-    beaten, clear = F.lit(False), F.lit(True)
-    seen = state
+
+def _marked(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
+    """Adds ``_new``: no open row before this one could stand in its way. Only values that several rows
+    claim are looked up."""
+    clear, seen = F.lit(True), rows
     if limited:
-        seen = running_counts(seen, ["_group"], {"_in_before": is_in, "_open_before": is_open})
-        limit = F.col("_room").isNotNull()
-        beaten = limit & (F.col("_in_before") >= F.col("_room"))
-        clear = ~limit | (F.col("_in_before") + F.col("_open_before") < F.col("_room"))
+        seen = running_counts(seen, ["_group"], {"_open_before": F.lit(True)})
+        clear = F.col("_room").isNull() | (F.col("_in_before") + F.col("_open_before") < F.col("_room"))
     for n, key in enumerate(keys):
-        claimed = state.filter(F.col(key).isNotNull()).groupBy(key)
-        claimed = claimed.agg(
-            F.count("*").alias("_rows"),
-            F.max(is_in).alias(f"_held{n}"),
-            F.min(F.when(is_open, F.col("seq"))).alias(f"_first{n}"),
-        )
-        contested = claimed.filter("_rows > 1").drop("_rows")
-        seen = spread_join(seen, contested, [key], "seq")
-        beaten = beaten | F.coalesce(F.col(f"_held{n}"), F.lit(False))
+        claimed = rows.filter(F.col(key).isNotNull()).groupBy(key)
+        claimed = claimed.agg(F.count("*").alias("_rows"), F.min("seq").alias(f"_first{n}"))
+        seen = spread_join(seen, claimed.filter("_rows > 1").drop("_rows"), [key], "seq")
         clear = clear & (F.col(f"_first{n}").isNull() | (F.col(f"_first{n}") == F.col("seq")))
-    decided = F.when(is_open & beaten, OUT).when(is_open & clear, IN).otherwise(F.col("_state"))
-    return seen.withColumn("_state", decided).select(*state.columns).filter(F.col("_state") != OUT)
+    return seen.withColumn("_new", clear).select(*rows.columns, "_new")
+
+
+def _not_beaten(marked: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
+    """The rows that are open after the new ones got in."""
+    left = marked
+    if limited:
+        left = running_counts(left, ["_group"], {"_new_before": F.col("_new")})
+        left = left.withColumn("_in_before", F.col("_in_before") + F.col("_new_before")).drop("_new_before")
+        left = left.filter(F.col("_room").isNull() | (F.col("_in_before") < F.col("_room")))
+    left = left.filter("NOT _new").drop("_new")
+    for key in keys:
+        left = without_keys_of(left, marked.filter(F.col("_new") & F.col(key).isNotNull()), [key])
+    return left
+
+
+def _finished(rows: DataFrame, keys: Sequence[str], seq_type: str) -> DataFrame:
+    """The same one by one, for rows of a checked number."""
+    held: list[set] = [set() for _ in keys]
+    inside: dict = {}
+    admitted = []
+    for row in sorted(rows.collect(), key=lambda r: r["seq"]):
+        mine = [(own, row[key]) for own, key in zip(held, keys, strict=True) if row[key] is not None]
+        full = row["_room"] is not None and row["_in_before"] + inside.get(row["_group"], 0) >= row["_room"]
+        if full or any(value in own for own, value in mine):
+            continue
+        for own, value in mine:
+            own.add(value)
+        inside[row["_group"]] = inside.get(row["_group"], 0) + 1
+        admitted.append((row["seq"],))
+    return rows.sparkSession.createDataFrame(admitted, f"seq {seq_type}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Broadcasts: an estimate from compressed files may be far below the size in memory, so it must be
 # small; what a finished shuffle has measured may be larger.
@@ -29,17 +29,27 @@ def build_session(app: str = "boxoffice", master: str | None = None, **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``), also set as checkpoint folder.
-
-    A temporary folder is used only by a local master that names none; on a cluster the setting
-    must be there, because executors on other machines could not read a local folder.
-    """
+    """The shared folder of the cluster (``spark.checkpoint.dir``), also set as checkpoint folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="boxoffice-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, with the size that it has."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/boxoffice/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes the files of a staged frame that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {spark._jvm.org.apache.hadoop.fs.Path(file).getParent().toString() for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

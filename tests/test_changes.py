@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime
 from decimal import Decimal
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.columns import stable_uuid
 from boxoffice.operators import changes as ch
 from boxoffice.operators import checks
+import boxoffice.operators.settle as settle_module
 from boxoffice.operators.settle import settle
 from tests.seed import ARTIST, CAT, CUST, EVENT, ORDER, ORG, PASSWORD, PROMO, SEAT, TICKET, USER, VENUE, uid
 from tests.test_checks import quota_shop, reasons
@@ -146,8 +148,8 @@ def test_update_tickets(t, spark):
     assert set(ch.update_tickets(t, df).tables) == {"has_relationship"}
 
 
-@pytest.mark.parametrize("seed", [7, 8, 9])
-def test_settle_replay(spark, seed):
+@pytest.mark.parametrize("seed, finish_rows", [(7, 0), (8, 12), (9, 1000)])
+def test_settle_replay(spark, seed, finish_rows):
     rng = random.Random(seed)
     cand = [
         (n, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"uvwxyz"]), rng.choice("pq"), rng.choice([None, 2, 3, 9]), rng.random() < 0.9)
@@ -156,7 +158,7 @@ def test_settle_replay(spark, seed):
     room = {"p": rng.choice([4, 30]), "q": None}
     cand = [(n, a, b, g, room[g], ok) for n, a, b, g, _, ok in cand]
     df = spark.createDataFrame(rng.sample(cand, len(cand)), "seq long, a string, b string, g string, room int, ok boolean")
-    out = {r.seq: r for r in settle(df, F.col("ok"), {"one": ["a"], "two": ["b"]}, ("g", "room")).collect()}
+    out = {r.seq: r for r in settle(df, F.col("ok"), {"one": ["a"], "two": ["b"]}, ("g", "room"), finish_rows).collect()}
     held_a, held_b, count = set(), set(), {"p": 0, "q": 0}
     for n, a, b, g, places, ok in cand:
         verdict = (a in held_a, b in held_b, places is not None and count[g] >= places)
@@ -169,11 +171,32 @@ def test_settle_replay(spark, seed):
             count[g] += 1
 
 
+def chain(spark, rows):
+    return spark.createDataFrame([(n, n // 2, (n + 1) // 2) for n in range(rows)], "seq long, a long, b long")
+
+
 def test_settle_long_chain(spark):
-    rows = [(n, n // 2, (n + 1) // 2) for n in range(12)]
-    df = spark.createDataFrame(rows, "seq long, a long, b long")
-    out = {r.seq: r._in for r in settle(df, F.lit(True), {"a": ["a"], "b": ["b"]}).collect()}
-    assert out == {n: n % 2 == 0 for n in range(12)}
+    out = {r.seq: r._in for r in settle(chain(spark, 500), F.lit(True), {"a": ["a"], "b": ["b"]}).collect()}
+    assert out == {n: n % 2 == 0 for n in range(500)}
+
+
+def test_settle_rounds_take_the_same_time(spark, monkeypatch):
+    ends = []
+    marked = settle_module._marked
+    monkeypatch.setattr(settle_module, "_marked", lambda *a: (ends.append(time.perf_counter()), marked(*a))[1])
+    out = {r.seq: r._in for r in settle(chain(spark, 40), F.lit(True), {"a": ["a"], "b": ["b"]}, finish_rows=0).collect()}
+    assert out == {n: n % 2 == 0 for n in range(40)}
+    times = [b - a for a, b in zip(ends, ends[1:], strict=False)]
+    print("seconds per round:", [round(x, 2) for x in times])
+    assert len(ends) == 20 and sum(times[-6:]) < 3 * sum(times[3:9])
+
+
+def test_settle_hot_value(spark):
+    hot = spark.range(100_000).select(F.col("id").alias("seq"), F.lit("seat").alias("a"), (F.col("id") % 50_000).alias("b"), F.lit("g").alias("g"), F.lit(60_000).alias("room"))
+    out = settle(hot, F.lit(True), {"a": ["a"], "b": ["b"]}, ("g", "room"))
+    assert [r.seq for r in out.filter("_in").collect()] == [0]
+    out = settle(hot, F.lit(True), {"b": ["b"]}, ("g", "room"))
+    assert out.filter("_in").count() == 50_000 and out.filter("_in AND seq >= 50000").count() == 0
 
 
 @pytest.mark.parametrize("seed", [11, 12])
