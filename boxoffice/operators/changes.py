@@ -48,12 +48,14 @@ def _refused(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last change per key; a frame without ``seq`` has one change per key."""
-    if "seq" not in changes.columns:
-        return changes
-    rest = [c for c in changes.columns if c not in keys]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("_last"))
-    return last.select(*keys, "_last.*")
+    """One change per key: the last by ``seq``. Without ``seq``, changes of a key that differ are ``_ambiguous``."""
+    rest = [c for c in changes.columns if c not in keys and c != "seq"]
+    ordered = "seq" in changes.columns
+    change = F.struct(*(["seq"] if ordered else []), *[F.col(c) for c in rest], F.lit(0).alias("_any"))
+    last = changes.groupBy(*keys).agg(F.max(change).alias("_last"), F.min(change).alias("_least"))
+    ambiguous = F.lit(False) if ordered else ~F.col("_last").eqNullSafe(F.col("_least"))
+    kept = [c for c in changes.columns if c not in keys]
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in kept], ambiguous.alias("_ambiguous"))
 
 
 def _parent_flags(t: Tables, table: str, df: DataFrame) -> tuple[DataFrame, list[tuple[Column, str]]]:
@@ -90,26 +92,30 @@ def _changed_rules(table: str, columns: Sequence[str]) -> list[tuple[Column, str
 
 
 def with_defaults(t: Tables, table: str, rows: DataFrame, batch: str) -> DataFrame:
-    """All columns of the table, with defaults and made-up ids where a value is missing."""
+    """All columns of the table, with defaults and made-up ids where a value is missing; ``_bad_type`` says
+    that a value does not fit its column."""
     spec, types = TABLES[table], _types(t, table)
     specs = {c.name: c for c in (*spec.columns, *spec.optional)}
-    filled = []
+    filled, bad = [], F.lit(False)
     for name in t[table].columns:
-        value = F.col(name).cast(types[name]) if name in rows.columns else F.lit(None).cast(types[name])
+        value = F.lit(None).cast(types[name])
+        if name in rows.columns:
+            value = F.col(name).try_cast(types[name])
+            bad = bad | (F.col(name).isNotNull() & value.isNull())
         default = specs[name].default
         if default is not None:
             value = F.coalesce(value, F.lit(default).cast(types[name]))
         if spec.key == (name,) and types[name] == "string":
             value = F.coalesce(value, stable_uuid(F.lit(table), F.lit(batch), F.col("seq")))
         filled.append(value.alias(name))
-    return rows.select("seq", *filled)
+    return rows.select("seq", *filled, bad.alias("_bad_type"))
 
 
 def append_rows(t: Tables, table: str, rows: DataFrame, batch: str = "append") -> ChangeSet:
     """Appends rows in order of ``seq`` under all declared rules of the table."""
     spec = TABLES[table]
     full = with_defaults(t, table, rows, batch)
-    columns = full.columns
+    columns = [c for c in full.columns if c != "_bad_type"]
     claims = {f"unique{n}": list(keys) for n, keys in enumerate((spec.key, *spec.unique))}
     old_rules = []
     for name, keys in claims.items():
@@ -117,11 +123,12 @@ def append_rows(t: Tables, table: str, rows: DataFrame, batch: str = "append") -
         full = spread_join(full, old.withColumn(f"_old_{name}", F.lit(True)), keys, "seq")
         old_rules.append((F.col(f"_old_{name}").isNotNull(), f"unique:{', '.join(keys)}"))
     full, parents = _parent_flags(t, table, full)
-    rules = [*_row_rules(table, columns), *old_rules, *parents]
+    own_rules = [(F.col("_bad_type"), "type"), *_row_rules(table, columns)]
+    rules = [*own_rules, *old_rules, *parents]
     fine = ~reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for broken, _ in rules])
     settled = settle(full, fine, claims)
     taken = [(F.col(f"_taken_{name}"), f"unique:{', '.join(keys)}") for name, keys in claims.items()]
-    done = judged(settled, [*_row_rules(table, columns), *old_rules, *taken, *parents])
+    done = judged(settled, [*own_rules, *old_rules, *taken, *parents])
     new = done.filter("accepted").select(*t[table].columns)
     return ChangeSet({table: t[table].unionByName(new)}, _refused(done, columns))
 
@@ -143,15 +150,19 @@ def update_rows(t: Tables, table: str, changes: DataFrame, key: Sequence[str] |
 
     A change that breaks a declared rule, names a parent that is not there, or takes a unique value of
     another row leaves the row as it was. Of two changes to the same unique value the earlier one counts.
+    Without ``seq`` there is no last change, so different changes of one key are refused.
     """
     keys = list(key or TABLES[table].key)
     latest = _latest(changes, keys)
     types = _types(t, table)
     fields = [c for c in t[table].columns if c in latest.columns and c not in keys]
     turn = F.col("seq") if "seq" in latest.columns else F.concat_ws("|", *keys)
-    cast = latest.select(*keys, *[F.col(c).cast(types[c]).alias(c) for c in fields], turn.alias("seq"))
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull() for c in fields], F.lit(False))
+    typed = [F.col(c).try_cast(types[c]).alias(c) for c in fields]
+    cast = latest.select(*keys, *typed, turn.alias("seq"), "_ambiguous", bad.alias("_bad_type"))
     cast, parents = _parent_flags(t, table, cast)
-    rules = [*_changed_rules(table, [*keys, *fields]), *parents]
+    own_rules = [(F.col("_ambiguous"), "ambiguous_key"), (F.col("_bad_type"), "type")]
+    rules = [*own_rules, *_changed_rules(table, [*keys, *fields]), *parents]
     cast, taken = _unique_flags(t, table, cast, keys, fields, rules)
     new = F.struct(*[F.col(c).alias(c) for c in fields])
     ready = judged(cast, [*rules, *taken])
@@ -193,8 +204,14 @@ def _cascade(t: Tables, table: str, keys: DataFrame) -> tuple[list[DataFrame], l
 
 
 def delete_rows(t: Tables, table: str, ids: DataFrame) -> ChangeSet:
-    """Deletes rows by id. Restricting references, also below cascading ones, block a row; others go along."""
-    key = TABLES[table].key[0]
+    """Deletes rows by their whole key. Restricting references, also below cascading ones, block a row; others
+    go along. No reference points at a table with a key of several columns."""
+    whole = list(TABLES[table].key)
+    if len(whole) > 1:
+        asked = ids.select(*whole).distinct()
+        unknown = without_keys_of(asked, t[table], whole).withColumn("reason", F.lit("unknown_key"))
+        return ChangeSet({table: without_keys_of(t[table], asked, whole)}, unknown)
+    key = whole[0]
     asked = ids.select(key).distinct()
     present = asked.join(t[table].select(key), key, "left_semi").select(F.col(key).alias("root"))
     roots = present.withColumn("key", F.col("root"))
@@ -283,7 +300,9 @@ def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> DataFrame:
         F.col("event_id").alias("tevent_id"),
     )
     kept = without_keys_of(t["ticket_category"], touched, ["tevent_id"])
-    return kept.withColumn("category_id", F.col("category_id").cast("string")).unionByName(new)
+    if types["category_id"] != "string":
+        raise TypeError(f"made-up ids are text, but ticket_category.category_id is {types['category_id']}")
+    return kept.unionByName(new)
 
 
 def replace_event_categories(t: Tables, changes: DataFrame, batch: str = "categories") -> ChangeSet:
@@ -407,9 +426,21 @@ def issue_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> ChangeS
 
 
 def place_orders(t: Tables, priced: DataFrame, as_of, batch: str = "orders") -> ChangeSet:
-    """Adds the orders of priced carts. A negative total breaks the table's rule and is refused."""
-    legal = priced.withColumn("reason", F.when(F.col("accepted") & (F.col("total_price") < 0), "check").otherwise(F.col("reason")))
-    legal = legal.withColumn("accepted", F.col("reason").isNull())
+    """Adds the orders of priced carts under the rules of the table: a total from zero up that fits its
+    column, and a customer that is there."""
+    customers = only_keys_of(t["customer"].select("customer_id"), priced, {"customer_id": "customer_id"})
+    known = spread_join(priced, customers.withColumn("_customer", F.lit(True)), ["customer_id"], "cart_id")
+    total = F.col("total_price").try_cast(_types(t, "order")["total_amount"])
+    legal = judged(
+        known.withColumnRenamed("reason", "_unpriced"),
+        [
+            (F.col("_unpriced").isNotNull(), "unpriced"),
+            (F.col("total_price").isNotNull() & total.isNull(), "type"),
+            (F.col("total_price") < 0, "check"),
+            (F.col("customer_id").isNull() | F.col("total_price").isNull(), "null"),
+            (F.col("_customer").isNull(), "reference:customer_id"),
+        ],
+    ).withColumn("reason", F.coalesce("_unpriced", "reason"))
     new = placed_orders(legal, as_of, batch).select(*t["order"].columns)
     return ChangeSet({"order": t["order"].unionByName(new)}, _refused(legal, ["cart_id"]))
 
@@ -439,7 +470,18 @@ def register_users(t: Tables, regs: DataFrame, batch: str = "registrations") ->
     nameless = ((F.col("role_name") == "customer") & F.col("full_name").isNull()) | (
         (F.col("role_name") == "organizer") & F.col("organizer_name").isNull()
     )
-    whole = judged(known, [(F.col("role_id").isNull(), "unknown_role"), (nameless, "missing_name")])
+    profiles = [  # declared lengths and nulls of the rows that a registration makes
+        ("user_account", F.lit(True)),
+        ("customer", F.col("role_name") == "customer"),
+        ("organizer", F.col("role_name") == "organizer"),
+    ]
+    too_long = reduce(
+        lambda a, b: a | b,
+        [made & F.coalesce(*length_violations(table, known.columns)).isNotNull() for table, made in profiles],
+    )
+    whole = judged(
+        known, [(F.col("role_id").isNull(), "unknown_role"), (nameless, "missing_name"), (too_long, "length")]
+    )
     named = check_usernames(t["user_account"], whole.filter("accepted").drop("accepted", "reason"))
     new = named.filter("accepted")
 
@@ -475,9 +517,8 @@ def update_profiles(t: Tables, changes: DataFrame) -> ChangeSet:
 
 def judge_events(t: Tables, changes: DataFrame, batch: str = "events") -> DataFrame:
     """Event forms with verdict. A form without ``event_id`` makes a new event."""
-    first = t["organizer"].orderBy("organizer_name", "organizer_id").select("organizer_id").first()
-    organizer_type = _types(t, "organizer")["organizer_id"]
-    default = F.lit(first[0] if first else None).cast(organizer_type)
+    first = F.min(F.struct("organizer_name", "organizer_id")).alias("first")
+    default = t["organizer"].agg(first).select("first.organizer_id").scalar()
 
     new_id = stable_uuid(F.lit("event"), F.lit(batch), F.col("seq"))
     form = (

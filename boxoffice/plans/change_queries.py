@@ -110,6 +110,17 @@ query(
         .select("ticket_id"),
     ).tables["has_relationship"]
 )
+query(
+    "m03_delete_links",
+    """SELECT event_id, artist_id FROM b_event_artist WHERE (event_id, artist_id) NOT IN
+        (SELECT p_brand || ' ' || p_type, 1 + p_partkey % 7 FROM part)""",
+)(
+    lambda t, read: changes.delete_rows(
+        t, "event_artist", read("part").selectExpr("concat_ws(' ', p_brand, p_type) AS event_id", "1 + p_partkey % 7 AS artist_id")
+    )
+    .tables["event_artist"]
+    .select("event_id", "artist_id")
+)
 query(
     "m04_replace_event_artists",
     """WITH cand AS (SELECT s_suppkey AS seq, 'Brand#' || (1 + s_nationkey) || ' PROMO' AS event_id, [s_suppkey, s_suppkey + 1] AS ids FROM supplier),
@@ -141,7 +152,12 @@ def with_private_events(t, read):
         "c_custkey AS venue_id",
         "cast(1 AS bigint) AS organizer_id",
     )
-    return t.replace(event=t["event"].unionByName(own))
+    text = lambda table, column: t[table].withColumn(column, F.col(column).cast("string"))
+    return t.replace(  # made-up category ids are text
+        event=t["event"].unionByName(own),
+        ticket_category=text("ticket_category", "category_id"),
+        ticket=text("ticket", "tcategory_id"),
+    )
 
 
 query(
@@ -255,6 +271,40 @@ query(
         "b",
     ).tables["order"]
 )
+
+
+def odd_orders(t, read):
+    """Priced carts, some of them for customers that are not there, some with totals that no column holds."""
+    priced = orders.price_carts(t, carts(t, read), AS_OF).withColumn("total_price", F.col("total_price").cast("decimal(20,2)"))
+    total = F.when(F.col("cart_id") % 5 == 0, F.lit("12345678901.00").cast("decimal(20,2)")).otherwise(F.col("total_price"))
+    return priced.withColumns(
+        {"total_price": F.when(F.col("accepted"), total), "customer_id": F.expr("if(cart_id % 7 = 0, -1, customer_id)")}
+    )
+
+
+query(
+    "m08_place_orders_rejects",
+    """SELECT cart_id, CASE WHEN verdict <> 'ok' THEN verdict WHEN cart_id % 5 = 0 THEN 'type' ELSE 'reference:customer_id' END AS reason
+    FROM b_priced WHERE verdict <> 'ok' OR cart_id % 5 = 0 OR cart_id % 7 = 0 OR customer_id NOT IN (SELECT customer_id FROM b_customer)""",
+    CART_VIEWS,
+)(lambda t, read: changes.place_orders(t, odd_orders(t, read), AS_OF, "b").rejects)
+query(
+    "m09_update_order_status_twice",
+    """WITH c AS (SELECT event_id // 2 AS order_id, CASE event_type WHEN 'purchase' THEN 'LUNAS' WHEN 'error' THEN 'DIBATALKAN' ELSE 'PENDING' END AS s
+        FROM events),
+    one AS (SELECT order_id, min(s) AS s FROM c GROUP BY order_id HAVING min(s) = max(s))
+    SELECT o.order_id, coalesce(one.s, o.payment_status) AS payment_status FROM b_order o LEFT JOIN one USING (order_id)""",
+)(
+    lambda t, read: changes.update_order_status(
+        t,
+        read("events").selectExpr(
+            "cast(floor(event_id / 2) AS bigint) AS order_id",
+            "CASE event_type WHEN 'purchase' THEN 'LUNAS' WHEN 'error' THEN 'DIBATALKAN' ELSE 'PENDING' END AS payment_status",
+        ),
+    )
+    .tables["order"]
+    .select("order_id", "payment_status")
+)
 query(
     "m09_update_order_status",
     """SELECT o.order_id, CASE ev.event_type WHEN 'purchase' THEN 'LUNAS' WHEN 'error' THEN 'DIBATALKAN' WHEN NULL THEN NULL
@@ -349,6 +399,28 @@ query(
     UNION ALL SELECT CASE role_name WHEN 'Administrator' THEN 1 WHEN 'organizer' THEN 2 ELSE 3 END, new_id FROM c_registered""",
     REGISTERED,
 )(lambda t, read: changes.register_users(text_keys(t), registrations(read), "b").tables["account_role"])
+query(
+    "m11_register_rejects",
+    """WITH regs AS (SELECT c.seq, c.username, c.password, lower(c.username) AS k, CASE ev.event_type WHEN 'click' THEN 'organizer'
+            WHEN 'view' THEN 'pilot' WHEN 'purchase' THEN 'Administrator' ELSE 'customer' END AS role_name,
+            CASE WHEN ev.user_id % 4 = 0 THEN NULL WHEN ev.user_id % 3 = 0 THEN repeat('N', 101) ELSE 'Name' END AS full_name
+            FROM c_user c JOIN events ev ON ev.event_id = c.seq),
+        whole AS (SELECT *, CASE WHEN role_name = 'pilot' THEN 'unknown_role' WHEN role_name = 'customer' AND full_name IS NULL THEN 'missing_name'
+            WHEN role_name = 'customer' AND length(full_name) > 100 OR length(trim(username)) > 100 THEN 'length' END AS r1 FROM regs),
+        named AS (SELECT *, regexp_full_match(username, '[a-zA-Z0-9]+') AS fine, k IN (SELECT lower(username) FROM b_user) AS old FROM whole WHERE r1 IS NULL),
+        first AS (SELECT k, min(seq) AS holder FROM named WHERE fine AND length(password) >= 8 AND NOT old GROUP BY k),
+        judged AS (SELECT n.seq, n.username, CASE WHEN NOT fine THEN 'bad_characters' WHEN old OR holder < n.seq THEN 'duplicate_username'
+            WHEN length(password) < 8 THEN 'short_password' WHEN username IS NULL THEN 'missing_username' WHEN password IS NULL THEN 'missing_password' END AS r2
+            FROM named n LEFT JOIN first f ON f.k = n.k)
+    SELECT seq, r1 AS reason FROM whole WHERE r1 IS NOT NULL UNION ALL SELECT seq, r2 FROM judged WHERE r2 IS NOT NULL""",
+    CANDIDATES,
+)(
+    lambda t, read: changes.register_users(
+        text_keys(t),
+        registrations(read).withColumn("full_name", F.when(F.col("full_name").isNotNull(), F.expr("if(cast(phone_number AS int) % 3 = 0, repeat('N', 101), 'Name')"))),
+        "b",
+    ).rejects.select("seq", "reason")
+)
 query(
     "m12_update_profiles",
     """WITH last AS (SELECT user_id, arg_max(event_type || ' ' || user_id, event_id) AS name,

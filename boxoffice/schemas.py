@@ -48,11 +48,6 @@ class Table:
     def struct(self) -> T.StructType:
         return T.StructType([T.StructField(c.name, c.type, c.nullable) for c in self.columns])
 
-    @property
-    def has_generated_key(self) -> bool:
-        """A single id column that gets a generated value when the input leaves it out."""
-        return len(self.key) == 1
-
 
 def _id(name: str) -> Column:
     return Column(name, ID)

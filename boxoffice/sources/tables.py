@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from boxoffice.schemas import TABLES
 
 
+# Fixed value: the one table whose name is quoted in upper case in the database
+DATABASE_NAMES = {"order": "ORDER"}
+
+
+def database_name(schema: str, table: str) -> str:
+    return f'{schema}."{DATABASE_NAMES.get(table, table)}"'
+
+
 class Tables:
     """DataFrames by table name. A table may be given as a function, which is called on first use."""
 
@@ -54,7 +62,7 @@ class Tables:
 
         def read(name: str) -> DataFrame:
             reader = spark.read.format("jdbc").option("url", url).options(**options)
-            reader = reader.option("dbtable", f'{schema}."{name}"')
+            reader = reader.option("dbtable", database_name(schema, name))
             return reader.options(**(splits or {}).get(name, {})).load()
 
         return cls(spark, {name: (lambda n=name: read(n)) for name in TABLES})

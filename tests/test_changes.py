@@ -105,6 +105,49 @@ def test_delete_rows(t, spark):
     assert refused(change, "promotion_id") == {uid(PROMO, 1): "in_use"} and change.tables["promotion"].count() == 5
 
 
+def test_delete_rows_by_their_whole_key(t, spark):
+    pairs = spark.createDataFrame([(uid(EVENT, 1), uid(ARTIST, 1)), (uid(EVENT, 1), "who")], "event_id string, artist_id string")
+    there = {(r.event_id, r.artist_id) for r in t["event_artist"].collect()}
+    change = ch.delete_rows(t, "event_artist", pairs)
+    gone = {(uid(EVENT, 1), uid(ARTIST, 1))} & there
+    assert {(r.event_id, r.artist_id) for r in change.tables["event_artist"].collect()} == there - gone
+    role, user = t["account_role"].first()
+    change = ch.delete_rows(t, "account_role", spark.createDataFrame([(role, user)], "role_id string, user_id string"))
+    assert change.tables["account_role"].count() == 15 and change.rejects.isEmpty()
+
+
+def test_ambiguous_and_oversized_values_are_refused(t, spark):
+    rows = [(uid(ORDER, 1), "LUNAS"), (uid(ORDER, 1), "PENDING"), (uid(ORDER, 2), "LUNAS"), (uid(ORDER, 2), "LUNAS"), (uid(ORDER, 3), "x" * 30)]
+    change = ch.update_order_status(t, spark.createDataFrame(rows, "order_id string, payment_status string"))
+    assert change.tables["order"].count() == 12
+    assert refused(change, "order_id") == {uid(ORDER, 1): "ambiguous_key", uid(ORDER, 3): "length"}
+    big = spark.createDataFrame([(1, uid(CAT, 1), "99999999999.00"), (2, uid(CAT, 2), "12.5")], "seq long, category_id string, price string")
+    change = ch.update_rows(t, "ticket_category", big)
+    assert refused(change, "category_id") == {uid(CAT, 1): "type"}
+    new = spark.createDataFrame([(1, "n1", "A", "99999999999"), (2, "n2", "B", "5")], "seq long, category_id string, category_name string, price string")
+    change = ch.append_rows(t, "ticket_category", new.withColumn("tevent_id", F.lit(uid(EVENT, 1))))
+    assert refused(change, "seq") == {1: "type"} and change.tables["ticket_category"].count() == 15
+
+
+def test_orders_need_a_customer_and_a_total_that_fits(t, spark):
+    rows = [(1, uid(CUST, 1), "10.00", True, None), (2, "nobody", "10.00", True, None), (3, None, "10.00", True, None), (4, uid(CUST, 1), "-1.00", True, None),
+            (5, uid(CUST, 1), "12345678901.00", True, None), (6, "nobody", None, False, "bad_promo")]
+    df = spark.createDataFrame(rows, "cart_id long, customer_id string, total_price string, accepted boolean, reason string")
+    change = ch.place_orders(t, df.withColumn("total_price", F.col("total_price").cast("decimal(20,2)")), "2026-06-01")
+    assert refused(change, "cart_id") == {2: "reference:customer_id", 3: "null", 4: "check", 5: "type", 6: "bad_promo"}
+    assert change.tables["order"].count() == 13
+
+
+def test_registrations_keep_the_lengths_of_all_tables(t, spark):
+    kind = "seq long, role_name string, username string, password string, full_name string, phone_number string, organizer_name string, contact_email string"
+    rows = [(1, "customer", "newone", "p" * 8, "N" * 101, None, None, None), (2, "customer", "newtwo", "p" * 8, "N", "1" * 21, None, None),
+            (3, "organizer", "newthree", "p" * 8, "N" * 300, "1" * 50, "Org", "m" * 101), (4, "customer", "u" * 101, "p" * 8, "N", None, None, None),
+            (5, "customer", "newfive", "p" * 256, "N", None, None, None), (6, "organizer", "newsix", "p" * 8, "N" * 300, "1" * 50, "Org", None)]
+    change = ch.register_users(t, spark.createDataFrame(rows, kind))
+    assert refused(change, "seq") == {n: "length" for n in (1, 2, 3, 4, 5)}
+    assert change.tables["user_account"].count() == 17 and change.tables["organizer"].count() == 5
+
+
 def test_replace_event_artists(t, spark):
     rows = [
         (1, uid(EVENT, 1), [uid(ARTIST, 8), "", None, uid(ARTIST, 7)]), (2, uid(EVENT, 2), [uid(ARTIST, 1), uid(ARTIST, 1)]),
