@@ -2,7 +2,7 @@
 
 A candidate frame carries ``seq``, a unique long in order of arrival. Each check returns the candidates
 with ``accepted`` and ``reason``; a rejected row holds no name, pair, seat, quota or promotion use.
-Names, pairs and seats that existing rows give up inside the batch become free with the next batch.
+Names, places and seats that an accepted row gives up are free for the rows after it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import NO_SEAT, blank, event_moment, moment, strip, valid_seat_number
 from boxoffice.operators.checks import judged
+from boxoffice.operators.moves import moved
 from boxoffice.operators.spread import only_keys_of, running_counts, spread_join
 from boxoffice.operators.tickets import sold_per_category, taken_seats
 from boxoffice.sources.tables import Tables
@@ -30,40 +31,13 @@ def _yes(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
-def held(cand: DataFrame, existing: DataFrame, keys: list[str], id_column: str, eligible: Column) -> DataFrame:
-    """Adds ``_taken`` and ``existing_id``: another row, old or earlier in the batch, has the same key.
-
-    Per key the smallest and largest id among the old rows are enough to tell whether one of them is
-    not the candidate itself. A candidate without id is distinct from all others. Where a key has old
-    rows, all candidates but their owner fail on those, so the earliest candidate matters only for keys
-    that are new; both facts are aggregates on the key and meet before the one join to the candidates.
-    """
-    old = only_keys_of(existing, cand, {k: k for k in keys})
-    old = old.groupBy(*keys).agg(F.min(id_column).alias("_low"), F.max(id_column).alias("_high"))
-    claim = F.when(eligible, F.col("seq"))
-    asked = cand.filter(_all_set(keys)).groupBy(*keys)
-    asked = asked.agg(F.min(claim).alias("_first"), F.min_by(id_column, claim).alias("_first_id"))
-    facts = asked.join(old, keys, "left")
-
-    own, low, high = F.col(id_column), F.col("_low"), F.col("_high")
-    other = F.when(own.isNull() | (low != own), low).when(high != own, high)
-    distinct = own.isNull() | F.col("_first_id").isNull() | (F.col("_first_id") != own)
-    beaten = low.isNull() & _yes((F.col("_first") < F.col("seq")) & distinct)
-    return (
-        spread_join(cand, facts, keys, "seq")
-        .withColumn("_taken", other.isNotNull() | beaten)
-        .withColumn("existing_id", F.coalesce(other, F.when(beaten, F.col("_first_id"))))
-        .drop("_low", "_high", "_first", "_first_id")
-    )
-
-
 def check_usernames(users: DataFrame, cand: DataFrame) -> DataFrame:
     """Letters and digits only, unique but for case, password column of eight characters at least."""
     named = cand.withColumn("username", F.trim("username")).withColumn("_name", F.lower("username"))
     well_formed = F.col("username").rlike(r"^[a-zA-Z0-9]+\z")
     long_enough = F.length("password") >= PASSWORD_LENGTH
     existing = users.select(F.lower("username").alias("_name"), "user_id")
-    taken = held(named, existing, ["_name"], "user_id", _yes(well_formed & long_enough))
+    taken = moved(named, existing, ["_name"], "user_id", _yes(well_formed & long_enough))
     return judged(
         taken,
         [
@@ -80,7 +54,7 @@ def check_venues(venues: DataFrame, cand: DataFrame) -> DataFrame:
     """Name and city unique but for case, the row itself aside; reports the id that is in the way."""
     keys = {"_name": F.lower("venue_name"), "_city": F.lower("city")}
     existing = venues.select(*[c.alias(k) for k, c in keys.items()], "venue_id")
-    taken = held(cand.withColumns(keys), existing, list(keys), "venue_id", F.lit(True))
+    taken = moved(cand.withColumns(keys), existing, list(keys), "venue_id", F.lit(True))
     return judged(taken, [(F.col("_taken"), "duplicate_venue")]).select(
         *cand.columns, "existing_id", "accepted", "reason"
     )
@@ -96,7 +70,7 @@ def check_seats(t: Tables, cand: DataFrame) -> DataFrame:
     }
     existing = t["seat"].select(*[c.alias(k) for k, c in keys.items()], "seat_id")
     fine = valid_seat_number(F.col("seat_number"))
-    taken = held(cand.withColumns(keys), existing, list(keys), "seat_id", fine)
+    taken = moved(cand.withColumns(keys), existing, list(keys), "seat_id", fine)
     return judged(taken, [(~fine, "bad_seat_number"), (F.col("_taken"), "duplicate_seat")]).select(
         *cand.columns, "existing_id", "accepted", "reason"
     )
@@ -190,7 +164,7 @@ def check_seat_free(t: Tables, cand: DataFrame) -> DataFrame:
         kind = dict(t["has_relationship"].dtypes)["ticket_id"]
         asked = asked.withColumn("ticket_id", F.lit(None).cast(kind))
     existing = t["has_relationship"].select(F.col("seat_id").alias("_seat"), "ticket_id")
-    checked = held(asked, existing, ["_seat"], "ticket_id", F.lit(True))
+    checked = moved(asked, existing, ["_seat"], "ticket_id", F.lit(True))
     taken = F.col("_seat").isNotNull() & F.col("_taken")
     return judged(checked, [(taken, "seat_taken")]).select(*cand.columns, "accepted", "reason")
 

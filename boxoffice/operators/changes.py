@@ -14,17 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import VALID, blank, event_moment, stable_uuid, strip, ticket_code
-from boxoffice.operators.candidates import check_seat_free, check_usernames, held, quota_facts, seat_of
+from boxoffice.operators.candidates import check_usernames, quota_facts, seat_of
 from boxoffice.operators.checks import (
     judged,
     length_violations,
     null_violations,
     rule_violations,
 )
+from boxoffice.operators.moves import moved
 from boxoffice.operators.orders import placed_orders
 from boxoffice.operators.settle import settle
 from boxoffice.operators.spread import only_keys_of, spread_join, without_keys_of
 from boxoffice.schemas import TABLES, references_to
+from boxoffice.session import staged
 from boxoffice.sources.tables import Tables
 
 
@@ -139,7 +141,7 @@ def _unique_flags(t: Tables, table: str, df: DataFrame, keys, fields, rules):
     for column in [u[0] for u in TABLES[table].unique if len(u) == 1 and u[0] in fields and len(keys) == 1]:
         owners = t[table].select(F.col(column).alias("_value"), keys[0])
         legal = ~reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for broken, _ in rules], F.lit(False))
-        checked = held(df.withColumn("_value", F.col(column)), owners, ["_value"], keys[0], legal)
+        checked = moved(df.withColumn("_value", F.col(column)), owners, ["_value"], keys[0], legal)
         df = checked.withColumn(f"_taken_{column}", F.col("_taken")).drop("_taken", "existing_id", "_value")
         taken.append((F.col(f"_taken_{column}"), f"unique:{column}"))
     return df, taken
@@ -325,33 +327,45 @@ def replace_event_categories(t: Tables, changes: DataFrame, batch: str = "catego
     return ChangeSet({"ticket_category": rows}, _refused(done, ["seq", "event_id"]))
 
 
+def judge_moves(t: Tables, changes: DataFrame) -> DataFrame:
+    """Ticket changes with verdict, one by one: status and seat are judged before either applies, a seat must
+    not belong to another ticket, and a ticket that moves gives up the seats it had."""
+    ticket = t["ticket"].select("ticket_id", F.lit(True).alias("_ticket"))
+    seat = t["seat"].select(F.col("seat_id").alias("_seat"), F.lit(True).alias("_seat_known"))
+    word = F.upper(F.coalesce("status", F.lit(VALID)))
+    asked = changes.withColumn("_seat", seat_of(changes)).withColumn("_word", word)
+    asked = spread_join(asked, only_keys_of(ticket, asked, {"ticket_id": "ticket_id"}), ["ticket_id"], "seq")
+    asked = spread_join(asked, only_keys_of(seat, asked, {"_seat": "_seat"}), ["_seat"], "seq")
+    no_seat = F.col("_seat").isNotNull() & F.col("_seat_known").isNull()
+    limit = next(c.length for c in TABLES["ticket"].optional if c.name == "status")
+    too_long = (F.length("_word") > limit) if "status" in t["ticket"].columns else F.lit(False)
+    rules = [(F.col("_ticket").isNull(), "unknown_ticket"), (no_seat, "unknown_seat"), (too_long, "length")]
+    fine = ~reduce(lambda a, b: a | b, [broken for broken, _ in rules])
+    links = t["has_relationship"].select(F.col("seat_id").alias("_seat"), "ticket_id")
+    done = moved(asked, links, ["_seat"], "ticket_id", fine)
+    return judged(done, [*rules, (F.col("_seat").isNotNull() & F.col("_taken"), "seat_taken")]).select(
+        *changes.columns, "_seat", "_word", "accepted", "reason"
+    )
+
+
 def update_tickets(t: Tables, changes: DataFrame) -> ChangeSet:
     """``changes``: seq, ticket_id, status, seat_id. Sets the status and moves the ticket to the seat.
 
-    Old links of a ticket go; a blank seat or the no-seat word leaves it without one. The seat must not
-    belong to another ticket.
+    Old links of a ticket go; a blank seat or the no-seat word leaves it without one. Of several accepted
+    changes of a ticket the last counts; a seat it had in between is free again.
     """
-    ticket = t["ticket"].select("ticket_id", F.lit(True).alias("_ticket"))
-    seat = t["seat"].select(F.col("seat_id").alias("_seat"), F.lit(True).alias("_seat_known"))
-    known = (
-        changes.withColumn("_seat", seat_of(changes)).join(ticket, "ticket_id", "left").join(seat, "_seat", "left")
-    )
-    exists = F.col("_ticket").isNotNull() & (F.col("_seat").isNull() | F.col("_seat_known").isNotNull())
-    free = check_seat_free(t, known.filter(exists).select(*changes.columns))
-    lost = judged(
-        known.filter(~exists).select(*changes.columns, "_ticket"), [(F.col("_ticket").isNull(), "unknown_ticket")]
-    ).select(*changes.columns, F.lit(False).alias("accepted"), F.coalesce("reason", F.lit("unknown_seat")).alias("reason"))
-
-    last = _latest(free.filter("accepted").drop("accepted", "reason"), ["ticket_id"])
-    last = last.withColumn("_seat", seat_of(changes))
+    done = staged(judge_moves(t, changes), "moves")
+    last = _latest(done.filter("accepted").select("seq", "ticket_id", "_word", "_seat"), ["ticket_id"])
     tables = {}
     if "status" in t["ticket"].columns:
-        word = F.upper(F.coalesce("status", F.lit(VALID))).alias("status")
-        tables["ticket"] = update_rows(t, "ticket", last.select("ticket_id", word)).tables["ticket"]
+        words = last.select("ticket_id", "_word")
+        tables["ticket"] = (
+            t["ticket"].join(words, "ticket_id", "left").withColumn("status", F.coalesce("_word", "status")).select(*t["ticket"].columns)
+        )
     links = t["has_relationship"].join(last.select("ticket_id"), "ticket_id", "left_anti")
     new = last.filter(F.col("_seat").isNotNull()).select(F.col("_seat").alias("seat_id"), "ticket_id")
     tables["has_relationship"] = links.unionByName(new)
-    return ChangeSet(tables, _refused(free, changes.columns).unionByName(_refused(lost, changes.columns)))
+    return ChangeSet(tables, _refused(done, changes.columns))
 
 
 def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> DataFrame:
