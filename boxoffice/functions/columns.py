@@ -37,6 +37,38 @@ def time_text(stamp: Column) -> Column:
     return F.substring(stamp.cast("string"), 12, 5)
 
 
+# Short names of months and of days from Sunday on
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+DAYS = "Sun Mon Tue Wed Thu Fri Sat".split()
+
+
+def _named(number: Column, names: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), number)
+
+
+def day_display(stamp: Column) -> Column:
+    """``15 Jun 2026``."""
+    text = day_text(stamp)
+    return F.concat_ws(" ", F.substring(text, 9, 2), _named(F.month(F.to_date(text)), MONTHS), F.substring(text, 1, 4))
+
+
+def weekday_display(stamp: Column) -> Column:
+    """``Mon, 15 Jun 2026``."""
+    return F.concat_ws(", ", _named(F.dayofweek(F.to_date(day_text(stamp))), DAYS), day_display(stamp))
+
+
+def moment_display(stamp: Column) -> Column:
+    """``15 Jun, 2026 — 19:00``."""
+    text = day_text(stamp)
+    date = F.concat(F.substring(text, 9, 2), F.lit(" "), _named(F.month(F.to_date(text)), MONTHS), F.lit(", "), F.substring(text, 1, 4))
+    return F.concat_ws(DASH, date, time_text(stamp))
+
+
+def whole_display(amount: Column) -> Column:
+    """A whole number, halves away from zero, without marks between the thousands."""
+    return F.round(amount, 0).cast("decimal(38,0)").cast("string")
+
+
 def strip(col: Column) -> Column:
     """Cuts white space of every kind at both ends; ``trim`` would cut spaces only."""
     return F.btrim(col, F.lit(" \t\n\x0b\f\r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import (
@@ -17,8 +17,7 @@ from boxoffice.functions.columns import (
     wildcard_match,
 )
 from boxoffice.operators.people import organizers_of
-from boxoffice.operators.ranges import positions
-from boxoffice.operators.spread import only_keys_of, side_by_side, without_keys_of
+from boxoffice.operators.spread import side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
 CARD_ROWS = 1000
@@ -102,35 +101,31 @@ def event_catalog(
     )
 
 
-def _longer_than(lines: DataFrame, rows: int) -> DataFrame:
-    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_lines"))
-    return sizes.filter(F.col("_lines") > rows).select("event_id")
-
-
-def _in_pages(lines: DataFrame, order: list, page_rows: int, all_short: bool) -> DataFrame:
-    """Adds ``page``: the lines of an event, in order, in parts of ``page_rows``.
-
-    Only events with more lines than a page need positions; all others are page 0 as they are.
-    """
-    paged = lines.withColumn("page", F.lit(0).cast("long"))
-    if all_short:
-        return paged
-    long_events = _longer_than(lines, page_rows)
-    ranked = positions(only_keys_of(lines, long_events, {"event_id": "event_id"}), ["event_id"], order)
-    long = ranked.withColumn("page", F.floor((F.col("position") - 1) / page_rows)).drop("position")
-    return without_keys_of(paged, long_events, ["event_id"]).unionByName(long)
+def _in_pages(lines: DataFrame, line_id: str, page_rows: int) -> DataFrame:
+    """Adds ``page``: the lines of an event dealt by their ids to as many pages as it needs, one if it is short."""
+    sizes = lines.groupBy("event_id").agg(F.ceil(F.count("*") / page_rows).alias("_pages"))
+    dealt = spread_join(lines, sizes, ["event_id"], line_id)
+    return dealt.withColumn("page", F.pmod(F.xxhash64(line_id), "_pages")).drop("_pages")
 
 
 def _page_lists(paged: DataFrame, entry, out: str) -> DataFrame:
-    """One sorted list per event and page; no list outgrows a page."""
+    """One sorted list per event and page; no list grows much beyond a page."""
     return paged.groupBy("event_id", "page").agg(F.array_sort(F.collect_list(entry)).alias(out))
 
 
+def _category_json(c) -> Column:
+    """Prices with one decimal at least, never in powers of ten."""
+    name = F.to_json(F.array(c["category_name"]))
+    price = F.regexp_replace(c["price"].cast("decimal(12,2)").cast("string"), "0$", "")
+    parts = [F.lit('{"name":'), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(',"price":'), price]
+    return F.concat(*parts, F.lit(',"quota":'), c["quota"].cast("string"), F.lit("}"))
+
+
 def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CARD_ROWS) -> DataFrame:
     """One card per event: artists by name, categories by falling price, lowest price, categories as JSON.
 
-    A card has one row (``page`` 0). An event with more than ``page_rows`` artists or categories goes
-    on over further rows, in the same order, so that no entry is left out and no row grows without end.
+    The entries of an event are dealt to pages of about ``page_rows``, each in that order; an event with
+    fewer has the one page 0. So no entry is left out, and no row grows without end.
     """
     events = t["event"] if events is None else events
     shown = events.select("event_id", "event_title", "event_datetime", "venue_id", "organizer_id").join(
@@ -151,26 +146,13 @@ def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CAR
         .join(wanted, "event_id", "left_semi")
         .join(t["artist"].select("artist_id", "name"), "artist_id")
     )
-    # The tables alone tell whether any event is long; that spares the check the joins above.
-    per_event = t["ticket_category"].select(F.col("tevent_id").alias("event_id"))
-    long_events = _longer_than(per_event, page_rows).unionByName(_longer_than(t["event_artist"], page_rows))
-    all_short = long_events.isEmpty()
-    by_price = [F.desc("price"), F.asc("category_name"), F.asc("category_id")]
     category_entry = F.struct((-F.col("price")).alias("falling"), "category_name", "category_id", "price", "quota")
-    category_pages = _page_lists(_in_pages(categories, by_price, page_rows, all_short), category_entry, "cats")
-    by_name = [F.asc("name"), F.asc("artist_id")]
-    artist_pages = _page_lists(_in_pages(artists, by_name, page_rows, all_short), F.struct("name", "artist_id"), "acts")
+    category_pages = _page_lists(_in_pages(categories, "category_id", page_rows), category_entry, "cats")
+    artist_pages = _page_lists(_in_pages(artists, "artist_id", page_rows), F.struct("name", "artist_id"), "acts")
 
     none = F.array().cast("array<string>")
     price = F.coalesce("lowest_price", F.lit(0).cast("decimal(12,2)"))
-    as_json = F.to_json(
-        F.transform(
-            F.col("cats"),
-            lambda c: F.struct(
-                c["category_name"].alias("name"), c["price"].cast("double").alias("price"), c["quota"].alias("quota")
-            ),
-        )
-    )
+    as_json = F.concat(F.lit("["), F.array_join(F.transform("cats", _category_json), ","), F.lit("]"))
     pages = category_pages.join(artist_pages, ["event_id", "page"], "full")
     return (
         shown.join(lowest, "event_id", "left")

@@ -87,11 +87,12 @@ def paid_order_event(t: Tables) -> DataFrame:
     """Each paid order with the earliest event of its tickets."""
     category = t["ticket_category"].select(F.col("category_id").alias("tcategory_id"), "tevent_id")
     event = t["event"].select(F.col("event_id").alias("tevent_id"), "event_datetime", "event_title")
-    dated = t["ticket"].select("tcategory_id", F.col("torder_id").alias("order_id")).join(
+    paid = t["order"].filter(F.col("payment_status") == PAID).select("order_id", "customer_id")
+    bought = only_keys_of(t["ticket"], paid, {"torder_id": "order_id"})
+    dated = bought.select("tcategory_id", F.col("torder_id").alias("order_id")).join(
         category.join(event, "tevent_id"), "tcategory_id"
     )
     first = dated.groupBy("order_id").agg(F.min(F.struct("event_datetime", "tevent_id", "event_title")).alias("e"))
-    paid = t["order"].filter(F.col("payment_status") == PAID).select("order_id", "customer_id")
     name = t["customer"].select("customer_id", "full_name")
     title = F.col("e.event_title").alias("event_title")
     rows = paid.join(first, "order_id").join(name, "customer_id")

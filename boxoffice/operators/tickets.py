@@ -15,11 +15,15 @@ from boxoffice.functions.columns import (
     USED,
     VALID,
     category_label,
+    day_display,
     equals,
     moment,
+    moment_display,
     narrowed,
     seat_label,
     ticket_status,
+    weekday_display,
+    whole_display,
 )
 from boxoffice.operators.spread import only_keys_of, side_by_side, spread_join
 from boxoffice.sources.tables import Tables
@@ -62,6 +66,18 @@ def ticket_register(t: Tables, role: str, user_id: object | None = None) -> Data
     )
 
 
+def register_display(register: DataFrame) -> DataFrame:
+    """The register as the pages print it: times, days and prices as text."""
+    at = F.col("event_datetime").cast("timestamp_ntz")
+    return register.select(
+        *["ticket_id", "ticket_code", "event_title"],
+        moment_display(at).alias("starts"),
+        weekday_display(at).alias("day_for_customers"),
+        day_display(at).alias("day_for_organizers"),
+        F.concat(F.lit("Rp "), whole_display(F.col("price"))).alias("price"),
+    )
+
+
 def ticket_status_summary(t: Tables, role: str, user_id: object | None = None) -> DataFrame:
     """Counts of the register. Only the existence of the joined rows matters, so all joins are semi joins."""
     order = t["order"]

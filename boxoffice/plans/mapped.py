@@ -2,7 +2,8 @@
 
 Events are the brand and type pairs of parts, ticket categories the parts, orders and their lines the
 orders and tickets, customers also own the venues, suppliers are organizers, artists and promotions.
-All views read whole tables; ids keep the type of their source.
+Views read whole tables, but for two whose filter is part of the mapping, alike in SQL: a line has a seat
+if it was returned ("A"), and used a promotion if it has a discount. Ids keep the type of their source.
 """
 
 from __future__ import annotations

@@ -127,6 +127,15 @@ query("r15_ticket_register", REGISTER)(lambda t, read: tickets.ticket_register(t
 query("r15_ticket_register_own", f"{REGISTER} WHERE c.user_id = {USER}")(
     lambda t, read: tickets.ticket_register(t, "customer", USER)
 )
+query(
+    "r15_register_display",
+    """SELECT k.ticket_id, k.ticket_code, e.event_title, strftime(e.event_datetime, '%d %b, %Y — %H:%M') AS starts,
+        strftime(e.event_datetime, '%a, %d %b %Y') AS day_for_customers, strftime(e.event_datetime, '%d %b %Y') AS day_for_organizers,
+        'Rp ' || CAST(CAST(round(g.price, 0) AS BIGINT) AS VARCHAR) AS price
+    FROM b_ticket k JOIN b_order o ON o.order_id = k.torder_id JOIN b_customer c USING (customer_id)
+    JOIN b_category g ON g.category_id = k.tcategory_id JOIN b_event e ON e.event_id = g.tevent_id
+    JOIN b_venue v ON v.venue_id = e.venue_id""",
+)(lambda t, read: tickets.register_display(tickets.ticket_register(t, "administrator")))
 query(
     "r16_ticket_status_summary",
     f"""SELECT count(*) AS total_tickets, count(*) FILTER (status = 'VALID') AS valid_tickets,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxoffice.plans.check_queries import redemptions, ticket_requests, verdicts
 from boxoffice.plans.mapped import mapped_tables
@@ -13,13 +14,19 @@ from boxoffice.session import shared_dir
 from boxoffice.streaming import admission
 
 
-def _judged_stream(spark: SparkSession, sf_dir: str, requests, start) -> DataFrame:
-    def read(name: str) -> DataFrame:
-        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+BATCHES = 4
+
 
+def _judged_stream(spark: SparkSession, sf_dir: str, requests, start) -> DataFrame:
+    """The requests arrive as files in order of ``seq``, one micro-batch each."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
-    running = start(requests(read), mapped_tables(spark, sf_dir), folder)
+    rows = requests(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    place = F.least(F.floor((F.col("seq") - (low or 0)) * BATCHES / ((high or 0) - (low or 0) + 1)), F.lit(BATCHES - 1))
+    for n in range(BATCHES):
+        rows.filter(place == n).coalesce(1).write.mode("append").parquet(f"{folder}/requests")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/requests")
+    running = start(stream, lambda: mapped_tables(spark, sf_dir), folder)
     running.awaitTermination()
     return verdicts(admission.ledger(spark, folder), "seq")
 

@@ -1,10 +1,13 @@
 """Quota and promotion limits over a stream of requests.
 
-Each micro-batch is judged by the same set-based checks as a table of candidates. What is kept between
-batches are the places taken per key, not the requests: a folder per batch with the counts it added, and
-every ``COMPACT_EVERY`` batches their sum. Facts of the tables (quota and sold tickets, limits and event
-days) are computed in the first batch, once, and only read for the keys of a batch afterwards. All
-folders of a batch are overwritten, so a batch that runs again after a failure changes nothing.
+Each micro-batch is judged by the same set-based checks as a table of candidates, against the tables as they
+are when it runs: ``tables`` may be a function, which is called for every batch, so categories, orders and
+promotions made since the stream began are known. Only rows with keys of the batch are read: up to
+``LISTED_KEYS`` distinct keys become a filter that reaches the files, more a semi join.
+
+What is kept between batches are the places taken per key, not the requests: a folder per batch with the
+counts it added, and every ``COMPACT_EVERY`` batches their sum. The tables must not hold what the stream
+itself admitted. All folders of a batch are overwritten, so a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from boxoffice.operators.candidates import admit_under_limit, admit_under_quota
+from boxoffice.operators.candidates import admit_under_limit, admit_under_quota, order_dates, promo_facts, quota_facts
 from boxoffice.operators.spread import only_keys_of
-from boxoffice.operators.tickets import sold_per_category
 from boxoffice.sources.tables import Tables
 
 COMPACT_EVERY = 20
+LISTED_KEYS = 1000
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,25 +59,30 @@ class _State:
         return rows.groupBy(self.key).agg(F.sum("taken").alias("taken"))
 
 
+def _only_asked(df: DataFrame, requests: DataFrame, ours: str, theirs: str) -> DataFrame:
+    """Rows of ``df`` with a key of the batch."""
+    keys = [r[0] for r in requests.select(theirs).filter(F.col(theirs).isNotNull()).distinct().limit(LISTED_KEYS + 1).collect()]
+    if len(keys) <= LISTED_KEYS:
+        return df.filter(F.col(ours).isin(keys))
+    return only_keys_of(df, requests, {ours: theirs})
+
+
 def _start(
     stream: DataFrame,
+    tables: Tables | Callable[[], Tables],
     folder: str,
     key: str,
-    facts: Callable[[], dict[str, DataFrame]],
-    judge: Callable[[DataFrame, dict[str, DataFrame], DataFrame | None], DataFrame],
+    judge: Callable[[Tables, DataFrame, DataFrame | None], DataFrame],
     options: dict,
 ) -> StreamingQuery:
     def on_batch(requests: DataFrame, batch: int) -> None:
         spark = requests.sparkSession
-        base = f"{folder}/facts"
-        known = facts()
-        if batch == 0:
-            for name, frame in known.items():
-                frame.write.mode("overwrite").parquet(f"{base}/{name}")
-        stored = {name: spark.read.parquet(f"{base}/{name}") for name in known}
+        now = tables() if callable(tables) else tables
         taken = _State(spark, folder, key).before(batch)
         target = f"{folder}/ledger/batch={batch}"
-        judge(requests, stored, taken).write.mode("overwrite").parquet(target)
+        requests.persist()
+        judge(now, requests, taken).write.mode("overwrite").parquet(target)
+        requests.unpersist()
         judged = spark.read.parquet(target)
         added = judged.filter("accepted").groupBy(key).agg(F.count("*").alias("taken"))
         added.write.mode("overwrite").parquet(f"{folder}/taken/batch={batch}")
@@ -90,52 +98,32 @@ def _plus_taken(facts: DataFrame, taken: DataFrame | None, key: str, column: str
     return facts.join(taken, key, "left").withColumn(column, total).drop("taken")
 
 
-def admit_tickets_stream(stream: DataFrame, t: Tables, folder: str, **trigger) -> StreamingQuery:
+def admit_tickets_stream(stream: DataFrame, tables: Tables | Callable[[], Tables], folder: str, **trigger) -> StreamingQuery:
     """Judges ticket requests (``seq, torder_id, tcategory_id, …``) as they arrive; see ``ledger``."""
 
-    def facts() -> dict[str, DataFrame]:
-        sold = sold_per_category(t["ticket"])
-        quota = t["ticket_category"].select("category_id", F.col("quota").alias("_quota"))
-        rows = quota.join(sold, "category_id", "left")
-        sold_so_far = F.coalesce("sold", F.lit(0)).alias("_sold")
-        return {"category": rows.select(F.col("category_id").alias("tcategory_id"), "_quota", sold_so_far)}
-
-    def judge(requests: DataFrame, stored: dict[str, DataFrame], taken: DataFrame | None) -> DataFrame:
-        asked = only_keys_of(stored["category"], requests, {"tcategory_id": "tcategory_id"})
-        return admit_under_quota(_plus_taken(asked, taken, "tcategory_id", "_sold"), t["order"], requests)
+    def judge(t: Tables, requests: DataFrame, taken: DataFrame | None) -> DataFrame:
+        asked = t.replace(
+            ticket=_only_asked(t["ticket"], requests, "tcategory_id", "tcategory_id"),
+            ticket_category=_only_asked(t["ticket_category"], requests, "category_id", "tcategory_id"),
+            order=_only_asked(t["order"], requests, "order_id", "torder_id"),
+        )
+        facts = _plus_taken(quota_facts(asked, requests), taken, "tcategory_id", "_sold")
+        return admit_under_quota(facts, asked["order"], requests)
 
-    return _start(stream, folder, "tcategory_id", facts, judge, trigger)
+    return _start(stream, tables, folder, "tcategory_id", judge, trigger)
 
 
-def admit_redemptions_stream(stream: DataFrame, t: Tables, folder: str, **trigger) -> StreamingQuery:
+def admit_redemptions_stream(stream: DataFrame, tables: Tables | Callable[[], Tables], folder: str, **trigger) -> StreamingQuery:
     """Judges promotion uses (``seq, promotion_id, order_id, …``) as they arrive; see ``ledger``."""
 
-    def facts() -> dict[str, DataFrame]:
-        used = t["order_promotion"].groupBy("promotion_id").agg(F.count("*").alias("n"))
-        promotion = t["promotion"].join(used, "promotion_id", "left")
-        event = t["event"].select(F.col("event_id").alias("tevent_id"), "event_datetime")
-        category = t["ticket_category"].select(F.col("category_id").alias("tcategory_id"), "tevent_id")
-        days = (
-            t["ticket"]
-            .select(F.col("torder_id").alias("order_id"), "tcategory_id")
-            .join(category.join(event, "tevent_id"), "tcategory_id")
-            .groupBy("order_id")
-            .agg(F.to_date(F.min("event_datetime")).alias("_event_date"))
+    def judge(t: Tables, requests: DataFrame, taken: DataFrame | None) -> DataFrame:
+        asked = t.replace(
+            promotion=_only_asked(t["promotion"], requests, "promotion_id", "promotion_id"),
+            order_promotion=_only_asked(t["order_promotion"], requests, "promotion_id", "promotion_id"),
+            order=_only_asked(t["order"], requests, "order_id", "order_id"),
+            ticket=_only_asked(t["ticket"], requests, "torder_id", "order_id"),
         )
-        return {
-            "promotion": promotion.select(
-                "promotion_id",
-                F.col("usage_limit").alias("_limit"),
-                F.col("start_date").alias("_start"),
-                F.col("end_date").alias("_end"),
-                F.coalesce("n", F.lit(0)).alias("_used"),
-            ),
-            "order": t["order"].select("order_id").join(days, "order_id", "left").withColumn("_order", F.lit(True)),
-        }
-
-    def judge(requests: DataFrame, stored: dict[str, DataFrame], taken: DataFrame | None) -> DataFrame:
-        asked = only_keys_of(stored["promotion"], requests, {"promotion_id": "promotion_id"})
-        orders = only_keys_of(stored["order"], requests, {"order_id": "order_id"})
-        return admit_under_limit(_plus_taken(asked, taken, "promotion_id", "_used"), orders, requests)
-
-    return _start(stream, folder, "promotion_id", facts, judge, trigger)
+        facts = _plus_taken(promo_facts(asked, requests), taken, "promotion_id", "_used")
+        return admit_under_limit(facts, order_dates(asked, requests), requests)
+
+    return _start(stream, tables, folder, "promotion_id", judge, trigger)

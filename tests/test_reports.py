@@ -1,9 +1,11 @@
+import json
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from boxoffice.functions.columns import day_display, moment_display, weekday_display, whole_display
 from boxoffice.operators import dashboards, events, orders, people, tickets
 from boxoffice.operators.ranges import positions
 from tests.seed import ARTIST, CAT, CUST, EVENT, ORDER, ORG, ROLE, SEAT, USER, VENUE, uid
@@ -209,13 +211,34 @@ def test_event_card_without_categories(t, spark):
     assert (row.price, row.categories, row.artists, row.ticket_categories_json) == ("0", [], [], "[]")
 
 
-def test_event_cards_go_on_over_pages(t):
-    rows = events.event_cards(t, page_rows=2).filter(F.col("event_id") == uid(EVENT, 1)).collect()
-    assert [(r.page, r.categories, r.artists) for r in rows] == [
-        (0, ["WVIP", "VIP"], ["Fourtwnty", "Hindia"]),
-        (1, ["Category 1", "Category 2"], []),
+def test_long_event_cards_go_on_over_pages(t, spark):
+    started = spark.sparkContext.statusTracker()
+    before = len(started.getJobIdsForGroup(None))
+    more = spark.range(2500).selectExpr(
+        "concat('cat', id) AS category_id", "concat('Row \"', id, '\"') AS category_name", "cast(1 AS int) AS quota",
+        "cast(12000000 + id / 4 AS decimal(12,2)) AS price", f"'{uid(EVENT, 1)}' AS tevent_id",
+    )
+    cards = events.event_cards(t.replace(ticket_category=t["ticket_category"].unionByName(more)))
+    assert len(started.getJobIdsForGroup(None)) == before, "building the frame runs nothing"
+    rows = cards.filter(F.col("event_id") == uid(EVENT, 1)).collect()
+    assert sorted(r.page for r in rows) == [0, 1, 2] and {r.price for r in rows} == {"250.000"}
+    lists = [json.loads(r.ticket_categories_json) for r in rows]
+    assert all(x == sorted(x, key=lambda c: -c["price"]) for x in lists) and [[c["name"] for c in x] for x in lists] == [r.categories for r in rows]
+    assert len({c["name"] for x in lists for c in x}) == 2504 and sorted(a for r in rows for a in r.artists) == ["Fourtwnty", "Hindia"]
+    assert any('"price":12000000.0,' in r.ticket_categories_json for r in rows)
+    assert any('"price":12000000.25,' in r.ticket_categories_json for r in rows)
+    assert events.event_cards(t, page_rows=2).count() > 6
+
+
+def test_displays(spark):
+    rows = [("2026-06-05 09:05:30", "10.50"), ("2026-12-31 23:59:59", "11.49"), ("2024-02-29 00:00:00", "-2.50"), (None, None)]
+    df = spark.createDataFrame(rows, "at string, price string").select(F.col("at").cast("timestamp_ntz"), F.col("price").cast("decimal(12,2)"))
+    got = df.select(moment_display(F.col("at")), weekday_display(F.col("at")), day_display(F.col("at")), whole_display(F.col("price"))).collect()
+    assert [tuple(r) for r in got[:3]] == [
+        ("05 Jun, 2026 — 09:05", "Fri, 05 Jun 2026", "05 Jun 2026", "11"),
+        ("31 Dec, 2026 — 23:59", "Thu, 31 Dec 2026", "31 Dec 2026", "11"),
+        ("29 Feb, 2024 — 00:00", "Thu, 29 Feb 2024", "29 Feb 2024", "-3"),
     ]
-    assert {r.price for r in rows} == {"250.000"}
 
 
 def test_positions_match_a_window(spark):

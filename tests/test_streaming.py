@@ -104,3 +104,24 @@ def test_redemptions_over_batches(spark, folder):
     done = admission.ledger(spark, folder)
     assert verdicts(done) == verdicts(candidates.admit_redemptions(shop, spark.createDataFrame(rows, schema)))
     assert done.filter(F.col("accepted")).groupBy("promotion_id").count().filter("count > 9").isEmpty()
+
+
+@pytest.mark.parametrize("listed", [1000, 0])
+def test_tables_may_change_between_batches(spark, folder, monkeypatch, listed):
+    monkeypatch.setattr(admission, "LISTED_KEYS", listed)
+    shop, _, _ = quota_shop(spark, random.Random(24))
+    schema = "seq long, torder_id string, tcategory_id string"
+    now = [shop]
+
+    def run(rows):
+        stream = feed(spark, rows, schema, f"{folder}/in", 1)
+        admission.admit_tickets_stream(stream, lambda: now[0], folder).awaitTermination()
+        return verdicts(admission.ledger(spark, folder))
+
+    first = run([(1, "o1", "new"), (2, "late", "c4")])
+    assert first[1] == "unknown_category" and first[2] in ("unknown_order", "quota_full")
+    category = spark.createDataFrame([("new", "New", 2, Decimal(1), "e")], shop["ticket_category"].schema)
+    order = spark.createDataFrame([("late", datetime(2026, 1, 1), "LUNAS", Decimal(0), "x")], shop["order"].schema)
+    now[0] = shop.replace(ticket_category=shop["ticket_category"].unionByName(category), order=shop["order"].unionByName(order))
+    second = run([(3, "late", "new"), (4, "o1", "new"), (5, "o2", "new"), (6, None, None)])
+    assert (second[3], second[4], second[5], second[6]) == (None, None, "quota_full", "unknown_category")
