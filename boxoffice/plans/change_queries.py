@@ -185,21 +185,24 @@ query(
 
 
 def ticket_moves(t, read) -> DataFrame:
-    """The first ticket of each order moves to the next seat, or off its seat; one change per order."""
+    """First the first tickets of odd orders leave their seats, then those of even orders move to odd seats, two to one."""
     first = t["ticket"].groupBy("torder_id").agg(F.min("ticket_id").alias("ticket_id"))
     return first.selectExpr(
-        "torder_id AS seq",
+        "if(torder_id % 2 = 1, torder_id, torder_id + 1000000000) AS seq",
         "ticket_id",
         "if(torder_id % 3 = 0, 'void', 'terpakai') AS status",
-        "if(torder_id % 2 = 0, torder_id + 1, NULL) AS seat_id",
+        "CASE torder_id % 4 WHEN 0 THEN torder_id - 1 WHEN 2 THEN torder_id + 1 END AS seat_id",
     )
 
 
 MOVES = {
-    "c_move": """SELECT torder_id AS seq, min(ticket_id) AS ticket_id, CASE WHEN torder_id % 3 = 0 THEN 'VOID' ELSE 'TERPAKAI' END AS status,
-        CASE WHEN torder_id % 2 = 0 THEN torder_id + 1 END AS seat_id FROM b_ticket GROUP BY torder_id""",
-    "c_moved": """SELECT * FROM c_move WHERE seat_id IS NULL OR (seat_id IN (SELECT seat_id FROM b_seat)
-        AND seat_id NOT IN (SELECT l.seat_id FROM b_link l JOIN c_move m ON m.seat_id = l.seat_id WHERE l.ticket_id <> m.ticket_id))""",
+    "c_move": """SELECT CASE WHEN torder_id % 2 = 1 THEN torder_id ELSE torder_id + 1000000000 END AS seq, min(ticket_id) AS ticket_id,
+        CASE WHEN torder_id % 3 = 0 THEN 'VOID' ELSE 'TERPAKAI' END AS status,
+        CASE torder_id % 4 WHEN 0 THEN torder_id - 1 WHEN 2 THEN torder_id + 1 END AS seat_id FROM b_ticket GROUP BY torder_id""",
+    "c_left": "SELECT seat_id FROM b_link WHERE ticket_id NOT IN (SELECT ticket_id FROM c_move WHERE seat_id IS NULL)",
+    "c_moved": """SELECT seq, ticket_id, status, seat_id FROM (SELECT *, row_number() OVER (PARTITION BY seat_id ORDER BY seq) AS n FROM c_move
+        WHERE seat_id IS NULL OR (seat_id IN (SELECT seat_id FROM b_seat) AND seat_id NOT IN (SELECT seat_id FROM c_left)))
+        WHERE seat_id IS NULL OR n = 1""",
 }
 query(
     "m06_update_tickets_seats",
@@ -216,6 +219,12 @@ query(
     .tables["ticket"]
     .selectExpr("ticket_id", "coalesce(upper(trim(status)), 'VALID') AS status")
 )
+query(
+    "m06_update_tickets_rejects",
+    """SELECT seq, CASE WHEN seat_id IN (SELECT seat_id FROM b_seat) THEN 'seat_taken' ELSE 'unknown_seat' END AS reason
+    FROM c_move WHERE ticket_id NOT IN (SELECT ticket_id FROM c_moved)""",
+    MOVES,
+)(lambda t, read: changes.update_tickets(t, ticket_moves(t, read)).rejects.select("seq", "reason"))
 query(
     "m07_issue_tickets",
     """WITH RECURSIVE sold AS (SELECT tcategory_id, count(*) AS sold FROM b_ticket GROUP BY ALL),

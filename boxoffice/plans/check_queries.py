@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from boxoffice.functions.columns import valid_seat_number
 from boxoffice.operators import candidates, checks
 from boxoffice.plans.registry import query
 from boxoffice.plans.report_queries import AS_OF, TS, stamp
+from boxoffice.schemas import TABLES
 
 # Candidate frames, in Spark and as SQL views.
 
@@ -376,3 +379,65 @@ query(
         "seq",
     )
 )
+
+
+# All declared rules of all tables; the SQL is written from the same specs, rule by rule.
+
+SQL_NAME = {"user_account": "b_user", "ticket_category": "b_category", "has_relationship": "b_link", "order_promotion": "b_use"}
+NOT_IN_SQL = ("event_artist", "role")  # an optional column that the mapping leaves empty
+
+
+def _counted(check):
+    def run(t, read) -> DataFrame:
+        found = []
+        for name in TABLES:
+            reason = F.explode(F.split("reason", ",")).alias("reason")
+            found.append(check(t[name], name).filter("NOT accepted").select(F.lit(name).alias("source"), reason))
+        return reduce(DataFrame.unionByName, found).groupBy("source", "reason").agg(F.count("*").alias("rows"))
+
+    return run
+
+
+def _counted_sql(rules) -> str:
+    """``rules``: (table, reason, condition under which a row breaks it)."""
+    rows = [
+        f"SELECT '{table}' AS source, '{reason}' AS reason, count(*) AS \"rows\" FROM {SQL_NAME.get(table, 'b_' + table)} WHERE {broken} HAVING count(*) > 0"
+        for table, reason, broken in rules
+    ]
+    return " UNION ALL ".join(rows)
+
+
+query(
+    "v12_rules_of_all_tables",
+    _counted_sql((n, f"check:{rule}", f"NOT ({text})") for n, spec in TABLES.items() for rule, text in spec.rules.items()),
+)(_counted(checks.check_rules))
+query(
+    "v13_nulls_of_all_tables",
+    _counted_sql((n, f"null:{c.name}", f'"{c.name}" IS NULL') for n, spec in TABLES.items() for c in spec.columns if not c.nullable),
+)(_counted(checks.check_not_null))
+query(
+    "v16_lengths_of_all_tables",
+    _counted_sql(
+        (n, f"length:{c.name}", f'length("{c.name}") > {c.length}')
+        for n, spec in TABLES.items()
+        for c in spec.columns
+        if c.length and (n, c.name) != NOT_IN_SQL
+    ),
+)(_counted(checks.check_lengths))
+
+
+def _keys_sql() -> str:
+    found = []
+    for name, spec in TABLES.items():
+        for kind, keys in [("key", spec.key), *[("unique", u) for u in spec.unique]]:
+            text = " || '|' || ".join(f'CAST("{k}" AS VARCHAR)' for k in keys)
+            found.append(
+                f"SELECT '{kind}:{name}({', '.join(keys)})' AS \"constraint\", {text} AS \"key\", count(*) AS \"rows\" "
+                f"FROM {SQL_NAME.get(name, 'b_' + name)} WHERE {text} IS NOT NULL GROUP BY ALL HAVING count(*) > 1"
+            )
+    return " UNION ALL ".join(found)
+
+
+query("v14_keys_of_all_tables", _keys_sql())(
+    lambda t, read: reduce(DataFrame.unionByName, [checks.check_keys(t, name) for name in TABLES])
+)
