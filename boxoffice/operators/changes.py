@@ -32,7 +32,10 @@ from boxoffice.sources.tables import Tables
 
 @dataclass
 class ChangeSet:
-    """New tables by name, and the rows that were refused, each with a ``reason``."""
+    """New tables by name, and the rows that were refused, each with a ``reason``.
+
+    Where several tables come from one verdict, the verdict is a table in the shared folder, computed once.
+    """
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
@@ -424,7 +427,7 @@ def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> DataFra
 
 def issue_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> ChangeSet:
     """Adds the admitted tickets and their seats."""
-    done = judge_tickets(t, cand, batch)
+    done = staged(judge_tickets(t, cand, batch), "tickets")
     admitted = done.filter("accepted")
     tickets = admitted.select("ticket_id", "ticket_code", "tcategory_id", "torder_id")
     if "status" in t["ticket"].columns:
@@ -496,7 +499,8 @@ def register_users(t: Tables, regs: DataFrame, batch: str = "registrations") ->
     whole = judged(
         known, [(F.col("role_id").isNull(), "unknown_role"), (nameless, "missing_name"), (too_long, "length")]
     )
-    named = check_usernames(t["user_account"], whole.filter("accepted").drop("accepted", "reason"))
+    whole = staged(whole, "registrations")
+    named = staged(check_usernames(t["user_account"], whole.filter("accepted").drop("accepted", "reason")), "names")
     new = named.filter("accepted")
 
     def rows(table: str, source: DataFrame) -> DataFrame:
@@ -584,7 +588,7 @@ def save_events(t: Tables, changes: DataFrame, batch: str = "events") -> ChangeS
     ``changes``: seq, event_id, user_id, role, organizer_id, title, date, time, venue_id, artist_ids,
     names, prices, quotas. Of several good forms for one event the last one counts.
     """
-    done = judge_events(t, changes, batch)
+    done = staged(judge_events(t, changes, batch), "events")
     used = ["event_id", "event_datetime", "title", "venue_id", "organizer_id", "_artists", "_lines", "seq"]
     last = _latest(done.filter("accepted").select(*used), ["event_id"])
     types = _types(t, "event")
