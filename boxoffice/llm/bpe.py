@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 1 << 18  # pieces and token pairs remembered by a task; then it starts anew
-MEMO_BYTES = 256  # longer pieces are not remembered
+from boxoffice.llm import splitting
+from boxoffice.llm.pretokenized import Pieces
+
+MEMO_ENTRIES = 1 << 18  # token pairs remembered by a process; then it starts anew
 
 
 def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -57,7 +59,7 @@ class Codec:
         for raw, rank in made:
             self.shorter[rank] = next((known[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in known), None)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.pieces = Pieces(lambda some: [np.array(self.piece(s.encode()), "<u4").tobytes() for s in some], 4, lambda some: [self.whole(s) for s in some])
 
     def compatible(self, left: int, right: int) -> bool:
         found = self.fits.get((left, right))
@@ -97,20 +99,14 @@ class Codec:
                 token = self.shorter[token]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        memo, found = self.memo, []
-        for p in self.pattern.findall(text):
-            ids = memo.get(p)
-            if ids is None:
-                raw = p.encode()
-                ids = np.array(self.piece(raw), "<u4").tobytes()
-                if len(raw) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[p] = ids
-            found.append(ids)
-        return b"".join(found)
+    def whole(self, text: str) -> bytes:
+        """Ids of one text as little-endian unsigned 32-bit numbers."""
+        return np.array([i for p in self.pattern.findall(text) for i in self.piece(p.encode())], "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.pattern.pattern != splitting.PATTERN:
+            return [self.whole(t) for t in texts]
+        return self.pieces.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -144,8 +140,7 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, ids: bool = True) ->
         codec = codec_of(CODECS.setdefault(key, []), shared.value, pattern)
         for batch in batches:
             kept, counts, hashes, decoded = [], [], [], []
-            for text in batch.column("text"):
-                raw = codec.encode(text.as_py() or "")
+            for raw in codec.encode([t or "" for t in batch.column("text").to_pylist()]):
                 kept.append(raw if ids else None)
                 counts.append(len(raw) // 4)
                 hashes.append(hashlib.sha256(raw).hexdigest())

@@ -9,25 +9,31 @@ import numpy as np
 from boxoffice.llm.splitting import is_settled, split
 from boxoffice.llm.words import span_hashes
 
-MEMO_ENTRIES = 1 << 19  # pieces remembered by a process; then it starts anew
+MEMO_ENTRIES = 1 << 18  # pieces in each of two generations that a process remembers
 MEMO_BYTES = 256  # longer pieces are not remembered
 PIECE_CHARS = 1 << 20  # characters split at a time; a longer text is split by itself
 
 
+Encode = Callable[[list[str]], list[bytes]]
+
+
 class Pieces:
-    """``encode_pieces`` gives the serialised ids of some strings; of texts, pieces of the byte-level
-    pattern and their joined ids are the same, as merges never cross pieces."""
+    """``encode_pieces`` gives the serialised ids of some pieces of the byte-level pattern, ``id_bytes`` bytes
+    an id, and ``encode_texts`` those of whole texts. Both are the same ids, as merges never cross pieces."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_pieces: Encode, id_bytes: int, encode_texts: Encode):
         self.encode_pieces = encode_pieces
+        self.encode_texts = encode_texts
+        self.kind = f"<u{id_bytes}"
         self.memo: dict[int, bytes] = {}
+        self.earlier: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
         for k, text in enumerate(texts):
             if not is_settled(text):
-                out[k] = self.encode_pieces([text])[0]
+                out[k] = self.encode_texts([text])[0]
                 continue
             if held and size + len(text) > PIECE_CHARS:
                 self.some(texts, held, out)
@@ -37,20 +43,40 @@ class Pieces:
         self.some(texts, held, out)
         return out
 
+    def distinct(self, hashes: list[int], span: Callable[[int], bytes]) -> list[bytes]:
+        """Ids of distinct pieces, known by their hashes."""
+        ids = list(map(self.memo.get, hashes))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if not missing:
+            return ids
+        older = list(map(self.earlier.get, [hashes[k] for k in missing]))
+        new = [k for k, x in zip(missing, older, strict=True) if x is None]
+        spans = [span(k) for k in new]
+        found = dict(zip(new, self.encode_pieces([s.decode() for s in spans]) if new else [], strict=True))
+        if len(self.memo) + len(missing) > MEMO_ENTRIES:
+            self.earlier, self.memo = self.memo, {}
+        for k, x in zip(missing, older, strict=True):
+            ids[k] = self.memo[hashes[k]] = found[k] if x is None else x
+        for k, s in zip(new, spans, strict=True):
+            if len(s) > MEMO_BYTES:
+                del self.memo[hashes[k]]
+        return ids
+
     def some(self, texts: list[str], rows: list[int], out: list[bytes]) -> None:
+        if not rows:
+            return
         data, starts, first = split([texts[k] for k in rows])
         hashes, one, which = np.unique(span_hashes(data, starts[:-1], starts[1:]), return_index=True, return_inverse=True)
-        memo = self.memo
-        ids = [memo.get(h) for h in hashes.tolist()]
-        new = [k for k, x in enumerate(ids) if x is None]
-        if new:
-            raw = data.tobytes()
-            spans = [raw[starts[one[k]] : starts[one[k] + 1]] for k in new]
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-            for k, span, found in zip(new, spans, self.encode_pieces([s.decode() for s in spans]), strict=True):
-                ids[k] = found
-                if len(span) <= MEMO_BYTES:
-                    memo[int(hashes[k])] = found
-        for row, a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            out[row] = b"".join([ids[k] for k in which[a:b].tolist()])
+        raw = data.tobytes()
+        begins, ends = starts[one].tolist(), starts[one + 1].tolist()
+        ids = self.distinct(hashes.tolist(), lambda k: raw[begins[k] : ends[k]])
+        # the ids of the distinct pieces, dealt out to all pieces
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        counts = np.array([len(x) for x in ids], np.int64) // pool.itemsize
+        at = np.cumsum(counts) - counts
+        sizes = counts[which]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        dealt = pool[np.arange(bounds[-1]) + np.repeat(at[which] - bounds[:-1], sizes)].tobytes()
+        cuts = (bounds[first] * pool.itemsize).tolist()
+        for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            out[row] = dealt[a:b]

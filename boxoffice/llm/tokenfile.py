@@ -17,7 +17,9 @@ filter on the index that reaches the files, and is decompressed without its neig
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,16 +44,44 @@ ENTRY = "struct<doc_id: long, start: long, n_tokens: long, offset: long, size: l
 BLOCK = f"part int, block int, dictionary_hash string, payload binary, entries array<{ENTRY}>"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def splits_alike(tokenizer_file: str) -> bool:
+    """Whether the file asks for the byte-level split and nothing else before its model."""
+    spec = json.loads(tokenizer_file)
+    before = spec.get("pre_tokenizer") or {}
+    byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(byte_level and spec.get("normalizer") is None and spec["model"].get("type") == "BPE")
+
+
 class Encoder:
     """Ids by the tokenizers library, from the text of a tokenizer file."""
 
     def __init__(self, tokenizer_file: str):
-        tokenizer = Tokenizer.from_str(tokenizer_file)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.id_bytes = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-        kind = f"<u{self.id_bytes}"
-        self.pieces = Pieces(lambda some: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-        self.end = np.array([END_ID], kind).tobytes()
+        self.tokenizer = Tokenizer.from_str(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.id_bytes == 2 else "I"  # as wide on all platforms that Spark runs on, little-endian
+        self.pieces = Pieces(self.split_pieces if splits_alike(tokenizer_file) else self.texts, self.id_bytes, self.texts)
+        self.end = np.array([END_ID], f"<u{self.id_bytes}").tobytes()
+
+    def texts(self, strings: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def split_pieces(self, strings: list[str]) -> list[bytes]:
+        """Strings that the split leaves whole go straight to the library's model, which sees bytes as letters."""
+        tokenize = self.tokenizer.model.tokenize
+        spelled = [s.encode().decode("latin-1").translate(BYTE_LETTERS) for s in strings]
+        return [array(self.code, [x.id for x in tokenize(s)]).tobytes() for s in spelled]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of texts, with the end id."""

@@ -1,5 +1,6 @@
 """Round trips through the files, against the library on whole texts."""
 
+import random
 import tempfile
 import zlib
 
@@ -57,3 +58,12 @@ def test_whole_table(spark, library):
         assert got.pop(i) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert not got
+
+
+def test_pieces_by_the_model(library):
+    encode = tokenfile.Encoder(open(PATH, encoding="utf-8").read())
+    rng = random.Random(3)
+    alphabet = [*"aZé1 \n\t'.漢🙂\x00\x7f\xa0", "ing", "the ", "  ", "'ll"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    assert encode(texts) == [np.array(library(t), "<u2").tobytes() for t in texts]
+    assert encode.pieces.encode_pieces == encode.split_pieces
