@@ -38,9 +38,9 @@ def formatted(conversations: DataFrame) -> DataFrame:
     rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     turns = whole.select("conv_id", F.size("turns").alias("n"), F.posexplode("turns").alias("at", "said")).select("conv_id", "n", "at", "said.role", "said.text")
-    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     prefixes = turns.select("conv_id", "n", (F.col("at") + 1).alias("k"), turn_hash(1).alias("a"), turn_hash(2).alias("b")).select(
-        "conv_id", "n", "k", F.bit_xor("a").over(so_far.orderBy("k")).alias("a"), F.bit_xor("b").over(so_far.orderBy("k")).alias("b")
+        "conv_id", "n", "k", F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b")
     )
     key = ["k", "a", "b"]
     ends = prefixes.filter("k = n").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
