@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from boxoffice.llm import pii
@@ -112,6 +113,20 @@ def test_odd_rows(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
+def test_every_match_holds_a_mark():
+    rng = random.Random(9)
+    pattern = regex.compile(pii.PATTERN)
+    parts = ["Mr ", "Mrs. ", "Bo", "Kovač", "+1", "+49", "(743)", "555", "-", ".", " ", "3824", "tOken", "API-key", "=", "a" * 16, "AKIA", "DE89", "A" * 11, "sk-", "ghp_", "@", "x.com", "12", "9", "Г-жа ", "192.168.1.7"]
+    found = 0
+    for _ in range(60_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        if pattern.search(text):
+            found += 1
+            marked = any(m in text for m in pii.MARKS) or any(m in text.lower() for m in pii.ANY_CASE_MARKS) or regex.search(pii.DIGIT_MARK, text)
+            assert marked, text
+    assert found > 5000
+
+
 @pytest.mark.parametrize("text", ["", "no entities 2024-01-15, 3.14, 10:30, v1.2.3, 12345678", "a@b", "Mister Ed"])
 def test_clean_text_stays(spark, text):
     assert replaced(spark, [(1, text)]) == [(1, text, 0)]
