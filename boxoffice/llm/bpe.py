@@ -59,7 +59,7 @@ class Codec:
         for raw, rank in made:
             self.shorter[rank] = next((known[raw[:n]] for n in range(len(raw) - 1, 0, -1) if raw[:n] in known), None)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Pieces(lambda some: [np.array(self.piece(s.encode()), "<u4").tobytes() for s in some], 4, lambda some: [self.whole(s) for s in some])
+        self.pieces = Pieces(lambda some: [np.array(self.piece(raw), "<u4").tobytes() for raw in some], 4, lambda some: [self.whole(s) for s in some])
 
     def compatible(self, left: int, right: int) -> bool:
         found = self.fits.get((left, right))

@@ -70,18 +70,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.id_bytes == 2 else "I"  # as wide on all platforms that Spark runs on, little-endian
-        self.pieces = Pieces(self.split_pieces if splits_alike(tokenizer_file) else self.texts, self.id_bytes, self.texts)
+        by_model = splits_alike(tokenizer_file)
+        self.pieces = Pieces(self.split_pieces if by_model else lambda raw: self.texts([r.decode() for r in raw]), self.id_bytes, self.texts)
         self.end = np.array([END_ID], f"<u{self.id_bytes}").tobytes()
 
     def texts(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def split_pieces(self, strings: list[str]) -> list[bytes]:
-        """Strings that the split leaves whole go straight to the library's model, which sees bytes as letters."""
-        tokenize = self.tokenizer.model.tokenize
-        spelled = [s.encode().decode("latin-1").translate(BYTE_LETTERS) for s in strings]
-        return [array(self.code, [x.id for x in tokenize(s)]).tobytes() for s in spelled]
+    def split_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces that the split leaves whole go straight to the library's model, which sees bytes as letters."""
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        return [array(code, [x.id for x in tokenize(p.decode("latin-1").translate(BYTE_LETTERS))]).tobytes() for p in pieces]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of texts, with the end id."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from boxoffice.llm import tokenfile
+from boxoffice.llm import pretokenized, tokenfile
 from boxoffice.llm.queries import QUERIES
 
 PATH = P.path("byte_bpe_50k.json")
@@ -67,3 +67,14 @@ def test_pieces_by_the_model(library):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
     assert encode(texts) == [np.array(library(t), "<u2").tobytes() for t in texts]
     assert encode.pieces.encode_pieces == encode.split_pieces
+
+
+def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
+    monkeypatch.setattr(pretokenized, "MEMO_ENTRIES", 20)
+    monkeypatch.setattr(pretokenized, "PIECE_CHARS", 100)
+    encode = tokenfile.Encoder(open(PATH, encoding="utf-8").read())
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "béta", "gamma", "δ", "word" * 90]) + str(rng.randrange(30)) for _ in range(rng.randrange(0, 30))) for _ in range(200)]
+    for part in (texts[:100], texts[100:], texts):
+        assert encode(part) == [np.array(library(t), "<u2").tobytes() for t in part]
+    assert len(encode.pieces.known) <= 200
