@@ -60,21 +60,38 @@ LETTERS = {
 }
 
 WORD_BEFORE, WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-TITLE = rf"{WORD_BEFORE}(?:{'|'.join(FEMALE + MALE + EITHER)})\.? "
-NAME = r"\p{Lu}(?:[\p{Ll}\p{M}]++|\p{Lu}++)(?:-\p{Lu}(?:[\p{Ll}\p{M}]++|\p{Lu}++))*+"
-KEYWORD = rf"{WORD_BEFORE}(?i:token|secret|password|api[_-]?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?"
+ONE_TITLE = rf"(?:{'|'.join(FEMALE + MALE + EITHER)})"
+DEGREE = r"(?:med|dent|vet|phil|rer|nat|pol|oec|jur|theol|habil|mult|h|c|hc)\."
+GAP = r"[ \t\xa0]{1,2}"
+# several may be stacked; a line may end after one
+TITLE = rf"{WORD_BEFORE}(?:{ONE_TITLE}(?:\.?-Ing)?(?:\.\s?|[\s\xa0]{{1,2}})(?:{DEGREE} ?)*+){{1,5}}"
+# a word of a name: O'Brien, d'Arc, al-Rashid, McDonald, Anna-Maria, but of Smith's only Smith; an initial with its dot
+SHORTENED = r"(?:s|ll|d|ve|re|m|t)(?!\p{L})"
+WORD = rf"(?:\p{{Ll}}{{1,5}}['’-])?\p{{Lu}}(?:\.|[\p{{L}}\p{{M}}]*+(?:(?:-|['’](?!{SHORTENED}))\p{{L}}[\p{{L}}\p{{M}}]*+)*+)"
+INITIAL = r"^\p{Lu}\.?$"
+PARTICLE = rf"(?:von|vom|van|vander|und|zu|zur|zum|de|del|della|dello|degli|dei|der|den|di|da|das|do|dos|du|des|la|las|le|les|lo|los|ter|ten|te|af|av|bin|bint|ibn|ben|al|el|abu|san|st\.|y|e|i|'t){GAP}"
+# further words: no title of the next person, no Jr, no bare letter unless a name goes on
+FURTHER = rf"(?!{ONE_TITLE}(?:\. ?|{GAP})\p{{Lu}}|(?:Jr|Sr|II|III|IV|PhD|MD)(?!\p{{L}})|\p{{Lu}}(?![\p{{L}}\p{{M}}.'’-]|{GAP}\p{{Lu}}|$))"
+NAME = rf"(?:{PARTICLE}){{0,4}}(?!{ONE_TITLE}(?:\. ?|{GAP})\p{{Lu}}){WORD}(?:(?:{GAP}(?:{PARTICLE}){{0,4}}|(?<=\.)-?){FURTHER}{WORD})*+"
+KEYWORD = rf"{WORD_BEFORE}(?i:token|secret|password|api[_-]?key)[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
+# a secret after a keyword: anything in quotes, else a long word or a shorter one with a digit
+QUOTED = "|".join(rf"(?<={q})(?=[^{q}\r\n]*[\p{{L}}0-9])[^{q}\r\n]{{4,200}}+(?={q}|$)" for q in "\"'")
+SIGN = r"(?:[A-Za-z0-9+/_=!@#$%^*~-]|&(?![A-Za-z_]+=)|\.(?=[A-Za-z0-9]))"
+BARE = rf"(?=[^\s\d]{{0,64}}\d){SIGN}{{4,}}+|[A-Za-z0-9+/_-]{{16,}}+"
+# four signs of an IBAN; letters alone only before a group with a digit
+GROUP = r"(?:(?=[A-Z]{0,3}\d)[A-Z0-9]{4}|[A-Z]{4}(?= [A-Z]{0,3}\d))"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 # Kinds in the order in which they are tried
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": rf"{KEYWORD}[A-Za-z0-9+/_-]{{16,}}+|{WORD_BEFORE}(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}+){WORD_AFTER}",
-    "iban": rf"{WORD_BEFORE}[A-Z]{{2}}\d\d(?:[A-Z0-9]{{11,30}}|(?: \d{{4}}){{3,6}}(?: \d{{1,3}})?){WORD_AFTER}",
-    "card": r"(?<![\p{L}\p{N}.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])",
+    "secret": rf"{KEYWORD}(?:{QUOTED}|{BARE})|{WORD_BEFORE}(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}+){WORD_AFTER}",
+    "iban": rf"{WORD_BEFORE}[A-Z]{{2}}\d\d(?:[A-Z0-9]{{11,30}}|(?<=(?:MU|SC)\d\d)(?: {GROUP}){{5,6}} [A-Z]{{2,3}}|(?: {GROUP}){{3,7}}(?: (?=[A-Z]{{0,2}}\d)[A-Z0-9]{{1,3}})?|(?: {GROUP}){{2}} (?=[A-Z]{{0,2}}\d)[A-Z0-9]{{3}}){WORD_AFTER}",
+    "card": r"(?<![\p{L}\p{N}.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "ssn": rf"(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d\d-\d{{4}}(?![\p{{L}}\p{{N}}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\p{L}\p{N}])",
-    "person": rf"{TITLE}{NAME}(?: {NAME})?",
+    "person": rf"{TITLE}{NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -144,6 +161,10 @@ def drawn(kind: str, norm: str, seed: str, attempt: str, key: str) -> str:
         f"{kind} = 'secret' AND {norm} RLIKE '^([0-9a-f]+|[0-9A-F]+)$'": f"CASE WHEN {norm} RLIKE '[A-F]' THEN upper({hexed(norm, seed)}) ELSE {hexed(norm, seed)} END",
         f"{kind} IN ('secret', 'ssn')": scrambled(norm, seed),
     }
+    # each letter another one by the same shift: as few as they are, initials are not counted against each other
+    for letters, alphabet in (("cyrillic", LETTERS[r"\p{IsCyrillic}"]), ("greek", LETTERS[r"\p{IsGreek}"]), ("latin", LETTERS["[a-z]"])):
+        shift = f"1 + {draw(f'sha2({key}, 256)', '0', len(alphabet) - 1)}"
+        cases[f"{kind} = 'initial' AND {script(norm)} = '{letters}'"] = f"substr({quoted(alphabet)}, 1 + (greatest(instr({quoted(alphabet)}, {norm}) - 1, 0) + {shift}) % {len(alphabet)}, 1)"
     for (what, letters), pool in names.items():
         more = f"array_join(transform(sequence(1, {attempt}), j -> {picked(SYLLABLES[letters], seed, 'j')}), '')"
         ending = f"CASE WHEN {norm} LIKE '%а' THEN 'а' ELSE '' END" if (what, letters) == ("family", "cyrillic") else "''"
@@ -170,17 +191,28 @@ def kind_of(m: str) -> str:
     return f"CASE WHEN {is_card} THEN CASE WHEN {luhn(digits)} = 0 THEN 'card' END {tests} END"
 
 
+def name_of(m: str) -> str:
+    return f"regexp_extract({m}, {quoted(f'^{TITLE}({NAME})$')}, 1)"
+
+
+def name_words(name: str) -> str:
+    return f"regexp_extract_all({name}, {quoted(WORD)}, 0)"
+
+
 def units_of(kind: str, m: str) -> str:
-    """SQL for the entities in a match, as (kind, norm): one, or given and family name."""
+    """SQL for the entities in a match, as (kind, norm): one, or the words of a name, the last of which is the family name."""
     one = lambda k, norm: f"array(named_struct('kind', {k}, 'norm', {norm}))"
-    group = lambda p: f"regexp_extract({m}, {quoted(p)}, 1)"
-    first, second = group(f"^{TITLE}({NAME})"), group(f"^{TITLE}{NAME} ({NAME})$")
     titled = lambda titles: f"{m} RLIKE {quoted(f'^(?:{"|".join(titles)})[. ]')}"
     given = f"CASE WHEN {titled(FEMALE)} THEN 'given_f' WHEN {titled(MALE)} THEN 'given_m' ELSE 'given_x' END"
-    full = f"concat({one(given, f'lower({first})')}, {one("'family'", f'lower({second})')})"
+    words = name_words(name_of(m))
+    is_initial = f"w RLIKE {quoted(INITIAL)}"
+    last = f"array_max(transform({words}, (w, p) -> CASE WHEN {is_initial} THEN -1 ELSE p END))"
+    what = f"CASE WHEN {is_initial} THEN 'initial' WHEN p = last THEN 'family' ELSE {given} END"
+    norm = f"CASE WHEN {is_initial} THEN lower(substr(w, 1, 1)) ELSE replace(lower(w), '’', '\\'') END"
+    named = f"flatten(transform(array({last}), last -> transform({words}, (w, p) -> named_struct('kind', {what}, 'norm', {norm}))))"
     dialled = f"regexp_replace({m}, '[^0-9+]', '')"
     return f"""CASE
-      WHEN {kind} = 'person' THEN CASE WHEN {second} = '' THEN {one("'family'", f"lower({first})")} ELSE {full} END
+      WHEN {kind} = 'person' THEN {named}
       WHEN {kind} = 'email' THEN {one(kind, f"lower({m})")}
       WHEN {kind} = 'secret' THEN {one(kind, f"regexp_replace({m}, {quoted(f'^{KEYWORD}')}, '')")}
       WHEN {kind} = 'iban' THEN {one(kind, f"replace({m}, ' ', '')")}
@@ -193,11 +225,14 @@ def units_of(kind: str, m: str) -> str:
 def written(kind: str, m: str, subs: str) -> str:
     """SQL for a match with its entities replaced by ``subs``, in the form of the match."""
     sub = f"{subs}[0]"
-    title, first, second = (f"regexp_extract({m}, {quoted(p)}, 1)" for p in (f"^({TITLE})", f"^{TITLE}({NAME})", f"^{TITLE}{NAME} ({NAME})$"))
+    name = name_of(m)
+    word = f"CASE WHEN w RLIKE {quoted(INITIAL)} THEN concat(upper({subs}[p]), substr(w, 2)) ELSE {cased('w', f'{subs}[p]')} END"
+    # what stands between the words of a name stays
+    renamed = f"array_join(zip_with(split({name}, {quoted(WORD)}, -1), transform({name_words(name)}, (w, p) -> {word}), (a, b) -> concat(a, coalesce(b, ''))), '')"
     capitals = f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN substr({m}, i, 1) RLIKE {quoted(r'\p{Lu}')} THEN upper(substr({sub}, i, 1)) ELSE substr({sub}, i, 1) END), '')"
     return f"""CASE
       WHEN {kind} IS NULL THEN {m}
-      WHEN {kind} = 'person' THEN concat({title}, {cased(first, sub)}, CASE WHEN {second} = '' THEN '' ELSE concat(' ', {cased(second, f"{subs}[1]")}) END)
+      WHEN {kind} = 'person' THEN concat(substr({m}, 1, length({m}) - length({name})), {renamed})
       WHEN {kind} = 'email' THEN {capitals}
       WHEN {kind} = 'secret' THEN concat(regexp_extract({m}, {quoted(f"^({KEYWORD})?")}, 0), {sub})
       WHEN {kind} = 'iban' THEN {laid(m, sub, "A-Z0-9")}
@@ -249,7 +284,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     found = with_mentions(base).withColumn("text_hash", F.xxhash64("text"))
     unit = F.explode(F.flatten("found.units")).alias("u")
     said = staged(found.filter("size(found) > 0").select("text_hash", unit).select("text_hash", "u.kind", "u.norm").distinct(), "mentions")
-    final = settled(said.select("kind", "norm").distinct(), key)
+    final = settled(said.filter("kind <> 'initial'").select("kind", "norm").distinct(), key)
     redrawn = said.join(final.filter("attempt > 0").select("kind", "norm", "attempt"), ["kind", "norm"])
     redrawn = redrawn.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("again"))
     df = found.join(staged(redrawn, "redrawn"), "text_hash", "left")

@@ -130,3 +130,47 @@ def test_every_match_holds_a_mark():
 @pytest.mark.parametrize("text", ["", "no entities 2024-01-15, 3.14, 10:30, v1.2.3, 12345678", "a@b", "Mister Ed"])
 def test_clean_text_stays(spark, text):
     assert replaced(spark, [(1, text)]) == [(1, text, 0)]
+
+
+WHOLE = [  # each is one mention; no word of it may stay but titles and particles
+    "Frau Anna Maria Schmidt",
+    "Mr John F. Kennedy",
+    "Mr John F Kennedy",
+    "Dr. J.-P. McDonald",
+    "Mrs O'Brien",
+    "Herr von Berg",
+    "Prof. Dr. Weber",
+    "Dr. med. Anna-Lena van der Groß",
+    "GB29 NWBK 6016 1331 9268 19",
+    "NL91 ABNA 0417 1643 00",
+    "MU17 BOMM 0101 1010 3030 0200 000M UR",
+    "3782 822463 10005",
+    "password=hunter2",
+    'password: "correct horse!"',
+    '"api_key": "swordfish"',
+]
+STAY = {"Frau", "Mr", "Dr", "Mrs", "Herr", "Prof", "von", "van", "der", "med", "GB", "NL", "MU", "password", "api_key"}
+
+
+def test_whole_mentions(spark):
+    rows = [(k, f"so {m}, they say") for k, m in enumerate(WHOLE)]
+    for (_, new, n), said in zip(replaced(spark, rows), WHOLE, strict=True):
+        assert n == 1 and new.startswith("so ") and new.endswith(", they say"), new
+        new = new[3:-10]
+        kept = set(re.findall(r"\w{2,}", said)) & set(re.findall(r"\w{2,}", new))
+        assert kept <= STAY, (said, new)
+        signs = lambda text: re.sub(r"[\w'-]", "", text)
+        assert signs(said) == signs(new), (said, new)
+
+
+def test_words_of_a_name_are_the_same_everywhere(spark):
+    rows = [(1, "Mr John F. Kennedy's, Mr Kennedy Mrs KENNEDY Jr and Herr F. John; Dr T said I"), (2, "password: required, NL91 ABNA 0417 1643 00 THIS IS")]
+    one, two = replaced(spark, rows)
+    m = re.fullmatch(r"Mr (\w+) ([A-Z])\. (\w+)'s, Mr (\w+) Mrs (\w+) Jr and Herr ([A-Z])\. \w+; Dr ([A-Z]) said I", one[1])
+    assert m and one[2] == 5 and m[3] == m[4] == m[5].title() and m[5].isupper() and m[2] == m[6] != "F" and m[7] != "T"
+    assert re.fullmatch(r"password: required, NL\d\d [A-Z]{4}( \d{4}){2} \d\d THIS IS", two[1]) and two[2] == 1
+
+
+def test_long_runs_of_names(spark):
+    long = "Mr " + "Aa " * 30_000 + "x"
+    assert "Aa" not in replaced(spark, [(1, long)])[0][1]
