@@ -7,7 +7,7 @@ entity gets the same replacement everywhere, also where it is written otherwise.
 
 Different entities must get different replacements, and none may be the normal form of another entity of
 the tables. So all distinct entities and their replacements are counted against each other; where two meet,
-all but one draw again, until none do. Only entities that drew again travel to the texts: a table that is
+all but one draw again, from some draw on in longer and longer forms, until none do. Only entities that drew again travel to the texts: a table that is
 empty or nearly so, joined by a hash of the text, which Spark broadcasts only if its files are small.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.llm.staging import drop, staged
 
-MOST_ROUNDS = 60
+KEPT_DRAWS = 4  # draws in the form of the original; each one after them has a sign more, so that all settle
 
 # Titles by gender; a name stands after one of them
 FEMALE = "Mrs Ms Miss Frau Señora Señorita Sra Madame Mme Mlle Signora Г-жа Госпожа Κυρία".split()
@@ -132,6 +132,12 @@ def hexed(text: str, seed: str) -> str:
     return f"array_join(transform(sequence(1, length({text})), i -> lower(hex({draw(seed, 'i', 16)}))), '')"
 
 
+def more(alphabet: str, seed: str, attempt: str) -> str:
+    """A sign for each attempt after the first ones."""
+    sign = f"substr({quoted(alphabet)}, 1 + {draw(seed, 'j + 1000000', len(alphabet))}, 1)"
+    return f"CASE WHEN {attempt} < {KEPT_DRAWS} THEN '' ELSE array_join(transform(sequence(1, {attempt} - {KEPT_DRAWS - 1}), j -> {sign}), '') END"
+
+
 def luhn(digits: str) -> str:
     """The check sum of a card number, 0 if it is right."""
     digit = f"CAST(substr({digits}, length({digits}) + 1 - i, 1) AS INT)"
@@ -146,37 +152,47 @@ def script(text: str) -> str:
 def drawn(kind: str, norm: str, seed: str, attempt: str, key: str) -> str:
     """SQL for the replacement of a normal form."""
     local, domain, tld = (f"regexp_extract({norm}, {quoted(p)}, 1)" for p in ("^(.*)@", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
-    body = f"concat(substr({norm}, 1, 1), {scrambled(f'substr({norm}, 2, length({norm}) - 2)', seed)})"
+    digits, letters_too = more("0123456789", seed, attempt), more("abcdefghijklmnopqrstuvwxyz", seed, attempt)
+    body = f"concat(substr({norm}, 1, 1), {scrambled(f'substr({norm}, 2, length({norm}) - 2)', seed)}, {digits})"
+    private = f"{norm} RLIKE {quoted(r'^(10|127)\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.')}"
+    octets = [f"{draw(seed, str(k), 254)} + 1" for k in (1, 2, 3)]
+    ipv6 = ", ".join(f"substr({seed}, {k}, 4)" for k in range(1, 29, 4))
     names = {("family", s): n for s, n in FAMILY.items()} | {(f"given_{g}", s): n for (g, s), n in GIVEN.items()}
     cases = {
-        f"{kind} = 'email'": f"concat({scrambled(local, seed)}, '@', {scrambled(domain, f'sha2(concat({key}, {domain}), 256)')}, {tld})",
+        f"{kind} = 'email'": f"concat({scrambled(local, seed)}, {letters_too}, '@', {scrambled(domain, f'sha2(concat({key}, {domain}), 256)')}, {tld})",
         f"{kind} = 'card'": f"transform(array({body}), b -> concat(b, (10 - {luhn("concat(b, '0')")}) % 10))[0]",
-        f"{kind} = 'ip' AND {norm} RLIKE {quoted(r'^(10|127)\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.')}": f"concat(regexp_extract({norm}, {quoted(r'^(\d+\.\d+\.)')}, 1), {draw(seed, '1', 254)} + 1, '.', {draw(seed, '2', 254)} + 1)",
-        f"{kind} = 'ip'": f"concat({draw(seed, '0', 100)} + 11, '.', {draw(seed, '1', 254)} + 1, '.', {draw(seed, '2', 254)} + 1, '.', {draw(seed, '3', 254)} + 1)",
+        # a private network that has too few addresses gives way to 10.0.0.0/8, that to all, these to IPv6
+        f"{kind} = 'ip' AND {attempt} >= {4 * KEPT_DRAWS}": f"concat_ws(':', 'fd00', {ipv6})",
+        f"{kind} = 'ip' AND {private} AND {attempt} < {KEPT_DRAWS}": f"concat(regexp_extract({norm}, {quoted(r'^(\d+\.\d+\.)')}, 1), {octets[0]}, '.', {octets[1]})",
+        f"{kind} = 'ip' AND {private} AND {attempt} < {2 * KEPT_DRAWS}": f"concat_ws('.', '10', {', '.join(octets)})",
+        f"{kind} = 'ip'": f"concat_ws('.', {draw(seed, '0', 100)} + 11, {', '.join(octets)})",
         # the country code stays; no area or exchange code begins with 0 or 1
-        f"{kind} = 'phone' AND {norm} LIKE '+%'": f"concat(substr({norm}, 1, 3), {scrambled(f'substr({norm}, 4)', seed)})",
-        f"{kind} = 'phone'": f"concat({draw(seed, '-1', 8)} + 2, {scrambled(f'substr({norm}, 2, 2)', seed)}, {draw(seed, '-2', 8)} + 2, {scrambled(f'substr({norm}, 5)', f'reverse({seed})')})",
-        f"{kind} = 'iban'": f"concat(substr({norm}, 1, 2), {scrambled(f'substr({norm}, 3)', seed)})",
-        f"{kind} = 'secret' AND {norm} RLIKE '^(AKIA|gh[pousr]_|sk-)'": f"concat(regexp_extract({norm}, '^(AKIA|gh[pousr]_|sk-)', 1), {scrambled(f'substr({norm}, length(regexp_extract({norm}, {quoted("^(AKIA|gh[pousr]_|sk-)")}, 1)) + 1)', seed)})",
-        f"{kind} = 'secret' AND {norm} RLIKE '^([0-9a-f]+|[0-9A-F]+)$'": f"CASE WHEN {norm} RLIKE '[A-F]' THEN upper({hexed(norm, seed)}) ELSE {hexed(norm, seed)} END",
-        f"{kind} IN ('secret', 'ssn')": scrambled(norm, seed),
+        f"{kind} = 'phone' AND {norm} LIKE '+%'": f"concat(substr({norm}, 1, 3), {scrambled(f'substr({norm}, 4)', seed)}, {digits})",
+        f"{kind} = 'phone'": f"concat({draw(seed, '-1', 8)} + 2, {scrambled(f'substr({norm}, 2, 2)', seed)}, {draw(seed, '-2', 8)} + 2, {scrambled(f'substr({norm}, 5)', f'reverse({seed})')}, {digits})",
+        f"{kind} = 'iban'": f"concat(substr({norm}, 1, 2), {scrambled(f'substr({norm}, 3)', seed)}, {digits})",
+        f"{kind} = 'secret' AND {norm} RLIKE '^(AKIA|gh[pousr]_|sk-)'": f"concat(regexp_extract({norm}, '^(AKIA|gh[pousr]_|sk-)', 1), {scrambled(f'substr({norm}, length(regexp_extract({norm}, {quoted("^(AKIA|gh[pousr]_|sk-)")}, 1)) + 1)', seed)}, {digits})",
+        f"{kind} = 'secret' AND {norm} RLIKE '^([0-9a-f]+|[0-9A-F]+)$'": f"concat(CASE WHEN {norm} RLIKE '[A-F]' THEN upper({hexed(norm, seed)}) ELSE {hexed(norm, seed)} END, {digits})",
+        f"{kind} IN ('secret', 'ssn')": f"concat({scrambled(norm, seed)}, {digits})",
     }
     # each letter another one by the same shift: as few as they are, initials are not counted against each other
     for letters, alphabet in (("cyrillic", LETTERS[r"\p{IsCyrillic}"]), ("greek", LETTERS[r"\p{IsGreek}"]), ("latin", LETTERS["[a-z]"])):
         shift = f"1 + {draw(f'sha2({key}, 256)', '0', len(alphabet) - 1)}"
         cases[f"{kind} = 'initial' AND {script(norm)} = '{letters}'"] = f"substr({quoted(alphabet)}, 1 + (greatest(instr({quoted(alphabet)}, {norm}) - 1, 0) + {shift}) % {len(alphabet)}, 1)"
     for (what, letters), pool in names.items():
-        more = f"array_join(transform(sequence(1, {attempt}), j -> {picked(SYLLABLES[letters], seed, 'j')}), '')"
+        syllables = f"array_join(transform(sequence(1, {attempt}), j -> {picked(SYLLABLES[letters], seed, 'j')}), '')"
         ending = f"CASE WHEN {norm} LIKE '%а' THEN 'а' ELSE '' END" if (what, letters) == ("family", "cyrillic") else "''"
-        cases[f"{kind} = '{what}' AND {script(norm)} = '{letters}'"] = f"concat({picked(pool, seed, '0')}, CASE WHEN {attempt} > 0 THEN {more} ELSE '' END, {ending})"
+        cases[f"{kind} = '{what}' AND {script(norm)} = '{letters}'"] = f"concat({picked(pool, seed, '0')}, CASE WHEN {attempt} > 0 THEN {syllables} ELSE '' END, {ending})"
     return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases.items()) + f" ELSE {norm} END"
 
 
-def laid(said: str, new: str, chars: str) -> str:
-    """``said`` with its characters of the class ``chars`` replaced, the last ones by those of ``new``."""
+def laid(said: str, new: str, chars: str, length: str | None = None) -> str:
+    """``said`` with its characters of the class ``chars`` replaced, the last ``length`` (all) ones by those of
+    ``new``, of which any more follow."""
     only = lambda text: f"regexp_replace({text}, {quoted(f'[^{chars}]')}, '')"
-    nth = f"(length({only(f'substr({said}, 1, i)')}) - length({only(said)}) + length({new}))"
-    return f"array_join(transform(sequence(1, length({said})), i -> CASE WHEN substr({said}, i, 1) RLIKE '[{chars}]' AND {nth} > 0 THEN substr({new}, {nth}, 1) ELSE substr({said}, i, 1) END), '')"
+    length = length or f"length({only(said)})"
+    nth = f"(length({only(f'substr({said}, 1, i)')}) - length({only(said)}) + {length})"
+    changed = f"array_join(transform(sequence(1, length({said})), i -> CASE WHEN substr({said}, i, 1) RLIKE '[{chars}]' AND {nth} > 0 THEN substr({new}, {nth}, 1) ELSE substr({said}, i, 1) END), '')"
+    return f"concat({changed}, substr({new}, {length} + 1))"
 
 
 def cased(like: str, new: str) -> str:
@@ -227,9 +243,10 @@ def written(kind: str, m: str, subs: str) -> str:
     sub = f"{subs}[0]"
     name = name_of(m)
     word = f"CASE WHEN w RLIKE {quoted(INITIAL)} THEN concat(upper({subs}[p]), substr(w, 2)) ELSE {cased('w', f'{subs}[p]')} END"
+    dialled = f"regexp_replace({m}, '[^0-9+]', '')"
     # what stands between the words of a name stays
     renamed = f"array_join(zip_with(split({name}, {quoted(WORD)}, -1), transform({name_words(name)}, (w, p) -> {word}), (a, b) -> concat(a, coalesce(b, ''))), '')"
-    capitals = f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN substr({m}, i, 1) RLIKE {quoted(r'\p{Lu}')} THEN upper(substr({sub}, i, 1)) ELSE substr({sub}, i, 1) END), '')"
+    capitals = f"array_join(transform(sequence(1, length({sub})), i -> CASE WHEN {m} = upper({m}) OR substr({m}, i, 1) RLIKE {quoted(r'\p{Lu}')} THEN upper(substr({sub}, i, 1)) ELSE substr({sub}, i, 1) END), '')"
     return f"""CASE
       WHEN {kind} IS NULL THEN {m}
       WHEN {kind} = 'person' THEN concat(substr({m}, 1, length({m}) - length({name})), {renamed})
@@ -237,6 +254,7 @@ def written(kind: str, m: str, subs: str) -> str:
       WHEN {kind} = 'secret' THEN concat(regexp_extract({m}, {quoted(f"^({KEYWORD})?")}, 0), {sub})
       WHEN {kind} = 'iban' THEN {laid(m, sub, "A-Z0-9")}
       WHEN {kind} = 'ip' THEN {sub}
+      WHEN {kind} = 'phone' AND {dialled} RLIKE '^[+]1[0-9]{{10}}$' THEN {laid(m, f"regexp_replace({sub}, '[^0-9]', '')", "0-9", "10")}
       ELSE {laid(m, f"regexp_replace({sub}, '[^0-9]', '')", "0-9")} END"""
 
 
@@ -263,7 +281,7 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
 def settled(entities: DataFrame, key: str) -> DataFrame:
     """``(kind, norm, attempt, sub)`` for distinct ``(kind, norm)``: no two share a ``sub``, none is a ``norm``."""
     now = staged(with_draw(entities.withColumn("attempt", F.lit(0)), key), "entities")
-    for _ in range(MOST_ROUNDS):
+    while True:
         holders = now.groupBy("kind", "sub").agg(F.min(F.struct("attempt", "norm")).alias("holder"), F.count("*").alias("n"))
         holders = holders.select("kind", "sub", F.col("holder.norm").alias("holder"), "n")
         taken = now.select("kind", F.col("norm").alias("sub"), F.lit(True).alias("taken"))
@@ -275,7 +293,6 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
         after = staged(now.join(again, ["kind", "norm"], "left_anti").unionByName(moved.select(now.columns)), "entities")
         drop(now)
         now = after
-    raise ValueError(f"replacements still meet after {MOST_ROUNDS} draws: a kind has fewer forms than entities")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:

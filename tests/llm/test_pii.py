@@ -174,3 +174,29 @@ def test_words_of_a_name_are_the_same_everywhere(spark):
 def test_long_runs_of_names(spark):
     long = "Mr " + "Aa " * 30_000 + "x"
     assert "Aa" not in replaced(spark, [(1, long)])[0][1]
+
+
+def test_crowded_forms_settle(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("email", f"{a}{b}@example.com") for a in letters for b in letters]
+    final = pii.settled(spark.createDataFrame(entities, "kind string, norm string"), KEY).collect()
+    subs = {r["sub"] for r in final}
+    assert len(final) == len(subs) == len(entities) and not subs & {n for _, n in entities}
+
+
+@pytest.mark.parametrize("kind, norm", [("ip", "192.168.1.7"), ("secret", "1"), ("phone", "+12345678"), ("email", "_@x.com"), ("ssn", "1")])
+def test_later_draws_have_more_forms(spark, kind, norm):
+    df = spark.range(40).select(F.lit(kind).alias("kind"), F.lit(norm).alias("norm"), (4 + F.col("id")).cast("int").alias("attempt"))
+    subs = {r["sub"] for r in pii.with_draw(df, KEY).collect()}
+    assert len(subs) == 40
+    if kind == "ip":
+        assert any(s.startswith("10.") for s in subs) and any(re.fullmatch("fd00(:[0-9a-f]{4}){7}", s) for s in subs)
+
+
+def test_longer_forms_keep_all_signs(spark):
+    said = ["(743) 555-3824", "+1 743-555-3824", "4111 1111 1111 1111", "A.B@X.COM"]
+    subs = ["61234567899", "61234567899", "412345678901234599", "cdefg@y.com"]
+    kinds = ["phone", "phone", "card", "email"]
+    df = spark.createDataFrame(list(zip(kinds, said, [[s] for s in subs], strict=True)), "kind string, m string, subs array<string>")
+    got = [r[0] for r in df.select(F.expr(pii.written("kind", "m", "subs"))).collect()]
+    assert got == ["(612) 345-67899", "+1 612-345-67899", "4123 4567 8901 234599", "CDEFG@Y.COM"]
