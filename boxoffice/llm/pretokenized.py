@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -16,14 +17,16 @@ PIECE_CHARS = 1 << 20  # characters split at a time; a longer text is split by i
 
 class Pieces:
     """``encode_pieces`` gives the serialised ids of some pieces of the byte-level pattern, ``id_bytes`` bytes
-    an id, and ``encode_texts`` those of whole texts. Both are the same ids, as merges never cross pieces.
+    an id, and ``encode_texts`` those of whole texts. Both are the same ids, as merges never cross pieces;
+    texts in which ``whole`` is found are encoded as a whole.
 
     Remembered pieces are sorted hashes, with the place and number of their ids in a pool.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], id_bytes: int, encode_texts: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[bytes]], id_bytes: int, encode_texts: Callable[[list[str]], list[bytes]], whole: re.Pattern | None = None):
         self.encode_pieces = encode_pieces
         self.encode_texts = encode_texts
+        self.whole = whole
         self.kind = f"<u{id_bytes}"
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -34,7 +37,7 @@ class Pieces:
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
         for k, text in enumerate(texts):
-            if not is_settled(text):
+            if not is_settled(text) or (self.whole and self.whole.search(text)):
                 out[k] = self.encode_texts([text])[0]
                 continue
             if held and size + len(text) > PIECE_CHARS:

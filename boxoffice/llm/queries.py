@@ -154,5 +154,5 @@ def op9(spark, read):
 @query("op5_token_files")
 def op5(spark, read):
     path = new_path(spark, "tokens")
-    tokenfile.write(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    tokenfile.write(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), path, added=True)
     return tokenfile.read(spark, path, ids=False).drop("ids")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -62,16 +63,26 @@ def splits_alike(tokenizer_file: str) -> bool:
     return bool(byte_level and spec.get("normalizer") is None and spec["model"].get("type") == "BPE")
 
 
+def added_tokens(tokenizer_file: str) -> re.Pattern | None:
+    """Finds the tokens that the library cuts out of a text before it splits it; normalized ones in any case."""
+    contents = [t["content"] for t in json.loads(tokenizer_file).get("added_tokens") or [] if t["content"]]
+    return re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
+
+
 class Encoder:
-    """Ids by the tokenizers library, from the text of a tokenizer file."""
+    """Ids by the tokenizers library, from the text of a tokenizer file.
+
+    With ``added``, strings of added tokens in a text have the ids of these, as by the library's default;
+    without, they are ordinary text.
+    """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, added: bool = False):
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.id_bytes == 2 else "I"  # as wide on all platforms that Spark runs on, little-endian
         by_model = splits_alike(tokenizer_file)
-        self.pieces = Pieces(self.split_pieces if by_model else lambda raw: self.texts([r.decode() for r in raw]), self.id_bytes, self.texts)
+        self.pieces = Pieces(self.split_pieces if by_model else lambda raw: self.texts([r.decode() for r in raw]), self.id_bytes, self.texts, added_tokens(tokenizer_file) if added else None)
         self.end = np.array([END_ID], f"<u{self.id_bytes}").tobytes()
 
     def texts(self, strings: list[str]) -> list[bytes]:
@@ -88,15 +99,15 @@ class Encoder:
         return [ids + self.end for ids in self.pieces.encode(texts)]
 
 
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> Encoder:
+def encoder(tokenizer_file: str, added: bool) -> Encoder:
     """That of this Python process, built once."""
-    if tokenizer_file not in ENCODERS:
+    if (tokenizer_file, added) not in ENCODERS:
         ENCODERS.clear()
-        ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-    return ENCODERS[tokenizer_file]
+        ENCODERS[tokenizer_file, added] = Encoder(tokenizer_file, added)
+    return ENCODERS[tokenizer_file, added]
 
 
 def trained(samples: list[bytes]) -> bytes:
@@ -114,13 +125,13 @@ def sample(docs: DataFrame) -> list[str]:
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def frames(docs: DataFrame, tokenizer_file: str, dictionary: bytes) -> DataFrame:
+def frames(docs: DataFrame, tokenizer_file: str, dictionary: bytes, added: bool) -> DataFrame:
     """``(doc_id, n_tokens, frame)``."""
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_file, dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, data = shared.value
-        encode = encoder(file)
+        encode = encoder(file, added)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_dict_id=False)
         for batch in batches:
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
@@ -160,10 +171,10 @@ def packed(rows: DataFrame, dictionary_hash: str) -> DataFrame:
     return rows.mapInArrow(run, BLOCK)
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
+def write(docs: DataFrame, tokenizer_path: str, path: str, added: bool = False) -> None:
     """Writes ``docs(doc_id, text, ..)`` to the new folder ``path``, in ascending order of doc_id.
 
-    ``tokenizer_path`` is read by the driver. Null texts are empty and hold the end id only. A null doc_id
+    ``tokenizer_path`` is read by the driver; for ``added`` see `Encoder`. Null texts are empty and hold the end id only. A null doc_id
     comes first; rows with the same doc_id each have an entry, in the order of their length. Other columns
     are ignored; no rows give empty tables.
     """
@@ -171,13 +182,13 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_file = file.read()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encode = encoder(tokenizer_file)
+    encode = encoder(tokenizer_file, added)
     dictionary = trained(encode(sample(docs)))
     dictionary_hash = hashlib.sha256(dictionary).hexdigest()
     header = spark.createDataFrame([(dictionary_hash, encode.id_bytes, bytearray(dictionary))], "hash string, id_bytes int, data binary")
     header.coalesce(1).write.parquet(f"{path}/dictionary")
     # encoded once: dealing by range reads its input twice
-    rows = staged(frames(docs, tokenizer_file, dictionary), "frames")
+    rows = staged(frames(docs, tokenizer_file, dictionary, added), "frames")
     order = ["doc_id", "n_tokens", F.xxhash64("frame"), F.rand(1)]  # equal rows may lie in several parts
     packed(rows.repartitionByRange(*order).sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("frame")), dictionary_hash).write.parquet(f"{path}/blocks")
     drop(rows)

@@ -78,3 +78,17 @@ def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
     for part in (texts[:100], texts[100:], texts):
         assert encode(part) == [np.array(library(t), "<u2").tobytes() for t in part]
     assert len(encode.pieces.known) <= 200
+
+
+def test_query_encodes_added_tokens_as_the_library_does(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = {1: "end <|endoftext|> next", 2: "<|endoftext|><|endoftext|>", 3: "no <|ENDOFTEXT|> but text", 4: "plain text"}
+    sf_dir = tempfile.mkdtemp(prefix="run-")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, sf_dir).collect()}
+    start = 0
+    for i, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (50256 in ids) == (i < 3)
+        start += len(ids)
