@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import (
@@ -21,6 +21,7 @@ from boxoffice.operators.spread import side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
 CARD_ROWS = 1000
+CARD_RANGES = 256  # ranges in which the lines of a long event are put in order
 
 
 def artist_directory(t: Tables, q: str | None = None) -> DataFrame:
@@ -101,15 +102,30 @@ def event_catalog(
     )
 
 
-def _in_pages(lines: DataFrame, line_id: str, page_rows: int) -> DataFrame:
-    """Adds ``page``: the lines of an event dealt by their ids to as many pages as it needs, one if it is short."""
-    sizes = lines.groupBy("event_id").agg(F.ceil(F.count("*") / page_rows).alias("_pages"))
-    dealt = spread_join(lines, sizes, ["event_id"], line_id)
-    return dealt.withColumn("page", F.pmod(F.xxhash64(line_id), "_pages")).drop("_pages")
+def _in_pages(lines: DataFrame, line_id: str, entry: Column, page_rows: int) -> DataFrame:
+    """Adds ``page``: the lines of an event in the order of ``entry``, cut every ``page_rows`` lines.
+
+    A long event is cut into about `CARD_RANGES` ranges, between lines chosen by the hash of their id, so the
+    plan is lazy and no window group holds the whole event. A line's position is its place in its range plus
+    the sizes of the ranges before.
+    """
+    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_n"))
+    chosen = (F.col("_n") > page_rows) & (F.pmod(F.xxhash64(line_id), F.ceil(F.col("_n") / CARD_RANGES)) == 0)
+    bounds = spread_join(lines, sizes, ["event_id"], line_id).groupBy("event_id")
+    bounds = bounds.agg(F.collect_list(F.when(chosen, entry)).alias("_bounds"))
+    ranged = spread_join(lines, bounds, ["event_id"], line_id)
+    ranged = ranged.withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= entry))).drop("_bounds")
+    counts = ranged.groupBy("event_id", "_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("event_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("event_id", "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("event_id", "_range").orderBy(entry)
+    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(starts, ["event_id", "_range"])
+    page = F.floor((F.col("_place") + F.col("_start") - 1) / page_rows)
+    return placed.withColumn("page", page).drop("_range", "_place", "_start")
 
 
 def _page_lists(paged: DataFrame, entry, out: str) -> DataFrame:
-    """One sorted list per event and page; no list grows much beyond a page."""
+    """One sorted list per event and page; no list grows beyond a page."""
     return paged.groupBy("event_id", "page").agg(F.array_sort(F.collect_list(entry)).alias(out))
 
 
@@ -124,8 +140,8 @@ def _category_json(c) -> Column:
 def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CARD_ROWS) -> DataFrame:
     """One card per event: artists by name, categories by falling price, lowest price, categories as JSON.
 
-    The entries of an event are dealt to pages of about ``page_rows``, each in that order; an event with
-    fewer has the one page 0. So no entry is left out, and no row grows without end.
+    The entries of an event fill pages of ``page_rows`` in that order, so pages 0, 1, .. read in sequence
+    are the ordered lists. No entry is left out, and no row grows without end.
     """
     events = t["event"] if events is None else events
     shown = events.select("event_id", "event_title", "event_datetime", "venue_id", "organizer_id").join(
@@ -147,8 +163,9 @@ def event_cards(t: Tables, events: DataFrame | None = None, page_rows: int = CAR
         .join(t["artist"].select("artist_id", "name"), "artist_id")
     )
     category_entry = F.struct((-F.col("price")).alias("falling"), "category_name", "category_id", "price", "quota")
-    category_pages = _page_lists(_in_pages(categories, "category_id", page_rows), category_entry, "cats")
-    artist_pages = _page_lists(_in_pages(artists, "artist_id", page_rows), F.struct("name", "artist_id"), "acts")
+    category_pages = _page_lists(_in_pages(categories, "category_id", category_entry, page_rows), category_entry, "cats")
+    artist_entry = F.struct("name", "artist_id")
+    artist_pages = _page_lists(_in_pages(artists, "artist_id", artist_entry, page_rows), artist_entry, "acts")
 
     none = F.array().cast("array<string>")
     price = F.coalesce("lowest_price", F.lit(0).cast("decimal(12,2)"))

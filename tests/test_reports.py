@@ -230,6 +230,19 @@ def test_long_event_cards_go_on_over_pages(t, spark):
     assert events.event_cards(t, page_rows=2).count() > 6
 
 
+def test_pages_of_event_cards_in_sequence_are_the_ordered_list(t, spark):
+    more = spark.range(2500).selectExpr(
+        "concat('cat', id) AS category_id", "concat('Row ', id) AS category_name", "cast(1 AS int) AS quota",
+        "cast(100 + (id * 7919) % 1250 AS decimal(12,2)) AS price", f"'{uid(EVENT, 1)}' AS tevent_id",
+    )
+    categories = t["ticket_category"].unionByName(more)
+    cards = events.event_cards(t.replace(ticket_category=categories)).filter(F.col("event_id") == uid(EVENT, 1))
+    pages = [r.categories for r in cards.orderBy("page").collect()]
+    lines = categories.filter(F.col("tevent_id") == uid(EVENT, 1)).collect()
+    assert [len(p) for p in pages] == [1000, 1000, len(lines) - 2000]
+    assert [c for p in pages for c in p] == [c.category_name for c in sorted(lines, key=lambda c: (-c.price, c.category_name))]
+
+
 def test_displays(spark):
     rows = [("2026-06-05 09:05:30", "10.50"), ("2026-12-31 23:59:59", "11.49"), ("2024-02-29 00:00:00", "-2.50"), (None, None)]
     df = spark.createDataFrame(rows, "at string, price string").select(F.col("at").cast("timestamp_ntz"), F.col("price").cast("decimal(12,2)"))
