@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, chat, compression, decontaminate, pii, rules, simhash, tokenfile, toxicity, urls
+from boxoffice.llm import bpe, chat, compression, decontaminate, periodic, pii, rules, simhash, tokenfile, toxicity, urls
 from boxoffice.llm.labelled import fold
 from boxoffice.llm.staging import new_path
 
@@ -156,3 +156,32 @@ def op5(spark, read):
     path = new_path(spark, "tokens")
     tokenfile.write(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), path, added=True)
     return tokenfile.read(spark, path, ids=False).drop("ids")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: every tenth document, by the hash of its id, repeats itself from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), chosen.alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    planted = "array_join(transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[CAST(a + (i - a) % p AS INT)] END), ' ')"
+    return rows.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN {planted} ELSE text END").alias("text"))
+
+
+@query("op11_runs")
+def op11(spark, read):
+    found = periodic.without_runs(with_planted_runs(read("documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = found.withColumn("best", best).withColumn("lines", F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.n DIV -best.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
