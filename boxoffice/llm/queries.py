@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import bpe, chat, compression, decontaminate, periodic, pii, rules, simhash, tokenfile, toxicity, urls
+from boxoffice.llm import bpe, chat, compression, decontaminate, language, lexical, periodic, pii, rules, simhash, tokenfile, toxicity, urls
 from boxoffice.llm.labelled import fold
 from boxoffice.llm.staging import new_path
 
@@ -185,3 +185,30 @@ def op11(spark, read):
         F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_language")
+def op13(spark, read):
+    docs = read("documents")
+    found = language.predicted(docs, language.fitted(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    WITH d AS (SELECT doc_id, {SQL_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+    t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term),
+    q AS (SELECT DISTINCT item_id, unnest({SQL_WORDS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL),
+    f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, n_docs),
+    r AS (
+      SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id
+    ),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+    """,
+)
+def op12(spark, read):
+    return lexical.search(spark, lexical.build(read("documents")), read("benchmark"))
