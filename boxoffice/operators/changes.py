@@ -21,6 +21,7 @@ from boxoffice.operators.checks import (
     null_violations,
     rule_violations,
 )
+from boxoffice.operators.conflicts import COMPONENT_ROWS
 from boxoffice.operators.moves import moved
 from boxoffice.operators.orders import placed_orders
 from boxoffice.operators.settle import settle
@@ -371,11 +372,12 @@ def update_tickets(t: Tables, changes: DataFrame) -> ChangeSet:
     return ChangeSet(tables, _refused(done, changes.columns))
 
 
-def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> DataFrame:
+def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets", component_rows: int = COMPONENT_ROWS) -> DataFrame:
     """Ticket requests (``seq, torder_id, tcategory_id, seat_id``) with id, code and verdict.
 
     One by one: no second ticket for order and category, seat free, quota left, and all references
     there. A refused request holds nothing, so a later one for the same pair, seat or place may pass.
+    ``component_rows`` is that of `settle`.
     """
     asked = (
         cand.withColumn("_seat", seat_of(cand))
@@ -410,7 +412,7 @@ def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> DataFra
         & ~no_seat
     )
     claims = {"pair": ["torder_id", "tcategory_id"], "seat": ["_seat"], "code": ["ticket_code"]}
-    settled = settle(known, eligible, claims, ("tcategory_id", "_room"))
+    settled = settle(known, eligible, claims, ("tcategory_id", "_room"), component_rows)
     return judged(
         settled,
         [

@@ -7,14 +7,15 @@ claim decides (`held`). Only rows that have to do with a value that may be given
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.operators.settle import FINISH_ROWS
+from boxoffice.operators.conflicts import COMPONENT_ROWS, components, in_order
 from boxoffice.operators.spread import only_keys_of, spread_join, without_keys_of
-from boxoffice.session import drop_staged, staged
+from boxoffice.session import drop_staged, shared_dir, staged
 
 
 def _all_set(keys: list[str]) -> Column:
@@ -59,21 +60,25 @@ def moved(
     keys: list[str],
     id_column: str,
     eligible: Column,
-    finish_rows: int = FINISH_ROWS,
+    component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
     """`held`, as if the candidates came one by one in order of ``seq`` and each one that is eligible and
     gets its key (a NULL in it claims nothing) gave up what its id had before.
 
-    Rows that are not eligible hold and give up nothing. The rows that need an order are settled in rounds
-    over written tables; once at most ``finish_rows`` are open, which is checked, the driver settles them.
+    Rows that are not eligible hold and give up nothing. If no row gives up anything, which is looked up first,
+    `held` is the answer. Otherwise the rows that need an order are linked by the keys and ids that they have
+    in common. Components of at most ``component_rows`` rows are settled in one ordered pass each, in tasks of
+    their own; larger ones in rounds over written tables, one for each link of the longest chain.
     """
     slim = cand.select("seq", *keys, F.col(id_column).alias("_id"), _yes(eligible).alias("_eligible"))
+    slim = slim.withColumn("_key", F.when(_all_set(keys), F.struct(*keys)))
     old = existing.select(*keys, F.col(id_column).alias("_id"))
+    kept = old.filter(_all_set(keys)).select(F.struct(*keys).alias("_key"), "_id")
+    if not _gives_up(slim, kept):
+        return held(cand, existing, keys, id_column, eligible)
     verdicts = staged(held(slim, old, keys, "_id", F.col("_eligible")), "held")
-    rows = verdicts.withColumn("_key", F.when(_all_set(keys), F.struct(*keys)))
-    old = old.filter(_all_set(keys)).select(F.struct(*keys).alias("_key"), "_id")
-    open_rows, ties, holdings = _in_order(rows, old)
-    decided = _settled(open_rows, ties, holdings, finish_rows)
+    open_rows, ties, holdings = _in_order(verdicts, kept)
+    decided = _settled(open_rows, ties, holdings, component_rows)
     facts = verdicts.select("seq", "_taken", "existing_id").join(
         decided.select("seq", F.col("taken").alias("_moved_taken"), F.col("holder").alias("_holder")), "seq", "left"
     )
@@ -86,6 +91,19 @@ def moved(
     return cand.join(facts, "seq")
 
 
+def _wanted(claims: DataFrame) -> DataFrame:
+    return claims.groupBy("_id").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.max(F.col("_key").isNull()).alias("_none"))
+
+
+def _gives_up(rows: DataFrame, old: DataFrame) -> bool:
+    """Some id that may move has or claims a key and a row for another one, or for none."""
+    claims = rows.filter("_eligible AND _id IS NOT NULL").select("_id", "_key")
+    wanted = _wanted(claims)
+    between = wanted.filter("_low <> _high OR (_none AND _low IS NOT NULL)")
+    leaving = spread_join(old, wanted, ["_id"], how="inner").filter("_none OR _low <> _key OR _high <> _key")
+    return not between.select("_id").unionByName(leaving.select("_id")).isEmpty()
+
+
 def _in_order(rows: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows that need an order: ``(seq, key, id, eligible, gets)``, ``gets`` known for rows whose key is
     certain; the ``ties`` (key, id) by which an id may give up a key; and the old ``holdings`` (key, id)."""
@@ -93,8 +111,7 @@ def _in_order(rows: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, Da
     own = only_keys_of(old, claims, {"_id": "_id"})
     # an id gives up a key that it holds or claims only with a row for another one
     ties = own.unionByName(claims.filter("_key IS NOT NULL").select("_key", "_id")).distinct()
-    wanted = claims.groupBy("_id").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.max(F.col("_key").isNull()).alias("_none"))
-    ties = spread_join(ties, wanted, ["_id"], how="inner").filter("_none OR _low <> _key OR _high <> _key").select("_key", "_id")
+    ties = spread_join(ties, _wanted(claims), ["_id"], how="inner").filter("_none OR _low <> _key OR _high <> _key").select("_key", "_id")
     # a key with an old holder that is no candidate is never free
     ids = claims.select("_id").distinct()
     fixed = without_keys_of(only_keys_of(old, rows, {"_key": "_key"}), ids, ["_id"]).select("_key").distinct()
@@ -110,24 +127,83 @@ def _in_order(rows: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return open_rows.filter("_gets IS NULL OR _gets"), ties, holdings.select("_key", "_id")
 
 
-def _settled(open_rows: DataFrame, ties: DataFrame, holdings: DataFrame, finish_rows: int) -> DataFrame:
+def _settled(open_rows: DataFrame, ties: DataFrame, holdings: DataFrame, component_rows: int) -> DataFrame:
     """``(seq, taken, holder)`` of the open rows whose key is not certain."""
-    still, holding = staged(open_rows, "open"), staged(holdings, "holdings")
-    kinds = f"seq {still.schema['seq'].dataType.simpleString()}, taken boolean, holder {still.schema['_id'].dataType.simpleString()}"
-    decided = still.sparkSession.createDataFrame([], kinds)
-    # what the ids of the open rows hold may be more than the rows
-    while (n := still.count()) > finish_rows or (n and holding.count() > 2 * max(finish_rows, 1)):
+    spark = open_rows.sparkSession
+    rows, holdings = staged(open_rows, "open"), staged(holdings, "holdings")
+    kinds = f"seq {rows.schema['seq'].dataType.simpleString()}, taken boolean, holder {rows.schema['_id'].dataType.simpleString()}"
+    # keys and ids go by the first open row that has to do with them
+    of_key = rows.filter("_gets IS NULL").groupBy("_key").agg(F.min("seq").alias("_k"))
+    of_id = rows.filter("_eligible AND _id IS NOT NULL").groupBy("_id").agg(F.min("seq").alias("_o"))
+    named = spread_join(spread_join(rows, of_key, ["_key"], "seq"), of_id, ["_id"], "seq")
+    named = staged(named.withColumn("_o", F.when(F.col("_eligible"), F.col("_o"))), "named")
+    kept = staged(spread_join(spread_join(holdings, of_key, ["_key"], "_id", "inner"), of_id, ["_id"], "_key"), "kept")
+    links = named.select(F.col("seq").alias("u"), F.col("_k").alias("v")).unionByName(named.select("seq", "_o").toDF("u", "v"))
+    labels = components(links.unionByName(kept.select("_k", "_o").toDF("u", "v")))
+    labels = staged(labels, "labels")
+    placed = staged(_labelled(named, labels, "seq"), "components")
+    large = staged(placed.groupBy("component").agg(F.count("*").alias("_size")).filter(F.col("_size") > component_rows).select("component"), "large")
+
+    walk = ["component", "_turn", "seq", "_k", "_id", "_eligible", "_gets"]
+    before = _labelled(kept, labels, "_k").selectExpr("component", "0 AS _turn", f"cast(NULL AS {rows.schema['seq'].dataType.simpleString()}) AS seq", "_k", "_id", "true AS _eligible", "cast(NULL AS boolean) AS _gets")
+    turns = placed.withColumn("_turn", F.lit(1)).select(*walk).unionByName(before.select(*walk))
+    folder = f"{shared_dir(spark).rstrip('/')}/boxoffice/decided-{uuid.uuid4().hex}"
+    in_order(without_keys_of(turns, large, ["component"]), ["_turn", "seq"], kinds, _walk).write.parquet(f"{folder}/step=0")
+    if not large.isEmpty():
+        waiting = spread_join(placed, large, ["component"], "seq", "left_semi").select(*open_rows.columns)
+        _in_rounds(waiting, ties, holdings, folder)
+    return spark.read.schema(f"{kinds}, step int").parquet(folder).drop("step")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    found = spread_join(rows.withColumn("id", F.col(by)), labels, ["id"], by)
+    return found.withColumn("component", F.coalesce("component", "id")).drop("id")
+
+
+def _walk():
+    """One component: first what its ids hold, then its rows in order."""
+    holders: dict = {}
+    of_id: dict = {}
+
+    def step(row: tuple) -> tuple | None:
+        _, turn, seq, key, who, eligible, gets = row
+        who = who if who is not None else object()
+        result, others = None, set()
+        if turn and key is not None and gets is None:
+            others = holders.get(key, set()) - {who}
+            named = [o for o in others if type(o) is not object]
+            result = (seq, bool(others), min(named) if named else None)
+        if others or not eligible:
+            return result
+        if turn:
+            for given_up in of_id.pop(who, set()):
+                holders[given_up].discard(who)
+        if key is not None:
+            holders.setdefault(key, set()).add(who)
+            of_id.setdefault(who, set()).add(key)
+        return result
+
+    return step
+
+
+def _in_rounds(rows: DataFrame, ties: DataFrame, holdings: DataFrame, folder: str) -> None:
+    """The same for components of any size; every round adds what it decides to the folder."""
+    still, holding = staged(rows, "open"), staged(holdings, "holdings")
+    step = 1
+    while not still.isEmpty():
         marked = staged(_round(still, ties, holding), "marked")
         done = marked.filter("_done")
-        decided = decided.unionByName(done.filter("_gets IS NULL").select("seq", F.col("_other").alias("taken"), F.when(F.col("_other"), F.col("_holder")).alias("holder")))
+        decided = done.filter("_gets IS NULL").select("seq", F.col("_other").alias("taken"), F.when(F.col("_other"), F.col("_holder")).alias("holder"))
+        decided.write.parquet(f"{folder}/step={step}")
         placed = done.filter("_eligible AND NOT _other")
         kept = without_keys_of(holding, placed.filter("_id IS NOT NULL"), ["_id"])
         loose = ties.select("_key").distinct()
         after = staged(kept.unionByName(placed.join(loose, "_key", "left_semi").select("_key", "_id")), "holdings")
         drop_staged(holding)
         drop_staged(still)
-        still, holding = staged(marked.filter("NOT _done").select(*open_rows.columns), "open"), after
-    return decided.unionByName(_finished(still, holding, kinds)) if n else decided
+        still, holding = staged(marked.filter("NOT _done").select(*rows.columns), "open"), after
+        drop_staged(marked)
+        step += 1
 
 
 def _round(rows: DataFrame, ties: DataFrame, holding: DataFrame) -> DataFrame:
@@ -161,28 +237,3 @@ def _round(rows: DataFrame, ties: DataFrame, holding: DataFrame) -> DataFrame:
     sure = ~unsure & my_turn
     done = sure | (unsure & in_time & (other | ((F.col("seq") == F.col("_first")) & my_turn)))
     return seen.select(*rows.columns, _yes(done).alias("_done"), other.alias("_other"), holder.alias("_holder"))
-
-
-def _finished(rows: DataFrame, holding: DataFrame, kinds: str) -> DataFrame:
-    """The same one by one. The rows are of a checked number, and so are their ids; what these hold comes along."""
-    holders: dict = {}
-    of_id: dict = {}
-    for r in holding.collect():
-        who = r["_id"] if r["_id"] is not None else object()
-        holders.setdefault(r["_key"], set()).add(who)
-        of_id.setdefault(who, set()).add(r["_key"])
-    out = []
-    for r in sorted(rows.collect(), key=lambda r: r["seq"]):
-        key, who = r["_key"], r["_id"] if r["_id"] is not None else object()
-        others = holders.get(key, set()) - {who} if r["_gets"] is None else set()
-        if r["_gets"] is None:
-            named = [o for o in others if type(o) is not object]
-            out.append((r["seq"], bool(others), min(named) if named else None))
-        if others or not r["_eligible"]:
-            continue
-        for given_up in of_id.pop(who, set()):
-            holders[given_up].discard(who)
-        if key is not None:
-            holders.setdefault(key, set()).add(who)
-            of_id[who] = {key}
-    return rows.sparkSession.createDataFrame(out, kinds)

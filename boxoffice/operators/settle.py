@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxoffice.operators.conflicts import COMPONENT_ROWS, components, in_order
 from boxoffice.operators.spread import running_counts, spread_join, without_keys_of
-from boxoffice.session import drop_staged, staged
-
-# Rows still open that the driver finishes one by one; more are settled in rounds.
-FINISH_ROWS = 20_000
+from boxoffice.session import drop_staged, shared_dir, staged
 
 
 def settle(
@@ -20,7 +19,7 @@ def settle(
     eligible: Column,
     claims: Mapping[str, Sequence[str]],
     room: tuple[str, str] | None = None,
-    finish_rows: int = FINISH_ROWS,
+    component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
     """Decides candidates in order of ``seq`` as if they came one by one.
 
@@ -32,11 +31,12 @@ def settle(
     Adds ``_in``, one ``_taken_<claim>`` per claim and ``_full``: what stood in the way of each row,
     eligible or not, when its turn came.
 
-    One claim without room is the earliest row per value. Otherwise rows are decided in rounds over
-    written tables. In a round a row gets in if no open row before it could stand in its way, and then
-    every open row that this beats goes out, so a table holds open rows only and rows that compete with
-    nobody are done in the first round. Once at most ``finish_rows`` are open, which is checked, the
-    driver settles these in one pass; longer chains of rows that wait for each other take further rounds.
+    One claim without room is the earliest row per value. Otherwise rows are settled over written tables of
+    the rows that are still open. First a row gets in if no open row before it could stand in its way, and
+    every open row that this beats goes out. The rest are linked where they claim the same value, or a place of
+    a group that can still fill. A component of these links with at most ``component_rows`` rows is settled in one
+    ordered pass in its own task, all components side by side. In larger ones, rows that have to wait for one
+    other row only form paths, which are followed by doubling; then the steps begin anew for what is open.
     """
     keys = {name: f"_k_{name}" for name in claims}
     keyed = cand.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
@@ -52,7 +52,7 @@ def settle(
     else:
         keyed = staged(keyed, "candidates")
         rows = keyed.filter("_eligible").select("seq", *keys.values(), *limits, F.lit(0).cast("long").alias("_in_before"))
-        admitted = _in_rounds(rows, list(keys.values()), bool(room), finish_rows)
+        admitted = _admitted(rows, list(keys.values()), bool(room), component_rows)
 
     out = keyed.join(admitted.select("seq", F.lit(True).alias("_in")), "seq", "left")
     out = out.withColumn("_in", F.coalesce("_in", F.lit(False)))
@@ -73,18 +73,41 @@ def _one_claim(rows: DataFrame, key: str) -> DataFrame:
     return first.select("seq").unionByName(rows.filter(F.col(key).isNull()).select("seq"))
 
 
-def _in_rounds(rows: DataFrame, keys: Sequence[str], limited: bool, finish_rows: int) -> DataFrame:
-    """``seq`` of the rows that get in."""
-    admitted = rows.limit(0).select("seq")
+def _admitted(rows: DataFrame, keys: Sequence[str], limited: bool, component_rows: int) -> DataFrame:
+    """``seq`` of the rows that get in, from one folder that every step adds to."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/boxoffice/admitted-{uuid.uuid4().hex}"
+    seq = rows.schema["seq"].dataType.simpleString()
+    steps = 0
+
+    def admit(chosen: DataFrame) -> None:
+        nonlocal steps
+        chosen.select("seq").write.parquet(f"{folder}/step={steps}")
+        steps += 1
+
     still = staged(rows, "open")
-    while (n := still.count()) > finish_rows:
-        marked = staged(_marked(still, keys, limited), "marked")
-        drop_staged(still)
-        admitted = admitted.unionByName(marked.filter("_new").select("seq"))
+    marked = staged(_marked(still, keys, limited), "marked")
+    drop_staged(still)
+    while True:
+        admit(marked.filter("_new"))
         still = staged(_not_beaten(marked, keys, limited), "open")
-    if n:
-        admitted = admitted.unionByName(_finished(still, keys, rows.schema["seq"].dataType.simpleString()))
-    return admitted
+        drop_staged(marked)
+        if still.isEmpty():
+            break
+        placed = staged(_with_component(staged(_graph(still, keys, limited), "conflicts"), len(keys)), "components")
+        sizes = placed.groupBy("component").agg(F.count("*").alias("_size"))
+        large = staged(sizes.filter(F.col("_size") > component_rows).select("component"), "large")
+        admit(_walked(without_keys_of(placed, large, ["component"]), len(keys), seq))
+        if large.isEmpty():
+            break
+        waiting = staged(spread_join(placed, large, ["component"], "seq", "left_semi"), "waiting")
+        decided = _followed(waiting, len(keys))
+        marked = _marked(still.join(waiting.select("seq"), "seq", "left_semi"), keys, limited).join(decided, "seq", "left")
+        # what a path decides against is out; what it decides for gets in
+        marked = marked.filter("_path_in IS NULL OR _path_in").withColumn("_new", F.col("_new") | F.coalesce("_path_in", F.lit(False)))
+        marked = staged(marked.drop("_path_in"), "marked")
+        drop_staged(still)
+    return spark.read.schema(f"seq {seq}, step int").parquet(folder).select("seq")
 
 
 def _marked(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
@@ -95,13 +118,17 @@ def _marked(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
         seen = running_counts(seen, ["_group"], {"_open_before": F.lit(True)})
         clear = F.col("_room").isNull() | (F.col("_in_before") + F.col("_open_before") < F.col("_room"))
     for n, key in enumerate(keys):
-        claimed = rows.filter(F.col(key).isNotNull()).groupBy(key)
-        claimed = claimed.agg(F.count("*").alias("_rows"), F.min("seq").alias(f"_first{n}"))
-        seen = spread_join(seen, claimed.filter("_rows > 1").drop("_rows"), [key], "seq")
+        seen = spread_join(seen, _contested(rows, key, f"_first{n}"), [key], "seq")
         clear = clear & (F.col(f"_first{n}").isNull() | (F.col(f"_first{n}") == F.col("seq")))
     return seen.withColumn("_new", clear).select(*rows.columns, "_new")
 
 
+def _contested(rows: DataFrame, key: str, first: str) -> DataFrame:
+    """The values that several rows claim, with the first of these rows."""
+    claimed = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"), F.min("seq").alias(first))
+    return claimed.filter("_rows > 1").drop("_rows")
+
+
 def _not_beaten(marked: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
     """The rows that are open after the new ones got in."""
     left = marked
@@ -115,18 +142,87 @@ def _not_beaten(marked: DataFrame, keys: Sequence[str], limited: bool) -> DataFr
     return left
 
 
-def _finished(rows: DataFrame, keys: Sequence[str], seq_type: str) -> DataFrame:
-    """The same one by one, for rows of a checked number."""
-    held: list[set] = [set() for _ in keys]
-    inside: dict = {}
-    admitted = []
-    for row in sorted(rows.collect(), key=lambda r: r["seq"]):
-        mine = [(own, row[key]) for own, key in zip(held, keys, strict=True) if row[key] is not None]
-        full = row["_room"] is not None and row["_in_before"] + inside.get(row["_group"], 0) >= row["_room"]
-        if full or any(value in own for own, value in mine):
-            continue
-        for own, value in mine:
-            own.add(value)
-        inside[row["_group"]] = inside.get(row["_group"], 0) + 1
-        admitted.append((row["seq"],))
-    return rows.sparkSession.createDataFrame(admitted, f"seq {seq_type}")
+def _graph(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
+    """``(seq, _room, _in_before, _v0, .., _g)``: values and groups by the first open row that claims them, which names
+    them exactly; NULL for a value that no other open row claims, and for a group that its open rows cannot fill."""
+    out = rows
+    for n, key in enumerate(keys):
+        out = spread_join(out, _contested(rows, key, f"_v{n}"), [key], "seq")
+    group = F.lit(None).cast(rows.schema["seq"].dataType).alias("_g")
+    if limited:
+        limit = rows.filter("_room IS NOT NULL").groupBy("_group")
+        # in the order of seq the rows before a row are at most those already in and all open ones
+        limit = limit.agg(F.min("seq").alias("_g"), (F.max("_in_before") + F.count("*")).alias("_most"), F.max("_room").alias("_places"))
+        out = spread_join(out, limit.filter("_most > _places").select("_group", "_g"), ["_group"], "seq")
+        group = F.when(F.col("_room").isNotNull(), F.col("_g")).alias("_g")
+    return out.select("seq", "_room", "_in_before", *[f"_v{n}" for n in range(len(keys))], group)
+
+
+def _with_component(graph: DataFrame, claims: int) -> DataFrame:
+    names = [*[f"_v{n}" for n in range(claims)], "_g"]
+    links = graph.select(F.col("seq").alias("u"), F.explode(F.array_compact(F.array(*names))).alias("v"))
+    labels = components(links).withColumnRenamed("id", "seq")
+    return graph.join(labels, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
+
+
+def _walked(rows: DataFrame, claims: int, seq: str) -> DataFrame:
+    """``seq`` of the rows that get in, component by component in order."""
+    columns = ["component", "seq", "_room", "_in_before", "_g", *[f"_v{n}" for n in range(claims)]]
+
+    def start():
+        held: list[set] = [set() for _ in range(claims)]
+        inside: dict = {}
+
+        def step(row: tuple) -> tuple | None:
+            _, number, room, before, group, *values = row
+            if group is not None and before + inside.get(group, 0) >= room:
+                return None
+            if any(value is not None and value in own for own, value in zip(held, values, strict=True)):
+                return None
+            for own, value in zip(held, values, strict=True):
+                if value is not None:
+                    own.add(value)
+            if group is not None:
+                inside[group] = inside.get(group, 0) + 1
+            return (number,)
+
+        return step
+
+    return in_order(rows.select(*columns), ["seq"], f"seq {seq}", start)
+
+
+def _followed(rows: DataFrame, claims: int) -> DataFrame:
+    """``(seq, _path_in)`` of rows whose fate follows from a path.
+
+    A row that waits for no other is in; one that waits for a single row, whose group has room for all, is in
+    if that row is out. A step joins each path to the one that begins where it ends, so paths of n
+    rows take log2(n) steps. Rows that wait for several rows or for places end a path undecided.
+    """
+    many, seen = F.col("_g").isNotNull(), rows
+    for n, name in enumerate(f"_v{n}" for n in range(claims)):
+        # the two first rows that claim a value
+        claim = rows.filter(F.col(name).isNotNull()).select(name, F.col("seq").alias("_other"))
+        second = claim.filter(F.col("_other") > F.col(name)).groupBy(name).agg(F.min("_other").alias(f"_second{n}"))
+        seen = spread_join(seen, second, [name], "seq")
+        later = F.col("seq") > F.col(name)
+        many = many | F.coalesce(F.col("seq") > F.col(f"_second{n}"), F.lit(False))
+        seen = seen.withColumn(f"_before{n}", F.when(later, F.col(name)))
+    before = F.array_sort(F.array_distinct(F.array_compact(F.array(*[f"_before{n}" for n in range(claims)]))))
+    seen = seen.select("seq", (many | (F.size(before) > 1)).alias("_stop"), F.get(before, F.lit(0)).alias("_to"))
+    # where a path ends, whether an odd number of steps leads there, and whether the row waits for nothing
+    alone = F.col("_stop") | F.col("_to").isNull()
+    paths = seen.select(
+        "seq", F.when(alone, F.col("seq")).otherwise(F.col("_to")).alias("_end"), (~alone).alias("_odd"), (~F.col("_stop") & F.col("_to").isNull()).alias("_in")
+    )
+    paths = staged(paths, "paths")
+    while True:
+        onward = paths.filter("_end <> seq").select(F.col("seq").alias("_end"), F.col("_end").alias("_next"), F.col("_odd").alias("_more"))
+        further = spread_join(paths, onward, ["_end"], "seq")
+        if further.filter("_next IS NOT NULL").isEmpty():
+            break
+        after = further.select("seq", F.coalesce("_next", "_end").alias("_end"), (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd"), "_in")
+        after = staged(after, "paths")
+        drop_staged(paths)
+        paths = after
+    ends = paths.filter("_in").select(F.col("seq").alias("_end"), F.lit(True).alias("_known"))
+    return spread_join(paths, ends, ["_end"], "seq", how="inner").select("seq", (~F.col("_odd")).alias("_path_in"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.operators import changes, orders
+from boxoffice.operators.ranges import positions
+from boxoffice.operators.spread import spread_join, without_keys_of
+from boxoffice.operators.tickets import sold_per_category
 from boxoffice.plans.check_queries import CANDIDATES, EVENT_OF, ticket_requests, user_candidates
 from boxoffice.plans.registry import query
 from boxoffice.plans.report_queries import AS_OF, CART_VIEWS, carts, stamp
@@ -225,9 +228,8 @@ query(
     FROM c_move WHERE ticket_id NOT IN (SELECT ticket_id FROM c_moved)""",
     MOVES,
 )(lambda t, read: changes.update_tickets(t, ticket_moves(t, read)).rejects.select("seq", "reason"))
-query(
-    "m07_issue_tickets",
-    """WITH RECURSIVE sold AS (SELECT tcategory_id, count(*) AS sold FROM b_ticket GROUP BY ALL),
+# One request after the other, as a loop would judge them.
+ISSUE_SQL = """WITH RECURSIVE sold AS (SELECT tcategory_id, count(*) AS sold FROM b_ticket GROUP BY ALL),
     old AS (SELECT DISTINCT torder_id, tcategory_id, TRUE AS old_pair FROM b_ticket),
     links AS (SELECT DISTINCT seat_id, TRUE AS linked FROM b_link),
     j AS (SELECT c.*, g.quota - coalesce(s.sold, 0) AS room, o.order_id IS NOT NULL AS known,
@@ -258,13 +260,46 @@ query(
         WHEN full_up THEN 'quota_full' WHEN room IS NULL THEN 'unknown_category' WHEN NOT known THEN 'unknown_order'
         WHEN no_seat THEN 'unknown_seat' ELSE 'ok' END AS reason FROM ranked)
     SELECT seq, 'TTK-' || upper(substr(md5('ticket' || chr(1) || 'tickets' || chr(1) || seq), 1, 8)) AS ticket_code,
-        reason = 'ok' AS accepted, reason FROM v""",
-    CANDIDATES,
-)(
-    lambda t, read: changes.judge_tickets(t, ticket_requests(read)).select(
-        "seq", "ticket_code", "accepted", F.coalesce("reason", F.lit("ok")).alias("reason")
-    )
-)
+        reason = 'ok' AS accepted, reason FROM v"""
+
+
+def issued(t, requests: DataFrame, **how) -> DataFrame:
+    return changes.judge_tickets(t, requests, **how).select("seq", "ticket_code", "accepted", F.coalesce("reason", F.lit("ok")).alias("reason"))
+
+
+query("m07_issue_tickets", ISSUE_SQL, CANDIDATES)(lambda t, read: issued(t, ticket_requests(read)))
+
+
+def chained_requests(t, read) -> DataFrame:
+    """Chains of 500 requests: each asks for the seat of the one before it and the order and category of the one
+    after it, or the other way round. Seats are free, categories have at least five places left."""
+    free = positions(without_keys_of(t["seat"].select("seat_id"), t["has_relationship"], ["seat_id"]), [], [F.col("seat_id")])
+    order = positions(t["order"].select("order_id"), [], [F.col("order_id")])
+    roomy = t["ticket_category"].join(sold_per_category(t["ticket"]), "category_id", "left")
+    roomy = positions(roomy.filter("quota - coalesce(sold, 0) >= 5").select("category_id"), [], [F.col("category_id")])
+    place = lambda column, ranked: (F.col(column) % ranked.agg(F.count("*")).scalar() + 1).alias(f"_{column}")
+    asked = read("events").selectExpr("event_id AS seq", "event_id DIV 2 AS pair", "event_id DIV 2 AS buyer", "(event_id + 1) DIV 2 + event_id DIV 500 AS chair")
+    asked = asked.select("seq", place("pair", roomy), place("buyer", order), place("chair", free))
+    for column, ranked in (("_pair", roomy), ("_buyer", order), ("_chair", free)):
+        asked = spread_join(asked, ranked.withColumnRenamed("position", column), [column], "seq")
+    return asked.selectExpr("seq", "order_id AS torder_id", "category_id AS tcategory_id", "seat_id")
+
+
+query(
+    "m07_issue_tickets_chained",
+    ISSUE_SQL,
+    {
+        **CANDIDATES,
+        "c_free": """SELECT seat_id, row_number() OVER (ORDER BY seat_id) AS n, count(*) OVER () AS many FROM b_seat
+            WHERE seat_id NOT IN (SELECT seat_id FROM b_link)""",
+        "c_buyer": "SELECT order_id, row_number() OVER (ORDER BY order_id) AS n, count(*) OVER () AS many FROM b_order",
+        "c_roomy": """SELECT category_id, row_number() OVER (ORDER BY category_id) AS n, count(*) OVER () AS many FROM b_category
+            WHERE quota - (SELECT count(*) FROM b_ticket WHERE tcategory_id = category_id) >= 5""",
+        "c_ticket": """SELECT event_id AS seq, order_id AS torder_id, category_id AS tcategory_id, seat_id FROM events
+            JOIN c_roomy r ON r.n = event_id // 2 % r.many + 1 JOIN c_buyer b ON b.n = event_id // 2 % b.many + 1
+            JOIN c_free f ON f.n = ((event_id + 1) // 2 + event_id // 500) % f.many + 1""",
+    },
+)(lambda t, read: issued(t, chained_requests(t, read)))
 query(
     "m08_place_orders",
     f"""SELECT CAST(order_id AS VARCHAR) AS order_id, {stamp("order_date")} AS order_date, payment_status,

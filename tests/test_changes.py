@@ -1,14 +1,15 @@
 import random
-import time
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import stable_uuid
 from boxoffice.operators import changes as ch
 from boxoffice.operators import checks
+import boxoffice.operators.conflicts as conflicts_module
 import boxoffice.operators.settle as settle_module
 from boxoffice.operators.settle import settle
 from tests.seed import ARTIST, CAT, CUST, EVENT, ORDER, ORG, PASSWORD, PROMO, SEAT, TICKET, USER, VENUE, uid
@@ -191,8 +192,8 @@ def test_update_tickets(t, spark):
     assert set(ch.update_tickets(t, df).tables) == {"has_relationship"}
 
 
-@pytest.mark.parametrize("seed, finish_rows", [(7, 0), (8, 12), (9, 1000)])
-def test_settle_replay(spark, seed, finish_rows):
+@pytest.mark.parametrize("seed, component_rows", [(7, 0), (8, 12), (9, 1000)])
+def test_settle_replay(spark, seed, component_rows):
     rng = random.Random(seed)
     cand = [
         (n, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"uvwxyz"]), rng.choice("pq"), rng.choice([None, 2, 3, 9]), rng.random() < 0.9)
@@ -201,7 +202,7 @@ def test_settle_replay(spark, seed, finish_rows):
     room = {"p": rng.choice([4, 30]), "q": None}
     cand = [(n, a, b, g, room[g], ok) for n, a, b, g, _, ok in cand]
     df = spark.createDataFrame(rng.sample(cand, len(cand)), "seq long, a string, b string, g string, room int, ok boolean")
-    out = {r.seq: r for r in settle(df, F.col("ok"), {"one": ["a"], "two": ["b"]}, ("g", "room"), finish_rows).collect()}
+    out = {r.seq: r for r in settle(df, F.col("ok"), {"one": ["a"], "two": ["b"]}, ("g", "room"), component_rows).collect()}
     held_a, held_b, count = set(), set(), {"p": 0, "q": 0}
     for n, a, b, g, places, ok in cand:
         verdict = (a in held_a, b in held_b, places is not None and count[g] >= places)
@@ -223,15 +224,28 @@ def test_settle_long_chain(spark):
     assert out == {n: n % 2 == 0 for n in range(500)}
 
 
-def test_settle_rounds_take_the_same_time(spark, monkeypatch):
-    ends = []
+def test_long_paths_are_followed_by_doubling(spark, monkeypatch):
+    """No component may be walked through, yet a chain of 5,000 rows ends in a few steps."""
+    rounds = []
     marked = settle_module._marked
-    monkeypatch.setattr(settle_module, "_marked", lambda *a: (ends.append(time.perf_counter()), marked(*a))[1])
-    out = {r.seq: r._in for r in settle(chain(spark, 40), F.lit(True), {"a": ["a"], "b": ["b"]}, finish_rows=0).collect()}
-    assert out == {n: n % 2 == 0 for n in range(40)}
-    times = [b - a for a, b in zip(ends, ends[1:], strict=False)]
-    print("seconds per round:", [round(x, 2) for x in times])
-    assert len(ends) == 20 and sum(times[-6:]) < 3 * sum(times[3:9])
+    monkeypatch.setattr(settle_module, "_marked", lambda *a: (rounds.append(1), marked(*a))[1])
+    out = {r.seq: r._in for r in settle(chain(spark, 5000), F.lit(True), {"a": ["a"], "b": ["b"]}, component_rows=0).collect()}
+    assert out == {n: n % 2 == 0 for n in range(5000)}
+    assert len(rounds) <= 3
+
+
+def test_many_long_chains(spark, monkeypatch):
+    """Chains of 500 rows, dealt at random: no row passes the driver, and the steps do not depend on the chains' length."""
+    steps = []
+    for module, name in ((settle_module, "_marked"), (conflicts_module, "_towards_larger")):
+        original = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, name=name, original=original: (steps.append(name), original(*a))[1])
+    monkeypatch.setattr(DataFrame, "collect", None)
+    links = spark.range(200_000).selectExpr("id AS seq", "id DIV 2 AS a", "(id + 1) DIV 2 + id DIV 500 AS b")
+    out = settle(links, F.lit(True), {"a": ["a"], "b": ["b"]})
+    wrong = out.filter("_in <> (seq % 500 % 2 = 0)")
+    assert wrong.isEmpty() and out.filter("_in").count() == 100_000
+    assert steps.count("_marked") == 1 and steps.count("_towards_larger") <= 12
 
 
 def test_settle_hot_value(spark):

@@ -1,0 +1,60 @@
+"""Components against a union-find, and the ordered pass."""
+
+import random
+
+import pytest
+
+from boxoffice.operators.conflicts import components, in_order
+
+
+def plain(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        a, b = top(u), top(v)
+        root[max(a, b)] = min(a, b)
+    return {x: top(x) for x in root}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(n, n + 1) for n in range(1000, 1400)] + [(2000, n) for n in range(2001, 2300)]
+    rng.shuffle(pairs)
+    odd = [(None, 5), (7, None), (None, None), (9000, 9000)]
+    got = components(spark.createDataFrame(pairs + odd, "u long, v long")).collect()
+    want = {x: r for x, r in plain([p for p in pairs if p[0] != p[1]]).items()}
+    assert len(got) == len(want) and {r.id: r.component for r in got} == want
+
+
+def test_text_ids_and_no_links(spark):
+    links = spark.createDataFrame([("b", "c"), ("c", "é"), ("x", "y")], "u string, v string")
+    assert {tuple(r) for r in components(links).collect()} == {("b", "b"), ("c", "b"), ("é", "b"), ("x", "x"), ("y", "x")}
+    assert components(links.limit(0)).collect() == []
+
+
+def test_rows_of_a_component_come_in_order(spark):
+    rows = spark.range(10_000).selectExpr("id * 7919 % 10007 AS at", "id % 13 AS component")
+
+    def start():
+        seen = []
+
+        def step(row):
+            at, component = row
+            assert not seen or seen[-1] < row
+            seen.append(row)
+            return (component, len(seen), at) if at % 2 else None
+
+        return step
+
+    got = in_order(rows, ["at"], "component long, place long, at long", start).collect()
+    want = {}
+    for at, component in sorted((r.at, r.component) for r in rows.collect()):
+        want.setdefault(component, []).append(at)
+    assert sorted(map(tuple, got)) == sorted((c, n, at) for c, ats in want.items() for n, at in enumerate(ats, 1) if at % 2)
+    assert in_order(rows.limit(0), ["at"], "component long", start).collect() == []

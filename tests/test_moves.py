@@ -26,15 +26,15 @@ def plain(cand, existing):
     return taken
 
 
-@pytest.mark.parametrize("seed, finish_rows", [(1, 1000), (2, 0), (3, 5), (4, 1000), (5, 0)])
-def test_moves_replay(spark, seed, finish_rows):
+@pytest.mark.parametrize("seed, component_rows", [(1, 1000), (2, 0), (3, 5), (4, 1000)])
+def test_moves_replay(spark, seed, component_rows):
     rng = random.Random(seed)
     ids = [f"i{n}" for n in range(14)]
     existing = [(rng.choice("abcdefg"), i) for i in ids[:8]] + [("h", "outside")]
-    cand = [(n, rng.choice([*ids, None]), rng.choice([*"abcdefghijk", None]), rng.random() < 0.85) for n in range(70)]
+    cand = [(n, rng.choice([*ids, None]), rng.choice([*"abcdefghijk", None]), rng.random() < 0.85) for n in range(40 if component_rows < 100 else 200)]
     df = spark.createDataFrame(rng.sample(cand, len(cand)), "seq long, i string, k string, ok boolean")
     old = spark.createDataFrame(existing, "k string, i string")
-    got = {r.seq: (r._taken, r.existing_id) for r in moved(df, old, ["k"], "i", F.col("ok"), finish_rows).collect()}
+    got = {r.seq: (r._taken, r.existing_id) for r in moved(df, old, ["k"], "i", F.col("ok"), component_rows).collect()}
     want = plain(cand, existing)
     assert {seq: taken or False for seq, (taken, _) in got.items()} == want
     assert all(holder is None for taken, holder in got.values() if not taken)
@@ -49,7 +49,7 @@ def test_hot_key_is_settled_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(module, "_round", lambda *a: (rounds.append(1), original(*a))[1])
     rows = spark.range(20_000).selectExpr("id AS seq", "if(id = 10000, 'owner', concat('t', id)) AS i", "if(id = 10000, 'other', 'seat') AS k")
     old = spark.createDataFrame([("seat", "owner")], "k string, i string")
-    out = moved(rows, old, ["k"], "i", F.lit(True), finish_rows=10)
+    out = moved(rows, old, ["k"], "i", F.lit(True), component_rows=10)
     assert [r.seq for r in out.filter("NOT _taken").orderBy("seq").collect()] == [10_000, 10_001]
     assert len(rounds) <= 4
 
@@ -95,3 +95,27 @@ def test_names_given_up_in_the_batch(t, spark):
     change = ch.update_rows(t, "promotion", spark.createDataFrame(codes, "seq long, promotion_id string, promo_code string"))
     assert change.rejects.isEmpty()
     assert {r.promo_code for r in change.tables["promotion"].collect()} >= {"FREED", first.promo_code}
+
+
+def test_a_chain_of_moves_in_one_pass(spark, monkeypatch):
+    """Each ticket takes the seat that the one before it leaves: one ordered pass in a task, no round."""
+    import boxoffice.operators.moves as module
+
+    monkeypatch.setattr(module, "_round", None)
+    n = 3000
+    rows = spark.range(n).selectExpr("id AS seq", "concat('t', id) AS i", "if(id = 0, 'free', concat('s', id - 1)) AS k")
+    old = spark.range(n).selectExpr("concat('s', id) AS k", "concat('t', id) AS i")
+    assert moved(rows, old, ["k"], "i", F.lit(True)).filter("_taken").isEmpty()
+    backwards = rows.selectExpr(f"{n} - seq AS seq", "i", "k")
+    out = moved(backwards, old, ["k"], "i", F.lit(True)).filter("NOT _taken").collect()
+    assert [(r.seq, r.i) for r in out] == [(n, "t0")]
+
+
+def test_nothing_is_written_where_nothing_is_given_up(spark, monkeypatch):
+    import boxoffice.operators.moves as module
+
+    monkeypatch.setattr(module, "staged", None)
+    rows = spark.createDataFrame([(1, "i1", "a"), (2, "i2", "a"), (3, "i3", "b"), (4, None, "b"), (5, "i9", "c"), (5, "i9", "c")], "seq long, i string, k string")
+    old = spark.createDataFrame([("a", "i0"), ("c", "i9")], "k string, i string")
+    out = moved(rows, old, ["k"], "i", F.lit(True))
+    assert sorted((r.seq, r._taken, r.existing_id) for r in out.collect()) == [(1, True, "i0"), (2, True, "i0"), (3, False, None), (4, True, "i3"), (5, False, None), (5, False, None)]
