@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from boxoffice.operators.spread import only_keys_of
 from boxoffice.schemas import TABLES
 
+LISTED_KEYS = 1000
 
 # Fixed value: the one table whose name is quoted in upper case in the database
 DATABASE_NAMES = {"order": "ORDER"}
@@ -39,6 +42,14 @@ class Tables:
     def __iter__(self):
         return iter(self._frames)
 
+    def only(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame:
+        """Rows of a table whose ``column`` has a value of ``asked.theirs``. Up to ``LISTED_KEYS`` distinct values become
+        a filter that reaches the files, more a semi join."""
+        keys = [r[0] for r in asked.select(theirs).filter(F.col(theirs).isNotNull()).distinct().limit(LISTED_KEYS + 1).collect()]
+        if len(keys) <= LISTED_KEYS:
+            return self[name].filter(F.col(column).isin(keys))
+        return only_keys_of(self[name], asked, {column: theirs})
+
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new table set in which the given tables take the place of the old ones."""
         return Tables(self.spark, {**self._frames, **frames})

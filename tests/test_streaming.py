@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from boxoffice.operators import candidates
 from boxoffice.session import shared_dir
+from boxoffice.sources import tables
+from boxoffice.sources.layout import Layout
 from boxoffice.streaming import admission
 from tests.test_checks import quota_shop, small
 
@@ -29,8 +31,7 @@ def verdicts(df):
     return {r.seq: r.reason for r in df.select("seq", "reason").collect()}
 
 
-def test_tickets_over_batches_equal_one_table(spark, folder, monkeypatch):
-    monkeypatch.setattr(admission, "COMPACT_EVERY", 2)
+def test_tickets_over_batches_equal_one_table(spark, folder):
     rng = random.Random(21)
     shop, _, _ = quota_shop(spark, rng)
     rows = [(n, f"o{rng.randrange(10)}", f"c{rng.choice([0, 1, 2, 5, 5, 6])}") for n in range(60)]
@@ -108,7 +109,7 @@ def test_redemptions_over_batches(spark, folder):
 
 @pytest.mark.parametrize("listed", [1000, 0])
 def test_tables_may_change_between_batches(spark, folder, monkeypatch, listed):
-    monkeypatch.setattr(admission, "LISTED_KEYS", listed)
+    monkeypatch.setattr(tables, "LISTED_KEYS", listed)
     shop, _, _ = quota_shop(spark, random.Random(24))
     schema = "seq long, torder_id string, tcategory_id string"
     now = [shop]
@@ -125,3 +126,36 @@ def test_tables_may_change_between_batches(spark, folder, monkeypatch, listed):
     now[0] = shop.replace(ticket_category=shop["ticket_category"].unionByName(category), order=shop["order"].unionByName(order))
     second = run([(3, "late", "new"), (4, "o1", "new"), (5, "o2", "new"), (6, None, None)])
     assert (second[3], second[4], second[5], second[6]) == (None, None, "quota_full", "unknown_category")
+
+
+def test_a_batch_reads_its_buckets_only(spark, folder, monkeypatch):
+    """The state and the tables grow tenfold; a batch of one category reads as many files as before."""
+    schema = "seq long, torder_id string, tcategory_id string"
+    at = datetime(2026, 1, 1)
+    shop = small(
+        spark,
+        ticket_category=[(f"c{n}", "n", 3, Decimal(1), "e") for n in range(2000)],
+        order=[(f"o{n}", at, "LUNAS", Decimal(0), "x") for n in range(2000)],
+        ticket=[(f"k{n}", f"k{n}", f"c{n}", f"o{n}") for n in range(2000)],
+    )
+    by = {"ticket": "tcategory_id", "ticket_category": "category_id", "order": "order_id"}
+    laid = Layout.create(shop, f"{folder}/tables", by, by, buckets=16).tables()
+    read = []
+    original = admission.State.read
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    monkeypatch.setattr(admission.State, "read", lambda self, buckets: (read.append(files(original(self, buckets))), original(self, buckets))[1])
+    rows = []
+    for low, high in ((0, 40), (40, 41), (41, 1600), (1600, 1601), (1601, 1602)):
+        rows += [(n, f"o{n}", "c7" if high - low == 1 else f"c{n}") for n in range(low, high)]
+        stream = feed(spark, rows[low:high], schema, f"{folder}/in", 1)
+        admission.admit_tickets_stream(stream, laid, folder).awaitTermination()
+    small_batches = [read[2 * n : 2 * n + 2] for n in (1, 3, 4)]
+    assert len(read) == 10 and all(n <= 1 for pair in small_batches for n in pair)
+    assert max(read[4:6]) > 10
+    done = admission.ledger(spark, folder)
+    assert verdicts(done) == verdicts(candidates.admit_tickets(shop, spark.createDataFrame(rows, schema)))
+    # of the tables, a request reads the bucket of its category
+    one = spark.createDataFrame([(1, "o1", "c7")], schema)
+    layout = laid.layout
+    assert files(layout.rows("ticket")) >= 16 and files(layout.rows("ticket", layout.touched("ticket", one))) == 1
+    assert laid.only("ticket", "tcategory_id", one, "tcategory_id").count() == 1
