@@ -6,7 +6,7 @@ Nothing is written in place. Ids that a job has to make up are digests of the ba
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,20 +31,51 @@ from boxoffice.session import staged
 from boxoffice.sources.tables import Tables
 
 
+@dataclass
+class Rewrite:
+    """How a change set changes one table: a function from its rows, or from some of them that include all rows with
+    these ``keys``, to the rows after it. ``keys`` names the rows that go, come or change."""
+
+    keys: DataFrame
+    apply: Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class ChangeSet:
-    """New tables by name, and the rows that were refused, each with a ``reason``.
+    """What happens to each table, the rows that were refused, each with a ``reason``, and, where rows are
+    added, their ``ids`` by ``seq``.
 
-    Where several tables come from one verdict, the verdict is a table in the shared folder, computed once.
+    ``tables`` are the new tables as a whole; `sources.layout` rewrites the touched buckets only. Where several
+    tables come from one verdict, the verdict is a table in the shared folder, computed once.
     """
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
+    rewrites: dict[str, Rewrite]
+    ids: DataFrame | None = None
+
+    @classmethod
+    def of(cls, t: Tables, rewrites: dict[str, Rewrite], rejects: DataFrame, ids: DataFrame | None = None) -> ChangeSet:
+        tables = {name: rewrite.apply(t[name]).select(*t[name].columns) for name, rewrite in rewrites.items()}
+        return cls(tables, rejects, rewrites, ids)
 
     def apply(self, t: Tables) -> Tables:
         return t.replace(**self.tables)
 
 
+def _adding(table: str, new: DataFrame) -> Rewrite:
+    return Rewrite(new.select(TABLES[table].key[0]), lambda rows: rows.unionByName(new.select(*rows.columns)))
+
+
+def _replacing(t: Tables, table: str, column: str, gone: DataFrame, new: DataFrame | None = None) -> Rewrite:
+    """The rows whose ``column`` is in ``gone`` go, the ``new`` ones come."""
+    key = TABLES[table].key[0]
+    keys = gone.select(key) if key == column else only_keys_of(t[table].select(key, column), gone, {column: column}).select(key)
+    if new is None:
+        return Rewrite(keys, lambda rows: without_keys_of(rows, gone, [column]))
+    return Rewrite(keys.unionByName(new.select(key)), lambda rows: without_keys_of(rows, gone, [column]).unionByName(new.select(*rows.columns)))
+
+
 def _types(t: Tables, table: str) -> dict[str, str]:
     return dict(t[table].dtypes)
 
@@ -71,8 +102,8 @@ def _parent_flags(t: Tables, table: str, df: DataFrame) -> tuple[DataFrame, list
         if ref.column not in df.columns:
             continue
         flag = f"_parent{n}"
-        parents = t[ref.parent].select(F.col(ref.parent_column).alias(ref.column), F.lit(True).alias(flag))
-        df = df.join(parents, ref.column, "left")
+        parents = t.lookup(ref.parent, {ref.parent_column: ref.column}, df)
+        df = spread_join(df, parents.select(F.col(ref.parent_column).alias(ref.column), F.lit(True).alias(flag)), [ref.column])
         missing = F.col(ref.column).isNotNull() & F.col(flag).isNull()
         rules.append((missing, f"reference:{ref.column}"))
     return df, rules
@@ -125,7 +156,7 @@ def append_rows(t: Tables, table: str, rows: DataFrame, batch: str = "append") -
     claims = {f"unique{n}": list(keys) for n, keys in enumerate((spec.key, *spec.unique))}
     old_rules = []
     for name, keys in claims.items():
-        old = only_keys_of(t[table].select(*keys), full, {k: k for k in keys}).distinct()
+        old = t.lookup(table, {k: k for k in keys}, full).select(*keys).distinct()
         full = spread_join(full, old.withColumn(f"_old_{name}", F.lit(True)), keys, "seq")
         old_rules.append((F.col(f"_old_{name}").isNotNull(), f"unique:{', '.join(keys)}"))
     full, parents = _parent_flags(t, table, full)
@@ -135,8 +166,8 @@ def append_rows(t: Tables, table: str, rows: DataFrame, batch: str = "append") -
     settled = settle(full, fine, claims)
     taken = [(F.col(f"_taken_{name}"), f"unique:{', '.join(keys)}") for name, keys in claims.items()]
     done = judged(settled, [*own_rules, *old_rules, *taken, *parents])
-    new = done.filter("accepted").select(*t[table].columns)
-    return ChangeSet({table: t[table].unionByName(new)}, _refused(done, columns))
+    new = done.filter("accepted")
+    return ChangeSet.of(t, {table: _adding(table, new)}, _refused(done, columns), new.select("seq", *spec.key))
 
 
 def _unique_flags(t: Tables, table: str, df: DataFrame, keys, fields, rules):
@@ -174,17 +205,21 @@ def update_rows(t: Tables, table: str, changes: DataFrame, key: Sequence[str] |
     ready = judged(cast, [*rules, *taken])
     ready = ready.select(*keys, new.alias("_new"), "reason")
 
-    joined = t[table].join(ready, keys, "left")
-    use = F.col("_new").isNotNull() & F.col("reason").isNull()
-    table_new = joined.select(
-        *[F.when(use, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in t[table].columns]
-    )
-    known = t[table].select(*keys).distinct().withColumn("_known", F.lit(True))
+    def rewritten(rows: DataFrame) -> DataFrame:
+        use = F.col("_new").isNotNull() & F.col("reason").isNull()
+        return rows.join(ready, keys, "left").select(
+            *[F.when(use, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns]
+        )
+
+    changed, key = ready.filter("reason IS NULL").select(*keys), TABLES[table].key[0]
+    if key not in keys:
+        changed = only_keys_of(t[table].select(key, *keys), changed, {k: k for k in keys})
+    known = t.lookup(table, {k: k for k in keys}, ready).select(*keys).distinct().withColumn("_known", F.lit(True))
     judged_changes = ready.join(known, keys, "left").withColumn(
         "reason", F.when(F.col("_known").isNull(), "unknown_key").otherwise(F.col("reason"))
     )
     refused = judged_changes.filter(F.col("reason").isNotNull()).select(*keys, "reason")
-    return ChangeSet({table: table_new}, refused)
+    return ChangeSet.of(t, {table: Rewrite(changed.select(key), rewritten)}, refused)
 
 
 def _cascade(t: Tables, table: str, keys: DataFrame) -> tuple[list[DataFrame], list[tuple[str, str, DataFrame]]]:
@@ -216,7 +251,7 @@ def delete_rows(t: Tables, table: str, ids: DataFrame) -> ChangeSet:
     if len(whole) > 1:
         asked = ids.select(*whole).distinct()
         unknown = without_keys_of(asked, t[table], whole).withColumn("reason", F.lit("unknown_key"))
-        return ChangeSet({table: without_keys_of(t[table], asked, whole)}, unknown)
+        return ChangeSet.of(t, {table: Rewrite(asked.select(whole[0]), lambda rows: without_keys_of(rows, asked, whole))}, unknown)
     key = whole[0]
     asked = ids.select(key).distinct()
     present = asked.join(t[table].select(key), key, "left_semi").select(F.col(key).alias("root"))
@@ -227,15 +262,19 @@ def delete_rows(t: Tables, table: str, ids: DataFrame) -> ChangeSet:
     def free(frame: DataFrame) -> DataFrame:
         return frame.join(kept, "root", "left_anti") if kept is not None else frame
 
-    tables = {table: t[table].join(free(roots).select(F.col("root").alias(key)), key, "left_anti")}
+    rewrites = {table: _replacing(t, table, key, free(roots).select(F.col("root").alias(key)))}
     for child, column, keys in deletes:
-        gone = free(keys).select(F.col("key").alias(column))
-        tables[child] = without_keys_of(tables.get(child, t[child]), gone, [column])
+        more = _replacing(t, child, column, free(keys).select(F.col("key").alias(column)))
+        rewrites[child] = _both(rewrites[child], more) if child in rewrites else more
     unknown = asked.join(t[table].select(key), key, "left_anti").withColumn("reason", F.lit("unknown_key"))
     rejects = unknown
     if kept is not None:
         rejects = unknown.unionByName(kept.select(F.col("root").alias(key), F.lit("in_use").alias("reason")))
-    return ChangeSet({n: f.select(*t[n].columns) for n, f in tables.items()}, rejects)
+    return ChangeSet.of(t, rewrites, rejects)
+
+
+def _both(one: Rewrite, other: Rewrite) -> Rewrite:
+    return Rewrite(one.keys.unionByName(other.keys), lambda rows: other.apply(one.apply(rows)))
 
 
 def _named_artists(changes: DataFrame, id_type: str) -> Column:
@@ -255,12 +294,12 @@ def _with_artist_flags(t: Tables, changes: DataFrame) -> DataFrame:
     return flagged.withColumn("_bad_artists", F.col("_unknown").isNotNull() | twice).drop("_unknown")
 
 
-def _artist_links(t: Tables, accepted: DataFrame) -> DataFrame:
+def _artist_links(t: Tables, accepted: DataFrame) -> Rewrite:
     """Old links of the touched events out, the named artists in, without a role."""
     types = _types(t, "event_artist")
     new = accepted.select("event_id", F.explode("_artists").alias("artist_id"))
     new = new.withColumn("role", F.lit(None).cast(types["role"]))
-    return without_keys_of(t["event_artist"], accepted, ["event_id"]).unionByName(new)
+    return _replacing(t, "event_artist", "event_id", accepted.select("event_id"), new)
 
 
 def replace_event_artists(t: Tables, changes: DataFrame) -> ChangeSet:
@@ -269,7 +308,7 @@ def replace_event_artists(t: Tables, changes: DataFrame) -> ChangeSet:
     latest = _latest(changes, ["event_id"])
     flagged = _with_artist_flags(t, latest).join(event, "event_id", "left")
     done = judged(flagged, [(F.col("_known").isNull(), "unknown_event"), (F.col("_bad_artists"), "bad_artists")])
-    return ChangeSet({"event_artist": _artist_links(t, done.filter("accepted"))}, _refused(done, ["seq", "event_id"]))
+    return ChangeSet.of(t, {"event_artist": _artist_links(t, done.filter("accepted"))}, _refused(done, ["seq", "event_id"]))
 
 
 def _with_category_flags(t: Tables, changes: DataFrame) -> DataFrame:
@@ -293,7 +332,7 @@ def _with_category_flags(t: Tables, changes: DataFrame) -> DataFrame:
     return spread_join(checked, in_use.distinct().withColumn("_sold", F.lit(True)), ["event_id"], "seq")
 
 
-def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> DataFrame:
+def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> Rewrite:
     """Old categories of the touched events out, the given ones in."""
     touched = accepted.select(F.col("event_id").alias("tevent_id"))
     lines = accepted.select("event_id", F.posexplode("_lines").alias("place", "line"))
@@ -305,10 +344,9 @@ def _category_rows(t: Tables, accepted: DataFrame, batch: str) -> DataFrame:
         F.col("line.price").cast(types["price"]).alias("price"),
         F.col("event_id").alias("tevent_id"),
     )
-    kept = without_keys_of(t["ticket_category"], touched, ["tevent_id"])
     if types["category_id"] != "string":
         raise TypeError(f"made-up ids are text, but ticket_category.category_id is {types['category_id']}")
-    return kept.unionByName(new)
+    return _replacing(t, "ticket_category", "tevent_id", touched, new)
 
 
 def replace_event_categories(t: Tables, changes: DataFrame, batch: str = "categories") -> ChangeSet:
@@ -328,7 +366,7 @@ def replace_event_categories(t: Tables, changes: DataFrame, batch: str = "catego
         ],
     )
     rows = _category_rows(t, done.filter("accepted"), batch)
-    return ChangeSet({"ticket_category": rows}, _refused(done, ["seq", "event_id"]))
+    return ChangeSet.of(t, {"ticket_category": rows}, _refused(done, ["seq", "event_id"]))
 
 
 def judge_moves(t: Tables, changes: DataFrame) -> DataFrame:
@@ -360,16 +398,14 @@ def update_tickets(t: Tables, changes: DataFrame) -> ChangeSet:
     """
     done = staged(judge_moves(t, changes), "moves")
     last = _latest(done.filter("accepted").select("seq", "ticket_id", "_word", "_seat"), ["ticket_id"])
-    tables = {}
+    rewrites = {}
     if "status" in t["ticket"].columns:
         words = last.select("ticket_id", "_word")
-        tables["ticket"] = (
-            t["ticket"].join(words, "ticket_id", "left").withColumn("status", F.coalesce("_word", "status")).select(*t["ticket"].columns)
-        )
-    links = t["has_relationship"].join(last.select("ticket_id"), "ticket_id", "left_anti")
+        stated = lambda rows: rows.join(words, "ticket_id", "left").withColumn("status", F.coalesce("_word", "status"))
+        rewrites["ticket"] = Rewrite(words.select("ticket_id"), lambda rows: stated(rows).select(*rows.columns))
     new = last.filter(F.col("_seat").isNotNull()).select(F.col("_seat").alias("seat_id"), "ticket_id")
-    tables["has_relationship"] = links.unionByName(new)
-    return ChangeSet(tables, _refused(done, changes.columns))
+    rewrites["has_relationship"] = _replacing(t, "has_relationship", "ticket_id", last.select("ticket_id"), new)
+    return ChangeSet.of(t, rewrites, _refused(done, changes.columns))
 
 
 def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets", component_rows: int = COMPONENT_ROWS) -> DataFrame:
@@ -435,13 +471,8 @@ def issue_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> ChangeS
     if "status" in t["ticket"].columns:
         tickets = tickets.withColumn("status", F.lit(VALID))
     links = admitted.filter(F.col("_seat").isNotNull()).select(F.col("_seat").alias("seat_id"), "ticket_id")
-    return ChangeSet(
-        {
-            "ticket": t["ticket"].unionByName(tickets),
-            "has_relationship": t["has_relationship"].unionByName(links),
-        },
-        _refused(done, cand.columns),
-    )
+    rewrites = {"ticket": _adding("ticket", tickets), "has_relationship": _adding("has_relationship", links)}
+    return ChangeSet.of(t, rewrites, _refused(done, cand.columns), admitted.select("seq", "ticket_id", "ticket_code"))
 
 
 def place_orders(t: Tables, priced: DataFrame, as_of, batch: str = "orders") -> ChangeSet:
@@ -461,7 +492,8 @@ def place_orders(t: Tables, priced: DataFrame, as_of, batch: str = "orders") ->
         ],
     ).withColumn("reason", F.coalesce("_unpriced", "reason"))
     new = placed_orders(legal, as_of, batch).select(*t["order"].columns)
-    return ChangeSet({"order": t["order"].unionByName(new)}, _refused(legal, ["cart_id"]))
+    ids = legal.filter("accepted").select("cart_id", stable_uuid(F.lit("order"), F.lit(batch), F.col("cart_id")).alias("order_id"))
+    return ChangeSet.of(t, {"order": _adding("order", new)}, _refused(legal, ["cart_id"]), ids)
 
 
 def update_order_status(t: Tables, changes: DataFrame) -> ChangeSet:
@@ -505,15 +537,16 @@ def register_users(t: Tables, regs: DataFrame, batch: str = "registrations") ->
     named = staged(check_usernames(t["user_account"], whole.filter("accepted").drop("accepted", "reason")), "names")
     new = named.filter("accepted")
 
-    def rows(table: str, source: DataFrame) -> DataFrame:
+    def rows(table: str) -> Rewrite:
+        source = new
         if table in ("customer", "organizer"):
             made = stable_uuid(F.lit(table), F.lit(batch), F.col("seq")).alias(f"{table}_id")
             source = source.filter(F.col("role_name") == table).select("*", made)
-        return t[table].unionByName(source.select(*t[table].columns))
+        return _adding(table, source.select(*t[table].columns))
 
-    tables = {name: rows(name, new) for name in ("user_account", "account_role", "customer", "organizer")}
+    rewrites = {name: rows(name) for name in ("user_account", "account_role", "customer", "organizer")}
     refused = _refused(whole, ["seq", "username"]).unionByName(_refused(named, ["seq", "username"]))
-    return ChangeSet(tables, refused)
+    return ChangeSet.of(t, rewrites, refused, new.select("seq", "user_id"))
 
 
 def update_profiles(t: Tables, changes: DataFrame) -> ChangeSet:
@@ -532,7 +565,7 @@ def update_profiles(t: Tables, changes: DataFrame) -> ChangeSet:
     organizer = update_rows(
         t, "organizer", others.select("user_id", F.col("name").alias("organizer_name"), *mail, *extra), ["user_id"]
     )
-    return ChangeSet({**customer.tables, **organizer.tables}, customer.rejects.unionByName(organizer.rejects))
+    return ChangeSet.of(t, {**customer.rewrites, **organizer.rewrites}, customer.rejects.unionByName(organizer.rejects))
 
 
 def judge_events(t: Tables, changes: DataFrame, batch: str = "events") -> DataFrame:
@@ -597,12 +630,9 @@ def save_events(t: Tables, changes: DataFrame, batch: str = "events") -> ChangeS
     rows = last.select(
         "event_id", "event_datetime", F.col("title").alias("event_title"), "venue_id", "organizer_id"
     ).select(*[F.col(c).cast(types[c]).alias(c) for c in t["event"].columns])
-    kept = t["event"].join(last.select("event_id"), "event_id", "left_anti")
-    return ChangeSet(
-        {
-            "event": kept.unionByName(rows),
-            "event_artist": _artist_links(t, last),
-            "ticket_category": _category_rows(t, last, batch),
-        },
-        _refused(done, ["seq", "event_id"]),
-    )
+    rewrites = {
+        "event": _replacing(t, "event", "event_id", last.select("event_id"), rows),
+        "event_artist": _artist_links(t, last),
+        "ticket_category": _category_rows(t, last, batch),
+    }
+    return ChangeSet.of(t, rewrites, _refused(done, ["seq", "event_id"]), last.select("seq", "event_id"))

@@ -86,7 +86,7 @@ def running_counts(
 def only_keys_of(df: DataFrame, asked: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``asked``; ``on`` maps columns of ``df`` to columns of ``asked``."""
     keys = asked.select(*[F.col(theirs).alias(ours) for ours, theirs in on.items()]).distinct()
-    return spread_join(df, keys, list(on), how="left_semi")
+    return spread_join(df, keys, list(on), how="left_semi").select(*df.columns)
 
 
 def without_keys_of(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from boxoffice.operators.tickets import sold_per_category
 from boxoffice.plans.check_queries import CANDIDATES, EVENT_OF, ticket_requests, user_candidates
 from boxoffice.plans.registry import query
 from boxoffice.plans.report_queries import AS_OF, CART_VIEWS, carts, stamp
+from boxoffice.session import shared_dir
+from boxoffice.sources.layout import Layout
 
 UUID = "md5('{0}' || chr(1) || '{1}' || chr(1) || {2})"
 
@@ -62,20 +66,54 @@ query(
 )
 
 
+def laid_out(t, *names: str) -> Layout:
+    return Layout.create(t, f"{shared_dir(t.spark)}/layout-{uuid.uuid4().hex}", names)
+
+
+def append_twice(t, read) -> DataFrame:
+    """A change set that is applied again under its name adds nothing; the ids of its rows are those of the first time."""
+    layout = laid_out(t, "ticket_category", "event")
+    for _ in range(2):
+        done = layout.apply(changes.append_rows(layout.tables(), "ticket_category", new_categories(read)), "categories")
+    rows = layout.tables()["ticket_category"]
+    return rows.join(done.ids, "category_id", "left").withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
+
+
+query(
+    "m01_append_twice",
+    """WITH cand AS (SELECT event_id AS seq, 1000 + event_id // 2 AS category_id, event_type AS category_name,
+        coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id % 10 AS INTEGER) END, 1) AS quota,
+        CASE WHEN event_type = 'view' THEN 0 ELSE CAST(value AS DECIMAL(12,2)) END AS price, show_id AS tevent_id FROM c_event),
+    fine AS (SELECT * FROM cand WHERE quota > 0 AND price >= 0 AND category_id NOT IN (SELECT category_id FROM b_category)
+        AND tevent_id IN (SELECT event_id FROM b_event))
+    SELECT -1 AS seq, category_id, category_name, quota, CAST(price AS DOUBLE) AS price, tevent_id FROM b_category
+    UNION ALL SELECT seq, category_id, category_name, quota, CAST(price AS DOUBLE), tevent_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY seq) AS n FROM fine) WHERE n = 1""",
+    CANDIDATES,
+)(append_twice)
+
+
 def category_updates(read) -> DataFrame:
     return read("events").selectExpr(
         "event_id AS seq", "user_id AS category_id", "cast(floor(value / 10) AS int) AS quota", "value AS price"
     )
 
 
-query(
-    "m02_update_rows",
-    """WITH last AS (SELECT user_id AS category_id, arg_max(CAST(floor(value / 10) AS INTEGER), event_id) AS quota,
+UPDATE_SQL = """WITH last AS (SELECT user_id AS category_id, arg_max(CAST(floor(value / 10) AS INTEGER), event_id) AS quota,
         arg_max(value, event_id) AS price FROM events GROUP BY user_id)
     SELECT c.category_id, c.category_name, CASE WHEN l.quota > 0 THEN l.quota ELSE c.quota END AS quota,
         CASE WHEN l.quota > 0 THEN CAST(l.price AS DOUBLE) ELSE CAST(c.price AS DOUBLE) END AS price, c.tevent_id
-    FROM b_category c LEFT JOIN last l USING (category_id)""",
-)(lambda t, read: changes.update_rows(t, "ticket_category", category_updates(read)).tables["ticket_category"])
+    FROM b_category c LEFT JOIN last l USING (category_id)"""
+query("m02_update_rows", UPDATE_SQL)(lambda t, read: changes.update_rows(t, "ticket_category", category_updates(read)).tables["ticket_category"])
+
+
+def update_touched(t, read) -> DataFrame:
+    layout = laid_out(t, "ticket_category")
+    layout.apply(changes.update_rows(layout.tables(), "ticket_category", category_updates(read)), "prices")
+    return layout.tables()["ticket_category"]
+
+
+query("m02_update_touched", UPDATE_SQL)(update_touched)
 
 
 def venue_deletes(t, read):

@@ -161,8 +161,14 @@ class LaidOut(Tables):
         return LaidOut(self.layout, {**self.others, **frames})
 
     def only(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame:
-        layout = self.layout
-        if name in self.others or layout.by[name] != column:
+        if name in self.others or self.layout.by[name] != column:
             return super().only(name, column, asked, theirs)
-        keys = asked.select(F.col(theirs).alias(column))
-        return only_keys_of(layout.rows(name, layout.touched(name, keys)), asked, {column: theirs})
+        return self.lookup(name, {column: theirs}, asked)
+
+    def lookup(self, name: str, on: Mapping[str, str], asked: DataFrame) -> DataFrame:
+        """Of a table that is laid out by one of the columns, the buckets of the asked values are read."""
+        column = self.layout.by.get(name)
+        if name in self.others or column not in on:
+            return super().lookup(name, on, asked)
+        buckets = self.layout.touched(name, asked.select(F.col(on[column]).alias(column)))
+        return only_keys_of(self.layout.rows(name, buckets), asked, on)

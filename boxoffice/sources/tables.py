@@ -50,6 +50,10 @@ class Tables:
             return self[name].filter(F.col(column).isin(keys))
         return only_keys_of(self[name], asked, {column: theirs})
 
+    def lookup(self, name: str, on: Mapping[str, str], asked: DataFrame) -> DataFrame:
+        """Rows of a table whose columns have values of ``asked``; ``on`` maps columns of the table to those of ``asked``."""
+        return only_keys_of(self[name], asked, on)
+
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new table set in which the given tables take the place of the old ones."""
         return Tables(self.spark, {**self._frames, **frames})
