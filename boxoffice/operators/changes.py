@@ -273,6 +273,11 @@ def delete_rows(t: Tables, table: str, ids: DataFrame) -> ChangeSet:
     return ChangeSet.of(t, rewrites, rejects)
 
 
+def replace_rows(t: Tables, table: str, gone: DataFrame, new: DataFrame) -> ChangeSet:
+    """The rows with a key of ``gone`` go and the ``new`` ones come, under no rules; see `checks.check_changes`."""
+    return ChangeSet.of(t, {table: _replacing(t, table, TABLES[table].key[0], gone, new)}, t.spark.createDataFrame([], "reason string"))
+
+
 def _both(one: Rewrite, other: Rewrite) -> Rewrite:
     return Rewrite(one.keys.unionByName(other.keys), lambda rows: other.apply(one.apply(rows)))
 

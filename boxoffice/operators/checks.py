@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.schemas import TABLES, Reference
+from boxoffice.operators.deltas import rows_after, touched_keys
+from boxoffice.operators.spread import without_keys_of
+from boxoffice.schemas import TABLES, Reference, references_to
 from boxoffice.sources.tables import Tables
 
 
@@ -92,3 +94,38 @@ def check_foreign_keys(t: Tables, table: str | None = None) -> DataFrame:
     if not found:
         return t.spark.createDataFrame([], "constraint string, key string, rows long")
     return reduce(DataFrame.unionByName, found)
+
+
+def check_changes(t: Tables, change) -> DataFrame:
+    """Keys and references that a change set breaks: what `check_keys` and `check_foreign_keys` find in the tables after it,
+    if they find nothing in ``t``.
+
+    Looked at are the rows that the change set touches, and of others those with the same unique values, the
+    parents of the new rows, and the children of parents that go.
+    """
+    found = [t.spark.createDataFrame([], "constraint string, key string, rows long")]
+    for table in change.rewrites:
+        spec, key = TABLES[table], TABLES[table].key[0]
+        asked = touched_keys(change, table)
+        new = rows_after(t, change, table, {key: key}, asked)
+        for kind, keys in [("key", spec.key), *[("unique", u) for u in spec.unique]]:
+            same = rows_after(t, change, table, {k: k for k in keys}, new.select(*keys).distinct())
+            name, text = f"{kind}:{table}({', '.join(keys)})", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+            found.append(check_unique(same, keys).select(F.lit(name).alias("constraint"), text.alias("key"), "rows"))
+        for ref in spec.references:
+            values = new.filter(F.col(ref.column).isNotNull()).select(F.col(ref.column).alias("key")).distinct()
+            found.append(_orphans_after(t, change, table, ref, values))
+        for child, ref in references_to(table):
+            was = t.lookup(table, {key: key}, asked).select(F.col(ref.parent_column).alias("key")).distinct()
+            gone = without_keys_of(was, new.select(F.col(ref.parent_column).alias("key")), ["key"])
+            found.append(_orphans_after(t, change, child.name, ref, gone))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _orphans_after(t: Tables, change, table: str, ref: Reference, values: DataFrame) -> DataFrame:
+    """Which of the ``key`` values no parent has after the change set, and how many rows refer to them."""
+    parents = rows_after(t, change, ref.parent, {ref.parent_column: "key"}, values)
+    missing = without_keys_of(values, parents.select(F.col(ref.parent_column).alias("key")), ["key"])
+    rows = rows_after(t, change, table, {ref.column: "key"}, missing).groupBy(F.col(ref.column).alias("key")).agg(F.count("*").alias("rows"))
+    name = f"reference:{table}({ref.column}) to {ref.parent}"
+    return rows.select(F.lit(name).alias("constraint"), F.col("key").cast("string").alias("key"), "rows")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import RESERVED, day, moment
-from boxoffice.operators.spread import side_by_side
+from boxoffice.operators.deltas import Kept, rows_after, touched_keys
+from boxoffice.operators.spread import side_by_side, spread_join
 from boxoffice.operators.tickets import sold_per_category
 from boxoffice.schemas import PAID
 from boxoffice.sources.tables import Tables
@@ -58,6 +61,41 @@ def admin_dashboard(t: Tables, as_of) -> DataFrame:
     )
 
 
+PAID_SALES = Kept(["event_id"], {"revenue": "price"})
+
+
+def sale_rows(tickets: DataFrame, order: DataFrame, ticket_category: DataFrame) -> DataFrame:
+    """``(event_id, price)`` of the tickets in paid orders."""
+    paid = order.filter(F.col("payment_status") == PAID).select(F.col("order_id").alias("torder_id"))
+    categories = ticket_category.select(F.col("category_id").alias("tcategory_id"), F.col("tevent_id").alias("event_id"), F.col("price").cast("decimal(28,2)").alias("price"))
+    sold = spread_join(tickets.select("tcategory_id", "torder_id"), paid, ["torder_id"], how="left_semi")
+    return spread_join(sold, categories, ["tcategory_id"], how="inner").select("event_id", "price")
+
+
+def paid_sales(t: Tables) -> DataFrame:
+    """Tickets in paid orders per event, as a figure to be kept: ``(event_id, rows, revenue)``."""
+    return PAID_SALES.of(sale_rows(t["ticket"], t["order"], t["ticket_category"]))
+
+
+def refreshed_paid_sales(t: Tables, stored: DataFrame, change) -> DataFrame:
+    """`paid_sales` after a change set, from those before it. Only tickets are looked at that the change set
+    touches, or whose order or category it does."""
+    ids = [t["ticket"].limit(0).select("ticket_id")]
+    if "ticket" in change.rewrites:
+        ids.append(touched_keys(change, "ticket"))
+    for parent, column in (("order", "torder_id"), ("ticket_category", "tcategory_id")):
+        if parent in change.rewrites:
+            keys = touched_keys(change, parent)
+            ids.append(t.lookup("ticket", {column: keys.columns[0]}, keys).select("ticket_id"))
+    affected, by_id = reduce(DataFrame.unionByName, ids).distinct(), {"ticket_id": "ticket_id"}
+
+    def sales(rows_of) -> DataFrame:
+        rows = rows_of("ticket", by_id, affected)
+        return sale_rows(rows, rows_of("order", {"order_id": "torder_id"}, rows), rows_of("ticket_category", {"category_id": "tcategory_id"}, rows))
+
+    return PAID_SALES.after(stored, sales(t.lookup), sales(lambda *asked: rows_after(t, change, *asked)))
+
+
 def _paid_sales(t: Tables) -> DataFrame:
     """Tickets in paid orders per event: number and price."""
     paid = t["order"].filter(F.col("payment_status") == PAID).select(F.col("order_id").alias("torder_id"))
@@ -73,13 +111,14 @@ def _paid_sales(t: Tables) -> DataFrame:
     )
 
 
-def organizer_dashboard(t: Tables, as_of) -> DataFrame:
-    """Per organizer: events to come, tickets sold, revenue and distinct venues."""
+def organizer_dashboard(t: Tables, as_of, kept_sales: DataFrame | None = None) -> DataFrame:
+    """Per organizer: events to come, tickets sold, revenue and distinct venues. ``kept_sales`` are those of `paid_sales`."""
+    sales = _paid_sales(t) if kept_sales is None else kept_sales.withColumnRenamed("rows", "tickets_sold")
     upcoming = (F.col("event_datetime") >= moment(as_of)).cast("long")
     figures = (
         t["event"]
         .select("event_id", "organizer_id", upcoming.alias("upcoming"))
-        .join(_paid_sales(t), "event_id", "left")
+        .join(sales, "event_id", "left")
         .groupBy("organizer_id")
         .agg(
             F.sum("upcoming").alias("active_events"),

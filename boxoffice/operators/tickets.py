@@ -25,6 +25,7 @@ from boxoffice.functions.columns import (
     weekday_display,
     whole_display,
 )
+from boxoffice.operators.deltas import Kept, rows_after, touched_keys
 from boxoffice.operators.spread import only_keys_of, side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
@@ -108,12 +109,29 @@ def sold_per_category(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy(F.col("tcategory_id").alias("category_id")).agg(F.count("*").alias("sold"))
 
 
-def category_utilisation(t: Tables) -> DataFrame:
-    """Sold tickets against quota per category, with the label of the ticket form."""
+SOLD = Kept(["tcategory_id"])
+
+
+def kept_sold(t: Tables) -> DataFrame:
+    """`sold_per_category` as a figure to be kept: ``(tcategory_id, rows)``."""
+    return SOLD.of(t["ticket"])
+
+
+def refreshed_sold(t: Tables, stored: DataFrame, change) -> DataFrame:
+    """`kept_sold` after a change set, from the tickets that it touches."""
+    if "ticket" not in change.rewrites:
+        return stored
+    keys, by_id = touched_keys(change, "ticket"), {"ticket_id": "ticket_id"}
+    return SOLD.after(stored, t.lookup("ticket", by_id, keys), rows_after(t, change, "ticket", by_id, keys))
+
+
+def category_utilisation(t: Tables, sold: DataFrame | None = None) -> DataFrame:
+    """Sold tickets against quota per category, with the label of the ticket form. ``sold`` is that of `kept_sold`."""
     used = F.coalesce("sold", F.lit(0))
+    counts = sold_per_category(t["ticket"]) if sold is None else sold.toDF("category_id", "sold")
     rows = (
         _category_places(t)
-        .join(sold_per_category(t["ticket"]), "category_id", "left")
+        .join(counts, "category_id", "left")
         .select("category_id", "category_name", "price", "quota", "tevent_id", "jenis_seating", used.alias("used"))
     )
     return rows.select(

@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.operators import changes, orders
+from boxoffice.operators import changes, checks, dashboards, orders, tickets
 from boxoffice.operators.ranges import positions
 from boxoffice.operators.spread import spread_join, without_keys_of
 from boxoffice.operators.tickets import sold_per_category
 from boxoffice.plans.check_queries import CANDIDATES, EVENT_OF, ticket_requests, user_candidates
+from boxoffice.plans.mapped import SQL_VIEWS
 from boxoffice.plans.registry import query
-from boxoffice.plans.report_queries import AS_OF, CART_VIEWS, carts, stamp
-from boxoffice.session import shared_dir
+from boxoffice.plans.report_queries import AS_OF, CART_VIEWS, DASHBOARD_SQL, UTILISATION_SQL, carts, stamp
+from boxoffice.session import shared_dir, staged
 from boxoffice.sources.layout import Layout
 
 UUID = "md5('{0}' || chr(1) || '{1}' || chr(1) || {2})"
@@ -66,6 +67,13 @@ query(
 )
 
 
+def order_status(read) -> DataFrame:
+    return read("events").selectExpr(
+        "event_id AS order_id",
+        "CASE event_type WHEN 'purchase' THEN 'LUNAS' WHEN 'error' THEN 'DIBATALKAN' ELSE 'PENDING' END AS payment_status",
+    )
+
+
 def laid_out(t, *names: str) -> Layout:
     return Layout.create(t, f"{shared_dir(t.spark)}/layout-{uuid.uuid4().hex}", names)
 
@@ -151,6 +159,67 @@ query(
         .select("ticket_id"),
     ).tables["has_relationship"]
 )
+
+
+def refunds(t):
+    """The tickets of cancelled orders go."""
+    cancelled = t["order"].filter("payment_status = 'DIBATALKAN'").selectExpr("order_id AS torder_id")
+    return changes.delete_rows(t, "ticket", t["ticket"].join(cancelled, "torder_id", "left_semi").select("ticket_id"))
+
+
+def refreshed_utilisation(t, read) -> DataFrame:
+    """The stored counts follow a change set; tickets are not counted again."""
+    stored, change = staged(tickets.kept_sold(t), "sold"), refunds(t)
+    return tickets.category_utilisation(t, tickets.refreshed_sold(t, stored, change))
+
+
+query(
+    "r18_refreshed_utilisation",
+    UTILISATION_SQL,
+    {"b_ticket": f"{SQL_VIEWS['b_ticket']} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))"},
+)(refreshed_utilisation)
+
+
+def refreshed_dashboard(t, read) -> DataFrame:
+    """Stored sales follow two change sets: orders change their status, and categories their price."""
+    stored = staged(dashboards.paid_sales(t), "sales")
+    status = changes.update_order_status(t, order_status(read))
+    stored, t = staged(dashboards.refreshed_paid_sales(t, stored, status), "sales"), status.apply(t)
+    prices = changes.update_rows(t, "ticket_category", category_updates(read))
+    return dashboards.organizer_dashboard(prices.apply(t), AS_OF, dashboards.refreshed_paid_sales(t, stored, prices))
+
+
+query(
+    "k06_refreshed_dashboard",
+    DASHBOARD_SQL,
+    {
+        "b_order": """SELECT o_orderkey AS order_id, CASE WHEN ev.event_id IS NULL THEN CASE o_orderstatus WHEN 'F' THEN 'LUNAS' ELSE 'other' END
+            WHEN ev.event_type = 'purchase' THEN 'LUNAS' ELSE 'other' END AS payment_status FROM orders LEFT JOIN events ev ON ev.event_id = o_orderkey""",
+        "b_category": f"""SELECT c.category_id, c.tevent_id, CASE WHEN l.quota > 0 THEN CAST(l.price AS DECIMAL(12,2)) ELSE c.price END AS price
+            FROM ({SQL_VIEWS["b_category"]}) c LEFT JOIN (SELECT user_id AS category_id, arg_max(CAST(floor(value / 10) AS INTEGER), event_id) AS quota,
+            arg_max(value, event_id) AS price FROM events GROUP BY user_id) l USING (category_id)""",
+    },
+)(refreshed_dashboard)
+
+
+def unchecked_categories(t):
+    """Every tenth category goes and others come a second time, some for shows that are not there."""
+    gone = t["ticket_category"].filter("category_id % 10 = 0").select("category_id")
+    event = F.expr("if(category_id % 20 = 1, concat('nowhere ', category_id % 3), tevent_id)")
+    return changes.replace_rows(t, "ticket_category", gone, t["ticket_category"].filter("category_id % 10 = 1").withColumn("tevent_id", event))
+
+
+query(
+    "v15_check_changes",
+    """WITH after AS (SELECT category_id, tevent_id FROM b_category WHERE category_id % 10 <> 0
+        UNION ALL SELECT category_id, CASE WHEN category_id % 20 = 1 THEN 'nowhere ' || category_id % 3 ELSE tevent_id END FROM b_category WHERE category_id % 10 = 1)
+    SELECT 'key:ticket_category(category_id)' AS "constraint", CAST(category_id AS VARCHAR) AS "key", count(*) AS "rows" FROM after
+    GROUP BY category_id HAVING count(*) > 1
+    UNION ALL SELECT 'reference:ticket_category(tevent_id) to event', tevent_id, count(*) FROM after
+    WHERE tevent_id NOT IN (SELECT event_id FROM b_event) GROUP BY tevent_id
+    UNION ALL SELECT 'reference:ticket(tcategory_id) to ticket_category', CAST(tcategory_id AS VARCHAR), count(*) FROM b_ticket
+    WHERE tcategory_id NOT IN (SELECT category_id FROM after) GROUP BY tcategory_id""",
+)(lambda t, read: checks.check_changes(t, unchecked_categories(t)))
 query(
     "m03_delete_links",
     """SELECT event_id, artist_id FROM b_event_artist WHERE (event_id, artist_id) NOT IN
@@ -393,13 +462,7 @@ query(
         ELSE CASE WHEN ev.event_id IS NULL THEN o.payment_status ELSE 'PENDING' END END AS payment_status
     FROM b_order o LEFT JOIN events ev ON ev.event_id = o.order_id""",
 )(
-    lambda t, read: changes.update_order_status(
-        t,
-        read("events").selectExpr(
-            "event_id AS order_id",
-            "CASE event_type WHEN 'purchase' THEN 'LUNAS' WHEN 'error' THEN 'DIBATALKAN' ELSE 'PENDING' END AS payment_status",
-        ),
-    )
+    lambda t, read: changes.update_order_status(t, order_status(read))
     .tables["order"]
     .select("order_id", "payment_status")
 )

@@ -149,15 +149,13 @@ query(
     JOIN b_category g ON g.category_id = k.tcategory_id JOIN b_event e ON e.event_id = g.tevent_id
     WHERE o.payment_status = 'LUNAS' ORDER BY o.order_id, e.event_datetime, e.event_id""",
 )(lambda t, read: orders.paid_order_event(t))
-query(
-    "r18_category_utilisation",
-    """SELECT category_id, category_name || ' — Rp ' || format('{:,}', CAST(floor(price) AS BIGINT)) || ' — (' || used || '/'
+UTILISATION_SQL = """SELECT category_id, category_name || ' — Rp ' || format('{:,}', CAST(floor(price) AS BIGINT)) || ' — (' || used || '/'
         || quota || ')' AS display, tevent_id AS event_id, category_name, quota, used, jenis_seating = 'Reserved Seating' AS has_seat,
         used >= quota AS is_full
     FROM (SELECT g.category_id, g.category_name, g.price, g.quota, g.tevent_id, v.jenis_seating, count(k.ticket_id) AS used
         FROM b_category g JOIN b_event e ON e.event_id = g.tevent_id JOIN b_venue v USING (venue_id)
-        LEFT JOIN b_ticket k ON k.tcategory_id = g.category_id GROUP BY ALL)""",
-)(lambda t, read: tickets.category_utilisation(t))
+        LEFT JOIN b_ticket k ON k.tcategory_id = g.category_id GROUP BY ALL)"""
+query("r18_category_utilisation", UTILISATION_SQL)(lambda t, read: tickets.category_utilisation(t))
 query(
     "r19_free_seats",
     """SELECT seat_id, section || ' — Baris ' || row_number || ', No. ' || seat_number AS display, venue_id
@@ -368,9 +366,7 @@ query(
     (SELECT count(*) FROM b_venue WHERE jenis_seating = 'Reserved Seating') AS reserved_venues,
     (SELECT max(capacity) FROM b_venue) AS largest_capacity""",
 )(lambda t, read: dashboards.admin_dashboard(t, AS_OF))
-query(
-    "k06_k09_organizer_dashboard",
-    f"""SELECT o.organizer_id, o.organizer_name,
+DASHBOARD_SQL = f"""SELECT o.organizer_id, o.organizer_name,
     (SELECT count(*) FROM b_event e WHERE e.organizer_id = o.organizer_id AND e.event_datetime >= {TS}) AS active_events,
     coalesce(s.sold, 0) AS tickets_sold, CAST(coalesce(s.revenue, 0) AS DOUBLE) AS revenue,
     (SELECT count(DISTINCT venue_id) FROM b_event e WHERE e.organizer_id = o.organizer_id) AS partner_venues
@@ -378,8 +374,8 @@ query(
         SELECT e.organizer_id, count(*) AS sold, sum(g.price) AS revenue FROM b_ticket k
         JOIN b_order d ON d.order_id = k.torder_id AND d.payment_status = 'LUNAS'
         JOIN b_category g ON g.category_id = k.tcategory_id JOIN b_event e ON e.event_id = g.tevent_id
-        GROUP BY e.organizer_id) s ON s.organizer_id = o.organizer_id""",
-)(lambda t, read: dashboards.organizer_dashboard(t, AS_OF))
+        GROUP BY e.organizer_id) s ON s.organizer_id = o.organizer_id"""
+query("k06_k09_organizer_dashboard", DASHBOARD_SQL)(lambda t, read: dashboards.organizer_dashboard(t, AS_OF))
 query(
     "k10_organizer_event_list",
     f"SELECT organizer_id, event_id, event_title, {stamp('event_datetime')} AS event_datetime FROM b_event",
