@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.llm.labelled import SAMPLE_ROWS, sample
 from boxoffice.llm.logistic import Logistic, class_weights
+from boxoffice.llm.staging import packed, quoted
 
 BLOCK = 512  # bytes compressed at a time; longer blocks would lean on themselves more than on the dictionary
 DICTIONARY_BYTES = 112 << 10
@@ -86,18 +87,18 @@ def packed_scores(docs: DataFrame, model: Compression) -> DataFrame:
     """``(row, text, score)``; ``row`` holds the columns other than text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(F.lit(0), *others).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(packed(others).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["row", "text", "score"])
 
-    return packed.mapInArrow(run, packed.withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
 
 
 def unpacked(names: list[str]) -> list[Column]:
-    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+    return [F.col("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in names]
 
 
 def scored(docs: DataFrame, model: Compression) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.fmindex import FMIndex
+from boxoffice.llm.staging import packed, quoted
 from boxoffice.llm.words import ALPHANUMERIC, pieces, span_hashes, texts, words
 
 WINDOW = 10
@@ -212,6 +213,6 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     than ``text`` are as they were.
     """
     others = [c for c in docs.columns if c != "text"]
-    df = searched(docs, F.struct(*others) if others else F.struct(F.lit(0)), benchmark, window, block_bytes, cut=True)
+    df = searched(docs, packed(others), benchmark, window, block_bytes, cut=True)
     kept = df.filter(~((n_hit() > 0) & (n_hit() == F.col("n_words"))))
-    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -22,14 +22,16 @@ def label_rows(labels: DataFrame, label: str) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str], int, int]:
     """Texts of class 0 and of class 1, at most ``rows`` each, and how many labels each class has.
 
-    Only labels for which ``learn`` (over ``doc_id``) holds are used. The documents are those with the
-    smallest hashes of their ids; texts beyond ``chars`` characters are passed over.
+    Only labels for which ``learn`` (over ``doc_id``) holds are used, and of these only such as have a document with a text
+    of 1 to ``chars`` characters. Of each class the smallest hashes of the ids are taken; of documents with the same
+    id the smallest text. The class sizes count all labels.
     """
     known = label_rows(labels, label).filter(learn)
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = known.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = chosen.unionByName(known.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, chars))
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = usable.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = chosen.unionByName(usable.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: r.doc_id)
     return [r.text for r in found if r.label == 0], [r.text for r in found if r.label == 1], counts.get(0, 0), counts.get(1, 0)

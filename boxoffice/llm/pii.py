@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.llm.staging import drop, staged
+from boxoffice.llm.staging import drop, packed, staged
+from boxoffice.llm.staging import quoted as quoted_name
 
 KEPT_DRAWS = 4  # draws in the form of the original; each one after them has a sign more, so that all settle
 
@@ -297,7 +298,7 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """``(row, text, n_entities)``; ``row`` holds the columns other than text."""
-    base = docs.select(F.struct(F.lit(0), *[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    base = docs.select(packed([c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
     found = with_mentions(base).withColumn("text_hash", F.xxhash64("text"))
     unit = F.explode(F.flatten("found.units")).alias("u")
     said = staged(found.filter("size(found) > 0").select("text_hash", unit).select("text_hash", "u.kind", "u.norm").distinct(), "mentions")
@@ -323,7 +324,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
 
 
 def unpacked(names: list[str]) -> list[Column]:
-    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+    return [F.col("text") if c == "text" else F.col(f"row.{quoted_name(c)}").alias(c) for c in names]
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:

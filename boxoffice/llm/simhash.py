@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.llm.components import components
-from boxoffice.llm.staging import staged
+from boxoffice.llm.staging import quoted, staged
 from boxoffice.llm.words import NOT_SPACE, pieces, texts, words
 from boxoffice.llm.xxh64 import xxh64
+from boxoffice.operators.conflicts import components
+from boxoffice.operators.spread import spread_join
 
 SHINGLE = 3
 MOST_BITS = 2
 CROWD = 32
 SEED = 42
 HALF = (1 << 32) - 1
+PIECE_BYTES = 1 << 18  # of text fingerprinted at a time
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,7 +76,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
-            found = [fingerprints(text.slice(a, b - a), shingle).view(np.int64) for a, b in pieces(text)]
+            found = [fingerprints(text.slice(a, b - a), shingle).view(np.int64) for a, b in pieces(text, PIECE_BYTES)]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(found))], ["doc_id", "text_key", "bits"])
 
@@ -104,10 +106,13 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) ->
     """
     if not 0 <= most_bits <= 2:
         raise ValueError("two segments with one deletion find up to 2 differing bits")
-    variants = with_variants(prints)
+    # few files hold the fingerprints, but each makes 66 rows
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = with_variants(prints.repartition(tasks, "bits"))
     key = ["part", "gap", "rest"]
     shared = variants.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    index = staged(variants.join(shared, key), "simhash-index")
+    # a half that many fingerprints share is cut into pieces
+    index = staged(spread_join(variants, shared, key, "bits", "inner"), "simhash-index")
     few = index.filter(F.col("n") <= crowd)
     pairs = (
         few.select(*key, F.col("bits").alias("u"))
@@ -138,7 +143,7 @@ def grouped(docs: DataFrame, shingle: int, most_bits: int, crowd: int) -> tuple[
     rows = staged(with_fingerprints(docs, shingle), "fingerprints")
     prints = staged(rows.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "prints")
     groups = components(links(prints.select("bits"), most_bits, crowd))
-    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component_id").alias("root")), "bits", "left")
+    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component").alias("root")), "bits", "left")
     return rows, own.select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
 
 
@@ -148,13 +153,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     Words are runs of other than ASCII white space, A-Z lower-cased; shingles of fewer words than
     ``shingle`` are the whole text, and a text without words (empty, null) has fingerprint zero and is
     linked like any other. ``component_id`` is the smallest doc_id reached over links of at most
-    ``most_bits`` differing bits. Repeated rows keep a row each. A null doc_id keeps its row and is never a
+    ``most_bits`` differing bits. A doc_id is a whole number. Repeated rows keep a row each. A null doc_id keeps its row and is never a
     component_id unless its group has no other (then null). Other columns are ignored; no rows give no rows.
     """
     rows, own = grouped(docs, shingle, most_bits, crowd)
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_bits = staged(own.join(least, "root").select("bits", "component_id"), "components")
-    return rows.join(of_bits, "bits").select(
+    return spread_join(rows, of_bits, ["bits"], "doc_id", "inner").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -172,5 +177,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_B
     kept = first.join(own.select("bits", "root"), "bits").groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("id_key"), "first.text_key")
     # equal rows are one before the texts are moved
-    whole = docs.groupBy(*row_keys()).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    # of rows with one id and text the least; values that have no order count as text
+    rank = F.struct(*[F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(columns, docs.dtypes, strict=True)])
+    whole = docs.groupBy(*row_keys()).agg(F.min_by(F.struct(*columns), rank).alias("row"))
     return whole.join(kept, ["id_key", "text_key"], "left_semi").select("row.*")

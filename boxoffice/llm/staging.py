@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,6 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def packed(names: list[str]) -> Column:
+    """The columns as one struct, with a field more, so that it is never empty, whose name none of them has."""
+    spare = "_"
+    while spare.lower() in {n.lower() for n in names}:
+        spare += "_"
+    return F.struct(F.lit(0).alias(spare), *[F.col(quoted(n)) for n in names])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/boxoffice-llm/{name}-{uuid.uuid4().hex}"
 

@@ -42,8 +42,15 @@ def levels(t: Texts, w: Words) -> list[np.ndarray]:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal segments as ``(first, last, score)``, in one pass over ``scores``."""
-    kept: list[tuple[int, int, float, float]] = []  # with the running total before and after each
+    """All maximal segments as ``(first, last, score)``, in one pass over ``scores``.
+
+    A new segment looks for the nearest kept one that begins lower. Each kept segment points to the nearest that
+    begins lower than itself, so a search goes from one to the next without the segments between, and never
+    passes the same pointer twice. If none begins lower, nothing that comes can reach back: all kept segments are final.
+    """
+    final: list[tuple[int, int, float]] = []
+    # first, last, the running total before and after, the nearest kept one that begins lower
+    kept: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         if s <= 0:
@@ -51,17 +58,21 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
             continue
         first, before, after = i, total, total + s
         total = after
-        while kept:
-            # the nearest segment that begins lower; those between are of no use to it
-            j = len(kept) - 1
+        j = len(kept) - 1
+        while True:
             while j >= 0 and kept[j][2] >= before:
-                j -= 1
-            if j < 0 or kept[j][3] >= after:
+                j = kept[j][4]
+            if j < 0:
+                final += [(a, b, high - low) for a, b, low, high, _ in kept]
+                kept = [(first, i, before, after, -1)]
+                break
+            if kept[j][3] >= after:
+                kept.append((first, i, before, after, j))
                 break
-            first, before = kept[j][0], kept[j][2]
+            first, _, before, _, back = kept[j]
             del kept[j:]
-        kept.append((first, i, before, after))
-    return [(a, b, after - before) for a, b, before, after in kept]
+            j = back
+    return final + [(a, b, high - low) for a, b, low, high, _ in kept]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:

@@ -1,8 +1,10 @@
 """The compression classifier: held-out accuracy, odd rows."""
 
+import math
 import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from boxoffice.llm import compression
@@ -29,6 +31,29 @@ def test_odd_rows(spark, model):
     assert compression.scored(df.limit(0), model).count() == 0
 
 
+def plain_score(model, text):
+    """Both sizes of each block of 512 bytes, one block after the other."""
+    raw, difference = (text or "").encode(), 0
+    for i in range(0, len(raw), 512):
+        sizes = []
+        for d in model.dictionaries:
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(len(c.compress(raw[i : i + 512])))
+        difference += sizes[0] - sizes[1]
+    x = ((difference + model.usual * 50) / (len(raw) + 50) - model.fit.mean[0]) / model.fit.scale[0]
+    return 1 / (1 + math.exp(-(model.fit.beta[0] + model.fit.beta[1] * x)))
+
+
+def test_scores_against_plain_loops(spark, model):
+    rng = random.Random(4)
+    words = ["river", "Cart", "stone", "| ###", "Buy", "quiet", "élan", "x"]
+    some = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 300))) for _ in range(60)] + [None, "", "a"]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").selectExpr("*", "'c' AS col1", "map(1, 2) AS m", "1 AS _")
+    got = {r.doc_id: r.score for r in compression.scored(docs, model).collect()}
+    assert got == pytest.approx({i: plain_score(model, t) for i, t in enumerate(some)}, abs=1e-9)
+    assert {r.doc_id for r in compression.good(docs, model).collect()} == {i for i, s in got.items() if s >= 0.7}
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")

@@ -32,7 +32,8 @@ def odd(spark):
     clash = docs.unionByName(more)
     for name in ("score", "row", "bits", "root", "spans", "items", "n_entities", "found", "id_key"):
         clash = clash.withColumn(name, F.lit(name))
-    return clash
+    nested = {"col1": F.lit("c"), "_": F.lit(1), "tags": F.create_map(F.lit("k"), F.col("doc_id")), "meta": F.struct(F.lit(1).alias("a"), F.lit("b").alias("row")), "a.b": F.lit(2.5)}
+    return clash.withColumns(nested)
 
 
 def test_stages_keep_the_columns(spark, odd):

@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from boxoffice.llm import simhash
-from boxoffice.llm.components import components
 from boxoffice.llm.queries import QUERIES
+from boxoffice.operators.conflicts import components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -81,7 +81,7 @@ def test_links_join_the_same_groups(spark, most, crowd):
     df = spark.createDataFrame([(signed(p),) for p in prints], "bits long")
     found = [(r.u, r.v) for r in simhash.links(df, most, crowd).collect()]
     assert all(((u ^ v) & (1 << 64) - 1).bit_count() <= most for u, v in found)
-    got = {r.id: r.component_id for r in components(simhash.links(df, most, crowd)).collect()}
+    got = {r.id: r.component for r in components(simhash.links(df, most, crowd)).collect()}
     roots = plain_roots(prints, most)
     groups = {}
     for p, r in roots.items():
@@ -94,5 +94,5 @@ def test_components_of_a_chain_and_a_star(spark):
     order = list(range(200))
     random.Random(1).shuffle(order)
     pairs = [(order[i], order[i + 1]) for i in range(199)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(200)} | {1000 + i: 1000 for i in range(300)}

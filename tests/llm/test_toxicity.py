@@ -1,14 +1,20 @@
 """Segments against all intervals; the classifier on held-out labels and odd rows."""
 
+import math
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from boxoffice.llm import toxicity
+from boxoffice.llm.labelled import sample
 from boxoffice.llm.queries import QUERIES
 
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
 
 def plain_segments(scores, low, high):
     """The best interval, then the same to its left and right; of equals the shortest, first."""
@@ -79,3 +85,62 @@ def test_held_out_accuracy(spark):
     right = {k: [r.predicted == k for r in rows if r.toxic == k] for k in (0, 1)}
     assert sum(right[1]) / len(right[1]) > 0.9 and sum(right[0]) / len(right[0]) > 0.98
     assert QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_segments_of_long_texts_in_linear_time():
+    """Ordinary text sinks, so that no segment reaches back."""
+    n = 1_000_000
+    found = toxicity.maximal_segments([1.0, -1.5] * (n // 2))
+    assert len(found) == n // 2 and found[0] == (0, 0, 1.0)
+    assert toxicity.maximal_segments([1.5, -1.0] * 100_000) == [(0, 199_998, 50_001.0)]
+    # ever smaller rises stay apart until the last one tops them all
+    falling = [x for k in range(1000) for x in (1000.0 - k, k - 999.5)]
+    assert len(toxicity.maximal_segments(falling)) == 1000 and toxicity.maximal_segments([*falling, 2000.0])[0][:2] == (0, 2000)
+
+
+def plain_model_scores(model, text):
+    """Log-odds of each word by the longest known prefix, less the sink; repeats add nothing."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    out = []
+    for i, word in enumerate(words):
+        raw, odds = word.encode(), 0.0
+        for size, (names, values) in zip([*toxicity.PREFIXES, len(raw)], model.tables, strict=True):
+            part = raw[:size]
+            t = toxicity.texts(pa.array([part], pa.binary()))
+            key = toxicity.span_hashes(t.data, np.array([0]), np.array([len(part)]))[0]
+            at = np.flatnonzero(names == key)
+            odds = float(values[at[0]]) if len(at) else odds
+        score = odds - toxicity.SINK
+        out.append(min(score, -toxicity.SINK) if word in words[max(0, i - toxicity.REPEATS) : i] else score)
+    return out
+
+
+def plain_score(model, text):
+    scores = plain_model_scores(model, text)
+    values = [model.k * max(1, len(scores)) * math.exp(-model.steep * s) for *_, s in plain_segments(scores, 0, len(scores))]
+    best = min([1.0, *(1 - math.exp(-v) for v in values)])
+    features = min(30.0, -math.log(max(best, 1e-300))), math.log1p(sum(v < toxicity.SIGNIFICANT for v in values))
+    return float(model.fit(np.array([features]))[0])
+
+
+def test_scores_against_plain_loops(model):
+    rng = random.Random(9)
+    vocabulary = ["river", "stone", "walks", "grobbul", "grobbish", "Grobben", "unseen", "quiet", "gro", "élan", "x"]
+    some = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 14))) for _ in range(120)] + [None, "", "stone stone stone"]
+    got, _ = model.judge(pa.array(some))
+    want = [plain_score(model, t) for t in some]
+    assert got == pytest.approx(want, abs=1e-6)
+    assert min(want) < 0.1 < 0.9 < max(want)
+    tokens = model.scored_tokens(pa.array(some))
+    assert [list(x) for x in tokens] == [pytest.approx(plain_model_scores(model, t), abs=1e-6) for t in some]
+
+
+def test_sample_takes_labels_of_short_texts_that_are_there(spark):
+    """Most labels have no document, and some documents are too long to learn from."""
+    docs = [(n, f"text {n}") for n in range(40)] + [(n, "long " * 6000) for n in range(40, 60)] + [(60, ""), (61, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.range(200_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    clean, toxic, n0, n1 = sample(df, labels, "toxic", F.lit(True), rows=15)
+    assert len(clean) == len(toxic) == 15 and all(len(t) < 10 for t in clean + toxic) and (n0, n1) == (100_000, 100_000)
+    clean, toxic, *_ = sample(df, labels, "toxic", F.lit(True))
+    assert sorted(clean + toxic) == sorted(f"text {n}" for n in range(40))
