@@ -17,6 +17,7 @@ from boxoffice.functions.columns import (
     wildcard_match,
 )
 from boxoffice.operators.people import organizers_of
+from boxoffice.operators.observed import with_totals
 from boxoffice.operators.spread import side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
@@ -48,18 +49,24 @@ def _categories_with_title(t: Tables, q: str | None) -> DataFrame:
 
 
 def category_directory(t: Tables, q: str | None = None) -> DataFrame:
-    return (
-        _categories_with_title(t, q)
-        .select("category_id", "category_name", "quota", "price", "tevent_id", "event_title")
-        .orderBy("event_title", "category_name", "category_id")
-    )
+    return _category_rows(t, q).orderBy("event_title", "category_name", "category_id")
+
+
+def _category_rows(t: Tables, q: str | None) -> DataFrame:
+    return _categories_with_title(t, q).select("category_id", "category_name", "quota", "price", "tevent_id", "event_title")
+
+
+def _category_figures() -> dict[str, Column]:
+    return {"total_quota": F.coalesce(F.sum("quota"), F.lit(0)), "highest_price": F.coalesce(F.max("price"), F.lit(0).cast("decimal(12,2)"))}
 
 
 def category_totals(t: Tables, q: str | None = None) -> DataFrame:
-    return _categories_with_title(t, q).agg(
-        F.coalesce(F.sum("quota"), F.lit(0)).alias("total_quota"),
-        F.coalesce(F.max("price"), F.lit(0).cast("decimal(12,2)")).alias("highest_price"),
-    )
+    return _categories_with_title(t, q).agg(*[c.alias(n) for n, c in _category_figures().items()])
+
+
+def category_report(t: Tables, q: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """`category_directory`, unsorted, as a table, and `category_totals`, from one pass."""
+    return with_totals(_category_rows(t, q), "categories", **_category_figures())
 
 
 def event_options(t: Tables, role: str, user_id: object | None = None) -> DataFrame:
@@ -105,23 +112,25 @@ def event_catalog(
 def _in_pages(lines: DataFrame, line_id: str, entry: Column, page_rows: int) -> DataFrame:
     """Adds ``page``: the lines of an event in the order of ``entry``, cut every ``page_rows`` lines.
 
-    A long event is cut into about `CARD_RANGES` ranges, between lines chosen by the hash of their id, so the
-    plan is lazy and no window group holds the whole event. A line's position is its place in its range plus
-    the sizes of the ranges before.
+    An event of one page needs no order here, as the lists are sorted. A longer one is cut into about `CARD_RANGES`
+    ranges, between lines chosen by the hash of their id, so the plan is lazy and no window group holds the
+    whole event. A line's position is its place in its range plus the sizes of the ranges before.
     """
-    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_n"))
-    chosen = (F.col("_n") > page_rows) & (F.pmod(F.xxhash64(line_id), F.ceil(F.col("_n") / CARD_RANGES)) == 0)
-    bounds = spread_join(lines, sizes, ["event_id"], line_id).groupBy("event_id")
-    bounds = bounds.agg(F.collect_list(F.when(chosen, entry)).alias("_bounds"))
-    ranged = spread_join(lines, bounds, ["event_id"], line_id)
-    ranged = ranged.withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= entry))).drop("_bounds")
+    sizes = lines.groupBy("event_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > page_rows)
+    dealt = spread_join(lines, sizes, ["event_id"], line_id)
+    short, long = dealt.filter("_n IS NULL").drop("_n"), spread_join(lines, sizes, ["event_id"], line_id, "inner")
+    chosen = F.pmod(F.xxhash64(line_id), F.ceil(F.col("_n") / CARD_RANGES)) == 0
+    bounds = long.filter(chosen).groupBy("event_id").agg(F.collect_list(entry).alias("_bounds"))
+    ranged = spread_join(long, bounds, ["event_id"], line_id)
+    ranged = ranged.withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= entry)), F.lit(0))).drop("_bounds", "_n")
     counts = ranged.groupBy("event_id", "_range").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("event_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("event_id", "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("event_id", "_range").orderBy(entry)
     placed = ranged.withColumn("_place", F.row_number().over(inside)).join(starts, ["event_id", "_range"])
     page = F.floor((F.col("_place") + F.col("_start") - 1) / page_rows)
-    return placed.withColumn("page", page).drop("_range", "_place", "_start")
+    paged = placed.withColumn("page", page).drop("_range", "_place", "_start")
+    return short.withColumn("page", F.lit(0).cast("bigint")).unionByName(paged)
 
 
 def _page_lists(paged: DataFrame, entry, out: str) -> DataFrame:

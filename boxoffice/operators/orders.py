@@ -20,6 +20,7 @@ from boxoffice.functions.columns import (
     stable_uuid,
     time_text,
 )
+from boxoffice.operators.intervals import with_intervals
 from boxoffice.operators.spread import only_keys_of, spread_join
 from boxoffice.schemas import PAID, PENDING
 from boxoffice.sources.tables import Tables
@@ -116,6 +117,12 @@ def running_promotions(t: Tables, as_of) -> DataFrame:
     )
 
 
+def running_promotions_by_day(t: Tables, days: DataFrame) -> DataFrame:
+    """The promotions that run on each of the distinct ``days(day)``."""
+    shown = t["promotion"].select("promotion_id", "promo_code", "discount_type", "discount_value", "start_date", "end_date")
+    return with_intervals(days.select("day").distinct(), "day", shown, "start_date", "end_date")
+
+
 def _use_counts(t: Tables) -> DataFrame:
     return t["order_promotion"].groupBy("promotion_id").agg(F.count("order_promotion_id").alias("uses"))
 

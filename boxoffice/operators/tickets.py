@@ -26,6 +26,7 @@ from boxoffice.functions.columns import (
     whole_display,
 )
 from boxoffice.operators.deltas import Kept, rows_after, touched_keys
+from boxoffice.operators.observed import with_totals
 from boxoffice.operators.spread import only_keys_of, side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
@@ -51,6 +52,10 @@ def _category_places(t: Tables) -> DataFrame:
 
 def ticket_register(t: Tables, role: str, user_id: object | None = None) -> DataFrame:
     """Tickets with customer, event, price, place and status, newest event first."""
+    return _register_rows(t, role, user_id).orderBy(F.desc("event_datetime"), "ticket_code", "ticket_id")
+
+
+def _register_rows(t: Tables, role: str, user_id: object | None) -> DataFrame:
     orders = _orders_in_scope(t, role, user_id).select(F.col("order_id").alias("torder_id"), "customer_name")
     places = _category_places(t).withColumnRenamed("category_id", "tcategory_id")
     status = ticket_status(t["ticket"].columns)
@@ -63,10 +68,19 @@ def ticket_register(t: Tables, role: str, user_id: object | None = None) -> Data
             *["ticket_id", "ticket_code", "customer_name", "event_title", "category_name", "price"],
             *["venue_name", "city", "event_datetime", "torder_id", "status"],
         )
-        .orderBy(F.desc("event_datetime"), "ticket_code", "ticket_id")
     )
 
 
+def register_report(t: Tables, role: str, user_id: object | None = None) -> tuple[DataFrame, DataFrame]:
+    """`ticket_register`, unsorted, as a table, and `ticket_status_summary`, from one pass."""
+    totals = {
+        "total_tickets": F.count(F.lit(1)),
+        "valid_tickets": F.count_if(F.col("status") == VALID),
+        "used_tickets": F.count_if(F.col("status") == USED),
+    }
+    return with_totals(_register_rows(t, role, user_id), "register", **totals)
+
+
 def register_display(register: DataFrame) -> DataFrame:
     """The register as the pages print it: times, days and prices as text."""
     at = F.col("event_datetime").cast("timestamp_ntz")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from boxoffice.operators import dashboards, events, orders, people, tickets
+from boxoffice.operators.search import TrigramIndex
 from boxoffice.plans.registry import query
+from boxoffice.schemas import TABLES
+from boxoffice.session import shared_dir
 
 AS_OF = "1998-07-01"
 TS = "TIMESTAMP '1998-07-01 00:00:00'"
@@ -29,6 +34,11 @@ query(
     """SELECT count(DISTINCT a.genre) AS total_genres, count(DISTINCT ea.event_id) AS total_events
     FROM b_artist a LEFT JOIN b_event_artist ea USING (artist_id) WHERE a.name ILIKE '%7%' OR a.genre ILIKE '%7%'""",
 )(lambda t, read: events.artist_totals(t, "7"))
+query(
+    "r04_category_report_totals",
+    """SELECT coalesce(sum(c.quota), 0)::BIGINT AS total_quota, CAST(coalesce(max(c.price), 0) AS DOUBLE) AS highest_price
+    FROM b_category c JOIN b_event e ON e.event_id = c.tevent_id WHERE c.category_name ILIKE '%ring%' OR e.event_title ILIKE '%ring%'""",
+)(lambda t, read: events.category_report(t, "ring")[1])
 query(
     "r03_category_directory",
     """SELECT c.category_id, c.category_name, c.quota, CAST(c.price AS DOUBLE) AS price, c.tevent_id, e.event_title
@@ -192,6 +202,26 @@ query(
     WHERE contains(upper(e.event_title), 'ECONOMY') AND ea.artist_id = 4""",
 )(lambda t, read: events.event_catalog(t, "economy", artist_id=4))
 
+
+def indexed(t, table: str, columns: list[str], kind: str) -> TrigramIndex:
+    return TrigramIndex.build(t[table], TABLES[table].key[0], columns, kind, f"{shared_dir(t.spark)}/trigrams-{uuid.uuid4().hex}")
+
+
+query(
+    "r25_event_search_indexed",
+    f"""SELECT event_id, event_title, {stamp("event_datetime")} AS event_datetime, venue_id, organizer_id FROM b_event
+    WHERE contains(upper(event_title), 'SHOW OF BRAND#1')""",
+)(
+    lambda t, read: events.event_catalog(
+        t.replace(event=indexed(t, "event", ["event_title"], "literal").narrowed(t["event"], "show OF brand#1")), "show OF brand#1"
+    )
+)
+query("r01_artist_search_indexed", "SELECT artist_id, name, genre FROM b_artist WHERE name ILIKE '%supp%er#%7_%' OR genre ILIKE '%supp%er#%7_%'")(
+    lambda t, read: events.artist_directory(
+        t.replace(artist=indexed(t, "artist", ["name", "genre"], "wildcard").narrowed(t["artist"], "SUPP%er#%7_")), "SUPP%er#%7_"
+    )
+)
+
 CARD_VIEWS = {
     "b_card": """SELECT e.event_id, CAST(0 AS BIGINT) AS page, e.event_title AS title,
         strftime(e.event_datetime, '%Y-%m-%d') AS date, strftime(e.event_datetime, '%H:%M') AS time, v.venue_name AS venue,
@@ -248,6 +278,12 @@ query(
     {date_text("start_date")} AS start_date, {date_text("end_date")} AS end_date
     FROM b_promotion WHERE start_date <= {DATE} AND end_date >= {DATE}""",
 )(lambda t, read: orders.running_promotions(t, AS_OF))
+query(
+    "r32_running_promotions_by_day",
+    f"""SELECT DISTINCT {date_text("CAST(order_date AS DATE)")} AS day, promotion_id, promo_code, discount_type, CAST(discount_value AS DOUBLE) AS discount_value,
+    {date_text("start_date")} AS start_date, {date_text("end_date")} AS end_date
+    FROM b_promotion JOIN b_order ON CAST(order_date AS DATE) BETWEEN start_date AND end_date""",
+)(lambda t, read: orders.running_promotions_by_day(t, t["order"].select(F.to_date("order_date").alias("day"))))
 
 
 def carts(t, read):

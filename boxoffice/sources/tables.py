@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,18 @@ def database_name(schema: str, table: str) -> str:
     return f'{schema}."{DATABASE_NAMES.get(table, table)}"'
 
 
+def uuid_ranges(column: str, parts: int) -> list[str]:
+    """Conditions that cut a column of UUIDs into ranges of equal width; each row meets exactly one, NULL the first."""
+    bounds = [str(uuid.UUID(int=(n << 128) // parts)) for n in range(1, parts)]
+    low, high = [None, *bounds], [*bounds, None]
+    ranges = []
+    for a, b in zip(low, high, strict=True):
+        ends = [f"{column} >= '{a}'" if a else "", f"{column} < '{b}'" if b else ""]
+        ranges.append(" AND ".join(e for e in ends if e) or f"{column} IS NOT NULL")
+    ranges[0] = f"({ranges[0]}) OR {column} IS NULL"
+    return ranges
+
+
 class Tables:
     """DataFrames by table name. A table may be given as a function, which is called on first use."""
 
@@ -70,14 +83,22 @@ class Tables:
         url: str,
         schema: str,
         splits: Mapping[str, Mapping[str, str]] | None = None,
+        parts: Mapping[str, int] | None = None,
         **options: str,
     ) -> "Tables":
-        """Tables of a database. ``splits`` holds, per large table, the ``partitionColumn``, ``lowerBound``,
-        ``upperBound`` and ``numPartitions`` of a parallel read; a table without an entry is one task."""
+        """Tables of a database.
+
+        ``parts`` holds, per large table, in how many ranges of its key, a UUID, it is read at once. ``splits`` holds the
+        ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` of tables that are read by a number
+        or date. A table without an entry is one task.
+        """
 
         def read(name: str) -> DataFrame:
-            reader = spark.read.format("jdbc").option("url", url).options(**options)
-            reader = reader.option("dbtable", database_name(schema, name))
+            table = database_name(schema, name)
+            if name in (parts or {}):
+                ranges = uuid_ranges(TABLES[name].key[0], parts[name])
+                return spark.read.jdbc(url, table, predicates=ranges, properties=dict(options))
+            reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table)
             return reader.options(**(splits or {}).get(name, {})).load()
 
         return cls(spark, {name: (lambda n=name: read(n)) for name in TABLES})
