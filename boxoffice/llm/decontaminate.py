@@ -5,8 +5,9 @@ A test phrase lies within a run of at least as many vocabulary words as the shor
 such runs enter the index, with a separator after each. All test phrases are searched backward through the
 ranks of a wavelet tree, occurrences are located by sampled suffix positions, and their spans are merged.
 
-The test set reaches the tasks as broadcasts of at most ``BLOCK_BYTES`` of text; documents pass the blocks
-one after the other, in one job without a shuffle. Words are compared by 64-bit hashes.
+The test set reaches the tasks as broadcasts of about ``BLOCK_BYTES`` of text, one at a time. A test set of one block
+is one job without a shuffle; for each further block the documents are written once with the spans found so far.
+Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.fmindex import FMIndex
-from boxoffice.llm.staging import packed, quoted
+from boxoffice.llm.staging import drop, packed, quoted, staged
 from boxoffice.llm.words import ALPHANUMERIC, pieces, span_hashes, texts, words
 
 WINDOW = 10
@@ -63,19 +65,19 @@ def phrases(ids: list[str], column: pa.Array, window: int = WINDOW) -> Phrases:
 
 
 def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phrases]:
-    """The test set in parts of bounded text; one part at least."""
-    ids, held, size, made = [], [], 0, False
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for item, text in rows.toLocalIterator():
-        n = len(text.encode())
-        if held and size + n > block_bytes:
-            yield phrases(ids, pa.array(held, pa.large_string()), window)
-            ids, held, size, made = [], [], 0, True
-        ids.append(item)
-        held.append(text)
-        size += n
-    if held or not made:
-        yield phrases(ids, pa.array(held, pa.large_string()), window)
+    """The test set in parts of about ``block_bytes`` of text, of which one at a time is on the driver; one part at least.
+
+    Spark deals the rows out by their hash, so no part passes with the others.
+    """
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = rows.distinct().agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // block_bytes))
+    dealt = rows.distinct().withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    if parts > 1:
+        dealt = staged(dealt, "benchmark")
+    for n in range(parts):
+        held = sorted(dealt.filter(F.col("part") == n).select("item", "text").collect())
+        yield phrases([r.item for r in held], pa.array([r.text for r in held], pa.large_string()), window)
 
 
 @dataclass
@@ -164,28 +166,40 @@ def without(text: str | None, cuts: list[tuple[int, int]]) -> str | None:
 
 
 def searched(docs: DataFrame, row, benchmark: DataFrame, window: int, block_bytes: int, cut: bool) -> DataFrame:
-    """``(row, text, n_words, spans, items)``; ``text`` is null, or with ``cut`` the text without the spans."""
+    """``(row, text, n_words, spans, items)``; ``text`` is null, or with ``cut`` the text without the spans.
+
+    Each part of the test set is one pass. Before the next one, what was found so far is written beside the
+    texts, and the broadcast of the part is given up.
+    """
     df = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    schema = df.schema
+    context, before, now = docs.sparkSession.sparkContext, None, None
+    for part in blocks(benchmark, window, block_bytes):
+        if now is not None:
+            after = staged(passed(df, now, False, True), "spans")
+            now.destroy()
+            if before is not None:
+                drop(before)
+            df = before = after
+        now = context.broadcast(part)
+    return passed(df, now, True, cut)
+
+
+def passed(df: DataFrame, block: Broadcast[Phrases], is_last: bool, cut: bool) -> DataFrame:
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    held = [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, window, block_bytes)]
-    for k, block in enumerate(held):
-        is_last = k == len(held) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, is_last=is_last) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for a, b in pieces(whole.column("text")):
-                    part = whole.slice(a, b - a)
-                    text = part.column("text")
-                    before = [None if x is None else [(s["first"], s["last"]) for s in x] for x in part.column("spans").to_pylist()]
-                    f = found_in(text, block.value, before, part.column("items").to_pylist())
-                    if is_last:
-                        text = pa.array([without(x, c) for x, c in zip(text.to_pylist(), f.cuts, strict=True)] if cut else [None] * len(part), pa.string())
-                    spans = pa.array([[{"first": x, "last": y} for x, y in s] for s in f.spans], spans_type)
-                    yield pa.RecordBatch.from_arrays([part.column("row"), text, pa.array(f.n_words.astype(np.int64)), spans, pa.array(f.items, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
-
-        df = df.mapInArrow(run, schema)
-    return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in pieces(whole.column("text")):
+                part = whole.slice(a, b - a)
+                text = part.column("text")
+                before = [None if x is None else [(s["first"], s["last"]) for s in x] for x in part.column("spans").to_pylist()]
+                f = found_in(text, block.value, before, part.column("items").to_pylist())
+                if is_last:
+                    text = pa.array([without(x, c) for x, c in zip(text.to_pylist(), f.cuts, strict=True)] if cut else [None] * len(part), pa.string())
+                spans = pa.array([[{"first": x, "last": y} for x, y in s] for s in f.spans], spans_type)
+                yield pa.RecordBatch.from_arrays([part.column("row"), text, pa.array(f.n_words.astype(np.int64)), spans, pa.array(f.items, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
+
+    return df.mapInArrow(run, df.schema)
 
 
 def n_hit():

@@ -217,14 +217,19 @@ def name_words(name: str) -> str:
 
 
 def units_of(kind: str, m: str) -> str:
-    """SQL for the entities in a match, as (kind, norm): one, or the words of a name, the last of which is the family name."""
+    """SQL for the entities in a match, as (kind, norm): one, or the words of a name, the last of which is the family name.
+
+    Given names have the gender of the title, as have the words that stand alone after one, of which `identified` says
+    what they are.
+    """
     one = lambda k, norm: f"array(named_struct('kind', {k}, 'norm', {norm}))"
     titled = lambda titles: f"{m} RLIKE {quoted(f'^(?:{"|".join(titles)})[. ]')}"
-    given = f"CASE WHEN {titled(FEMALE)} THEN 'given_f' WHEN {titled(MALE)} THEN 'given_m' ELSE 'given_x' END"
+    gendered = lambda kind: f"CASE WHEN {titled(FEMALE)} THEN '{kind}_f' WHEN {titled(MALE)} THEN '{kind}_m' ELSE '{kind}_x' END"
     words = name_words(name_of(m))
     is_initial = f"w RLIKE {quoted(INITIAL)}"
     last = f"array_max(transform({words}, (w, p) -> CASE WHEN {is_initial} THEN -1 ELSE p END))"
-    what = f"CASE WHEN {is_initial} THEN 'initial' WHEN p = last THEN 'family' ELSE {given} END"
+    alone = f"size(filter({words}, w -> NOT w RLIKE {quoted(INITIAL)})) = 1"
+    what = f"CASE WHEN {is_initial} THEN 'initial' WHEN p < last THEN {gendered('given')} WHEN {alone} THEN {gendered('lone')} ELSE 'family' END"
     norm = f"CASE WHEN {is_initial} THEN lower(substr(w, 1, 1)) ELSE replace(lower(w), '’', '\\'') END"
     named = f"flatten(transform(array({last}), last -> transform({words}, (w, p) -> named_struct('kind', {what}, 'norm', {norm}))))"
     dialled = f"regexp_replace({m}, '[^0-9+]', '')"
@@ -279,15 +284,34 @@ def with_draw(entities: DataFrame, key: str) -> DataFrame:
     return df.withColumn("sub", F.expr(drawn("kind", "norm", "seed", "attempt", key))).drop("seed")
 
 
+def identified(mentions: DataFrame) -> DataFrame:
+    """``(kind, norm, identity)`` of distinct ``(kind, norm)``: what an entity is, over all its mentions.
+
+    A given name after a title without gender has the gender that its other mentions agree on. A word alone after a title
+    is a family name, unless it is only known as a given name.
+    """
+    saw = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds))
+    facts = mentions.filter("kind RLIKE '^(given|lone)_|^family$'").groupBy("norm").agg(
+        saw("given_f", "lone_f").alias("f"), saw("given_m", "lone_m").alias("m"), saw("family").alias("family"), saw("given_f", "given_m", "given_x").alias("given")
+    )
+    agreed = "CASE WHEN f AND NOT m THEN 'given_f' WHEN m AND NOT f THEN 'given_m' ELSE 'given_x' END"
+    identity = f"""CASE WHEN kind LIKE 'lone%' AND (family OR NOT given) THEN 'family' WHEN kind IN ('given_x', 'lone_x') THEN {agreed}
+        WHEN kind LIKE 'lone%' THEN concat('given', substr(kind, 5)) ELSE kind END"""
+    return mentions.join(facts, "norm", "left").select("kind", "norm", F.expr(identity).alias("identity"))
+
+
 def settled(entities: DataFrame, key: str) -> DataFrame:
-    """``(kind, norm, attempt, sub)`` for distinct ``(kind, norm)``: no two share a ``sub``, none is a ``norm``."""
-    now = staged(with_draw(entities.withColumn("attempt", F.lit(0)), key), "entities")
+    """``(kind, norm, space, attempt, sub)`` for distinct ``(kind, norm)``: no two of a space share a ``sub``, none is
+    a ``norm`` of it. All names are one space, every other kind is its own."""
+    space = F.expr("CASE WHEN kind LIKE 'given%' OR kind = 'family' THEN 'name' ELSE kind END")
+    now = staged(with_draw(entities.withColumn("space", space).withColumn("attempt", F.lit(0)), key), "entities")
     while True:
-        holders = now.groupBy("kind", "sub").agg(F.min(F.struct("attempt", "norm")).alias("holder"), F.count("*").alias("n"))
-        holders = holders.select("kind", "sub", F.col("holder.norm").alias("holder"), "n")
-        taken = now.select("kind", F.col("norm").alias("sub"), F.lit(True).alias("taken"))
-        clashes = holders.join(taken, ["kind", "sub"], "left").filter("n > 1 OR taken").select("kind", "sub", F.when(F.col("taken").isNull(), F.col("holder")).alias("holder"))
-        again = staged(now.join(clashes, ["kind", "sub"]).filter("NOT holder <=> norm").select("kind", "norm", "attempt"), "entities-again")
+        holders = now.groupBy("space", "sub").agg(F.min(F.struct("attempt", "norm", "kind")).alias("holder"), F.count("*").alias("n"))
+        taken = now.select("space", F.col("norm").alias("sub"), F.lit(True).alias("taken")).distinct()
+        clashes = holders.join(taken, ["space", "sub"], "left").filter("n > 1 OR taken")
+        clashes = clashes.select("space", "sub", F.when(F.col("taken").isNull(), F.struct("holder.norm", "holder.kind")).alias("holder"))
+        again = now.join(clashes, ["space", "sub"]).filter("NOT holder <=> named_struct('norm', norm, 'kind', kind)")
+        again = staged(again.select("kind", "norm", "space", "attempt"), "entities-again")
         if again.isEmpty():
             return now
         moved = with_draw(again.withColumn("attempt", F.col("attempt") + 1), key)
@@ -302,25 +326,40 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     found = with_mentions(base).withColumn("text_hash", F.xxhash64("text"))
     unit = F.explode(F.flatten("found.units")).alias("u")
     said = staged(found.filter("size(found) > 0").select("text_hash", unit).select("text_hash", "u.kind", "u.norm").distinct(), "mentions")
-    final = settled(said.filter("kind <> 'initial'").select("kind", "norm").distinct(), key)
-    redrawn = said.join(final.filter("attempt > 0").select("kind", "norm", "attempt"), ["kind", "norm"])
-    redrawn = redrawn.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("again"))
+    who = staged(identified(said.filter("kind <> 'initial'").select("kind", "norm").distinct()), "identities")
+    final = settled(who.select(F.col("identity").alias("kind"), "norm").distinct(), key)
+    # mentions that are not what they look like, or whose first draw was not free
+    final = who.join(final.select(F.col("kind").alias("identity"), "norm", "attempt"), ["identity", "norm"])
+    odd = final.filter("attempt > 0 OR identity <> CASE WHEN kind LIKE 'lone%' THEN 'family' ELSE kind END")
+    redrawn = said.join(odd, ["kind", "norm"])
+    entry = F.struct(F.concat_ws("|", "kind", "norm"), F.struct("identity", "attempt"))
+    redrawn = redrawn.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(entry)).alias("again"))
     df = found.join(staged(redrawn, "redrawn"), "text_hash", "left")
     quoted_key = quoted(key)
-    attempt = "coalesce(try_element_at(again, concat_ws('|', u.kind, u.norm)), 0)"
+    known = "try_element_at(again, concat_ws('|', u.kind, u.norm))"
+    kind = f"coalesce({known}.identity, CASE WHEN u.kind LIKE 'lone%' THEN 'family' ELSE u.kind END)"
     steps = {
-        "attempt": f"named_struct('kind', u.kind, 'norm', u.norm, 'attempt', {attempt})",
+        "attempt": f"named_struct('kind', {kind}, 'norm', u.norm, 'attempt', coalesce({known}.attempt, 0))",
         "seed": f"named_struct('kind', u.kind, 'norm', u.norm, 'attempt', u.attempt, 'seed', {seed(quoted_key, 'u.kind', 'u.norm', 'u.attempt')})",
         "sub": drawn("u.kind", "u.norm", "u.seed", "u.attempt", quoted_key),
     }
     for step in steps.values():
         df = df.withColumn("found", F.expr(f"transform(found, f -> named_struct('said', f.said, 'kind', f.kind, 'units', transform(f.units, u -> {step})))"))
     df = df.withColumn("written", F.expr(f"transform(found, f -> {written('f.kind', 'f.said', 'f.units')})"))
-    between = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # full names, the longest first, also where they recur without a title
+    name = name_of("z.found.said")
+    full = f"named_struct('size', -length({name}), 'name', {name}, 'new', substr(z.written, length(z.found.said) - length({name}) + 1))"
+    persons = "filter(arrays_zip(found, written), z -> z.found.kind = 'person')"
+    names = f"array_sort(array_distinct(filter(transform({persons}, z -> {full}), n -> n.name RLIKE {quoted(GAP)})))"
+    df = df.withColumn("names", F.expr(f"CASE WHEN exists(found, f -> f.kind = 'person') THEN {names} END"))
+    alike = f"concat({quoted(WORD_BEFORE + chr(92) + 'Q')}, n.name, {quoted(chr(92) + 'E' + WORD_AFTER)})"
+    swapped = f"aggregate(names, named_struct('text', p, 'n', 0), (a, n) -> named_struct('text', regexp_replace(a.text, {alike}, n.new), 'n', a.n + regexp_count(a.text, {alike})))"
+    between = F.transform(F.split("text", PATTERN, -1), lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
+    df = df.withColumn("between", F.when(F.size("found") > 0, F.when(F.size("names") > 0, F.expr(f"transform(split(text, {quoted(PATTERN)}, -1), p -> {swapped})")).otherwise(between)))
+    joined = F.array_join(F.zip_with("between.text", F.col("written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
-    n = F.coalesce(F.expr("size(filter(found, f -> f.kind IS NOT NULL))"), F.lit(0)).cast("long")
-    return df.select("row", text.alias("text"), n.alias("n_entities"))
+    n = F.expr("size(filter(found, f -> f.kind IS NOT NULL)) + aggregate(coalesce(between.n, array(0)), 0, (a, b) -> a + b)")
+    return df.select("row", text.alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_entities"))
 
 
 def unpacked(names: list[str]) -> list[Column]:

@@ -58,6 +58,28 @@ def test_odd_rows(spark, cases, block_bytes):
     assert dc.find_passages(df, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_one_block_at_a_time(spark, cases, monkeypatch):
+    """Of a test set of many blocks, the driver and the tasks hold one."""
+    docs, items = cases
+    held, most, sizes = set(), [], []
+    context = spark.sparkContext
+    broadcast = context.broadcast
+
+    def counted(value):
+        made = broadcast(value)
+        destroy = made.destroy
+        held.add(id(made))
+        most.append(len(held))
+        sizes.append(len(value.items))
+        made.destroy = lambda: (held.discard(id(made)), destroy())
+        return made
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    dc.find_passages(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=700).count()
+    assert len(most) >= 3 and max(most) == 1 and max(sizes) < 12
+
+
 def test_cut(spark):
     phrase = "one two three four five six seven eight nine ten"
     rows = [(1, f"Before, {phrase.upper()}! After.", "a"), (2, phrase, "b"), (3, None, "c"), (4, "", None), (5, f"{phrase} é {phrase}", "d")]

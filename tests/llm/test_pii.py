@@ -200,3 +200,38 @@ def test_longer_forms_keep_all_signs(spark):
     df = spark.createDataFrame(list(zip(kinds, said, [[s] for s in subs], strict=True)), "kind string, m string, subs array<string>")
     got = [r[0] for r in df.select(F.expr(pii.written("kind", "m", "subs"))).collect()]
     assert got == ["(612) 345-67899", "+1 612-345-67899", "4123 4567 8901 234599", "CDEFG@Y.COM"]
+
+
+def swapped(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.surrogates(docs, "k").orderBy("doc_id").collect()], [r.n_entities for r in pii.surrogates(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_one_person_has_one_surrogate(spark):
+    (one, two, three, four), n = swapped(
+        spark,
+        "Frau Anna Schmidt met Dr. Anna Schmidt and Frau Anna.",
+        "Mrs Mary Jones-Smith and Mary Jones-Smith's dog; Mary Jones-Smithers, Rosemary Jones-Smith.",
+        "Herr Schmidt, Prof. Schmidt and Dr. Anna",
+        "Herr Andrea Rossi and Frau Andrea Bianchi, Dr. Andrea Verdi; Mr Martin",
+    )
+    given, family = re.fullmatch(r"Frau (\w+) (\w+) met Dr\. \1 \2 and Frau \1\.", one).groups()
+    assert given.lower() in pii.GIVEN["f", "latin"].split() and {given, family}.isdisjoint({"Anna", "Schmidt"})
+    first, last = re.fullmatch(r"Mrs (\w+) ([\w-]+) and \1 \2's dog; Mary Jones-Smithers, Rosemary Jones-Smith\.", two).groups()
+    assert {first, last}.isdisjoint({"Mary", "Jones-Smith"})
+    assert three == f"Herr {family}, Prof. {family} and Dr. {given}"
+    him, her, either = re.fullmatch(r"Herr (\w+) \w+ and Frau (\w+) \w+, Dr\. (\w+) \w+; Mr \w+", four).groups()
+    assert len({him, her, either}) == 3
+    assert n == [3, 2, 3, 4]
+
+
+def test_names_of_all_kinds_are_distinct(spark):
+    """More names than any list holds: no two are given the same, and none is given one that is there."""
+    names = [chr(65 + i) + chr(97 + j) + "nor" for i in range(20) for j in range(12)]
+    texts = [f"Mrs {a} X{a.lower()}. Mr {a} Y{a.lower()}. Dr. {a} Z{a.lower()}. Frau Walker, Herr Keller" for a in names]
+    out, _ = swapped(spark, *texts)
+    found = [re.fullmatch(r"Mrs (\S+) (\S+)\. Mr (\S+) (\S+)\. Dr\. (\S+) (\S+)\. Frau (\S+), Herr (\S+)", t).groups() for t in out]
+    subs = {x.lower() for row in found for x in row[:6]}
+    assert len(subs) == 6 * len(names) and len({row[6:] for row in found}) == 1
+    originals = {w.lower() for t in texts for w in re.findall(r"\w+", t)}
+    assert subs.isdisjoint(originals)
