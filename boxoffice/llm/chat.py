@@ -3,9 +3,11 @@
 Logs often hold a conversation once per turn, each time a little longer. A conversation goes if another
 begins with all its turns and goes on; of equal ones the smallest conv_id stays. Every prefix of a
 conversation has a rolling hash (128 bits: the turns' hashes, which include their position, joined by
-exclusive or), so prefixes are found by an equality anti-join of hashes, without texts. Equal conversations
-and equal prefixes are counted once before they are joined, so common openings do no harm. The texts are
-shuffled once, by conv_id.
+exclusive or). A conversation goes just if more conversations have its hash as that of a prefix than as that of the whole,
+so equal prefixes are counted, without texts and before they are joined, and common openings do no harm.
+
+A conversation may have very many turns. Their positions come from ranges, the rolling hashes from blocks of turns and
+the totals of the blocks before, and texts are gathered, block by block, only of the conversations that stay.
 """
 
 from __future__ import annotations
@@ -13,6 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxoffice.llm.staging import staged
+from boxoffice.operators.ranges import positions
+from boxoffice.operators.spread import spread_join
+
+BLOCK_BITS = 12  # turns of a block
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -36,16 +44,27 @@ def formatted(conversations: DataFrame) -> DataFrame:
     and are left out; other columns are ignored; no rows give no rows.
     """
     rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    turns = whole.select("conv_id", F.size("turns").alias("n"), F.posexplode("turns").alias("at", "said")).select("conv_id", "n", "at", "said.role", "said.text")
-    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    prefixes = turns.select("conv_id", "n", (F.col("at") + 1).alias("k"), turn_hash(1).alias("a"), turn_hash(2).alias("b")).select(
-        "conv_id", "n", "k", F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b")
-    )
+    order = [F.asc("turn"), F.asc("role"), F.asc("text")]
+    placed = positions(rows.distinct(), ["conv_id"], order).withColumn("at", F.col("position") - 1).drop("position", "turn")
+    turns = staged(placed.withColumn("block", F.shiftright("at", BLOCK_BITS)), "turns")
+    hashed = turns.select("conv_id", "block", "at", turn_hash(1).alias("a"), turn_hash(2).alias("b"))
+
+    totals = hashed.groupBy("conv_id", "block").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = totals.select("conv_id", "block", *[F.coalesce(F.bit_xor(c).over(before), zero).alias(f"{c}_before") for c in "ab"])
+    within = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rolling = hashed.select("conv_id", "block", (F.col("at") + 1).alias("k"), *[F.bit_xor(c).over(within).alias(c) for c in "ab"])
+    rolling = rolling.join(offsets, ["conv_id", "block"])
     key = ["k", "a", "b"]
-    ends = prefixes.filter("k = n").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
-    begun = prefixes.filter("k < n").select(*key).distinct()
-    kept = ends.join(begun, key, "left_anti").select("conv_id", "n_equal")
-    return whole.join(kept, "conv_id").select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), "n_equal", F.array_join(F.transform("turns", rendered), "").alias("text")
-    )
+    prefixes = rolling.select("k", *[F.col(c).bitwiseXOR(F.col(f"{c}_before")).alias(c) for c in "ab"]).groupBy(*key).agg(F.count("*").alias("n_begun"))
+    whole = totals.groupBy("conv_id").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("n").alias("k"))
+    whole = whole.groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
+    kept = staged(whole.join(prefixes, key).filter("n_begun = n_equal").select("conv_id", F.col("k").alias("n_turns"), "n_equal"), "conversations")
+
+    said = spread_join(turns, kept.select("conv_id"), ["conv_id"], "at", "left_semi")
+    lines = lambda part: F.array_join(F.transform(F.array_sort(part), rendered), "")
+    parts = said.groupBy("conv_id", "block").agg(lines(F.collect_list(F.struct("at", "role", "text"))).alias("part"))
+    texts = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    text = F.array_join(F.col("parts.part"), "")
+    return kept.join(texts, "conv_id").select("conv_id", "n_turns", "n_equal", text.alias("text"))

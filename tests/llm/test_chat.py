@@ -40,3 +40,16 @@ def test_odd_rows(spark, capsys):
     assert chat.formatted(df.limit(0)).count() == 0
     chat.formatted(df).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_a_conversation_of_a_third_of_all_rows(spark, monkeypatch):
+    """Its turns lie in many blocks; snapshots of it, also ones that end where a block does, go."""
+    monkeypatch.setattr(chat, "BLOCK_BITS", 5)
+    n = 3000
+    rows = [(1, k, "user", f"turn {k % 7}") for k in range(n)]
+    for conv, size in ((2, 32), (3, 33), (4, 64), (5, n - 1), (6, 1), (7, 31)):
+        rows += [(conv, k, "user", f"turn {k % 7}") for k in range(size)]
+    rows += [(8, k, "user", "other" if k == 40 else f"turn {k % 7}") for k in range(64)]
+    rows += [(100 + c, k, "user", f"{c % 50} {k}") for c in range(700) for k in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert got(df) == plain(rows)

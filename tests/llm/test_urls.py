@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from boxoffice.llm.urls import ALLOW, BLOCK, Automaton, Rule, host_and_path, judged
+from boxoffice.llm.urls import ALLOW, BLOCK, Automaton, Rule, Rules, host_and_path, judged
 
 
 def plain(rules, url):
@@ -31,6 +31,29 @@ def test_globs():
         assert automaton.match([u.encode() for u in urls]).tolist() == [plain(rules, u) for u in urls]
 
 
+def test_rules_by_the_end_of_the_host(monkeypatch):
+    monkeypatch.setattr("boxoffice.llm.urls.CACHE_WORDS", 4)
+    rng = random.Random(5)
+    globs = ["".join(rng.choice(["a", "b", "/", ".", ".", "*.", "*", "**", "?", "a.b/", ".b/"]) for _ in range(rng.randrange(0, 7))) for _ in range(300)]
+    rules = [Rule(re.sub(r"\*{3,}", "**", g), rng.choice([ALLOW, BLOCK]), g) for g in globs]
+    grouped = Rules(rules)
+    assert len(grouped.groups) > 10 and len(grouped.groups["*"]) < 250
+    host = lambda: "".join(rng.choice("ab..") for _ in range(rng.randrange(0, 7)))
+    path = lambda: "".join(rng.choice("/ab.") for _ in range(rng.randrange(0, 6)))
+    urls = [(host(), rng.choice(["", "/" + path()])) for _ in range(800)]
+    want = [plain(rules, f".{h}{p}") for h, p in urls]
+    assert [r and rules.index(r) for r in grouped.match(urls)] == [rules.index(rules[k]) if k >= 0 else None for k in want]
+    assert sum(k >= 0 for k in want) > 300
+
+
+def test_a_list_of_many_rules():
+    """A hundred thousand sites; a URL meets those with the end of its host."""
+    rules = Rules([Rule.site(BLOCK, f"site{n}.{'com' if n % 3 else 'co.uk'}/p{n % 7}/") for n in range(100_000)] + [Rule.site(ALLOW, "com/")])
+    urls = [(f"www.site{n}.com", f"/p{n % 7}/x") for n in range(1, 40_000, 101)] + [("a.site3.co.uk", "/p3/"), ("site3.co.uk", "/p4/"), ("x.org", "/")]
+    found = [r and r.name for r in rules.match(urls)]
+    assert found == [f"site{n}.com/p{n % 7}/" if n % 3 else "com/" for n in range(1, 40_000, 101)] + ["site3.co.uk/p3/", None, None]
+
+
 @pytest.mark.parametrize(
     "url, parts",
     [
