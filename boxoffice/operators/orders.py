@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import (
@@ -21,6 +21,7 @@ from boxoffice.functions.columns import (
     time_text,
 )
 from boxoffice.operators.intervals import with_intervals
+from boxoffice.operators.observed import with_totals
 from boxoffice.operators.spread import only_keys_of, spread_join
 from boxoffice.schemas import PAID, PENDING
 from boxoffice.sources.tables import Tables
@@ -33,18 +34,16 @@ def order_ledger(t: Tables) -> DataFrame:
     return _ledger_rows(t).orderBy(F.desc("order_date"), "order_id")
 
 
+LEDGER = ["order_id", "order_date", "payment_status", "total_amount", "customer_name", "customer_username"]
+
+
+def _customers(t: Tables) -> DataFrame:
+    users = t["user_account"].select("user_id", F.col("username").alias("customer_username"))
+    return t["customer"].select("customer_id", "user_id", F.col("full_name").alias("customer_name")).join(users, "user_id").drop("user_id")
+
+
 def _ledger_rows(t: Tables) -> DataFrame:
-    customer = (
-        t["customer"]
-        .select("customer_id", "user_id", F.col("full_name").alias("customer_name"))
-        .join(t["user_account"].select("user_id", F.col("username").alias("customer_username")), "user_id")
-        .drop("user_id")
-    )
-    return (
-        t["order"]
-        .join(customer, "customer_id")
-        .select("order_id", "order_date", "payment_status", "total_amount", "customer_name", "customer_username")
-    )
+    return t["order"].join(_customers(t), "customer_id").select(*LEDGER)
 
 
 def order_search(t: Tables, q: str | None = None, status: str | None = None) -> DataFrame:
@@ -57,18 +56,31 @@ def order_search(t: Tables, q: str | None = None, status: str | None = None) ->
     return rows.drop("_id_text").orderBy(F.desc("order_date"), "order_id")
 
 
-def order_totals(t: Tables, role: str) -> DataFrame:
-    """Orders in all, paid and pending in one pass; revenue only for those who may see it."""
+def _order_figures(role: str) -> dict[str, Column]:
     paid = F.col("payment_status") == PAID
     revenue = F.lit(0).cast("decimal(22,2)")
     if role in (*ADMIN_ROLES, "organizer"):
         revenue = F.coalesce(F.sum(F.when(paid, F.col("total_amount"))), revenue)
-    return t["order"].agg(
-        F.count("*").alias("total_orders"),
-        F.count_if(paid).alias("paid_orders"),
-        F.count_if(F.col("payment_status") == PENDING).alias("pending_orders"),
-        revenue.alias("total_revenue"),
-    )
+    return {
+        "total_orders": F.count(F.lit(1)),
+        "paid_orders": F.count_if(paid),
+        "pending_orders": F.count_if(F.col("payment_status") == PENDING),
+        "total_revenue": revenue if role in (*ADMIN_ROLES, "organizer") else F.max(revenue),
+    }
+
+
+def order_totals(t: Tables, role: str) -> DataFrame:
+    """Orders in all, paid and pending in one pass; revenue only for those who may see it."""
+    return t["order"].agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in _order_figures(role).items()])
+
+
+def order_report(t: Tables, role: str) -> tuple[DataFrame, DataFrame]:
+    """`order_ledger`, unsorted, as a table, and `order_totals`, from one pass over the orders. Orders whose customer
+    is not there are counted, but not listed."""
+    named = _customers(t).withColumn("_listed", F.lit(True))
+    rows = spread_join(t["order"], named, ["customer_id"], "order_id").select(*LEDGER, F.coalesce("_listed", F.lit(False)).alias("_listed"))
+    written, totals = with_totals(rows, "ledger", **{n: F.coalesce(c, F.lit(0)) for n, c in _order_figures(role).items()})
+    return written.filter("_listed").drop("_listed"), totals
 
 
 def ledger_display(ledger: DataFrame) -> DataFrame:

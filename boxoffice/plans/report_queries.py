@@ -347,6 +347,18 @@ query(
     count(*) FILTER (payment_status = 'PENDING') AS pending_orders,
     CAST(sum(total_amount) FILTER (payment_status = 'LUNAS') AS DOUBLE) AS total_revenue FROM b_order""",
 )(lambda t, read: orders.order_totals(t, "admin"))
+query(
+    "r34_order_report",
+    f"""SELECT o.order_id, {stamp("o.order_date")} AS order_date, o.payment_status, CAST(o.total_amount AS DOUBLE) AS total_amount,
+    c.full_name AS customer_name, u.username AS customer_username
+    FROM b_order o JOIN b_customer c USING (customer_id) JOIN b_user u USING (user_id)""",
+)(lambda t, read: orders.order_report(t, "admin")[0])
+query(
+    "r35_order_report_totals",
+    """SELECT count(*) AS total_orders, count(*) FILTER (payment_status = 'LUNAS') AS paid_orders,
+    count(*) FILTER (payment_status = 'PENDING') AS pending_orders,
+    CAST(sum(total_amount) FILTER (payment_status = 'LUNAS') AS DOUBLE) AS total_revenue FROM b_order""",
+)(lambda t, read: orders.order_report(t, "admin")[1])
 
 USAGE = f"""SELECT p.promotion_id, p.promo_code, p.discount_type, CAST(p.discount_value AS DOUBLE) AS discount_value,
     {date_text("p.start_date")} AS start_date, {date_text("p.end_date")} AS end_date, p.usage_limit,

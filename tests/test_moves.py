@@ -102,7 +102,7 @@ def test_a_chain_of_moves_in_one_pass(spark, monkeypatch):
     import boxoffice.operators.moves as module
 
     monkeypatch.setattr(module, "_round", None)
-    n = 3000
+    n = 800
     rows = spark.range(n).selectExpr("id AS seq", "concat('t', id) AS i", "if(id = 0, 'free', concat('s', id - 1)) AS k")
     old = spark.range(n).selectExpr("concat('s', id) AS k", "concat('t', id) AS i")
     assert moved(rows, old, ["k"], "i", F.lit(True)).filter("_taken").isEmpty()

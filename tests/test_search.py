@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameReader
 
 from boxoffice.functions.columns import literal_match, wildcard_match
-from boxoffice.operators import events, tickets
+from boxoffice.operators import events, orders, tickets
 from boxoffice.operators.intervals import blocks_of, with_intervals
 from boxoffice.operators.search import TrigramIndex
 from boxoffice.session import shared_dir
@@ -75,6 +75,18 @@ def test_report_and_totals_in_one_pass(t, spark, monkeypatch):
     assert sorted(map(tuple, register.collect())) == sorted(map(tuple, tickets.ticket_register(t, "administrator").collect()))
 
 
+def test_order_report_in_one_pass(t, spark):
+    """Orders without customer are counted, not listed."""
+    shop = t.replace(customer=t["customer"].orderBy("customer_id").offset(2))
+    for role in ("admin", "customer"):
+        ledger, totals = orders.order_report(shop, role)
+        assert tuple(totals.first()) == tuple(orders.order_totals(shop, role).first())
+        want = orders.order_ledger(shop)
+        assert sorted(map(tuple, ledger.collect())) == sorted(map(tuple, want.collect())) and want.count() < shop["order"].count()
+    _, none = orders.order_report(t.replace(order=t["order"].limit(0)), "admin")
+    assert tuple(none.first()) == (0, 0, 0, 0)
+
+
 def test_ranges_of_keys_are_disjoint_and_complete(spark):
     rng = random.Random(3)
     ids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(500)] + [None, str(uuid.UUID(int=0)), "f" * 8 + "-ffff-ffff-ffff-" + "f" * 12]
