@@ -85,9 +85,7 @@ def _admitted(rows: DataFrame, keys: Sequence[str], limited: bool, component_row
         chosen.select("seq").write.parquet(f"{folder}/step={steps}")
         steps += 1
 
-    still = staged(rows, "open")
-    marked = staged(_marked(still, keys, limited), "marked")
-    drop_staged(still)
+    marked = staged(_marked(rows, keys, limited), "marked")
     while True:
         admit(marked.filter("_new"))
         still = staged(_not_beaten(marked, keys, limited), "open")

@@ -63,7 +63,7 @@ def read_buckets(spark: SparkSession, path: str, schema: StructType, buckets: It
 
 def touched(keys: DataFrame, column: str, kind: str, buckets: int) -> list[int]:
     """The buckets of the keys, at most ``buckets`` numbers."""
-    return sorted(r[0] for r in keys.select(bucket_of(F.col(column).cast(kind), buckets)).distinct().collect())
+    return sorted(keys.agg(F.collect_set(bucket_of(F.col(column).cast(kind), buckets))).first()[0])
 
 
 @dataclass
