@@ -9,6 +9,9 @@ fingerprints share (templates with a few changing words) pairs would grow with t
 There the members are grouped instead by every value that one bit can turn them into: two fingerprints
 have such a value in common just if they differ in at most two bits, so one link to the smallest member
 of the group is as good as all pairs.
+
+Joins are sort-merge joins: what they join grows with the documents, but its files are so small (variants are
+made of few bits) that Spark would take it for a small table and collect it on the driver.
 """
 
 from __future__ import annotations
@@ -112,11 +115,11 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) ->
     key = ["part", "gap", "rest"]
     shared = variants.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
     # a half that many fingerprints share is cut into pieces
-    index = staged(spread_join(variants, shared, key, "bits", "inner"), "simhash-index")
+    index = staged(spread_join(variants, shared, key, "bits", "inner", merge=True), "simhash-index")
     few = index.filter(F.col("n") <= crowd)
     pairs = (
         few.select(*key, F.col("bits").alias("u"))
-        .join(few.select(*key, F.col("bits").alias("v")), key)
+        .join(few.select(*key, F.col("bits").alias("v")).hint("merge"), key)
         .filter("u > v")
         .filter(differing("u", "v") <= most_bits)
         .select("u", "v")
@@ -125,13 +128,13 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) ->
         near = index.filter(F.col("n") > crowd).select("bits").distinct()
         turned = near.select(F.col("bits").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("gap"))
         turned = turned.select("u", F.col("u").bitwiseXOR(F.expr("shiftleft(1L, gap)")).alias("v"))
-        crowded = turned.join(near.select(F.col("bits").alias("v")), "v").filter(differing("u", "v") <= most_bits).select("u", "v")
+        crowded = turned.join(near.select(F.col("bits").alias("v")).hint("merge"), "v").filter(differing("u", "v") <= most_bits).select("u", "v")
         return pairs.unionByName(crowded).distinct()
     near = index.filter(F.col("n") > crowd).select("bits").distinct()
     turned = near.select(F.col("bits").alias("u"), F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("gap"))
     turned = turned.select("u", F.expr("CASE WHEN gap < 0 THEN u ELSE u ^ shiftleft(1L, gap) END").alias("met"))
     least = turned.groupBy("met").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    crowded = turned.join(least, "met").filter("u > v").select("u", "v")
+    crowded = turned.join(least.hint("merge"), "met").filter("u > v").select("u", "v")
     return pairs.unionByName(crowded).distinct()
 
 
@@ -143,7 +146,7 @@ def grouped(docs: DataFrame, shingle: int, most_bits: int, crowd: int) -> tuple[
     rows = staged(with_fingerprints(docs, shingle), "fingerprints")
     prints = staged(rows.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "prints")
     groups = components(links(prints.select("bits"), most_bits, crowd))
-    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component").alias("root")), "bits", "left")
+    own = prints.join(groups.select(F.col("id").alias("bits"), F.col("component").alias("root")).hint("merge"), "bits", "left")
     return rows, own.select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
 
 
@@ -158,8 +161,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     """
     rows, own = grouped(docs, shingle, most_bits, crowd)
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_bits = staged(own.join(least, "root").select("bits", "component_id"), "components")
-    return spread_join(rows, of_bits, ["bits"], "doc_id", "inner").select(
+    of_bits = staged(spread_join(own, least, ["root"], "bits", "inner", merge=True).select("bits", "component_id"), "components")
+    return spread_join(rows, of_bits, ["bits"], "doc_id", "inner", merge=True).select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -174,11 +177,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_B
     # the first row of each fingerprint, then of each group
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = rows.groupBy("bits").agg(F.min(order).alias("first"))
-    kept = first.join(own.select("bits", "root"), "bits").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.join(own.select("bits", "root").hint("merge"), "bits").groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("id_key"), "first.text_key")
     # equal rows are one before the texts are moved
     columns = [F.col(quoted(c)) for c in docs.columns]
     # of rows with one id and text the least; values that have no order count as text
     rank = F.struct(*[F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(columns, docs.dtypes, strict=True)])
     whole = docs.groupBy(*row_keys()).agg(F.min_by(F.struct(*columns), rank).alias("row"))
-    return whole.join(kept, ["id_key", "text_key"], "left_semi").select("row.*")
+    return whole.join(kept.hint("merge"), ["id_key", "text_key"], "left_semi").select("row.*")

@@ -45,7 +45,7 @@ def _written(pairs: DataFrame) -> tuple[DataFrame, dict]:
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("least"))
-    return spread_join(pairs, least.select("u", F.least("u", "least").alias("least")), ["u"], "v", how="inner")
+    return spread_join(pairs, least.select("u", F.least("u", "least").alias("least")), ["u"], "v", how="inner", merge=True)
 
 
 def _towards_larger(pairs: DataFrame) -> DataFrame:

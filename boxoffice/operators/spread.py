@@ -17,6 +17,7 @@ def spread_join(
     row_id: str | None = None,
     how: str = "left",
     salts: int = 1,
+    merge: bool = False,
 ) -> DataFrame:
     """Join ``left``, in which one key may hold very many rows, to ``facts`` with one row per key.
 
@@ -28,11 +29,14 @@ def spread_join(
 
     ``salts`` above one cuts every key into that many parts by ``row_id`` up front, at the price of as
     many copies of the facts. It is meant for sessions that run without adaptive execution.
+
+    ``merge`` is for facts that grow with the input: Spark estimates them from files or rows that may be
+    far smaller than what they become, and with its usual bound would build them on the driver.
     """
     salt = "_salt"
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(row_id or on[0]), F.lit(salts)).cast("int"))
     copies = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, on=[*on, salt], how=how).drop(salt)
+    return dealt.join(copies.hint("merge") if merge else copies, on=[*on, salt], how=how).drop(salt)
 
 
 def running_counts(

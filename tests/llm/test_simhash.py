@@ -96,3 +96,17 @@ def test_components_of_a_chain_and_a_star(spark):
     pairs = [(order[i], order[i + 1]) for i in range(199)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(200)} | {1000 + i: 1000 for i in range(300)}
+
+
+def test_growing_joins_are_not_collected_on_the_driver(spark):
+    # a few files hold what becomes many rows
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y")], "doc_id long, text string")
+    prints = spark.range(100).select(F.col("id").alias("bits"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for df in (simhash.links(prints), simhash.near_duplicates(docs), simhash.one_of_each(docs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
