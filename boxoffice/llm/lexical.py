@@ -118,7 +118,9 @@ def build(docs: DataFrame) -> Index:
 
     path = new_path(docs.sparkSession, "lexical")
     shards = only_text(docs, "doc_id", "long").mapInArrow(run, SHARD)
-    shards.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
+    # a shard is large, so sizes are looked at after each, not every hundred rows
+    writer = shards.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
+    writer.option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)
     return Index(path, n_docs, n_terms)
 
 

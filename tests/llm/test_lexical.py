@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from boxoffice.llm import lexical
@@ -130,3 +131,15 @@ def test_empty_tables(spark):
     index = lexical.build(docs)
     assert lexical.search(spark, index, items.limit(0)).collect() == []
     assert [(r.item_id, r.rank, r.doc_id) for r in lexical.search(spark, index, items).collect()] == [("x", 1, 1)]
+
+
+def test_row_groups_of_the_index_are_bounded(spark, monkeypatch):
+    # a task reads a row group at a time, so a hundred shards must not be one
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 64)
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 4096)
+    docs = spark.createDataFrame([(i, f"word{i} and some more words for document {i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    index = lexical.build(docs)
+    files = spark.read.parquet(index.path).inputFiles()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in found) >= 30
+    assert all(m.row_group(i).num_rows < 30 for m in found for i in range(m.num_row_groups))
