@@ -192,6 +192,21 @@ def test_update_tickets(t, spark):
     assert set(ch.update_tickets(t, df).tables) == {"has_relationship"}
 
 
+def test_ticket_changes_are_computed_once(t, spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    rows = [(n, uid(TICKET, n), "void", uid(SEAT, n % 3 + 1)) for n in range(1, 6)]
+    df = spark.createDataFrame(rows, "seq long, ticket_id string, status string, seat_id string").mapInArrow(seen, "seq long, ticket_id string, status string, seat_id string")
+    change = ch.update_tickets(t, df)
+    change.tables["has_relationship"].collect(), change.rejects.collect()
+    assert counted.value == len(rows)
+
+
 @pytest.mark.parametrize("seed, component_rows", [(7, 0), (8, 12), (9, 1000)])
 def test_settle_replay(spark, seed, component_rows):
     rng = random.Random(seed)
