@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.operators.conflicts import COMPONENT_ROWS, components, in_order
+from boxoffice.operators.ranges import positions
 from boxoffice.operators.spread import running_counts, spread_join, without_keys_of
 from boxoffice.session import drop_staged, shared_dir, staged
 
+# Rows of a larger component that one task walks through before the next ones are looked at.
+BLOCK_ROWS = 1_000_000
+
 
 def settle(
     cand: DataFrame,
@@ -35,8 +39,8 @@ def settle(
     the rows that are still open. First a row gets in if no open row before it could stand in its way, and
     every open row that this beats goes out. The rest are linked where they claim the same value, or a place of
     a group that can still fill. A component of these links with at most ``component_rows`` rows is settled in one
-    ordered pass in its own task, all components side by side. In larger ones, rows that have to wait for one
-    other row only form paths, which are followed by doubling; then the steps begin anew for what is open.
+    ordered pass in its own task, all components side by side. Larger ones go in blocks of ``BLOCK_ROWS`` rows, one
+    after the other, of all such components at once.
     """
     keys = {name: f"_k_{name}" for name in claims}
     keyed = cand.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
@@ -86,25 +90,16 @@ def _admitted(rows: DataFrame, keys: Sequence[str], limited: bool, component_row
         steps += 1
 
     marked = staged(_marked(rows, keys, limited), "marked")
-    while True:
-        admit(marked.filter("_new"))
-        still = staged(_not_beaten(marked, keys, limited), "open")
-        drop_staged(marked)
-        if still.isEmpty():
-            break
+    admit(marked.filter("_new"))
+    still = staged(_not_beaten(marked, keys, limited), "open")
+    drop_staged(marked)
+    if not still.isEmpty():
         placed = staged(_with_component(staged(_graph(still, keys, limited), "conflicts"), len(keys)), "components")
         sizes = placed.groupBy("component").agg(F.count("*").alias("_size"))
         large = staged(sizes.filter(F.col("_size") > component_rows).select("component"), "large")
         admit(_walked(without_keys_of(placed, large, ["component"]), len(keys), seq))
-        if large.isEmpty():
-            break
-        waiting = staged(spread_join(placed, large, ["component"], "seq", "left_semi"), "waiting")
-        decided = _followed(waiting, len(keys))
-        marked = _marked(still.join(waiting.select("seq"), "seq", "left_semi"), keys, limited).join(decided, "seq", "left")
-        # what a path decides against is out; what it decides for gets in
-        marked = marked.filter("_path_in IS NULL OR _path_in").withColumn("_new", F.col("_new") | F.coalesce("_path_in", F.lit(False)))
-        marked = staged(marked.drop("_path_in"), "marked")
-        drop_staged(still)
+        if not large.isEmpty():
+            _in_blocks(spread_join(placed, large, ["component"], "seq", "left_semi"), len(keys), seq, admit)
     return spark.read.schema(f"seq {seq}, step int").parquet(folder).select("seq")
 
 
@@ -164,8 +159,9 @@ def _with_component(graph: DataFrame, claims: int) -> DataFrame:
 
 
 def _walked(rows: DataFrame, claims: int, seq: str) -> DataFrame:
-    """``seq`` of the rows that get in, component by component in order."""
-    columns = ["component", "seq", "_room", "_in_before", "_g", *[f"_v{n}" for n in range(claims)]]
+    """``(seq, _v0, .., _g)`` of the rows that get in, component by component in order."""
+    names = [f"_v{n}" for n in range(claims)]
+    columns = ["component", "seq", "_room", "_in_before", "_g", *names]
 
     def start():
         held: list[set] = [set() for _ in range(claims)]
@@ -182,45 +178,47 @@ def _walked(rows: DataFrame, claims: int, seq: str) -> DataFrame:
                     own.add(value)
             if group is not None:
                 inside[group] = inside.get(group, 0) + 1
-            return (number,)
+            return (number, *values, group)
 
         return step
 
-    return in_order(rows.select(*columns), ["seq"], f"seq {seq}", start)
+    return in_order(rows.select(*columns), ["seq"], ", ".join(f"{name} {seq}" for name in ("seq", *names, "_g")), start)
 
 
-def _followed(rows: DataFrame, claims: int) -> DataFrame:
-    """``(seq, _path_in)`` of rows whose fate follows from a path.
+def _in_blocks(rows: DataFrame, claims: int, seq: str, admit: Callable[[DataFrame], None]) -> None:
+    """Settles components in blocks of ``BLOCK_ROWS`` rows in order of ``seq``, the n-th blocks of all components at once.
 
-    A row that waits for no other is in; one that waits for a single row, whose group has room for all, is in
-    if that row is out. A step joins each path to the one that begins where it ends, so paths of n
-    rows take log2(n) steps. Rows that wait for several rows or for places end a path undecided.
+    What is held of a value or group goes on to the next block in which it occurs. So a block reads its own rows and
+    what is held of their values, and neither a task nor the driver keeps anything from one block to the next.
     """
-    many, seen = F.col("_g").isNotNull(), rows
-    for n, name in enumerate(f"_v{n}" for n in range(claims)):
-        # the two first rows that claim a value
-        claim = rows.filter(F.col(name).isNotNull()).select(name, F.col("seq").alias("_other"))
-        second = claim.filter(F.col("_other") > F.col(name)).groupBy(name).agg(F.min("_other").alias(f"_second{n}"))
-        seen = spread_join(seen, second, [name], "seq")
-        later = F.col("seq") > F.col(name)
-        many = many | F.coalesce(F.col("seq") > F.col(f"_second{n}"), F.lit(False))
-        seen = seen.withColumn(f"_before{n}", F.when(later, F.col(name)))
-    before = F.array_sort(F.array_distinct(F.array_compact(F.array(*[f"_before{n}" for n in range(claims)]))))
-    seen = seen.select("seq", (many | (F.size(before) > 1)).alias("_stop"), F.get(before, F.lit(0)).alias("_to"))
-    # where a path ends, whether an odd number of steps leads there, and whether the row waits for nothing
-    alone = F.col("_stop") | F.col("_to").isNull()
-    paths = seen.select(
-        "seq", F.when(alone, F.col("seq")).otherwise(F.col("_to")).alias("_end"), (~alone).alias("_odd"), (~F.col("_stop") & F.col("_to").isNull()).alias("_in")
-    )
-    paths = staged(paths, "paths")
-    while True:
-        onward = paths.filter("_end <> seq").select(F.col("seq").alias("_end"), F.col("_end").alias("_next"), F.col("_odd").alias("_more"))
-        further = spread_join(paths, onward, ["_end"], "seq")
-        if further.filter("_next IS NOT NULL").isEmpty():
-            break
-        after = further.select("seq", F.coalesce("_next", "_end").alias("_end"), (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd"), "_in")
-        after = staged(after, "paths")
-        drop_staged(paths)
-        paths = after
-    ends = paths.filter("_in").select(F.col("seq").alias("_end"), F.lit(True).alias("_known"))
-    return spread_join(paths, ends, ["_end"], "seq", how="inner").select("seq", (~F.col("_odd")).alias("_path_in"))
+    spark, names = rows.sparkSession, [*[f"_v{n}" for n in range(claims)], "_g"]
+    folder = f"{shared_dir(spark).rstrip('/')}/boxoffice/blocks-{uuid.uuid4().hex}"
+
+    def values_of(frame: DataFrame, *keep: str) -> DataFrame:
+        return frame.select(*keep, F.posexplode(F.array(*names)).alias("kind", "value")).filter("value IS NOT NULL")
+
+    numbered = positions(rows, ["component"], [F.col("seq")]).withColumn("block", F.expr(f"(position - 1) DIV {BLOCK_ROWS}")).drop("position")
+    numbered.write.partitionBy("block").parquet(f"{folder}/rows")
+    numbered = spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
+    following = F.lead("block").over(Window.partitionBy("kind", "value").orderBy("block"))
+    onward = values_of(numbered, "block").distinct().withColumn("next", following).filter("next IS NOT NULL")
+    onward.write.partitionBy("block").parquet(f"{folder}/onward")
+    onward = spark.read.schema(onward.schema).parquet(f"{folder}/onward")
+    held_kinds = f"kind int, value {seq}, taken long, at long"
+    spark.createDataFrame([], held_kinds).write.parquet(f"{folder}/held")
+
+    block = 0
+    while not (now := numbered.filter(F.col("block") == block)).isEmpty():
+        held = spark.read.schema(held_kinds).parquet(f"{folder}/held").filter(F.col("at") == block).drop("at")
+        for n, name in enumerate(names[:-1]):
+            now = without_keys_of(now, held.filter(F.col("kind") == n).withColumnRenamed("value", name), [name])
+        inside = held.filter(F.col("kind") == claims).select(F.col("value").alias("_g"), "taken")
+        now = spread_join(now, inside, ["_g"], "seq").withColumn("_in_before", F.col("_in_before") + F.coalesce("taken", F.lit(0)))
+        chosen = staged(_walked(now, claims, seq), "chosen")
+        admit(chosen)
+        taken = values_of(chosen).withColumn("taken", F.lit(1).cast("long")).unionByName(held)
+        taken = taken.groupBy("kind", "value").agg(F.sum("taken").alias("taken"))
+        passed = taken.join(onward.filter(F.col("block") == block), ["kind", "value"])
+        passed.select("kind", "value", "taken", F.col("next").alias("at")).write.mode("append").partitionBy("at").parquet(f"{folder}/held")
+        drop_staged(chosen)
+        block += 1

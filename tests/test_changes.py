@@ -249,6 +249,34 @@ def test_long_paths_are_followed_by_doubling(spark, monkeypatch):
     assert len(rounds) <= 3
 
 
+@pytest.mark.parametrize("seed, rows, block", [(21, 400, 100), (22, 150, 20), (23, 150, 1000)])
+def test_large_components_go_in_blocks(spark, monkeypatch, seed, rows, block):
+    """A chain whose groups fill up, with values that come again later: as many steps as there are blocks, no round per link."""
+    rounds, rng = [], random.Random(seed)
+    monkeypatch.setattr(settle_module, "BLOCK_ROWS", block, raising=False)
+    marked = settle_module._marked
+
+    def once(*a):
+        rounds.append(1)
+        assert len(rounds) == 1
+        return marked(*a)
+
+    monkeypatch.setattr(settle_module, "_marked", once)
+    cand = [(n, n // 2, rng.choice([None, (n + 1) // 2, (n + 1) // 2 % 40]), n // 2 % 10) for n in range(rows)]
+    room = {g: rng.choice([None, 1, 4, 7]) for g in range(10)}
+    cand = [(*row, room[row[3]]) for row in cand]
+    df = spark.createDataFrame(rng.sample(cand, rows), "seq long, a long, b long, g long, room int")
+    out = {r.seq: r._in for r in settle(df, F.lit(True), {"one": ["a"], "two": ["b"]}, ("g", "room"), component_rows=2).collect()}
+    held_a, held_b, count = set(), set(), {g: 0 for g in room}
+    for n, a, b, g, places in cand:
+        gets_in = a not in held_a and b not in held_b and (places is None or count[g] < places)
+        assert out[n] == gets_in, n
+        if gets_in:
+            held_a.add(a)
+            held_b |= {b} - {None}
+            count[g] += 1
+
+
 def test_many_long_chains(spark, monkeypatch):
     """Chains of 500 rows, dealt at random: no row passes the driver, and the steps do not depend on the chains' length."""
     steps = []
