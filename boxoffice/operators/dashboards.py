@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.columns import RESERVED, day, moment
-from boxoffice.operators.deltas import Kept, rows_after, touched_keys
+from boxoffice.operators.deltas import Kept, rows_after, touched_keys, touched_rows
 from boxoffice.operators.spread import side_by_side, spread_join
 from boxoffice.operators.tickets import sold_per_category
 from boxoffice.schemas import PAID
@@ -79,10 +79,43 @@ def paid_sales(t: Tables) -> DataFrame:
 
 def refreshed_paid_sales(t: Tables, stored: DataFrame, change) -> DataFrame:
     """`paid_sales` after a change set, from those before it. Only tickets are looked at that the change set
-    touches, or whose order or category it does."""
-    ids = [t["ticket"].limit(0).select("ticket_id")]
+    touches, whose category it does, or whose order becomes paid or is no longer."""
     if "ticket" in change.rewrites:
-        ids.append(touched_keys(change, "ticket"))
+        return _sales_with_tickets(t, stored, change)
+    category = lambda rows: rows.select("category_id", F.col("tevent_id").alias("event_id"), F.col("price").cast("decimal(28,2)").alias("price"))
+    sold, signed = None, []
+    if "order" in change.rewrites:
+        sold = _newly_paid(t, change)
+        signed.append(spread_join(category(t["ticket_category"]), sold, ["category_id"], how="inner"))
+    if "ticket_category" in change.rewrites:
+        keys = touched_keys(change, "ticket_category")
+        tickets = t.lookup("ticket", {"tcategory_id": "category_id"}, keys).select("tcategory_id", "torder_id")
+        paid = t["order"].filter(F.col("payment_status") == PAID).select(F.col("order_id").alias("torder_id"))
+        known = sold_per_category(spread_join(tickets, paid, ["torder_id"], how="left_semi"))
+        now = known if sold is None else known.unionByName(sold).groupBy("category_id").agg(F.sum("sold").alias("sold"))
+        before, after = touched_rows(t, change, "ticket_category")
+        prices = category(before).withColumn("_times", F.lit(-1)).unionByName(category(after).withColumn("_times", F.lit(1)))
+        signed.append(prices.join(now, "category_id").withColumn("sold", F.col("sold") * F.col("_times")))
+    if not signed:
+        return stored
+    rows = reduce(DataFrame.unionByName, [part.select("event_id", "price", F.col("sold").alias("_sign")) for part in signed])
+    return PAID_SALES.moved(stored, rows)
+
+
+def _newly_paid(t: Tables, change) -> DataFrame:
+    """``(category_id, sold)``: tickets per category in orders that become paid, less those in orders that are no longer."""
+    flagged = [rows.select(F.col("order_id").alias("torder_id"), (F.col("payment_status") == PAID).alias("_paid")) for rows in touched_rows(t, change, "order")]
+    was, now = (F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) for c in ("_was", "_now"))
+    none = F.lit(None).cast("boolean")
+    before, after = flagged[0].select("torder_id", F.col("_paid").alias("_was"), none.alias("_now")), flagged[1].select("torder_id", none.alias("_was"), F.col("_paid").alias("_now"))
+    turned = before.unionByName(after).groupBy("torder_id").agg((now - was).alias("_turn")).filter("_turn <> 0")
+    tickets = spread_join(t["ticket"].select("tcategory_id", "torder_id"), turned, ["torder_id"], how="inner")
+    return tickets.groupBy(F.col("tcategory_id").alias("category_id")).agg(F.sum("_turn").alias("sold")).filter("sold <> 0")
+
+
+def _sales_with_tickets(t: Tables, stored: DataFrame, change) -> DataFrame:
+    """`refreshed_paid_sales` after a change set that also touches tickets."""
+    ids = [touched_keys(change, "ticket")]
     for parent, column in (("order", "torder_id"), ("ticket_category", "tcategory_id")):
         if parent in change.rewrites:
             keys = touched_keys(change, parent)

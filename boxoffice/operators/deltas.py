@@ -28,6 +28,12 @@ def rows_after(t: Tables, change, table: str, on: Mapping[str, str], asked: Data
     return only_keys_of(change.rewrites[table].apply(old), asked, on)
 
 
+def touched_rows(t: Tables, change, table: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that the change set touches, as they are and as they will be. Only they are read."""
+    before = t.lookup(table, {TABLES[table].key[0]: TABLES[table].key[0]}, touched_keys(change, table))
+    return before, change.rewrites[table].apply(before)
+
+
 @dataclass
 class Kept:
     """A stored aggregate: rows, sums, least and greatest values (each an SQL expression) of groups; ``keys`` may be empty."""
@@ -49,7 +55,10 @@ class Kept:
         A group is only aggregated anew, from ``whole``, the rows after the change, if it loses a least or
         greatest value and gets none as good. Without least and greatest values ``whole`` is not needed.
         """
-        signed = gone.withColumn("_sign", F.lit(-1)).unionByName(come.withColumn("_sign", F.lit(1)))
+        return self.moved(stored, gone.withColumn("_sign", F.lit(-1)).unionByName(come.withColumn("_sign", F.lit(1))), whole)
+
+    def moved(self, stored: DataFrame, signed: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+        """`after` with rows that come (or go, below zero) as often as ``_sign`` says."""
         sums = [F.sum(F.col("_sign") * F.expr(c)).alias(f"_d_{n}") for n, c in self.sums.items()]
         ends = []
         for extreme, figures in ((F.min, self.least), (F.max, self.most)):

@@ -47,6 +47,28 @@ def test_groups_that_lose_no_end_are_not_aggregated_anew(spark):
     assert bag(figures.after(figures.of(old), gone, come, wrong)) == [("a", 5, 1), ("b", 7, 1), ("c", 4, 1)]
 
 
+def test_sales_follow_orders_and_prices_at_once(t, spark):
+    """One change set for both; the tickets are read once for the orders, and those of a new price once."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    orders = [(n, uid(ORDER, n), ["LUNAS", "PENDING", None][n % 3]) for n in range(1, 14)]
+    prices = [(n, uid(CAT, n), n * 1000, uid(EVENT, 1 + n % 3)) for n in range(1, 15, 2)]
+    status = ch.update_order_status(t, spark.createDataFrame(orders, "seq long, order_id string, payment_status string"))
+    price = ch.update_rows(t, "ticket_category", spark.createDataFrame(prices, "seq long, category_id string, price int, tevent_id string"))
+    stored = dashboards.paid_sales(t)
+    watched = t.replace(ticket=t["ticket"].mapInArrow(seen, t["ticket"].schema))
+    for change, most in ((status, 1), (price, 1), (ch.ChangeSet.of(t, {**status.rewrites, **price.rewrites}, status.rejects), 3)):
+        counted.value = 0
+        found = bag(dashboards.refreshed_paid_sales(watched, stored, change))
+        assert 0 < counted.value <= most * t["ticket"].count()
+        assert found == bag(dashboards.paid_sales(change.apply(t))) and found != bag(stored)
+
+
 def random_changes(t, spark, rng):
     """A change set of a random kind, by its name and rows."""
     orders = [(n, uid(ORDER, rng.randrange(1, 14)), rng.choice(["LUNAS", "PENDING", "DIBATALKAN", None])) for n in range(6)]
