@@ -98,6 +98,14 @@ def without_keys_of(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFr
     return spread_join(df, keys.select(*on).distinct(), on, how="left_anti").select(*df.columns)
 
 
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as ``times`` (from 1) says, in place. In two steps, so that no list of a row has more than 2**16 entries."""
+    most = F.lit(1 << 16)
+    cut = df.withColumn("_times", times.cast("long")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("_times") - 1, 16))))
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.least(most, F.col("_times") - F.col("_part") * most)))
+    return cut.withColumn("_one", one).select(*df.columns)
+
+
 def side_by_side(*totals: DataFrame) -> DataFrame:
     """One row out of several one-row totals with different columns."""
     rows = totals[0]

@@ -27,7 +27,7 @@ from boxoffice.functions.columns import (
 )
 from boxoffice.operators.deltas import Kept, rows_after, touched_keys
 from boxoffice.operators.observed import with_totals
-from boxoffice.operators.spread import only_keys_of, side_by_side, spread_join
+from boxoffice.operators.spread import only_keys_of, repeated, side_by_side, spread_join
 from boxoffice.sources.tables import Tables
 
 SEAT_ORDER = ["section", "row_number", "seat_number", "seat_id"]
@@ -223,18 +223,15 @@ def free_seats(t: Tables, venue_id: object | None = None) -> DataFrame:
 def seat_inventory(t: Tables) -> DataFrame:
     """Seats with their state; a seat with several tickets is listed once per ticket.
 
-    Taken seats come out of an inner join from the links, which can be cut when one seat has very many
-    of them; a left join from the seats could not.
+    Tickets are counted per seat, so a seat is one row through the joins and the sort, however many tickets it
+    has, and is only repeated in the sorted rows.
     """
-    taken = t["has_relationship"].select("seat_id").join(t["seat"], "seat_id").withColumn("status", F.lit(TAKEN))
-    free = _free(t).withColumn("status", F.lit(FREE))
+    tickets = t["has_relationship"].groupBy("seat_id").agg(F.count("*").alias("_tickets"))
     venue = t["venue"].select("venue_id", "venue_name")
-    return (
-        taken.unionByName(free, allowMissingColumns=True)
-        .join(venue, "venue_id")
-        .select("seat_id", "section", "row_number", "seat_number", "venue_name", "status", "venue_id")
-        .orderBy("venue_name", *SEAT_ORDER)
-    )
+    status = F.when(F.col("_tickets").isNull(), FREE).otherwise(TAKEN)
+    seats = t["seat"].join(tickets, "seat_id", "left").join(venue, "venue_id").orderBy("venue_name", *SEAT_ORDER)
+    listed = ["seat_id", "section", "row_number", "seat_number", "venue_name", status.alias("status"), "venue_id"]
+    return repeated(seats, F.coalesce("_tickets", F.lit(1))).select(*listed)
 
 
 def seat_totals(t: Tables) -> DataFrame:

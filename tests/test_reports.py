@@ -179,6 +179,16 @@ def test_seats(t, spark):
     assert tickets.free_seats(twice).count() == 20
 
 
+def test_seat_with_very_many_tickets(t, spark):
+    """The seat is one row in both joins and in the sort."""
+    links = spark.range(150_000).selectExpr(f"'{uid(SEAT, 1)}' AS seat_id", "cast(id AS string) AS ticket_id")
+    listed = tickets.seat_inventory(t.replace(has_relationship=links))
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.index("Generate") < plan.index("Sort")
+    assert listed.filter("status = 'TERISI'").groupBy("seat_id").count().collect() == [(uid(SEAT, 1), 150_000)]
+    assert listed.filter("status = 'TERSEDIA'").count() == 29
+
+
 def test_venues(t):
     assert col(events.venue_cities(t), "city") == ["Bali", "Bandung", "Jakarta"]
     assert tuple(events.venue_totals(t).first()) == (29000, 2)
