@@ -13,6 +13,9 @@ from boxoffice.operators.spread import without_keys_of
 from boxoffice.schemas import TABLES, Reference, references_to
 from boxoffice.sources.tables import Tables
 
+# Rows that a task counts, and parts of a value that very many rows have.
+TASK_ROWS, HOT_PARTS = 300_000, 8
+
 
 def judged(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
     """Adds ``accepted`` and ``reason``; the first rule that holds gives the reason."""
@@ -78,21 +81,31 @@ def check_keys(t: Tables, table: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def orphans(t: Tables, table: str, ref: Reference) -> DataFrame:
-    """Values of a reference that the parent does not have. Counted first, so a hot value joins as one row."""
-    values = t[table].filter(F.col(ref.column).isNotNull()).groupBy(F.col(ref.column).alias("key"))
-    parents = t[ref.parent].select(F.col(ref.parent_column).alias("key"))
-    missing = values.agg(F.count("*").alias("rows")).join(parents, "key", "left_anti")
+def orphans(t: Tables, table: str, ref: Reference, tasks: int = 1) -> DataFrame:
+    """Values of a reference that the parent does not have.
+
+    Rows are counted in ``tasks`` parts of the values, and a value that very many rows have in several of them; then
+    counts and parents meet value by value. Nothing is sorted.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(HOT_PARTS)).alias("_salt")
+    values = t[table].select(F.col(ref.column).alias("key"), salt).filter("key IS NOT NULL")
+    counted = values.repartition(tasks, "key", "_salt").groupBy("key", "_salt").agg(F.count("*").alias("rows"))
+    parents = t[ref.parent].select(F.col(ref.parent_column).alias("key"), F.lit(None).cast("long").alias("rows")).filter("key IS NOT NULL")
+    met = counted.drop("_salt").unionByName(parents).repartition(tasks, "key").groupBy("key")
+    missing = met.agg(F.sum("rows").alias("rows"), F.count("rows").alias("_counts"), F.count("*").alias("_all")).filter("_counts = _all")
     name = f"reference:{table}({ref.column}) to {ref.parent}"
     return missing.select(F.lit(name).alias("constraint"), F.col("key").cast("string").alias("key"), "rows")
 
 
 def check_foreign_keys(t: Tables, table: str | None = None) -> DataFrame:
-    """Broken references of one table, or all 17 of the model."""
+    """Broken references of one table, or all 17 of the model. Tables are counted first, so that a task gets a bounded
+    number of their rows."""
     names = [table] if table else list(TABLES)
-    found = [orphans(t, name, ref) for name in names for ref in TABLES[name].references]
-    if not found:
+    wanted = [(name, ref) for name in names for ref in TABLES[name].references]
+    if not wanted:
         return t.spark.createDataFrame([], "constraint string, key string, rows long")
+    sizes = {name: t[name].count() for name in {x for name, ref in wanted for x in (name, ref.parent)}}
+    found = [orphans(t, name, ref, 1 + (sizes[name] + sizes[ref.parent]) // TASK_ROWS) for name, ref in wanted]
     return reduce(DataFrame.unionByName, found)
 
 

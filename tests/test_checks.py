@@ -323,3 +323,13 @@ def test_redemption_replay(spark, seed):
     rng.shuffle(cand)
     df = spark.createDataFrame(cand, "seq long, promotion_id string, order_id string")
     assert reasons(c.admit_redemptions(shop, df)) == expected
+
+
+def test_references_are_counted_in_bounded_tasks(spark, t, monkeypatch):
+    """One value in half of the rows, the others all different: as many tasks as the rows need, and the exact counts."""
+    monkeypatch.setattr(checks, "TASK_ROWS", 500, raising=False)
+    rows = spark.range(4000).selectExpr("cast(id AS string) AS ticket_id", "cast(id AS string) AS ticket_code", "CAST(NULL AS string) AS tcategory_id", "if(id % 2 = 0, 'hot', cast(id AS string)) AS torder_id")
+    found = checks.check_foreign_keys(t.replace(ticket=rows), "ticket")
+    assert found.rdd.getNumPartitions() >= 9
+    lost = {r.key: r.rows for r in found.collect()}
+    assert lost.pop("hot") == 2000 and len(lost) == 2000 and set(lost.values()) == {1}
