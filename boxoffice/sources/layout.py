@@ -165,6 +165,11 @@ class LaidOut(Tables):
             return super().only(name, column, asked, theirs)
         return self.lookup(name, {column: theirs}, asked)
 
+    def near(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame:
+        if name in self.others or self.layout.by[name] != column:
+            return super().near(name, column, asked, theirs)
+        return self.layout.rows(name, self.layout.touched(name, asked.select(F.col(theirs).alias(column))))
+
     def lookup(self, name: str, on: Mapping[str, str], asked: DataFrame) -> DataFrame:
         """Of a table that is laid out by one of the columns, the buckets of the asked values are read."""
         column = self.layout.by.get(name)

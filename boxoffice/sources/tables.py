@@ -58,10 +58,17 @@ class Tables:
     def only(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame:
         """Rows of a table whose ``column`` has a value of ``asked.theirs``. Up to ``LISTED_KEYS`` distinct values become
         a filter that reaches the files, more a semi join."""
+        listed = self._listed(name, column, asked, theirs)
+        return only_keys_of(self[name], asked, {column: theirs}) if listed is None else listed
+
+    def near(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame:
+        """`only` for steps that join or count by ``column`` themselves: instead of a semi join, other rows stay."""
+        listed = self._listed(name, column, asked, theirs)
+        return self[name] if listed is None else listed
+
+    def _listed(self, name: str, column: str, asked: DataFrame, theirs: str) -> DataFrame | None:
         keys = [r[0] for r in asked.select(theirs).filter(F.col(theirs).isNotNull()).distinct().limit(LISTED_KEYS + 1).collect()]
-        if len(keys) <= LISTED_KEYS:
-            return self[name].filter(F.col(column).isin(keys))
-        return only_keys_of(self[name], asked, {column: theirs})
+        return self[name].filter(F.col(column).isin(keys)) if len(keys) <= LISTED_KEYS else None
 
     def lookup(self, name: str, on: Mapping[str, str], asked: DataFrame) -> DataFrame:
         """Rows of a table whose columns have values of ``asked``; ``on`` maps columns of the table to those of ``asked``."""

@@ -101,9 +101,9 @@ def admit_tickets_stream(stream: DataFrame, tables: Tables | Callable[[], Tables
 
     def judge(t: Tables, requests: DataFrame, taken: DataFrame) -> DataFrame:
         asked = t.replace(
-            ticket=t.only("ticket", "tcategory_id", requests, "tcategory_id"),
-            ticket_category=t.only("ticket_category", "category_id", requests, "tcategory_id"),
-            order=t.only("order", "order_id", requests, "torder_id"),
+            ticket=t.near("ticket", "tcategory_id", requests, "tcategory_id"),
+            ticket_category=t.near("ticket_category", "category_id", requests, "tcategory_id"),
+            order=t.near("order", "order_id", requests, "torder_id"),
         )
         facts = _plus_taken(quota_facts(asked, requests), taken, "tcategory_id", "_sold")
         return admit_under_quota(facts, asked["order"], requests)
@@ -116,10 +116,10 @@ def admit_redemptions_stream(stream: DataFrame, tables: Tables | Callable[[], Ta
 
     def judge(t: Tables, requests: DataFrame, taken: DataFrame) -> DataFrame:
         asked = t.replace(
-            promotion=t.only("promotion", "promotion_id", requests, "promotion_id"),
-            order_promotion=t.only("order_promotion", "promotion_id", requests, "promotion_id"),
-            order=t.only("order", "order_id", requests, "order_id"),
-            ticket=t.only("ticket", "torder_id", requests, "order_id"),
+            promotion=t.near("promotion", "promotion_id", requests, "promotion_id"),
+            order_promotion=t.near("order_promotion", "promotion_id", requests, "promotion_id"),
+            order=t.near("order", "order_id", requests, "order_id"),
+            ticket=t.near("ticket", "torder_id", requests, "order_id"),
         )
         facts = _plus_taken(promo_facts(asked, requests), taken, "promotion_id", "_used")
         return admit_under_limit(facts, order_dates(asked, requests), requests)

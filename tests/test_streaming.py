@@ -159,3 +159,17 @@ def test_a_batch_reads_its_buckets_only(spark, folder, monkeypatch):
     layout = laid.layout
     assert files(layout.rows("ticket")) >= 16 and files(layout.rows("ticket", layout.touched("ticket", one))) == 1
     assert laid.only("ticket", "tcategory_id", one, "tcategory_id").count() == 1
+
+
+def test_a_batch_meets_its_tables_once(spark, folder):
+    """Steps that join or count by the key get the rows of its buckets, without a semi join before."""
+    schema = "seq long, torder_id string, tcategory_id string"
+    shop = small(spark, ticket=[(f"k{n}", f"k{n}", f"c{n}", f"o{n}") for n in range(2000)])
+    laid = Layout.create(shop, f"{folder}/tables", ["ticket"], {"ticket": "tcategory_id"}, buckets=16).tables()
+    one = spark.createDataFrame([(1, "o1", "c7")], schema)
+    many = spark.createDataFrame([(n, f"o{n}", f"c{n}") for n in range(1900)], schema)
+    for t in (laid, shop):
+        rows = t.near("ticket", "tcategory_id", many, "tcategory_id")
+        assert rows.count() >= 1900 and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert shop.near("ticket", "tcategory_id", one, "tcategory_id").count() == 1
+    assert 1 <= laid.near("ticket", "tcategory_id", one, "tcategory_id").count() < 400
