@@ -43,20 +43,24 @@ def _written(pairs: DataFrame) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """``(u, v)``: the pairs of columns of each row, one below the other. Not as a union, which would plan and compute ``rows`` once per pair."""
+    of_row = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return rows.select(F.explode(of_row).alias("p")).select("p.u", "p.v")
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("least"))
     return spread_join(pairs, least.select("u", F.least("u", "least").alias("least")), ["u"], "v", how="inner", merge=True)
 
 
 def _towards_larger(pairs: DataFrame) -> DataFrame:
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _each(pairs, ("u", "v"), ("v", "u"))
     return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _towards_smaller(pairs: DataFrame) -> DataFrame:
-    known = _with_least(pairs)
-    moved = known.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.unionByName(known.select("u", F.col("least").alias("v"))).distinct()
+    return _each(_with_least(pairs), ("u", "least"), ("v", "least")).filter("u <> v").distinct()
 
 
 def in_order(rows: DataFrame, order: list[str], kinds: str, start: Callable[[], Callable[[tuple], tuple | None]]) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from boxoffice.operators import conflicts
 from boxoffice.operators.conflicts import components, in_order
 
 
@@ -38,6 +39,16 @@ def test_text_ids_and_no_links(spark):
     assert components(links.limit(0)).collect() == []
 
 
+def test_a_round_is_planned_once(spark, tmp_path):
+    # the driver keeps the plan of each round and of its stages: it must not hold the steps before over and over
+    spark.createDataFrame([(2, 1), (3, 2)], "u long, v long").write.parquet(f"{tmp_path}/links")
+    now = spark.read.parquet(f"{tmp_path}/links")
+    after = conflicts._towards_smaller(conflicts._towards_larger(now))
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 3 and plan.count("Relation [") <= 4
+    assert sorted(map(tuple, after.collect())) == [(2, 1), (3, 1)]
+
+
 def test_rows_of_a_component_come_in_order(spark):
     rows = spark.range(10_000).selectExpr("id * 7919 % 10007 AS at", "id % 13 AS component")
 
