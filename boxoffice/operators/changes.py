@@ -423,27 +423,21 @@ def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets", component_
     there. A refused request holds nothing, so a later one for the same pair, seat or place may pass.
     ``component_rows`` is that of `settle`.
     """
-    asked = (
-        cand.withColumn("_seat", seat_of(cand))
-        .withColumn("ticket_id", stable_uuid(F.lit("ticket"), F.lit(batch), F.col("seq")))
-        .withColumn("ticket_code", ticket_code(F.col("ticket_id")))
-    )
+    made = stable_uuid(F.lit("ticket"), F.lit(batch), F.col("seq"))
+    asked = staged(cand.withColumn("_seat", seat_of(cand)).withColumn("ticket_code", ticket_code(made)), "requests")
     yes = F.lit(True)
-    old_pairs = only_keys_of(t["ticket"], cand, {"torder_id": "torder_id", "tcategory_id": "tcategory_id"})
+    old_pairs = only_keys_of(t["ticket"], asked, {"torder_id": "torder_id", "tcategory_id": "tcategory_id"})
     old_pairs = old_pairs.select("torder_id", "tcategory_id").distinct().withColumn("_old_pair", yes)
     old_codes = only_keys_of(t["ticket"], asked, {"ticket_code": "ticket_code"})
     old_codes = old_codes.select("ticket_code").distinct().withColumn("_old_code", yes)
-    orders = only_keys_of(t["order"], cand, {"order_id": "torder_id"})
-    orders = orders.select(F.col("order_id").alias("torder_id"), yes.alias("_order"))
-    seats = only_keys_of(t["seat"], asked, {"seat_id": "_seat"}).select(F.col("seat_id").alias("_seat"))
-    links = only_keys_of(t["has_relationship"], asked, {"seat_id": "_seat"})
-    links = links.select(F.col("seat_id").alias("_seat")).distinct().withColumn("_linked", yes)
-    seats = seats.withColumn("_seat_known", yes).join(links, "_seat", "full")
+    orders = t["order"].select(F.col("order_id").alias("torder_id"), yes.alias("_order"))
+    seats = t["seat"].select(F.col("seat_id").alias("_seat"), yes.alias("_seat_known"))
+    links = t["has_relationship"].select(F.col("seat_id").alias("_seat")).distinct().withColumn("_linked", yes)
 
     known = spread_join(asked, old_pairs, ["torder_id", "tcategory_id"], "seq")
-    known = spread_join(known, quota_facts(t, cand), ["tcategory_id"], "seq")
+    known = spread_join(known, quota_facts(t, asked), ["tcategory_id"], "seq")
     known = spread_join(known, orders, ["torder_id"], "seq")
-    known = spread_join(known, seats, ["_seat"], "seq")
+    known = spread_join(known, seats.join(links, "_seat", "full"), ["_seat"], "seq")
     known = known.join(old_codes, "ticket_code", "left").withColumn("_room", F.col("_quota") - F.col("_sold"))
 
     no_seat = F.col("_seat").isNotNull() & F.col("_seat_known").isNull()
@@ -468,7 +462,7 @@ def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets", component_
             (F.col("_order").isNull(), "unknown_order"),
             (no_seat, "unknown_seat"),
         ],
-    ).select(*cand.columns, "_seat", "ticket_id", "ticket_code", "accepted", "reason")
+    ).select(*cand.columns, "_seat", made.alias("ticket_id"), "ticket_code", "accepted", "reason")
 
 
 def issue_tickets(t: Tables, cand: DataFrame, batch: str = "tickets") -> ChangeSet:

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from boxoffice.operators.conflicts import COMPONENT_ROWS, components, in_order
-from boxoffice.operators.ranges import positions
+from boxoffice.operators.conflicts import COMPONENT_ROWS
 from boxoffice.operators.spread import running_counts, spread_join, without_keys_of
 from boxoffice.session import drop_staged, shared_dir, staged
 
-# Rows of a larger component that one task walks through before the next ones are looked at.
+# Open rows that one task walks through before the next ones are looked at.
 BLOCK_ROWS = 1_000_000
+# Rows of a block that are Python objects at a time.
+STEP_ROWS = 1 << 16
+NO_LIMIT = 1 << 62
+# What a row that a block reads is: an open row, a value held before the block, or a value that a later block needs.
+OPEN, HELD, AHEAD = range(3)
 
 
 def settle(
@@ -35,41 +44,55 @@ def settle(
     Adds ``_in``, one ``_taken_<claim>`` per claim and ``_full``: what stood in the way of each row,
     eligible or not, when its turn came.
 
-    One claim without room is the earliest row per value. Otherwise rows are settled over written tables of
-    the rows that are still open. First a row gets in if no open row before it could stand in its way, and
-    every open row that this beats goes out. The rest are linked where they claim the same value, or a place of
-    a group that can still fill. A component of these links with at most ``component_rows`` rows is settled in one
-    ordered pass in its own task, all components side by side. Larger ones go in blocks of ``BLOCK_ROWS`` rows, one
-    after the other, of all such components at once.
+    One claim without room is the earliest row per value. Otherwise the values that several rows claim are named once
+    by their first row, and all that follows goes by these names. First a row gets in if no open row before it could
+    stand in its way, and every open row that this beats goes out. The rest are walked through in order of ``seq``,
+    in one task if they are at most ``component_rows``, else in blocks of about ``BLOCK_ROWS`` rows, one after the
+    other; a block is told what is held of its values.
     """
-    keys = {name: f"_k_{name}" for name in claims}
-    keyed = cand.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-    for name, columns in claims.items():
-        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-        keyed = keyed.withColumn(keys[name], F.when(whole, F.struct(*columns)))
-    limits = [F.lit(None).cast("string").alias("_group"), F.lit(None).cast("long").alias("_room")]
-    if room:
-        limits = [F.col(room[0]).alias("_group"), F.col(room[1]).cast("long").alias("_room")]
-
+    judged = cand.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
     if len(claims) == 1 and not room:
-        admitted = _one_claim(keyed.filter("_eligible"), *keys.values())
+        values = {name: f"_k_{name}" for name in claims}
+        keyed = judged.withColumns({values[name]: _key(columns) for name, columns in claims.items()})
+        out = _with_in(keyed, _one_claim(keyed.filter("_eligible"), *values.values()))
     else:
-        keyed = staged(keyed, "candidates")
-        rows = keyed.filter("_eligible").select("seq", *keys.values(), *limits, F.lit(0).cast("long").alias("_in_before"))
-        admitted = _admitted(rows, list(keys.values()), bool(room), component_rows)
-
-    out = keyed.join(admitted.select("seq", F.lit(True).alias("_in")), "seq", "left")
-    out = out.withColumn("_in", F.coalesce("_in", F.lit(False)))
-    inside = out.filter("_in")
-    for name, key in keys.items():
-        holders = inside.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_holder"))
-        taken = F.coalesce(F.col("_holder") < F.col("seq"), F.lit(False))
-        out = spread_join(out, holders, [key], "seq").withColumn(f"_taken_{name}", taken).drop("_holder")
-    full = F.lit(False)
+        written = staged(judged, "candidates")
+        named = staged(_named(written, list(claims.values())), "named")
+        drop_staged(written)
+        values = {name: f"_v{n}" for n, name in enumerate(claims)}
+        limits = [F.lit(None).cast("string").alias("_group"), F.lit(None).cast("long").alias("_room")]
+        if room:
+            limits = [F.col(room[0]).alias("_group"), F.col(room[1]).cast("long").alias("_room")]
+        firsts = [f"_first{n}" for n in range(len(claims))]
+        rows = named.filter("_eligible").select("seq", *values.values(), *firsts, *limits, F.lit(0).cast("long").alias("_in_before"))
+        admitted = _admitted(rows, len(claims), bool(room), component_rows)
+        out = staged(_with_in(named.drop(*firsts), admitted), "settled")
+
+    inside, full = out.filter("_in"), F.lit(False)
     if room:
         out = running_counts(out, [room[0]], {"_before": F.col("_in")})
         full = F.coalesce(F.col("_before") >= F.col(room[1]), F.lit(False))
-    return out.withColumn("_full", full).drop(*keys.values(), "_before", "_eligible")
+    for name, value in values.items():
+        holders = inside.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_at")).agg(F.min("seq").alias("_holder"))
+        taken = F.coalesce(F.col("_holder") < F.col("seq"), F.lit(False))
+        out = spread_join(_at(out, value), holders, ["_at"], "seq").withColumn(f"_taken_{name}", taken).drop("_holder", "_at")
+    return out.withColumn("_full", full).drop(*values.values(), "_before", "_eligible")
+
+
+def _key(columns: Sequence[str]) -> Column:
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.when(whole, F.struct(*columns))
+
+
+def _at(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``_at``, the value to join by. A row whose value has no name, or that claims none, goes by its own ``seq``,
+    which names no value of another row, so that such rows do not meet in one task."""
+    return rows.withColumn("_at", F.coalesce(value, "seq") if value.startswith("_v") else F.col(value))
+
+
+def _with_in(rows: DataFrame, admitted: DataFrame) -> DataFrame:
+    out = rows.join(admitted.select("seq", F.lit(True).alias("_in")), "seq", "left")
+    return out.withColumn("_in", F.coalesce("_in", F.lit(False)))
 
 
 def _one_claim(rows: DataFrame, key: str) -> DataFrame:
@@ -77,52 +100,42 @@ def _one_claim(rows: DataFrame, key: str) -> DataFrame:
     return first.select("seq").unionByName(rows.filter(F.col(key).isNull()).select("seq"))
 
 
-def _admitted(rows: DataFrame, keys: Sequence[str], limited: bool, component_rows: int) -> DataFrame:
-    """``seq`` of the rows that get in, from one folder that every step adds to."""
-    spark = rows.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/boxoffice/admitted-{uuid.uuid4().hex}"
-    seq = rows.schema["seq"].dataType.simpleString()
-    steps = 0
-
-    def admit(chosen: DataFrame) -> None:
-        nonlocal steps
-        chosen.select("seq").write.parquet(f"{folder}/step={steps}")
-        steps += 1
-
-    marked = staged(_marked(rows, keys, limited), "marked")
-    admit(marked.filter("_new"))
-    still = staged(_not_beaten(marked, keys, limited), "open")
-    drop_staged(marked)
-    if not still.isEmpty():
-        placed = staged(_with_component(staged(_graph(still, keys, limited), "conflicts"), len(keys)), "components")
-        sizes = placed.groupBy("component").agg(F.count("*").alias("_size"))
-        large = staged(sizes.filter(F.col("_size") > component_rows).select("component"), "large")
-        admit(_walked(without_keys_of(placed, large, ["component"]), len(keys), seq))
-        if not large.isEmpty():
-            _in_blocks(spread_join(placed, large, ["component"], "seq", "left_semi"), len(keys), seq, admit)
-    return spark.read.schema(f"seq {seq}, step int").parquet(folder).select("seq")
-
-
-def _marked(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
-    """Adds ``_new``: no open row before this one could stand in its way. Only values that several rows
-    claim are looked up."""
+def _named(rows: DataFrame, claims: Sequence[Sequence[str]]) -> DataFrame:
+    """Adds ``_v0, ..``: the first row that claims the same, which names the value exactly, and ``_first0, ..``: the
+    first eligible one. NULL for a value that no other row claims."""
+    out = rows
+    for n, columns in enumerate(claims):
+        first = F.min(F.when(F.col("_eligible"), F.col("seq"))).alias(f"_first{n}")
+        claimed = rows.withColumn("_k", _key(columns)).filter("_k IS NOT NULL").groupBy("_k")
+        claimed = claimed.agg(F.count("*").alias("_rows"), F.min("seq").alias(f"_v{n}"), first).filter("_rows > 1").drop("_rows")
+        out = spread_join(out.withColumn("_k", _key(columns)), claimed, ["_k"], "seq").drop("_k")
+    return out
+
+
+def _admitted(rows: DataFrame, claims: int, limited: bool, component_rows: int) -> DataFrame:
+    """``seq`` of the rows that get in."""
+    marked = staged(_marked(rows, claims, limited), "marked")
+    still = staged(_not_beaten(marked, claims, limited), "open")
+    sure = marked.filter("_new").select("seq")
+    if not (many := still.count()):
+        return sure
+    blocks = 1 if many <= component_rows else -(-many // BLOCK_ROWS)
+    return sure.unionByName(_in_blocks(_grouped(still, limited), claims, blocks))
+
+
+def _marked(rows: DataFrame, claims: int, limited: bool) -> DataFrame:
+    """Adds ``_new``: no open row before this one could stand in its way."""
     clear, seen = F.lit(True), rows
     if limited:
         seen = running_counts(seen, ["_group"], {"_open_before": F.lit(True)})
         clear = F.col("_room").isNull() | (F.col("_in_before") + F.col("_open_before") < F.col("_room"))
-    for n, key in enumerate(keys):
-        seen = spread_join(seen, _contested(rows, key, f"_first{n}"), [key], "seq")
-        clear = clear & (F.col(f"_first{n}").isNull() | (F.col(f"_first{n}") == F.col("seq")))
-    return seen.withColumn("_new", clear).select(*rows.columns, "_new")
-
+    firsts = [f"_first{n}" for n in range(claims)]
+    for first in firsts:
+        clear = clear & (F.col(first).isNull() | (F.col(first) == F.col("seq")))
+    return seen.withColumn("_new", clear).select(*[c for c in rows.columns if c not in firsts], "_new")
 
-def _contested(rows: DataFrame, key: str, first: str) -> DataFrame:
-    """The values that several rows claim, with the first of these rows."""
-    claimed = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"), F.min("seq").alias(first))
-    return claimed.filter("_rows > 1").drop("_rows")
 
-
-def _not_beaten(marked: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
+def _not_beaten(marked: DataFrame, claims: int, limited: bool) -> DataFrame:
     """The rows that are open after the new ones got in."""
     left = marked
     if limited:
@@ -130,95 +143,121 @@ def _not_beaten(marked: DataFrame, keys: Sequence[str], limited: bool) -> DataFr
         left = left.withColumn("_in_before", F.col("_in_before") + F.col("_new_before")).drop("_new_before")
         left = left.filter(F.col("_room").isNull() | (F.col("_in_before") < F.col("_room")))
     left = left.filter("NOT _new").drop("_new")
-    for key in keys:
-        left = without_keys_of(left, marked.filter(F.col("_new") & F.col(key).isNotNull()), [key])
+    for value in [f"_v{n}" for n in range(claims)]:
+        gone = marked.filter(F.col("_new") & F.col(value).isNotNull()).select(F.col(value).alias("_at"))
+        left = without_keys_of(_at(left, value), gone, ["_at"]).drop("_at")
     return left
 
 
-def _graph(rows: DataFrame, keys: Sequence[str], limited: bool) -> DataFrame:
-    """``(seq, _room, _in_before, _v0, .., _g)``: values and groups by the first open row that claims them, which names
-    them exactly; NULL for a value that no other open row claims, and for a group that its open rows cannot fill."""
-    out = rows
-    for n, key in enumerate(keys):
-        out = spread_join(out, _contested(rows, key, f"_v{n}"), [key], "seq")
-    group = F.lit(None).cast(rows.schema["seq"].dataType).alias("_g")
-    if limited:
-        limit = rows.filter("_room IS NOT NULL").groupBy("_group")
-        # in the order of seq the rows before a row are at most those already in and all open ones
-        limit = limit.agg(F.min("seq").alias("_g"), (F.max("_in_before") + F.count("*")).alias("_most"), F.max("_room").alias("_places"))
-        out = spread_join(out, limit.filter("_most > _places").select("_group", "_g"), ["_group"], "seq")
-        group = F.when(F.col("_room").isNotNull(), F.col("_g")).alias("_g")
-    return out.select("seq", "_room", "_in_before", *[f"_v{n}" for n in range(len(keys))], group)
-
-
-def _with_component(graph: DataFrame, claims: int) -> DataFrame:
-    names = [*[f"_v{n}" for n in range(claims)], "_g"]
-    links = graph.select(F.col("seq").alias("u"), F.explode(F.array_compact(F.array(*names))).alias("v"))
-    labels = components(links).withColumnRenamed("id", "seq")
-    return graph.join(labels, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
-
-
-def _walked(rows: DataFrame, claims: int, seq: str) -> DataFrame:
-    """``(seq, _v0, .., _g)`` of the rows that get in, component by component in order."""
-    names = [f"_v{n}" for n in range(claims)]
-    columns = ["component", "seq", "_room", "_in_before", "_g", *names]
-
-    def start():
-        held: list[set] = [set() for _ in range(claims)]
-        inside: dict = {}
-
-        def step(row: tuple) -> tuple | None:
-            _, number, room, before, group, *values = row
-            if group is not None and before + inside.get(group, 0) >= room:
-                return None
-            if any(value is not None and value in own for own, value in zip(held, values, strict=True)):
-                return None
-            for own, value in zip(held, values, strict=True):
-                if value is not None:
-                    own.add(value)
-            if group is not None:
-                inside[group] = inside.get(group, 0) + 1
-            return (number, *values, group)
-
-        return step
-
-    return in_order(rows.select(*columns), ["seq"], ", ".join(f"{name} {seq}" for name in ("seq", *names, "_g")), start)
+def _grouped(rows: DataFrame, limited: bool) -> DataFrame:
+    """Adds ``_g``: the group by its first open row; NULL for a group that its open rows cannot fill."""
+    if not limited:
+        return rows.withColumn("_g", F.lit(None).cast(rows.schema["seq"].dataType)).drop("_group")
+    limit = rows.filter("_room IS NOT NULL").groupBy("_group")
+    # in the order of seq the rows before a row are at most those already in and all open ones
+    limit = limit.agg(F.min("seq").alias("_g"), (F.max("_in_before") + F.count("*")).alias("_most"), F.max("_room").alias("_places"))
+    out = spread_join(rows, limit.filter("_most > _places").select("_group", "_g"), ["_group"], "seq")
+    return out.withColumn("_g", F.when(F.col("_room").isNotNull(), F.col("_g"))).drop("_group")
 
 
-def _in_blocks(rows: DataFrame, claims: int, seq: str, admit: Callable[[DataFrame], None]) -> None:
-    """Settles components in blocks of ``BLOCK_ROWS`` rows in order of ``seq``, the n-th blocks of all components at once.
+def _in_blocks(rows: DataFrame, claims: int, blocks: int) -> DataFrame:
+    """``seq`` of the rows that get in, settled in blocks by order of ``seq``.
 
     What is held of a value or group goes on to the next block in which it occurs. So a block reads its own rows and
     what is held of their values, and neither a task nor the driver keeps anything from one block to the next.
     """
-    spark, names = rows.sparkSession, [*[f"_v{n}" for n in range(claims)], "_g"]
+    spark, seq, names = rows.sparkSession, rows.schema["seq"].dataType.simpleString(), [*[f"_v{n}" for n in range(claims)], "_g"]
     folder = f"{shared_dir(spark).rstrip('/')}/boxoffice/blocks-{uuid.uuid4().hex}"
 
-    def values_of(frame: DataFrame, *keep: str) -> DataFrame:
-        return frame.select(*keep, F.posexplode(F.array(*names)).alias("kind", "value")).filter("value IS NOT NULL")
-
-    numbered = positions(rows, ["component"], [F.col("seq")]).withColumn("block", F.expr(f"(position - 1) DIV {BLOCK_ROWS}")).drop("position")
-    numbered.write.partitionBy("block").parquet(f"{folder}/rows")
-    numbered = spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
-    following = F.lead("block").over(Window.partitionBy("kind", "value").orderBy("block"))
-    onward = values_of(numbered, "block").distinct().withColumn("next", following).filter("next IS NOT NULL")
-    onward.write.partitionBy("block").parquet(f"{folder}/onward")
-    onward = spark.read.schema(onward.schema).parquet(f"{folder}/onward")
-    held_kinds = f"kind int, value {seq}, taken long, at long"
-    spark.createDataFrame([], held_kinds).write.parquet(f"{folder}/held")
-
-    block = 0
-    while not (now := numbered.filter(F.col("block") == block)).isEmpty():
-        held = spark.read.schema(held_kinds).parquet(f"{folder}/held").filter(F.col("at") == block).drop("at")
-        for n, name in enumerate(names[:-1]):
-            now = without_keys_of(now, held.filter(F.col("kind") == n).withColumnRenamed("value", name), [name])
-        inside = held.filter(F.col("kind") == claims).select(F.col("value").alias("_g"), "taken")
-        now = spread_join(now, inside, ["_g"], "seq").withColumn("_in_before", F.col("_in_before") + F.coalesce("taken", F.lit(0)))
-        chosen = staged(_walked(now, claims, seq), "chosen")
-        admit(chosen)
-        taken = values_of(chosen).withColumn("taken", F.lit(1).cast("long")).unionByName(held)
-        taken = taken.groupBy("kind", "value").agg(F.sum("taken").alias("taken"))
-        passed = taken.join(onward.filter(F.col("block") == block), ["kind", "value"])
-        passed.select("kind", "value", "taken", F.col("next").alias("at")).write.mode("append").partitionBy("at").parquet(f"{folder}/held")
-        drop_staged(chosen)
-        block += 1
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.partitionBy("block").parquet(f"{folder}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    dealt = kept(rows.repartitionByRange(blocks, "seq").withColumn("block", F.spark_partition_id()), "rows")
+    if blocks > 1:
+        values = dealt.select("block", F.posexplode(F.array(*names)).alias("kind", "value")).filter("value IS NOT NULL").distinct()
+        following = F.lead("block").over(Window.partitionBy("kind", "value").orderBy("block"))
+        ahead = kept(values.withColumn("at", following).filter("at IS NOT NULL"), "ahead")
+    # seq of the rows that get in (at -1), and what is held of the values that the block ``at`` needs
+    told = f"seq {seq}, kind int, value {seq}, taken long, at int"
+    spark.createDataFrame([], told).write.parquet(f"{folder}/told")
+    for block in range(blocks):
+        now = dealt.filter(F.col("block") == block).drop("block").withColumn("_what", F.lit(OPEN))
+        if blocks > 1:
+            held = spark.read.schema(told).parquet(f"{folder}/told").filter(F.col("at") == block).drop("seq", "at")
+            needed = ahead.filter(F.col("block") == block).drop("block")
+            for rows_of, what in ((held, HELD), (needed, AHEAD)):
+                now = now.unionByName(rows_of.withColumn("_what", F.lit(what)), allowMissingColumns=True)
+        walked = now.coalesce(1).mapInArrow(_walk(names, blocks > 1, told), told)
+        walked.write.mode("append").partitionBy("at").parquet(f"{folder}/told")
+    return spark.read.schema(told).parquet(f"{folder}/told").filter("at = -1").select("seq")
+
+
+def _walk(names: Sequence[str], onward: bool, told: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One task with a block: its open rows in order of ``seq``. Values are numbers of places in arrays, so that a row
+    costs about a microsecond and a block few bytes per row."""
+    schema = to_arrow_schema(StructType.fromDDL(told))
+
+    def result(**columns) -> pa.Table:
+        given = {name: column if isinstance(column, pa.Array) else pa.array(column) for name, column in columns.items()}
+        size = len(next(iter(given.values())))
+        return pa.table([given[f.name].cast(f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (read := list(batches)):
+            return
+        table = pa.Table.from_batches(read).combine_chunks()
+        rows = table.filter(pc.equal(table["_what"], OPEN))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("seq", "ascending")], null_placement="at_start"))
+        many = rows.num_rows
+        held, own, told_of = bytearray(), [], []
+        for kind, name in enumerate(names):
+            of_kind = table.filter(pc.equal(table["kind"], kind)) if onward else table.slice(0, 0)
+            asked = of_kind["value"] if onward else rows[name].slice(0, 0)
+            codes = pa.chunked_array([*rows[name].chunks, *asked.chunks], rows[name].type).combine_chunks().dictionary_encode()
+            size = len(codes.dictionary)
+            places = codes.indices.fill_null(size).to_numpy().astype(np.int64)
+            mine, before = places[:many], places[many:]
+            what = of_kind["_what"].to_numpy()
+            if kind == len(names) - 1:
+                group, taken = mine, np.zeros(size + 1, np.int64)
+                if onward:
+                    np.add.at(taken, before[what == HELD], of_kind["taken"].to_numpy()[what == HELD].astype(np.int64))
+                inside = taken.tolist()
+                offset = 0
+            else:
+                offset = len(held)
+                # a row that claims nothing has a place of its own
+                claimed = np.zeros(size + many, np.uint8)
+                claimed[before[what == HELD]] = 1
+                held += claimed.tobytes()
+                if size:
+                    own.append(np.where(mine == size, size + np.arange(many), mine) + offset)
+            told_of.append((of_kind, what, before, offset))
+        left = pc.fill_null(pc.subtract(rows["_room"], rows["_in_before"]), NO_LIMIT).to_numpy()
+        left = np.where(group == len(inside) - 1, NO_LIMIT, left)
+
+        chosen = []
+        for start in range(0, many, STEP_ROWS):
+            step = slice(start, start + STEP_ROWS)
+            of_row = zip(*(places[step].tolist() for places in own)) if own else ((),) * len(left[step])
+            for at, most, g, mine in zip(range(start, many), left[step].tolist(), group[step].tolist(), of_row):
+                if inside[g] >= most:
+                    continue
+                for place in mine:
+                    if held[place]:
+                        break
+                else:
+                    for place in mine:
+                        held[place] = 1
+                    inside[g] += 1
+                    chosen.append(at)
+        yield from result(seq=rows["seq"].take(pa.array(chosen, pa.int64())).combine_chunks(), at=np.full(len(chosen), -1)).to_batches()
+
+        for kind, (of_kind, what, before, offset) in enumerate(told_of if onward else ()):
+            now = np.array(inside) if kind == len(names) - 1 else np.frombuffer(held, np.uint8)[offset:]
+            goes = np.flatnonzero((what == AHEAD) & (now[before] > 0))
+            value, at = (of_kind[name].combine_chunks().take(pa.array(goes)) for name in ("value", "at"))
+            yield from result(kind=np.full(len(goes), kind), value=value, taken=now[before[goes]], at=at).to_batches()
+
+    return run
