@@ -441,26 +441,30 @@ def judge_tickets(t: Tables, cand: DataFrame, batch: str = "tickets", component_
     known = known.join(old_codes, "ticket_code", "left").withColumn("_room", F.col("_quota") - F.col("_sold"))
 
     no_seat = F.col("_seat").isNotNull() & F.col("_seat_known").isNull()
-    eligible = (
-        F.col("_old_pair").isNull()
-        & F.col("_old_code").isNull()
-        & F.col("_linked").isNull()
-        & F.col("_quota").isNotNull()
-        & F.col("_order").isNotNull()
-        & ~no_seat
-    )
+    faults = {
+        "old_pair": F.col("_old_pair").isNotNull(),
+        "linked": F.col("_linked").isNotNull(),
+        "old_code": F.col("_old_code").isNotNull(),
+        "category": F.col("_quota").isNull(),
+        "order": F.col("_order").isNull(),
+        "seat": no_seat,
+    }
+    # one column in place of eight, as all rows are dealt several times from here on
+    bits = reduce(lambda a, b: a + b, [F.when(found, 1 << n).otherwise(0) for n, found in enumerate(faults.values())])
+    known = known.select(*asked.columns, "_room", bits.alias("_faults"))
+    fault = {name: F.col("_faults").bitwiseAND(1 << n) != 0 for n, name in enumerate(faults)}
     claims = {"pair": ["torder_id", "tcategory_id"], "seat": ["_seat"], "code": ["ticket_code"]}
-    settled = settle(known, eligible, claims, ("tcategory_id", "_room"), component_rows)
+    settled = settle(known, F.col("_faults") == 0, claims, ("tcategory_id", "_room"), component_rows)
     return judged(
         settled,
         [
-            (F.col("_old_pair").isNotNull() | F.col("_taken_pair"), "duplicate_ticket"),
-            (F.col("_linked").isNotNull() | F.col("_taken_seat"), "seat_taken"),
+            (fault["old_pair"] | F.col("_taken_pair"), "duplicate_ticket"),
+            (fault["linked"] | F.col("_taken_seat"), "seat_taken"),
             (F.col("_full"), "quota_full"),
-            (F.col("_old_code").isNotNull() | F.col("_taken_code"), "duplicate_code"),
-            (F.col("_quota").isNull(), "unknown_category"),
-            (F.col("_order").isNull(), "unknown_order"),
-            (no_seat, "unknown_seat"),
+            (fault["old_code"] | F.col("_taken_code"), "duplicate_code"),
+            (fault["category"], "unknown_category"),
+            (fault["order"], "unknown_order"),
+            (fault["seat"], "unknown_seat"),
         ],
     ).select(*cand.columns, "_seat", made.alias("ticket_id"), "ticket_code", "accepted", "reason")
 

@@ -66,7 +66,7 @@ def settle(
         firsts = [f"_first{n}" for n in range(len(claims))]
         rows = named.filter("_eligible").select("seq", *values.values(), *firsts, *limits, F.lit(0).cast("long").alias("_in_before"))
         admitted = _admitted(rows, len(claims), bool(room), component_rows)
-        out = staged(_with_in(named.drop(*firsts), admitted), "settled")
+        out = staged(_with_in(named.drop(*firsts, "_eligible"), admitted), "settled")
 
     inside, full = out.filter("_in"), F.lit(False)
     if room:
@@ -195,7 +195,7 @@ def _in_blocks(rows: DataFrame, claims: int, blocks: int) -> DataFrame:
 
 def _walk(names: Sequence[str], onward: bool, told: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One task with a block: its open rows in order of ``seq``. Values are numbers of places in arrays, so that a row
-    costs about a microsecond and a block few bytes per row."""
+    costs few microseconds and the block few hundred bytes per row."""
     schema = to_arrow_schema(StructType.fromDDL(told))
 
     def result(**columns) -> pa.Table:
