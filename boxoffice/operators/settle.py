@@ -204,21 +204,30 @@ def _walk(names: Sequence[str], onward: bool, told: str) -> Callable[[Iterator[p
         return pa.table([given[f.name].cast(f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (read := list(batches)):
+        read, told_rows = [], []
+        for batch in batches:  # only what is used of a batch stays
+            is_open = pc.equal(batch["_what"], OPEN)
+            read.append(batch.select(["seq", "_room", "_in_before", *names]).filter(is_open))
+            if onward:
+                told_rows.append(batch.select(["_what", "kind", "value", "taken", "at"]).filter(pc.invert(is_open)))
+        if not read:
             return
-        table = pa.Table.from_batches(read).combine_chunks()
-        rows = table.filter(pc.equal(table["_what"], OPEN))
+        rows = pa.Table.from_batches(read)
+        del read
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("seq", "ascending")], null_placement="at_start"))
+        others = pa.Table.from_batches(told_rows) if onward else None
+        del told_rows
         many = rows.num_rows
         held, own, told_of = bytearray(), [], []
         for kind, name in enumerate(names):
-            of_kind = table.filter(pc.equal(table["kind"], kind)) if onward else table.slice(0, 0)
-            asked = of_kind["value"] if onward else rows[name].slice(0, 0)
-            codes = pa.chunked_array([*rows[name].chunks, *asked.chunks], rows[name].type).combine_chunks().dictionary_encode()
+            of_kind = others.filter(pc.equal(others["kind"], kind)) if onward else None
+            asked = of_kind["value"].chunks if onward else []
+            codes = pa.chunked_array([*rows[name].chunks, *asked], rows[name].type).combine_chunks().dictionary_encode()
             size = len(codes.dictionary)
-            places = codes.indices.fill_null(size).to_numpy().astype(np.int64)
+            places = codes.indices.fill_null(size).to_numpy()
+            del codes
             mine, before = places[:many], places[many:]
-            what = of_kind["_what"].to_numpy()
+            what = of_kind["_what"].to_numpy() if onward else np.zeros(0, np.int32)
             if kind == len(names) - 1:
                 group, taken = mine, np.zeros(size + 1, np.int64)
                 if onward:
